@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.workers import importable
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -58,6 +60,7 @@ class Workspace:
     _serial = itertools.count()
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        importable(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{next(self._serial)}-{uuid.uuid4().hex[:12]}"
         _written.append((spark, self.root))
