@@ -1,4 +1,8 @@
-"""Queries of the operators over the driver's tables, and their DuckDB SQL."""
+"""Queries of the operators over the driver's tables, and their DuckDB SQL.
+
+Every query applies its operator, with production parameters, to the whole
+table and returns the full result.
+"""
 
 from __future__ import annotations
 
@@ -6,29 +10,83 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import exact_mph, fingerprints, near_circulant
+from lexmill.llm import exact_mph, fingerprints, html_cetr, line_winnow, mixing, near_circulant, packing, quality, url_trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(url_trie.PRODUCTION_RULES), "entry string, action string")
+    return url_trie.filter_urls(spark, _table(spark, sf_dir, "pages"), rules)
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark, _table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_circulant.near_dedup_report(spark, _table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_windows(spark, _table(spark, sf_dir, "documents"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_cetr.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.near_pairs(spark, _table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_mph.exact_dedup_report(spark, _table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_winnow.dedup_lines(spark, _table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    return {f.__name__: f for f in (op4_minhash_near_dedup, op7_document_fingerprints, op9_exact_dedup)}
-
+    known = (
+        op2_url_filters, op3_source_mixing, op4_minhash_near_dedup, op5_packing, op6_html_extraction,
+        op7_document_fingerprints, op8_quality_classifier, op9_exact_dedup, op10_line_dedup,
+    )
+    return {f.__name__: f for f in known}
+
+
+OP2_SQL = r"""
+    WITH rules(entry, action) AS (VALUES {rules}),
+    urls AS (
+        SELECT page_id, url,
+            regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#\s]*)', 1)),
+                '^.*@', ''), ':[0-9]*$', ''), '^\.+|\.+$', '', 'g') AS host,
+            list_filter(string_split(regexp_replace(regexp_replace(url,
+                '^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://)?[^/?#\s]*', ''), '[?#].*$', ''), '/'), x -> x <> '') AS segments
+        FROM pages),
+    parts AS (
+        SELECT *, string_split(host, '.') AS labels FROM urls),
+    keys AS (
+        SELECT page_id, array_to_string(labels[i:], '.') AS key, len(labels) - i + 1 AS depth
+        FROM parts, range(1, len(labels) + 1) t(i)
+        UNION ALL
+        SELECT page_id, host || '/' || array_to_string(segments[:i], '/'), len(labels) + i
+        FROM parts, range(1, len(segments) + 1) t(i)),
+    best AS (
+        SELECT page_id, max_by(action, depth) AS action, max_by(entry, depth) AS entry, max(depth) AS depth
+        FROM keys JOIN rules ON key = entry GROUP BY page_id)
+    SELECT page_id, url, coalesce(action, 'allow') AS action, entry, coalesce(depth, 0)::INT AS depth
+    FROM pages LEFT JOIN best USING (page_id)""".replace(
+    "{rules}", ", ".join(f"('{entry}', '{action}')" for entry, action in url_trie.PRODUCTION_RULES)
+)
 
 OP9_SQL = """
     SELECT min(doc_id) AS doc_id, count(*) AS n_members, 0::BIGINT AS chunk, list_sort(list(doc_id)) AS members
@@ -39,4 +97,4 @@ OP9_SQL = """
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query, where SQL can express it."""
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op2_url_filters": OP2_SQL, "op9_exact_dedup": OP9_SQL}
