@@ -70,7 +70,7 @@ OP2_SQL = r"""
             regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#\s]*)', 1)),
                 '^.*@', ''), ':[0-9]*$', ''), '^\.+|\.+$', '', 'g') AS host,
             list_filter(string_split(regexp_replace(regexp_replace(url,
-                '^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://)?[^/?#\s]*', ''), '[?#].*$', ''), '/'), x -> x <> '') AS segments
+                '^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://)?[^/?#\s]*', ''), '[?#].*$', ''), '/'), lambda x: x <> '') AS segments
         FROM pages),
     parts AS (
         SELECT *, string_split(host, '.') AS labels FROM urls),
