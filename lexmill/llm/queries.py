@@ -10,13 +10,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import exact_mph, fingerprints, html_cetr, line_winnow, mixing, near_circulant, packing, quality, url_trie
+from lexmill.llm import exact_mph, fingerprints, html_cetr, line_winnow, lm_katz, mixing, near_circulant, packing, quality, url_trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_katz.score_documents(spark, _table(spark, sf_dir, "documents"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(url_trie.PRODUCTION_RULES), "entry string, action string")
     return url_trie.filter_urls(spark, _table(spark, sf_dir, "pages"), rules)
@@ -57,7 +61,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
     known = (
-        op2_url_filters, op3_source_mixing, op4_minhash_near_dedup, op5_packing, op6_html_extraction,
+        op1_lm_scoring, op2_url_filters, op3_source_mixing, op4_minhash_near_dedup, op5_packing, op6_html_extraction,
         op7_document_fingerprints, op8_quality_classifier, op9_exact_dedup, op10_line_dedup,
     )
     return {f.__name__: f for f in known}
@@ -88,6 +92,43 @@ OP2_SQL = r"""
     "{rules}", ", ".join(f"('{entry}', '{action}')" for entry, action in url_trie.PRODUCTION_RULES)
 )
 
+OP1_SQL = r"""
+    WITH texts AS (
+        SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '(?:[a-z0-9_]|[^\x00-\x7F])+') AS words FROM documents),
+    tokens AS (
+        SELECT r, unnest(list_concat(['<s>'], words)) AS h, unnest(list_concat(words, ['</s>'])) AS w
+        FROM texts WHERE len(words) > 0),
+    uni AS (SELECT w, count(*) AS c FROM tokens GROUP BY w),
+    bi AS (SELECT h, w, count(*) AS c FROM tokens GROUP BY h, w),
+    often AS (
+        SELECT 1 AS n, c AS r, count(*)::DOUBLE AS m FROM uni WHERE c <= 6 GROUP BY c
+        UNION ALL SELECT 2, c, count(*)::DOUBLE FROM bi WHERE c <= 6 GROUP BY c),
+    common AS (SELECT n, 6 * coalesce(max(m) FILTER (r = 6), 0) / max(m) FILTER (r = 1) AS q FROM often GROUP BY n),
+    raw AS (
+        SELECT a.n, a.r, ((a.r + 1) * coalesce(b.m, 0) / (a.r * a.m) - q) / (1 - q) AS d, q
+        FROM often a LEFT JOIN often b ON a.n = b.n AND b.r = a.r + 1 JOIN common ON common.n = a.n WHERE a.r <= 5),
+    disc AS (
+        SELECT n, r, CASE WHEN n = 2 AND r < 2 THEN 0 WHEN q < 1 AND d > 0 AND d <= 1 THEN d ELSE 1 END AS d FROM raw),
+    total AS (SELECT sum(c)::DOUBLE AS t FROM uni),
+    puni AS (
+        SELECT w, uni.c, coalesce(d, 1) * uni.c / t AS p FROM uni CROSS JOIN total LEFT JOIN disc ON n = 1 AND r = uni.c),
+    kept AS (
+        SELECT bi.h, bi.w, coalesce(d, 1) * bi.c AS s FROM bi LEFT JOIN disc ON n = 2 AND r = bi.c WHERE bi.c >= 2),
+    followed AS (SELECT h, sum(s) AS s, sum(p) AS lower FROM kept JOIN puni USING (w) GROUP BY h),
+    hist AS (
+        SELECT f.h, s, lower, u.c AS ch,
+            CASE WHEN 1 - lower < 1e-12 THEN s WHEN u.c - s < 1e-9 THEN u.c + 1 ELSE u.c END AS total
+        FROM followed f JOIN uni u ON u.w = CASE WHEN f.h = '<s>' THEN '</s>' ELSE f.h END),
+    scored AS (
+        SELECT t.r, k.s IS NULL AS backed,
+            CASE WHEN k.s IS NOT NULL THEN ln(k.s / hist.total)
+                WHEN hist.h IS NULL THEN ln(p)
+                ELSE ln((1 - hist.s / hist.total) / (1 - hist.lower)) + ln(p) END AS lp
+        FROM tokens t JOIN puni ON puni.w = t.w LEFT JOIN kept k ON k.h = t.h AND k.w = t.w LEFT JOIN hist ON hist.h = t.h),
+    sums AS (SELECT r, count(*) AS n_tokens, count(*) FILTER (backed) AS n_backoff, sum(lp) AS lp FROM scored GROUP BY r)
+    SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, coalesce(n_backoff, 0) AS n_backoff, round(lp, 4) AS log_prob
+    FROM texts LEFT JOIN sums USING (r)"""
+
 OP9_SQL = """
     SELECT min(doc_id) AS doc_id, count(*) AS n_members, 0::BIGINT AS chunk, list_sort(list(doc_id)) AS members
     FROM documents WHERE text IS NOT NULL GROUP BY text
@@ -97,4 +138,4 @@ OP9_SQL = """
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query, where SQL can express it."""
-    return {"op2_url_filters": OP2_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_lm_scoring": OP1_SQL, "op2_url_filters": OP2_SQL, "op9_exact_dedup": OP9_SQL}
