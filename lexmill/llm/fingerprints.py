@@ -52,7 +52,8 @@ def near_pairs(spark: SparkSession, docs: DataFrame, banding: near.Banding = PRO
     reps = near.representatives(feats)
     members = ws.table(near.bucket_members(reps), "members")
     wanted = reps.select("node", "doc_id", "digest").join(members.select("node").distinct(), "node", "left_semi")
-    sets = ws.table(near.node_sets(docs, wanted, banding.shingle_words), "sets")
+    wanted = ws.table(wanted, "wanted")
+    sets = ws.table(near.node_sets(docs, near.within_broadcast(wanted), banding.shingle_words), "sets")
     side = members.join(wanted.select("node", "doc_id"), "node")
     left = side.select("bucket", F.col("node").alias("a"), F.struct(F.col("doc_id").isNull(), "doc_id", "node").alias("oa"))
     right = side.select("bucket", F.col("node").alias("b"), F.struct(F.col("doc_id").isNull(), "doc_id", "node").alias("ob"))

@@ -139,6 +139,19 @@ def bucket_members(reps: DataFrame) -> DataFrame:
     )
 
 
+#: Keys of documents are sent to all executors up to this size; beyond, texts are shuffled by key.
+BROADCAST_BYTES = 64 << 20
+_KEY_BYTES = 64
+
+
+def within_broadcast(keys: DataFrame) -> DataFrame:
+    """``keys`` (doc_id, digest and a little more) with a broadcast hint, if they are few enough.
+
+    ``keys`` should be a written table: it is counted first.
+    """
+    return F.broadcast(keys) if keys.count() * _KEY_BYTES <= BROADCAST_BYTES else keys
+
+
 def node_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(node, shingles) of the wanted nodes (node, doc_id, digest), read from their documents' texts."""
 
@@ -235,6 +248,7 @@ def search(spark: SparkSession, docs: DataFrame, banding: Banding, signer: Calla
     reps = representatives(feats)
     members = ws.table(bucket_members(reps), "members")
     wanted = reps.select("node", "doc_id", "digest").join(members.select("node").distinct(), "node", "left_semi")
+    wanted = within_broadcast(ws.table(wanted, "wanted"))
     sets = ws.table(node_sets(docs, wanted, banding.shingle_words), "sets")
     stars = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     edges = ws.table(verify(stars, sets, banding.threshold), "edges-star")
@@ -270,10 +284,11 @@ def earliest(rows: DataFrame) -> DataFrame:
 def drop_losers(docs: DataFrame, digest: Callable[[Column], Column], losers: DataFrame, repeats: DataFrame) -> DataFrame:
     """``docs`` without the losers (doc_id, digest); of rows that repeat both, one stays.
 
-    ``repeats`` lists the (doc_id, digest) that several rows have.
+    ``losers`` is a written table; ``repeats`` lists the (doc_id, digest) that
+    several rows have.
     """
     rows = packed(docs, F.col("doc_id").alias("i"), digest(F.col("text")).alias("d"))
-    gone = losers.select(F.col("doc_id").alias("li"), F.col("digest").alias("ld")).distinct()
+    gone = within_broadcast(losers.select(F.col("doc_id").alias("li"), F.col("digest").alias("ld")))
     rows = rows.join(gone, (F.col("d") == F.col("ld")) & F.col("i").eqNullSafe(F.col("li")), "left_anti")
     if not repeats.isEmpty():
         again = repeats.select(F.col("doc_id").alias("ri"), F.col("digest").alias("rd")).distinct()
