@@ -206,7 +206,7 @@ def _relocated(units: DataFrame, cells: DataFrame, d: Division) -> DataFrame:
         side = relocate_rows(pdf["left"].to_numpy(dtype=bool), lists, len(names), d.min_class_size, d.max_passes)
         return pd.DataFrame({"uce_id": pdf["uce_id"], "row_idx": pdf["row_idx"], "left": side})
 
-    return rows.groupBy(F.lit(1)).applyInPandas(run, "uce_id string, row_idx long, left boolean")
+    return rows.withColumn("task", F.lit(1)).groupBy("task").applyInPandas(run, "uce_id string, row_idx long, left boolean")
 
 
 @dataclass

@@ -49,7 +49,7 @@ def characteristic_terms(pairs: DataFrame, classes: DataFrame, threshold: float
 def typical_segments(pairs: DataFrame, classes: DataFrame, terms: DataFrame, top: int = 5) -> DataFrame:
     """(class, rank, uce_id, score): segments with the highest sum of chi-square of their class's own terms."""
     own = terms.where("sign = '+'").select("class", "form", "chi2")
-    scored = pairs.join(classes, "uce_id").join(own, ["class", "form"]).groupBy("class", "uce_id").agg(F.round(F.sum("chi2"), 3).alias("score"))
+    scored = pairs.join(classes, "uce_id").join(own, ["class", "form"]).groupBy("class", "uce_id").agg(F.round(F.sum("chi2"), 4).alias("score"))
     by_class = Window.partitionBy("class").orderBy(F.desc("score"), F.desc("uce_id"))
     return scored.withColumn("rank", F.row_number().over(by_class)).where(F.col("rank") <= top).select("class", "rank", "uce_id", "score")
 

@@ -7,6 +7,8 @@ a language); the planner broadcasts them by its own size rule.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ SUPPLEMENTARY_PREFIXES = ("art", "aux", "con", "pre", "pro", "ono", "num")
 ACTIVE_PREFIXES = ("nom", "ver", "adj", "adv")
 UNKNOWN_POS = "nom"
 
+_EDGE, _MARK = "\x02", "\x01"
+_BETWEEN = _EDGE + _EDGE
+
 
 def resolve_key(pos: Column, configured: Column) -> Column:
     """1 for active, 2 for supplementary; the configured key comes first."""
@@ -72,24 +77,24 @@ def close_synonyms_sql(spark: SparkSession, pairs: DataFrame) -> DataFrame:
 
 
 def merge_expressions(words: Column, expressions: dict[str, str]) -> Column:
-    """The array of words with phrases replaced: from the left, longest phrase first, none overlapping."""
+    """The array of words with phrases replaced: from the left, longest phrase first, none overlapping.
+
+    One regular expression finds all phrases of the joined words, so the cost
+    grows with the text alone; words hold no control characters.
+    """
     phrases = {k: v for k, v in expressions.items() if len(k.split()) >= 2}
     if not phrases:
         return words
-    longest = max(len(k.split()) for k in phrases)
-    table = F.create_map(*[F.lit(x) for k, v in phrases.items() for x in (" ".join(k.split()), v)])
-    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("out"))
-
-    def step(state: Column, i: Column) -> Column:
-        hit, width = F.lit(None).cast("string"), F.lit(1)
-        for n in range(2, longest + 1):  # the longest comes last and wins
-            found = F.when(i + n - 1 <= F.size(words), F.element_at(table, F.array_join(F.slice(words, i, n), " ")))
-            hit, width = F.coalesce(found, hit), F.when(found.isNotNull(), F.lit(n)).otherwise(width)
-        taken = F.struct((i + width).alias("next"), F.concat(state["out"], F.array(F.coalesce(hit, F.element_at(words, i)))).alias("out"))
-        return F.when(i < state["next"], state).otherwise(taken)
-
-    places = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, start, step, lambda s: s["out"])
+    table = F.create_map(*[F.lit(x) for k, v in phrases.items() for x in (_BETWEEN.join(k.split()), v)])
+    # of two phrases that begin at one word the longer stands first and is tried first
+    longest_first = sorted((k.split() for k in phrases), key=lambda ws: (-len(ws), ws))
+    pattern = f"{_EDGE}(" + "|".join(_BETWEEN.join(re.escape(w) for w in ws) for ws in longest_first) + f"){_EDGE}"
+    joined = F.concat(F.lit(_EDGE), F.array_join(words, _BETWEEN), F.lit(_EDGE))
+    # what stood between marks is a phrase: every second piece
+    pieces = F.split(F.regexp_replace(joined, pattern, f"{_MARK}$1{_MARK}"), _MARK)
+    replaced = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.concat(F.lit(_EDGE), F.element_at(table, p), F.lit(_EDGE))).otherwise(p))
+    merged = F.filter(F.split(F.array_join(replaced, ""), _EDGE), lambda w: w != "")
+    return F.when(words.isNotNull(), merged)
 
 
 def lexed(tokens: DataFrame, lexicon: DataFrame, prep: Preparation, token: str = "token") -> DataFrame:

@@ -10,20 +10,23 @@ from lexmill.functions import text as X
 from lexmill.operators.lexicon import lexed, merge_expressions
 
 
-def _assign(counts: Column, size: int) -> Column:
-    """Segment number of every sentence: a segment closes once it holds ``size`` tokens."""
-    start = F.struct(F.lit(0).alias("held"), F.lit(0).alias("seg"), F.array().cast("array<int>").alias("out"))
-
-    def step(state: Column, n: Column) -> Column:
-        held = state["held"] + n
+def _bounds(counts: Column, size: int) -> Column:
+    """(first sentence, number of sentences) of every segment: one closes once it holds ``size`` tokens."""
+    none = F.array().cast("array<struct<first:int,n:int>>")
+    start = F.struct(F.lit(0).alias("held"), F.lit(1).alias("first"), F.lit(0).alias("n"), none.alias("out"))
+    closed = lambda s, n: F.concat(s["out"], F.array(F.struct(s["first"].alias("first"), n.alias("n"))))
+
+    def step(state: Column, count: Column) -> Column:
+        held, n = state["held"] + count, state["n"] + 1
         full = held >= size
         return F.struct(
             F.when(full, F.lit(0)).otherwise(held).alias("held"),
-            F.when(full, state["seg"] + 1).otherwise(state["seg"]).alias("seg"),
-            F.concat(state["out"], F.array(state["seg"])).alias("out"),
+            F.when(full, state["first"] + n).otherwise(state["first"]).alias("first"),
+            F.when(full, F.lit(0)).otherwise(n).alias("n"),
+            F.when(full, closed(state, n)).otherwise(state["out"]).alias("out"),
         )
 
-    return F.aggregate(counts, start, step, lambda s: s["out"])
+    return F.aggregate(counts, start, step, lambda s: F.when(s["n"] > 0, closed(s, s["n"])).otherwise(s["out"]))
 
 
 def segments(docs: DataFrame, size: int = 40, id_column: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -34,22 +37,16 @@ def segments(docs: DataFrame, size: int = 40, id_column: str = "doc_id", keep: t
     """
     rows = docs.select(F.col(id_column).alias("uci_id"), *keep, F.transform(X.sentences(F.col("text")), lambda s: F.struct(s.alias("s"), X.tokens(s).alias("t"))).alias("parts"))
     rows = rows.where(F.size("parts") > 0)
-    rows = rows.withColumn("segs", _assign(F.transform("parts", lambda p: F.size(p["t"])), size))
-    indexed = F.transform(
-        F.sequence(F.lit(0), F.element_at("segs", -1)),
-        lambda i: F.struct(
-            i.alias("uce_index"),
-            F.filter(F.transform("parts", lambda p, k: F.when(F.element_at("segs", k + 1) == i, p)), lambda p: p.isNotNull()).alias("parts"),
-        ),
-    )
-    rows = rows.select("uci_id", *keep, F.explode(indexed).alias("x"))
+    bounds = _bounds(F.transform("parts", lambda p: F.size(p["t"])), size)
+    rows = rows.select("uci_id", *keep, "parts", F.posexplode(bounds).alias("uce_index", "b"))
+    rows = rows.select("uci_id", *keep, "uce_index", F.slice("parts", F.col("b.first"), F.col("b.n")).alias("parts"))
     return rows.select(
         "uci_id",
         *keep,
-        F.col("x.uce_index").alias("uce_index"),
-        F.format_string("%s__uce%04d", F.col("uci_id").cast("string"), F.col("x.uce_index")).alias("uce_id"),
-        F.array_join(F.transform("x.parts", lambda p: p["s"]), " ").alias("text"),
-        F.flatten(F.transform("x.parts", lambda p: p["t"])).alias("tokens"),
+        "uce_index",
+        F.format_string("%s__uce%04d", F.col("uci_id").cast("string"), F.col("uce_index")).alias("uce_id"),
+        F.array_join(F.transform("parts", lambda p: p["s"]), " ").alias("text"),
+        F.flatten(F.transform("parts", lambda p: p["t"])).alias("tokens"),
     )
 
 
@@ -61,5 +58,5 @@ def segment_tokens(segs: DataFrame, prep: Preparation = Preparation(), keep: tup
 
 def active_forms(segs: DataFrame, lexicon: DataFrame, prep: Preparation = Preparation(), keep: tuple[str, ...] = ()) -> DataFrame:  # noqa: B008
     """(uci_id, uce_id, pos, form): the active lemmas of every segment in order."""
-    rows = lexed(segment_tokens(segs, prep, keep), lexicon, prep)
-    return rows.where("active").select("uci_id", "uce_id", *keep, "pos", F.col("lemma").alias("form"))
+    rows = lexed(segment_tokens(segs, prep, keep).withColumnRenamed("pos", "place"), lexicon, prep)
+    return rows.where("active").select("uci_id", "uce_id", *keep, F.col("place").alias("pos"), F.col("lemma").alias("form"))

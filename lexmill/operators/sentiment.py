@@ -66,7 +66,7 @@ def mean_by(scored: DataFrame, variable: str) -> DataFrame:
 def emotions(docs: DataFrame, emotion_lexicon: DataFrame, categories: list[str], id_column: str = "doc_id") -> DataFrame:
     """(doc_id, one count a category): tokens that the lexicon (form, emotion) lists."""
     tokens = docs.select(F.col(id_column).alias("doc_id"), F.explode(X.tokens(F.col("text"))).alias("form"))
-    hits = tokens.join(emotion_lexicon, "form").groupBy("doc_id").pivot("emotion", categories).agg(F.count("*"))
+    hits = tokens.join(emotion_lexicon, "form").groupBy("doc_id").pivot("emotion", categories).agg(F.count(F.lit(1)))
     return docs.select(F.col(id_column).alias("doc_id")).join(hits, "doc_id", "left").na.fill(0, categories)
 
 

@@ -1,32 +1,447 @@
-"""Registry of the queries over the library's own operators."""
+"""Registry of the queries over the library's own operators.
+
+Every query takes the session and a folder of tables and runs over the whole
+table.  Segments come from ``documents``; ``lang`` and ``source`` are their
+variables.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FLAGSHIP = "token_counts"
+from lexmill.functions import text as X
+from lexmill.operators import ca, chd, concordance, contingency, dtm, graph, labbe, lexicon, saturation, segment, sentiment, topics
+from lexmill.plans import inputs
+from lexmill.plans.oracles import oracle_sql
+from lexmill.sinks import export
+from lexmill.streaming import counts as streaming
+
+__all__ = ["FLAGSHIP", "oracle_sql", "queries"]
+
+FLAGSHIP = "signed_chi2_terms"
+
+#: Forms that the clustering and the topic model are fitted on occur at least so often.
+CLUSTER_OCCURRENCES = 100
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _lexicon(spark: SparkSession) -> DataFrame:
+    return lexicon.keyed_lexicon(spark.createDataFrame(list(inputs.LEXICON), "form string, lemma string, pos string"))
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.segments(_docs(spark, sf_dir), keep=("lang", "source"))
+
+
+def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.active_forms(_segments(spark, sf_dir), _lexicon(spark), inputs.PREP, keep=("lang", "source"))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dtm.dtm(_active(spark, sf_dir), inputs.PREP.min_occurrences)
+
+
+def _classes(spark: SparkSession, sf_dir: str, column: str = "lang", name: str = "class") -> DataFrame:
+    return _segments(spark, sf_dir).select("uce_id", F.col(column).alias(name))
+
+
+# ---- text -----------------------------------------------------------------------------------
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of every token of the corpus."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    tokens = F.explode(F.expr("regexp_extract_all(lower(text), '[\\\\p{L}\\\\p{Nl}\\\\p{No}]+', 0)"))
-    return docs.select(tokens.alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return _docs(spark, sf_dir).select(F.explode(X.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """All queries by name."""
-    return {"token_counts": token_counts}
+def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.size(X.sentences(F.col("text"))).cast("long").alias("n_sentences"))
+
+
+def clean_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", X.clean_transcript(F.col("text")).alias("text"))
+
+
+def strip_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", X.strip_markdown(F.col("text")).alias("text"))
+
+
+def strip_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", X.strip_accents(F.col("text")).alias("text"))
+
+
+def normalise_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", X.normalise_blanks(F.col("text")).alias("text"), X.slug(F.col("source")).alias("slug"))
+
+
+def speaker_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as transcripts, without the turns of ``system`` and ``user``."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    lines = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), F.coalesce("text", F.lit(""))).alias("line"))))
+    scripts = turns.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("script"))
+    text, dropped = X.filter_turns(F.col("script"), ("system", "user"))
+    return scripts.select("conv_id", text.alias("text"), dropped.cast("long").alias("n_dropped"))
+
+
+# ---- lexicon and segments -------------------------------------------------------------------
+
+
+def synonym_closure(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: ARG001
+    return lexicon.close_synonyms_sql(spark, spark.createDataFrame(list(inputs.SYNONYMS.items()), "variant string, canonical string"))
+
+
+def lemma_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lemma, part of speech and activity of every distinct token."""
+    words = _docs(spark, sf_dir).select(F.explode(X.tokens(F.col("text"))).alias("token")).distinct()
+    return lexicon.lexed(words, _lexicon(spark), inputs.PREP).select("token", "lemma", "pos", "known", "active")
+
+
+def expressions_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = lexicon.merge_expressions(X.tokens(F.col("text")), inputs.EXPRESSIONS)
+    return _docs(spark, sf_dir).select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.array_join(words, " ").alias("tokens"))
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _segments(spark, sf_dir)
+    return rows.select("uce_id", F.col("uci_id").alias("doc_id"), F.col("uce_index").cast("long").alias("uce_index"), "text", F.size("tokens").cast("long").alias("n_tokens"))
+
+
+def active_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _active(spark, sf_dir).select("uce_id", F.col("pos").cast("long").alias("pos"), "form")
+
+
+def inactive_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = segment.segment_tokens(_segments(spark, sf_dir), inputs.PREP)
+    return concordance.inactive_surface(tokens, _lexicon(spark), inputs.PREP)
+
+
+# ---- term table -----------------------------------------------------------------------------
+
+
+def forms_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dtm.form_stats(_active(spark, sf_dir))
+
+
+def top_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dtm.top_forms(_active(spark, sf_dir))
+
+
+def dtm_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir)
+
+
+def dtm_row_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dtm.row_sizes(_pairs(spark, sf_dir))
+
+
+def count_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    active = _active(spark, sf_dir)
+    return dtm.count_matrix(active, dtm.retained_forms(active, inputs.PREP.min_occurrences))
+
+
+def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dtm.diagnostics(_segments(spark, sf_dir), _active(spark, sf_dir), inputs.PREP.min_occurrences)
+
+
+def advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dtm.advice(diagnostics(spark, sf_dir))
+
+
+def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = _segments(spark, sf_dir).select(F.size("tokens").cast("long").alias("n"))
+    return export.histogram(sizes, "n", 5).select(F.col("bin").cast("long").alias("bin"), F.col("n").alias("count"))
+
+
+# ---- classes and parts ----------------------------------------------------------------------
+
+
+def signed_chi2_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characteristic terms of each language."""
+    return contingency.characteristic_terms(_pairs(spark, sf_dir), _classes(spark, sf_dir))
+
+
+def typical_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, classes = _pairs(spark, sf_dir), _classes(spark, sf_dir)
+    found = contingency.typical_segments(pairs, classes, contingency.characteristic_terms(pairs, classes))
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
+def partition_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, classes = _pairs(spark, sf_dir), _classes(spark, sf_dir)
+    return contingency.partition_warnings(classes, contingency.characteristic_terms(pairs, classes), asked=6)
+
+
+def heatmap_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contingency.class_proportions(_pairs(spark, sf_dir), _classes(spark, sf_dir))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(spark, sf_dir).select("uce_id", "lang", "source").unpivot("uce_id", ["lang", "source"], "variable", "part")
+
+
+def part_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contingency.part_table(_pairs(spark, sf_dir), _parts(spark, sf_dir))
+
+
+def specificities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contingency.specificities(part_table(spark, sf_dir))
+
+
+def adjusted_rand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of the partitions by language and by source."""
+    return contingency.adjusted_rand(_classes(spark, sf_dir), _classes(spark, sf_dir, "source"))
+
+
+def inertia_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chi-square of cutting the segments, ordered by length and name, after each position."""
+    units = _segments(spark, sf_dir).select("uce_id", F.size("tokens").alias("k"))
+    ordered = units.select("uce_id", F.row_number().over(chd.Window.orderBy("k", "uce_id")).cast("long").alias("pos"))
+    return chd.cut_scores(ordered, _pairs(spark, sf_dir)).select("pos", F.round("chi2", 4).alias("chi2"))
+
+
+def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dtm.dtm(_active(spark, sf_dir), CLUSTER_OCCURRENCES)
+
+
+def chd_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chd.classify(_clustered(spark, sf_dir)).assign
+
+
+def chd_dendrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chd.classify(_clustered(spark, sf_dir))
+    return found.tree.join(chd.dendrogram(found.tree), "node")
+
+
+def chd_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chd.classify(_clustered(spark, sf_dir)).terms
+
 
+def _crossed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contingency.form_class_table(_pairs(spark, sf_dir), _classes(spark, sf_dir))
 
-def oracle_sql() -> dict[str, str]:
-    """Their DuckDB SQL."""
-    return {
-        "token_counts": r"""
-            SELECT token, count(*) AS n
-            FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nl}\p{No}]+')) AS token FROM documents)
-            GROUP BY token"""
-    }
+
+def form_class_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _crossed(spark, sf_dir)
+
+
+def afc_inertia(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ca.total_inertia(_crossed(spark, sf_dir))
+
+
+def afc_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ca.analyse(_crossed(spark, sf_dir)).axes.select("axis", F.round("eigenvalue", 8).alias("eigenvalue"), F.round("pct", 3).alias("pct"))
+
+
+def afc_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ca.coordinates_table(ca.analyse(_crossed(spark, sf_dir)))
+
+
+# ---- graph ----------------------------------------------------------------------------------
+
+
+def _edges(spark: SparkSession, sf_dir: str, index: str) -> tuple[DataFrame, DataFrame]:
+    pairs = _pairs(spark, sf_dir)
+    forms = graph.top_forms(pairs)
+    n = pairs.agg(F.count_distinct("uce_id")).first()[0]
+    return forms, graph.association(graph.cooccurrence(pairs, forms), n, index)
+
+
+def association(spark: SparkSession, sf_dir: str, index: str) -> DataFrame:
+    _, edges = _edges(spark, sf_dir, index)
+    return edges.select("form_i", "form_j", "a", "f_i", "f_j", F.round("weight", 6).alias("weight"))
+
+
+def phi_bug_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _pairs(spark, sf_dir)
+    return graph.phi_with_wrong_total(pairs, graph.top_forms(pairs))
+
+
+def max_spanning_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.spanning_tree(_edges(spark, sf_dir, "cooccurrence")[1])
+
+
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms of the tree with community and layout."""
+    forms, edges = _edges(spark, sf_dir, "cooccurrence")
+    tree = graph.spanning_tree(edges)
+    return forms.join(graph.communities(tree, forms), "form").join(graph.force_layout(tree, forms), "form")
+
+
+def community_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms, edges = _edges(spark, sf_dir, "cooccurrence")
+    return graph.community_forms(forms.join(graph.communities(graph.spanning_tree(edges), forms), "form"))
+
+
+def tree_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trees by co-occurrence and by Jaccard."""
+    trees = [graph.spanning_tree(_edges(spark, sf_dir, x)[1]) for x in ("cooccurrence", "jaccard")]
+    return graph.edge_agreement(*trees)
+
+
+# ---- distances, topics ----------------------------------------------------------------------
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labbe.group_table(_pairs(spark, sf_dir), _classes(spark, sf_dir, "source", "group"))
+
+
+def group_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _groups(spark, sf_dir)
+
+
+def labbe_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labbe.matrix(labbe.distances(_groups(spark, sf_dir)))
+
+
+def labbe_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labbe.extremes(labbe.distances(_groups(spark, sf_dir)))
+
+
+def labbe_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labbe.average_linkage(labbe.distances(_groups(spark, sf_dir)))
+
+
+def _topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    active = _active(spark, sf_dir)
+    return dtm.count_matrix(active, dtm.retained_forms(active, CLUSTER_OCCURRENCES))
+
+
+def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, vocabulary, _ = topics.fit(_topic_counts(spark, sf_dir), iterations=10)
+    return topics.top_terms(model, vocabulary)
+
+
+def lda_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, _, vectors = topics.fit(_topic_counts(spark, sf_dir), iterations=10)
+    return topics.dominant_topics(model, vectors)
+
+
+def ktune_combine(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: ARG001
+    table = spark.createDataFrame(list(inputs.TUNING), "k int, griffiths double, cao_juan double, arun double, deveaud double")
+    return topics.combine(table).withColumn("k", F.col("k").cast("long"))
+
+
+# ---- sequences ------------------------------------------------------------------------------
+
+
+def ngrams(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    return concordance.ngrams(_active(spark, sf_dir), n, top=None)
+
+
+def top_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concordance.ngrams(_active(spark, sf_dir), 2)
+
+
+def kwic(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    found = concordance.concordance(_docs(spark, sf_dir), "orre", _lexicon(spark), inputs.PREP, mode=mode)
+    return found.withColumn("position", F.col("position").cast("long"))
+
+
+def word_tree(spark: SparkSession, sf_dir: str, direction: str) -> DataFrame:
+    tree = concordance.word_tree(_docs(spark, sf_dir), "orre", _lexicon(spark), inputs.PREP, direction)
+    return tree.select(F.array_join("path", " ").alias("path"), F.col("depth").cast("long").alias("depth"), "n")
+
+
+def key_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concordance.key_phrases(_docs(spark, sf_dir), inactive_tokens(spark, sf_dir))
+
+
+# ---- sentiment ------------------------------------------------------------------------------
+
+
+def sentiment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    polarity = spark.createDataFrame(list(inputs.POLARITY), "lemma string, polarity int")
+    return sentiment.score(_docs(spark, sf_dir), _lexicon(spark), polarity, inputs.NEGATIONS, inputs.PREP, keep=("lang",))
+
+
+def sentiment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentiment.label_counts(sentiment_scores(spark, sf_dir))
+
+
+def sentiment_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentiment.mean_by(sentiment_scores(spark, sf_dir), "lang")
+
+
+def emotions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spark.createDataFrame(list(inputs.EMOTIONS), "form string, emotion string")
+    return sentiment.emotions(_docs(spark, sf_dir), words, inputs.CATEGORIES)
+
+
+def emotions_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentiment.mean_emotions(emotions(spark, sf_dir), inputs.CATEGORIES)
+
+
+def emotions_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = _docs(spark, sf_dir).select("doc_id", F.col("lang").alias("value"))
+    return sentiment.emotions_by(emotions(spark, sf_dir), values, inputs.CATEGORIES)
+
+
+# ---- saturation -----------------------------------------------------------------------------
+
+
+def _saturation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    groups = _classes(spark, sf_dir, "source", "group")
+    return _pairs(spark, sf_dir), groups, saturation.valid_groups(groups)
+
+
+def saturation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return saturation.vocabulary_curve(*_saturation(spark, sf_dir))
+
+
+def saturation_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return saturation.first_sustained(saturation_curve(spark, sf_dir), F.col("new_ratio") < saturation.THRESHOLDS["new_ratio"])
+
+
+def saturation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return saturation.coverage(*_saturation(spark, sf_dir), seeds=inputs.SEEDS["second"])
+
+
+# ---- exports, streaming ---------------------------------------------------------------------
+
+
+def starred_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    variables = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("uci_id"), "text", variables.alias("variables"))
+    return export.starred_text(docs)
+
+
+def segment_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.segment_texts(_segments(spark, sf_dir))
+
+
+def streaming_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts by a streaming query that has read all files of the table."""
+    found = streaming.form_counts(streaming.read_table(spark, sf_dir, "documents"))
+    name = f"lexmill_counts_{uuid.uuid4().hex}"
+    query = streaming.to_memory(found, name)
+    query.processAllAvailable()
+    query.stop()
+    return spark.table(name)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """All queries by name."""
+    plain = (
+        token_counts, sentence_counts, clean_artifacts, strip_markdown, strip_accents, normalise_blanks, speaker_filter,
+        synonym_closure, lemma_map, expressions_merge, segments, active_forms, inactive_tokens,
+        forms_freq, top_forms, dtm_pairs, dtm_row_sizes, count_matrix, diagnostics, advice, length_histogram,
+        signed_chi2_terms, typical_segments, partition_warnings, heatmap_props, part_table, specificities, adjusted_rand,
+        inertia_cut, chd_classes, chd_dendrogram, chd_terms, form_class_table, afc_inertia, afc_axes, afc_coords,
+        phi_bug_delta, max_spanning_tree, graph_nodes, community_forms, tree_agreement,
+        group_table, labbe_distance, labbe_extremes, labbe_clusters, lda_topics, lda_documents, ktune_combine,
+        top_bigrams, key_phrases, sentiment_scores, sentiment_labels, sentiment_by_lang, emotions, emotions_mean, emotions_by_lang,
+        saturation_curve, saturation_point, saturation_coverage, starred_text, segment_texts, streaming_counts,
+    )
+    found = {f.__name__: f for f in plain}
+    found |= {f"association_{x}": partial(association, index=x) for x in graph.INDICES}
+    found |= {"bigrams": partial(ngrams, n=2), "trigrams": partial(ngrams, n=3)}
+    found |= {f"kwic_{x}": partial(kwic, mode=x) for x in ("lemma", "exact")}
+    found |= {f"word_tree_{x}": partial(word_tree, direction=x) for x in ("right", "left")}
+    return found

@@ -15,6 +15,16 @@ def read_documents(spark: SparkSession, folder: str, schema: StructType, files_p
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
+def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A stream of the files of one Parquet table, be it a single file or a folder of files."""
+    known = spark.read.parquet(f"{folder}/{table}.parquet")
+    inside = any(f"{table}.parquet/" in path for path in known.inputFiles())
+    stream = spark.readStream.schema(known.schema)
+    if inside:
+        return stream.parquet(f"{folder}/{table}.parquet")
+    return stream.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+
+
 def form_counts(stream: DataFrame) -> DataFrame:
     """(form, n) of all documents so far."""
     return stream.select(F.explode(X.tokens(F.col("text"))).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
