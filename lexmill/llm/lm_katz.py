@@ -58,7 +58,7 @@ class Katz:
 
 def _planes(x: np.ndarray) -> bytes:
     """The bytes of an array, the same byte of all items together."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()
 
 
 def _unplanes(blob: bytes, dtype: type) -> np.ndarray:
