@@ -27,6 +27,7 @@ from pyspark.sql.window import Window
 
 from lexmill.errors import MatrixError
 from lexmill.operators.contingency import adjusted_rand, characteristic_terms
+from lexmill.workers import checkpointing
 
 MAX_GRAM_FORMS = 3000
 POWER_STEPS = 60
@@ -98,6 +99,7 @@ def first_axis(cells: DataFrame) -> DataFrame:
 
 def _power_axis(cells: DataFrame, sizes: DataFrame, mass: DataFrame) -> DataFrame:
     """(form, w) by power iteration: two sparse products and a deflation a step, nothing on the driver but a norm."""
+    checkpointing(cells.sparkSession)
     current = mass.select("form", "c", (F.pmod(F.xxhash64("form"), F.lit(2001)) - 1000).cast("double").alias("e"))
     for step in range(POWER_STEPS):
         rows = cells.join(current, "form").groupBy("uce_id").agg(F.avg(F.col("e") / F.sqrt("c")).alias("y"))

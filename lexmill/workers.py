@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -20,3 +21,14 @@ def importable(spark: SparkSession) -> None:
     path = environment.get("PYTHONPATH", "")
     if _ROOT not in path.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (path, _ROOT) if x)
+
+
+def checkpointing(spark: SparkSession) -> None:
+    """Make ``checkpoint()`` work: in the folder the session names, or for a local session in one of its own."""
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and context.master != "local" and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexmill-"))

@@ -29,7 +29,7 @@ def test_tokens(spark, text, tokens):
 
 
 def test_sentences_split_at_stops_and_line_ends(spark):
-    assert one(spark, "One. Two!? 3.5\r\nlast;  ...", X.sentences) == ["One.", "Two!", "3.", "5", "last;"]
+    assert one(spark, "One. Two!? 3.5\r\nlast;... ", X.sentences) == ["One.", "Two!", "3.", "5", "last;"]
 
 
 def test_turns_of_dropped_speakers_go(spark):
@@ -107,16 +107,21 @@ def test_cut_scores_equal_the_chi_square_of_every_cut(spark):
         assert got[k] == pytest.approx(brute_chi2(np.arange(15) < k, x), abs=1e-9)
 
 
-def test_first_axis_is_that_of_the_singular_value_decomposition(spark):
+@pytest.mark.parametrize("most_on_driver", [3000, 2])
+def test_first_axis_is_that_of_the_singular_value_decomposition(spark, monkeypatch, most_on_driver):
+    monkeypatch.setattr(chd, "MAX_GRAM_FORMS", most_on_driver)
+    monkeypatch.setattr(chd, "POWER_STEPS", 20)
     x = random_cells(12, 6, 5)
-    x[:, 0] = 1
+    x[:6, :3] |= 1
+    x[6:, 3:] |= 1
+    x[:5, 4:] = 0
     cells = spark.createDataFrame([(f"u{i:02d}", f"f{j}") for i, j in zip(*np.nonzero(x), strict=True)], "uce_id string, form string")
     got = np.array([r["axis"] for r in chd.first_axis(cells).orderBy("uce_id").collect()])
     p = x / x.sum()
     r, c = p.sum(1), p.sum(0)
     u, _, _ = np.linalg.svd((p - np.outer(r, c)) / np.sqrt(np.outer(r, c)))
     axis = u[:, 0] / np.sqrt(r)
-    assert abs(np.corrcoef(got, axis)[0, 1]) == pytest.approx(1, abs=1e-8)
+    assert abs(np.corrcoef(got, axis)[0, 1]) == pytest.approx(1, abs=1e-8 if most_on_driver > 6 else 1e-3)
 
 
 def test_relocation_raises_chi_square_and_keeps_sizes():
@@ -290,3 +295,21 @@ def test_exports(spark):
     edges = spark.createDataFrame([("a", "b&", 1.0)], "form_i string, form_j string, weight double")
     assert 'label="b&amp;"' in export.gexf(nodes, edges)
     assert "<h2>pairs</h2>" in export.report({"pairs": pairs, "none": None}, "t")
+
+
+def test_command_line(spark, tmp_path):
+    from lexmill.__main__ import main
+
+    rng = random.Random(3)
+    for g in "abc":
+        words = [f"{g}{i}" for i in range(12)] + ["common", "shared"]
+        (tmp_path / f"{g}.txt").write_text(" ".join(" ".join(rng.choice(words).translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(12)) + "." for _ in range(30)))
+    out = str(tmp_path / "out")
+    main(["prepare", str(tmp_path), out, "--uce-size", "24"], spark)
+    main(["chd", out], spark)
+    main(["simi", out, "--top", "10"], spark)
+    main(["kwic", out, "--query", "common"], spark)
+    assert spark.read.parquet(f"{out}/chd_classes").count() == spark.read.parquet(f"{out}/dtm").select("uce_id").distinct().count()
+    assert 0 < spark.read.parquet(f"{out}/kwic").count() <= 40
+    main(["report", out], spark)
+    assert "characteristic_terms" in spark.read.parquet(f"{out}/report").first()["value"]
