@@ -36,7 +36,23 @@ def universal_signer(coordinates: int, seed: int = 11) -> near.Signer:
     return sign
 
 
-def near_pairs(spark: SparkSession, docs: DataFrame, banding: near.Banding = PRODUCTION) -> DataFrame:
+def _joined_pairs(members: DataFrame, wanted: DataFrame, sets: DataFrame, banding: near.Banding) -> DataFrame:
+    """(doc_id, other_id, jaccard) by joining the buckets with themselves, and the pairs with both sets."""
+    side = members.join(wanted.select("node", "doc_id"), "node")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
+    left = side.select("bucket", F.col("node").alias("a"), order.alias("oa"))
+    right = side.select("bucket", F.col("node").alias("b"), order.alias("ob"))
+    pairs = left.join(right, "bucket").where("oa > ob").select("a", "b").distinct()
+    name = wanted.select("node", "doc_id")
+    return (
+        near.verify(pairs, sets, banding.threshold)
+        .join(name.withColumnsRenamed({"node": "a"}), "a")
+        .join(name.withColumnsRenamed({"node": "b", "doc_id": "other_id"}), "b")
+        .select("doc_id", "other_id", "jaccard")
+    )
+
+
+def near_pairs(spark: SparkSession, docs: DataFrame, banding: near.Banding = PRODUCTION, most_blocks: int = near.MOST_BLOCKS) -> DataFrame:
     """(doc_id, other_id, jaccard) of near-duplicate documents.
 
     Every distinct shingle set is represented by its least ``doc_id`` (nulls
@@ -51,20 +67,16 @@ def near_pairs(spark: SparkSession, docs: DataFrame, banding: near.Banding = PRO
     feats = ws.table(near.features(docs, banding, lambda: universal_signer(banding.coordinates)), "features")
     reps = near.representatives(feats)
     members = ws.table(near.bucket_members(reps), "members")
-    wanted = reps.select("node", "doc_id", "digest").join(members.select("node").distinct(), "node", "left_semi")
-    wanted = ws.table(wanted, "wanted")
-    sets = ws.table(near.node_sets(docs, near.within_broadcast(wanted), banding.shingle_words), "sets")
-    side = members.join(wanted.select("node", "doc_id"), "node")
-    left = side.select("bucket", F.col("node").alias("a"), F.struct(F.col("doc_id").isNull(), "doc_id", "node").alias("oa"))
-    right = side.select("bucket", F.col("node").alias("b"), F.struct(F.col("doc_id").isNull(), "doc_id", "node").alias("ob"))
-    pairs = left.join(right, "bucket").where("oa > ob").select("a", "b").distinct()
-    verified = near.verify(pairs, sets, banding.threshold)
-    name = reps.select("node", "doc_id")
-    found = (
-        verified.join(name.withColumnsRenamed({"node": "a"}), "a")
-        .join(name.withColumnsRenamed({"node": "b", "doc_id": "other_id"}), "b")
-        .select("doc_id", "other_id", "jaccard")
-    )
+    wanted = ws.table(reps.join(members.select("node").distinct(), "node", "left_semi"), "wanted")
+    keys = wanted.select("node", "doc_id", "digest")
+    sets = ws.table(near.node_sets(docs, near.within_broadcast(keys), banding.shingle_words), "sets")
+    stars = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    labels = ws.table(near.components(ws, stars, "candidates"), "candidates-labelled")
+    nodes = wanted.select("node", "doc_id", "bands").join(sets, "node")
+    found, giant = near.verify_blocks(nodes, labels, banding.threshold, most_blocks=most_blocks)
+    giant = ws.table(giant, "giant")
+    if not giant.isEmpty():
+        found = found.unionByName(_joined_pairs(members.join(giant.select("node"), "node", "left_semi"), wanted, sets, banding))
     first = reps.select("node", F.col("doc_id").alias("other_id"), F.col("digest").alias("first_digest"))
     numbered = feats.groupBy("node", "doc_id", "digest").agg(F.count("*").alias("n")).join(first, "node")
     itself = F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("digest") == F.col("first_digest"))

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from lexmill.llm.common import Workspace, packed, unpacked
@@ -203,6 +204,65 @@ def verify(edges: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary, jaccard double").distinct()
 
 
+#: Nodes of one task of :func:`verify_blocks`, and the largest candidate component it takes.
+BLOCK_NODES, MOST_BLOCKS = 512, 256
+
+
+def _compare_blocks(threshold: float, id_type: pa.DataType) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["doc_id"] is None, r["doc_id"] if r["doc_id"] is not None else 0, r["node"]))
+        across = rows[0]["i"] != rows[0]["j"]
+        block = np.array([r["own"] for r in rows])
+        bands = np.array([r["bands"] for r in rows], dtype=np.int64)
+        sets = [_set_of(r["shingles"]) for r in rows]
+        later, earlier, scores = [], [], []
+        for x in range(1, len(rows)):
+            meets = (bands[:x] == bands[x]).any(axis=1)
+            if across:
+                meets &= block[:x] != block[x]
+            for y in np.flatnonzero(meets):
+                score = jaccard(sets[x], sets[y])
+                if score >= threshold:
+                    later.append(rows[x]["doc_id"])
+                    earlier.append(rows[y]["doc_id"])
+                    scores.append(score)
+        return pa.table({"doc_id": pa.array(later, type=id_type), "other_id": pa.array(earlier, type=id_type), "jaccard": pa.array(scores, type=pa.float64())})
+
+    return run
+
+
+def verify_blocks(nodes: DataFrame, labels: DataFrame, threshold: float, block_nodes: int = BLOCK_NODES, most_blocks: int = MOST_BLOCKS) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, other_id, jaccard) of all candidate pairs that hold, the nodes left out).
+
+    ``nodes`` (node, doc_id, bands, shingles), ``labels`` (node, label): written
+    tables; the label joins nodes that share buckets.  A set travels once to the
+    task of its component, however many pairs it is in: small components share
+    tasks, a component of several blocks has a task for each two blocks, and
+    pairs are found by comparing band keys there.  Components beyond
+    ``most_blocks`` blocks, which would be copied too often, are returned as
+    (node, label) for a join of pairs.
+    """
+    n_small = max(1, labels.count() // block_nodes)
+    by_label = Window.partitionBy("label")
+    placed = labels.withColumn("m", F.count("*").over(by_label)).withColumn("k", F.row_number().over(by_label.orderBy("node")) - 1)
+    n_blocks = F.ceil(F.col("m") / F.lit(block_nodes)).cast("int")
+    placed = placed.withColumn("n", n_blocks).withColumn("own", F.floor(F.col("k") / F.lit(block_nodes)).cast("int"))
+    giant = placed.where(F.col("n") > most_blocks).select("node", "label")
+    shared = F.pmod(F.xxhash64("label"), F.lit(n_small))
+    small = placed.where("n = 1").select("node", shared.alias("task"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"))
+    large = placed.where((F.col("n") > 1) & (F.col("n") <= most_blocks)).select("node", F.xxhash64("label").alias("task"), "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    large = large.select("node", "task", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    ids = nodes.schema["doc_id"].dataType
+    out = T.StructType([T.StructField("doc_id", ids), T.StructField("other_id", ids), T.StructField("jaccard", T.DoubleType())])
+    run = _compare_blocks(threshold, to_arrow_type(ids))
+    found = None
+    for part in (small, large):
+        rows = part.join(nodes.select("node", "doc_id", "bands", "shingles"), "node")
+        pairs = rows.groupBy("task", "i", "j").applyInArrow(run, out)
+        found = pairs if found is None else found.unionByName(pairs)
+    return found, giant
+
+
 def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
     """(node, label) of all nodes of ``edges`` (a, b); label is the least node joined to it.
 
