@@ -238,7 +238,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, w: Winnowing = Winnowing()
     joined = pairs.join(early, "early_uid").join(late, "uid").select("uid", "shift", "late", "early", "words")
     runs = joined.mapInArrow(_extend(w), "uid long, start int, stop int").distinct()
     marked = ws.table(runs.groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("runs")), "runs")
-    n_bytes = marked.agg(F.sum(16 + 8 * F.size("runs"))).first()[0] or 0
+    n_bytes = marked.agg(F.sum(96 + 40 * F.size("runs"))).first()[0] or 0  # rows and their places in the broadcast table
     small = F.broadcast if n_bytes <= w.broadcast_bytes else (lambda x: x)
     out = T.StructType([T.StructField("doc_id", ids), T.StructField("text", T.StringType()), *T._parse_datatype_string(f"removed {_REMOVED}").fields])
     texts = lines.select("uid", "doc_id", "text")

@@ -142,7 +142,7 @@ def bucket_members(reps: DataFrame) -> DataFrame:
 
 #: Keys of documents are sent to all executors up to this size; beyond, texts are shuffled by key.
 BROADCAST_BYTES = 64 << 20
-_KEY_BYTES = 64
+_KEY_BYTES = 224  # of a row in the broadcast table, as measured
 
 
 def within_broadcast(keys: DataFrame) -> DataFrame:
