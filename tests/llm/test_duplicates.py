@@ -128,3 +128,10 @@ def test_an_outside_history_removes_its_texts(spark):
     docs = spark.createDataFrame([(5, "old"), (6, "new"), (7, "new"), (8, None)], "doc_id long, text string")
     history = spark.createDataFrame([(1, "old"), (2, "other")], "doc_id long, text string")
     assert sorted((r["doc_id"] for r in exact_mph.exact_dedup(spark, docs, history).collect())) == [6, 8]
+
+
+def test_beyond_the_broadcast_bound_the_rows_are_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    wanted = sorted(map(tuple, near_circulant.near_dedup(spark, docs).collect()), key=repr)
+    monkeypatch.setattr(near, "BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, near_circulant.near_dedup(spark, docs).collect()), key=repr) == wanted

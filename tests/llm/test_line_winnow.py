@@ -62,3 +62,9 @@ def test_a_run_repeated_inside_one_document(spark):
     text = f"{passage}\n{other}\n{passage}"
     got = line_winnow.dedup_lines(spark, spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert got["text"] == f"{passage}\n{other}"
+
+
+def test_beyond_the_broadcast_bound_the_rows_are_the_same(spark):
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    rows = [sorted(map(tuple, line_winnow.dedup_lines(spark, docs, w).collect()), key=repr) for w in (line_winnow.Winnowing(), line_winnow.Winnowing(broadcast_bytes=-1))]
+    assert rows[0] == rows[1]
