@@ -31,6 +31,8 @@ from lexmill.workers import checkpointing
 
 MAX_GRAM_FORMS = 3000
 POWER_STEPS = 60
+#: Rows of one task that ranks or sums in order, and the most such tasks.
+RANGE_ROWS, MAX_RANGES = 1_000_000, 256
 
 
 @dataclass(frozen=True)
@@ -113,16 +115,37 @@ def _power_axis(cells: DataFrame, sizes: DataFrame, mass: DataFrame) -> DataFram
     return current.select("form", (F.col("e") / F.sqrt("c")).alias("w"))
 
 
+def positions(rows: DataFrame, key: str, tie: str) -> DataFrame:
+    """``rows`` with ``pos``, from 1 in the order of a numeric key and then of the tie.
+
+    Ranges of the key are ranked apart, each in a task, and shifted by the sizes
+    of those before; approximate quantiles only balance the ranges, so the
+    result doesn't depend on their accuracy.
+    """
+    n = rows.count()
+    ranges = min(MAX_RANGES, -(-n // RANGE_ROWS))
+    if ranges <= 1:
+        return rows.withColumn("pos", F.row_number().over(Window.orderBy(key, tie)).cast("long"))
+    edges = sorted(set(rows.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.001)))
+    placed = rows.withColumn("range", F.size(F.filter(F.array(*[F.lit(float(x)) for x in edges]), lambda x: x < F.col(key))))
+    before = placed.groupBy("range").agg(F.count("*").alias("n"))
+    before = before.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
+    inner = F.row_number().over(Window.partitionBy("range").orderBy(key, tie))
+    ranked = placed.withColumn("inner", inner).join(F.broadcast(before), "range")
+    return ranked.withColumn("pos", (F.col("inner") + F.col("shift")).cast("long")).drop("range", "inner", "shift")
+
+
 def order_rows(units: DataFrame, axis: DataFrame) -> DataFrame:
-    """(uce_id, row_idx, pos): segments by axis, then by row; those without a form are at 0."""
-    placed = units.join(axis, "uce_id", "left").withColumn("axis", F.round(F.coalesce("axis", F.lit(0.0)), 9))
-    return placed.withColumn("pos", F.row_number().over(Window.orderBy("axis", "row_idx"))).select("uce_id", "row_idx", "pos")
+    """(uce_id, pos): segments by axis, then by name; those without a form are at 0."""
+    placed = units.select("uce_id").join(axis, "uce_id", "left").withColumn("axis", F.round(F.coalesce("axis", F.lit(0.0)), 9))
+    return positions(placed, "axis", "uce_id").select("uce_id", "pos")
 
 
 def cut_scores(ordered: DataFrame, cells: DataFrame) -> DataFrame:
     """(pos, chi2): chi-square of cutting after each position but the last.
 
-    ``ordered`` has (uce_id, pos), ``cells`` (uce_id, form).
+    ``ordered`` has (uce_id, pos), ``cells`` (uce_id, form).  Running sums are
+    taken within ranges of positions and shifted by the sums of those before.
     """
     placed = cells.join(ordered.select("uce_id", "pos"), "uce_id")
     met = placed.withColumn("m", F.row_number().over(Window.partitionBy("form").orderBy("pos"))).withColumn(
@@ -130,10 +153,19 @@ def cut_scores(ordered: DataFrame, cells: DataFrame) -> DataFrame:
     )
     steps = met.groupBy("pos").agg(F.sum((2 * F.col("m") - 1) / F.col("col")).alias("dq"), F.count("*").alias("ds"))
     rows = ordered.select("pos").join(steps, "pos", "left").na.fill(0, ["dq", "ds"])
-    upto = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    run = rows.withColumn("q", F.sum("dq").over(upto)).withColumn("s", F.sum("ds").over(upto).cast("double"))
-    whole = Window.partitionBy()
-    run = run.withColumn("n", F.max("s").over(whole)).withColumn("last", F.max("pos").over(whole)).where("pos < last")
+    rows = rows.withColumn("range", F.floor((F.col("pos") - 1) / F.lit(RANGE_ROWS)))
+    sums = rows.groupBy("range").agg(F.sum("dq").alias("q0"), F.sum("ds").alias("s0"), F.max("pos").alias("p0"))
+    before, whole = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    shifts = sums.select(
+        "range",
+        F.coalesce(F.sum("q0").over(before), F.lit(0.0)).alias("q1"),
+        F.coalesce(F.sum("s0").over(before), F.lit(0)).alias("s1"),
+        F.sum("s0").over(whole).cast("double").alias("n"),
+        F.max("p0").over(whole).alias("last"),
+    )
+    upto = Window.partitionBy("range").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.withColumn("q2", F.sum("dq").over(upto)).withColumn("s2", F.sum("ds").over(upto)).join(F.broadcast(shifts), "range")
+    run = run.withColumn("q", F.col("q1") + F.col("q2")).withColumn("s", (F.col("s1") + F.col("s2")).cast("double")).where("pos < last")
     inside = (F.col("s") > 0) & (F.col("s") < F.col("n"))
     chi2 = F.when(inside, F.col("n") * F.col("n") / (F.col("s") * (F.col("n") - F.col("s"))) * (F.col("q") - F.col("s") * F.col("s") / F.col("n")))
     return run.select("pos", F.coalesce(chi2, F.lit(0.0)).alias("chi2"))
@@ -198,17 +230,17 @@ def relocate_rows(side: np.ndarray, rows: list[np.ndarray], n_forms: int, min_si
 
 
 def _relocated(units: DataFrame, cells: DataFrame, d: Division) -> DataFrame:
-    """(uce_id, row_idx, left) after relocation; one task holds the class's sparse rows."""
+    """(uce_id, left) after relocation; one task holds the class's sparse rows."""
     rows = units.join(cells.groupBy("uce_id").agg(F.collect_list("form").alias("fs")), "uce_id", "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_idx")
+        pdf = pdf.sort_values("uce_id")
         names: dict[str, int] = {}
         lists = [np.array(sorted({names.setdefault(x, len(names)) for x in (fs if fs is not None else [])}), dtype=int) for fs in pdf["fs"]]
         side = relocate_rows(pdf["left"].to_numpy(dtype=bool), lists, len(names), d.min_class_size, d.max_passes)
-        return pd.DataFrame({"uce_id": pdf["uce_id"], "row_idx": pdf["row_idx"], "left": side})
+        return pd.DataFrame({"uce_id": pdf["uce_id"], "left": side})
 
-    return rows.withColumn("task", F.lit(1)).groupBy("task").applyInPandas(run, "uce_id string, row_idx long, left boolean")
+    return rows.withColumn("task", F.lit(1)).groupBy("task").applyInPandas(run, "uce_id string, left boolean")
 
 
 @dataclass
@@ -227,7 +259,7 @@ def classify(pairs: DataFrame, d: Division = Division()) -> Classes:  # noqa: B0
     """
     spark = pairs.sparkSession
     pairs = pairs.select(F.col("uce_id").cast("string").alias("uce_id"), "form").distinct().cache()
-    units = pairs.select("uce_id").distinct().withColumn("row_idx", F.row_number().over(Window.orderBy("uce_id")).cast("long")).cache()
+    units = pairs.select("uce_id").distinct().cache()
     live: dict[int, DataFrame] = {0: units}
     sizes = {0: units.count()}
     if sizes[0] < 4:
@@ -244,7 +276,7 @@ def classify(pairs: DataFrame, d: Division = Division()) -> Classes:  # noqa: B0
         cells = filter_columns(pairs.join(rows.select("uce_id"), "uce_id", "left_semi"), d.min_column).cache()
         ordered = order_rows(rows, first_axis(cells)).cache()
         position, chi2 = best_cut(ordered, cells, d.min_class_size)
-        halves = ordered.select("uce_id", "row_idx", (F.col("pos") <= position).alias("left"))
+        halves = ordered.select("uce_id", (F.col("pos") <= position).alias("left"))
         if d.relocate:
             halves = _relocated(halves, cells, d)
         halves = halves.cache()
@@ -256,7 +288,7 @@ def classify(pairs: DataFrame, d: Division = Division()) -> Classes:  # noqa: B0
         del live[node]
         a, b = len(tree), len(tree) + 1
         for k, is_left in ((a, True), (b, False)):
-            live[k] = halves.where(F.col("left") == is_left).select("uce_id", "row_idx")
+            live[k] = halves.where(F.col("left") == is_left).select("uce_id")
             sizes[k] = found[is_left]
             tree[k] = {"parent": node, "left": None, "right": None, "chi2": None, "size": found[is_left], "split_order": None}
         tree[node] |= {"left": a, "right": b, "chi2": float(chi2), "split_order": n_splits}
@@ -318,4 +350,4 @@ def stability(pairs: DataFrame, reference: DataFrame, d: Division = Division(),
     return means.withColumn("stability", F.col("within") - F.col("between"))
 
 
-__all__ = ["Classes", "Division", "adjusted_rand", "best_cut", "bipartition_chi2", "classify", "cut_scores", "dendrogram", "filter_columns", "first_axis", "order_rows", "relocate_rows", "stability"]
+__all__ = ["Classes", "Division", "adjusted_rand", "best_cut", "bipartition_chi2", "classify", "cut_scores", "dendrogram", "filter_columns", "first_axis", "order_rows", "positions", "relocate_rows", "stability"]

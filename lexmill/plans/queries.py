@@ -202,8 +202,7 @@ def adjusted_rand(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inertia_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chi-square of cutting the segments, ordered by length and name, after each position."""
     units = _segments(spark, sf_dir).select("uce_id", F.size("tokens").alias("k"))
-    ordered = units.select("uce_id", F.row_number().over(chd.Window.orderBy("k", "uce_id")).cast("long").alias("pos"))
-    return chd.cut_scores(ordered, _pairs(spark, sf_dir)).select("pos", F.round("chi2", 4).alias("chi2"))
+    return chd.cut_scores(chd.positions(units, "k", "uce_id"), _pairs(spark, sf_dir)).select("pos", F.round("chi2", 4).alias("chi2"))
 
 
 def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:

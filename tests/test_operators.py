@@ -98,7 +98,9 @@ def brute_chi2(side, x):
     return total
 
 
-def test_cut_scores_equal_the_chi_square_of_every_cut(spark):
+@pytest.mark.parametrize("range_rows", [1_000_000, 4])
+def test_cut_scores_equal_the_chi_square_of_every_cut(spark, monkeypatch, range_rows):
+    monkeypatch.setattr(chd, "RANGE_ROWS", range_rows)
     x = random_cells(15, 7, 3)
     cells = spark.createDataFrame([(f"u{i:02d}", f"f{j}") for i, j in zip(*np.nonzero(x), strict=True)], "uce_id string, form string")
     ordered = spark.createDataFrame([(f"u{i:02d}", i + 1) for i in range(15)], "uce_id string, pos int")
@@ -139,6 +141,14 @@ def test_relocation_raises_chi_square_and_keeps_sizes():
             assert brute_chi2(other, x) <= brute_chi2(moved, x) + 1e-6
 
 
+def test_positions_are_ranks_whatever_the_ranges(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(f"u{i:03d}", float(rng.randint(0, 9))) for i in range(200)]
+    monkeypatch.setattr(chd, "RANGE_ROWS", 15)
+    got = {r["u"]: r["pos"] for r in chd.positions(spark.createDataFrame(rows, "u string, x double"), "x", "u").collect()}
+    assert got == {u: k for k, (u, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])), start=1)}
+
+
 def test_two_blocks_are_found(spark):
     found = chd.classify(blocks(spark), chd.Division(n_classes=2))
     classes = {r["uce_id"]: r["class"] for r in found.assign.collect()}
