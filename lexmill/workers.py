@@ -11,6 +11,11 @@ from pyspark.sql import SparkSession
 _ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: Large arrays go back to the system when they are freed, else a worker that
+#: is used again keeps the most that any of its tasks needed.
+_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def importable(spark: SparkSession) -> None:
     """Put the package's folder on the workers' path.
 
@@ -21,6 +26,8 @@ def importable(spark: SparkSession) -> None:
     path = environment.get("PYTHONPATH", "")
     if _ROOT not in path.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (path, _ROOT) if x)
+    for name, value in _MEMORY.items():
+        environment.setdefault(name, value)
 
 
 def checkpointing(spark: SparkSession) -> None:
