@@ -44,6 +44,14 @@ class Training:
     threshold: float = 0.5
 
 
+@dataclass
+class Folded:
+    """Score of every feature for class 1 against class 0, and the score without a feature."""
+
+    weights: np.ndarray
+    prior: float
+
+
 @dataclass
 class Model:
     """Input vectors (words, byte n-grams, word bigrams), output layer and bias; class 1 is good."""
@@ -52,12 +60,9 @@ class Model:
     layer: np.ndarray
     bias: np.ndarray
 
-    def folded(self) -> np.ndarray:
-        """Score of every feature for class 1 against class 0."""
-        return (self.vectors @ (self.layer[:, 1] - self.layer[:, 0])).astype(np.float32)
-
-    def prior(self) -> float:
-        return float(self.bias[1] - self.bias[0])
+    def folded(self) -> Folded:
+        """What scoring needs: one number a feature, and the prior."""
+        return Folded((self.vectors @ (self.layer[:, 1] - self.layer[:, 0])).astype(np.float32), float(self.bias[1] - self.bias[0]))
 
 
 def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,8 +184,8 @@ def _sample(docs: DataFrame, labels: DataFrame, t: Training) -> DataFrame:
     return once.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, t: Training = Training()) -> Model:  # noqa: B008
-    """Fit on at most ``sample_rows`` labelled documents, in one task.
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, t: Training = Training()) -> Folded:  # noqa: B008
+    """Fit on at most ``sample_rows`` labelled documents, in one task; only the folded model leaves it.
 
     Without labels, or with labels of one class, the model is the prior alone.
     """
@@ -194,21 +199,20 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, t: Training =
             rows += zip(batch.column("doc_id").to_pylist(), batch.column("quality").to_pylist(), found, strict=True)
         rows.sort(key=lambda r: r[0])
         model = fit([r[2] for r in rows], np.array([int(r[1] > 0) for r in rows], dtype=np.int64), t)
-        parts = [x.astype(np.float32).tobytes() for x in (model.vectors, model.layer, model.bias)]
-        yield pa.RecordBatch.from_pydict({k: pa.array([v], type=pa.binary()) for k, v in zip(("vectors", "layer", "bias"), parts, strict=True)})
+        found = model.folded()
+        yield pa.RecordBatch.from_pydict({"weights": pa.array([found.weights.tobytes()], type=pa.binary()), "prior": pa.array([found.prior])})
 
     sample = _sample(docs, labels, t).select("doc_id", "quality", "text")
-    fitted = ws.table(sample.coalesce(1).mapInArrow(run, "vectors binary, layer binary, bias binary"), "model").first()
+    fitted = ws.table(sample.coalesce(1).mapInArrow(run, "weights binary, prior double"), "model").first()
     if fitted is None:
-        return fit([], np.zeros(0, dtype=np.int64), t)
-    vectors, layer, bias = (np.frombuffer(x, dtype=np.float32) for x in fitted)
-    return Model(vectors.reshape(-1, t.dimensions), layer.reshape(t.dimensions, 2), bias)
+        return fit([], np.zeros(0, dtype=np.int64), t).folded()
+    return Folded(np.frombuffer(fitted["weights"], dtype=np.float32), fitted["prior"])
 
 
-def _scored(docs: DataFrame, model: Model, t: Training) -> DataFrame:
+def _scored(docs: DataFrame, model: Folded, t: Training) -> DataFrame:
     """(row, p_good) with all columns of ``docs`` in row."""
-    folded = docs.sparkSession.sparkContext.broadcast(model.folded())  # one number a bucket, whatever the input
-    prior = model.prior()
+    folded = docs.sparkSession.sparkContext.broadcast(model.weights)  # one number a bucket, whatever the input
+    prior = model.prior
     rows = packed(docs, F.col("text").alias("t"))
     schema = T.StructType([rows.schema["row"], T.StructField("p_good", T.DoubleType())])
 
