@@ -3,7 +3,8 @@
 Coordinate k of a fingerprint is the least of ``(a_k * x + b_k) mod 2**64 >> 32``
 over the 32-bit shingles x, a 2-universal family; all coordinates of a document
 come from one numpy product.  Band keys are joined in Spark into candidate
-pairs of distinct shingle sets, and exact Jaccard verifies them.
+pairs of distinct shingle sets, exact Jaccard verifies them, and the documents
+of both sets make the pairs returned.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexmill.llm import near
 from lexmill.llm.common import Workspace, need
@@ -37,34 +39,55 @@ def universal_signer(coordinates: int, seed: int = 11) -> near.Signer:
 
 
 def _joined_pairs(members: DataFrame, wanted: DataFrame, sets: DataFrame, banding: near.Banding) -> DataFrame:
-    """(doc_id, other_id, jaccard) by joining the buckets with themselves, and the pairs with both sets."""
+    """(a, b, jaccard) by joining the buckets with themselves, and the pairs with both sets."""
     side = members.join(wanted.select("node", "doc_id"), "node")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
     left = side.select("bucket", F.col("node").alias("a"), order.alias("oa"))
     right = side.select("bucket", F.col("node").alias("b"), order.alias("ob"))
     pairs = left.join(right, "bucket").where("oa > ob").select("a", "b").distinct()
-    name = wanted.select("node", "doc_id")
-    return (
-        near.verify(pairs, sets, banding.threshold)
-        .join(name.withColumnsRenamed({"node": "a"}), "a")
-        .join(name.withColumnsRenamed({"node": "b", "doc_id": "other_id"}), "b")
-        .select("doc_id", "other_id", "jaccard")
-    )
+    return near.verify(pairs, sets, banding.threshold)
+
+
+#: Documents of one set that travel in one row while pairs of sets become pairs of documents.
+HOLDER_ROWS = 256
+
+
+def _document_pairs(feats: DataFrame, found: DataFrame, holder_rows: int = HOLDER_ROWS) -> DataFrame:
+    """(doc_id, other_id, jaccard): every pair of documents of two found sets (a, b, jaccard), or of one set.
+
+    ``feats`` (node, doc_id, uid) is a written table.  Lists of documents are
+    paired first and then spread over all tasks, so that sets of many copies
+    don't fill one.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid")
+    number = F.row_number().over(Window.partitionBy("node").orderBy("uid")) - 1
+    held = feats.select("node", order.alias("o")).select("node", "o", F.col("o.uid").alias("uid"))
+    held = held.select("node", "o", F.floor(number / F.lit(holder_rows)).alias("k")).groupBy("node", "k").agg(F.collect_list("o").alias("os"))
+    left, right = (held.select(F.col("node").alias(x), F.col("k").alias(f"k{x}"), F.col("os").alias(f"o{x}")) for x in "ab")
+    near_lists = found.join(left, "a").join(right, "b").select("a", "b", "ka", "kb", "oa", "ob", "jaccard")
+    several = (F.col("ka") > F.col("kb")) | ((F.col("ka") == F.col("kb")) & (F.size("oa") > 1))
+    copy_lists = left.join(right, F.col("a") == F.col("b")).where(several).select("a", "b", "ka", "kb", "oa", "ob", F.lit(1.0).alias("jaccard"))
+    lists = near_lists.unionByName(copy_lists).repartition("a", "b", "ka", "kb")
+    pairs = lists.withColumn("x", F.explode("oa")).withColumn("y", F.explode("ob"))
+    pairs = pairs.where("a <> b or ka <> kb or x > y")
+    return pairs.select(F.greatest("x", "y")["doc_id"].alias("doc_id"), F.least("x", "y")["doc_id"].alias("other_id"), "jaccard")
 
 
 def near_pairs(spark: SparkSession, docs: DataFrame, banding: near.Banding = PRODUCTION, most_blocks: int = near.MOST_BLOCKS) -> DataFrame:
     """(doc_id, other_id, jaccard) of near-duplicate documents.
 
-    Every distinct shingle set is represented by its least ``doc_id`` (nulls
-    last).  All pairs of representatives that share a band and whose Jaccard
-    reaches the threshold are returned, the later id first; every further
-    document of a set is returned once, beside its representative, with 1.0.
-    Documents without a word are in no pair; rows that repeat id and text pair
-    with themselves.  ``docs`` needs doc_id and text, other columns are ignored.
+    Distinct shingle sets that share a band and whose Jaccard reaches the
+    threshold are found first; then every pair of documents of two such sets, and
+    every pair of documents of one set with 1.0, is returned once, the later id
+    (nulls last) first.  Documents without a word are in no pair; rows that
+    repeat id and text pair with each other.  ``docs`` needs doc_id and text,
+    other columns are ignored.
     """
     need(docs, "doc_id", "text")
     ws = Workspace(spark, "fingerprints")
-    feats = ws.table(near.features(docs, banding, lambda: universal_signer(banding.coordinates)), "features")
+    # the number of a row is fixed when the table is written, and only then
+    numbered = near.features(docs, banding, lambda: universal_signer(banding.coordinates)).withColumn("uid", F.monotonically_increasing_id())
+    feats = ws.table(numbered, "features")
     reps = near.representatives(feats)
     members = ws.table(near.bucket_members(reps), "members")
     wanted = ws.table(reps.join(members.select("node").distinct(), "node", "left_semi"), "wanted")
@@ -77,9 +100,4 @@ def near_pairs(spark: SparkSession, docs: DataFrame, banding: near.Banding = PRO
     giant = ws.table(giant, "giant")
     if not giant.isEmpty():
         found = found.unionByName(_joined_pairs(members.join(giant.select("node"), "node", "left_semi"), wanted, sets, banding))
-    first = reps.select("node", F.col("doc_id").alias("other_id"), F.col("digest").alias("first_digest"))
-    numbered = feats.groupBy("node", "doc_id", "digest").agg(F.count("*").alias("n")).join(first, "node")
-    itself = F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("digest") == F.col("first_digest"))
-    times = F.col("n") - F.when(itself, 1).otherwise(0)
-    copies = numbered.where(times > 0).select(F.explode(F.array_repeat(F.lit(1.0), times.cast("int"))).alias("jaccard"), "doc_id", "other_id")
-    return found.unionByName(copies)
+    return _document_pairs(feats, found)

@@ -24,7 +24,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from lexmill.llm.common import Workspace, packed, unpacked
@@ -208,7 +207,7 @@ def verify(edges: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 BLOCK_NODES, MOST_BLOCKS = 512, 256
 
 
-def _compare_blocks(threshold: float, id_type: pa.DataType) -> Callable[[pa.Table], pa.Table]:
+def _compare_blocks(threshold: float) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: (r["doc_id"] is None, r["doc_id"] if r["doc_id"] is not None else 0, r["node"]))
         across = rows[0]["i"] != rows[0]["j"]
@@ -223,16 +222,16 @@ def _compare_blocks(threshold: float, id_type: pa.DataType) -> Callable[[pa.Tabl
             for y in np.flatnonzero(meets):
                 score = jaccard(sets[x], sets[y])
                 if score >= threshold:
-                    later.append(rows[x]["doc_id"])
-                    earlier.append(rows[y]["doc_id"])
+                    later.append(rows[x]["node"])
+                    earlier.append(rows[y]["node"])
                     scores.append(score)
-        return pa.table({"doc_id": pa.array(later, type=id_type), "other_id": pa.array(earlier, type=id_type), "jaccard": pa.array(scores, type=pa.float64())})
+        return pa.table({"a": _binary(later), "b": _binary(earlier), "jaccard": pa.array(scores, type=pa.float64())})
 
     return run
 
 
 def verify_blocks(nodes: DataFrame, labels: DataFrame, threshold: float, block_nodes: int = BLOCK_NODES, most_blocks: int = MOST_BLOCKS) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, other_id, jaccard) of all candidate pairs that hold, the nodes left out).
+    """((a, b, jaccard) of all candidate pairs of nodes that hold, the nodes left out).
 
     ``nodes`` (node, doc_id, bands, shingles), ``labels`` (node, label): written
     tables; the label joins nodes that share buckets.  A set travels once to the
@@ -252,13 +251,11 @@ def verify_blocks(nodes: DataFrame, labels: DataFrame, threshold: float, block_n
     small = placed.where("n = 1").select("node", shared.alias("task"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"))
     large = placed.where((F.col("n") > 1) & (F.col("n") <= most_blocks)).select("node", F.xxhash64("label").alias("task"), "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
     large = large.select("node", "task", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    ids = nodes.schema["doc_id"].dataType
-    out = T.StructType([T.StructField("doc_id", ids), T.StructField("other_id", ids), T.StructField("jaccard", T.DoubleType())])
-    run = _compare_blocks(threshold, to_arrow_type(ids))
+    run = _compare_blocks(threshold)
     found = None
     for part in (small, large):
         rows = part.join(nodes.select("node", "doc_id", "bands", "shingles"), "node")
-        pairs = rows.groupBy("task", "i", "j").applyInArrow(run, out)
+        pairs = rows.groupBy("task", "i", "j").applyInArrow(run, "a binary, b binary, jaccard double")
         found = pairs if found is None else found.unionByName(pairs)
     return found, giant
 

@@ -64,6 +64,27 @@ def test_fingerprint_pairs_are_those_of_all_pairs(spark, monkeypatch, block_node
         assert jaccard == pytest.approx(similarity(shingles(texts[a]), shingles(texts[b])), abs=1e-9)
 
 
+@pytest.mark.parametrize("holder_rows", [2, 256])
+def test_copies_have_all_their_near_partners(spark, monkeypatch, holder_rows):
+    monkeypatch.setattr(fingerprints._document_pairs, "__defaults__", (holder_rows,))
+    base = [f"w{i}" for i in range(200)]
+    one, two, three = (" ".join(base[:n]) for n in (200, 190, 180))
+    rows = [(i, (one, two, three)[i % 3]) for i in range(15)] + [(20, "alone in the world it is"), (21, one), (21, one), (21, one), (None, two)]
+    got = sorted(((r["doc_id"], r["other_id"]) for r in fingerprints.near_pairs(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=repr)
+    ids = [*range(15), 21, 21, 21, None]
+    assert got == sorted(((b, a) for a, b in itertools.combinations(ids, 2)), key=repr)
+
+
+def test_recall_of_document_pairs_without_restriction(spark):
+    texts = texts_of(spark)
+    want = true_pairs(texts, fingerprints.PRODUCTION.threshold)
+    rows = fingerprints.near_pairs(spark, spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    got = {(r["doc_id"], r["other_id"]) for r in rows}
+    assert got <= want
+    assert len(got) == len(rows)
+    assert len(got) >= 0.9 * len(want)
+
+
 def test_recall_of_both_signatures_at_the_threshold():
     rng = np.random.default_rng(3)
     for sign in (near_circulant.circulant_signer(100), fingerprints.universal_signer(100)):
