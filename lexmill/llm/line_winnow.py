@@ -1,18 +1,16 @@
-"""Removal of repeated runs of lines by winnowing.
+"""Removal of repeated runs of words by winnowing.
 
-A *line* is a run of words that ends at a line end or at a word ending in one of
-``. ! ? , ; : |``: passages that were pasted into the middle of a paragraph still
-share whole lines.  A *gram* is the shortest run of lines of at least
-``gram_words`` words.  Within every window of grams that start less than
-``window_words`` words apart the gram of least hash is selected, so any run of
-lines shared by two places and longer than gram, window and one line together
-has a gram selected in both: none is missed by chance.
+The unit is the word, so a passage that starts or ends inside a line, or has no
+punctuation at all, is matched to its last word.  A *gram* is a run of
+``gram_words`` words.  Within every window of ``window_words`` grams the gram of
+least hash is selected, so any run of at least gram and window words together
+that two places share has a gram selected in both: none is missed by chance.
 
 Selected grams are grouped by hash; each later occurrence is joined with the
-first one (least ``doc_id``, then position), and the lines around are compared
-both ways.  Equal runs of at least ``gram_words`` words mark their later
-lines; marked lines that touch form one run, and runs of at least
-``min_words`` words are deleted.
+first one (least ``doc_id``, then position), and the words around are compared
+both ways.  Equal runs of at least ``gram_words`` words mark their later words;
+marked runs that touch form one, and runs of at least ``min_words`` words are
+deleted.
 """
 
 from __future__ import annotations
@@ -30,8 +28,6 @@ from pyspark.sql.window import Window
 from lexmill.llm.common import Workspace, need
 from lexmill.llm.textkernel import SOLID_BYTES, U, blocks, buffers, mix, plain_strings, range_hashes, spans
 
-_STOPS = np.zeros(256, dtype=bool)
-_STOPS[[ord(c) for c in ".!?,;:|"]] = True
 _NEXT = U(0x9FB21C651E98DF25)
 
 
@@ -46,21 +42,13 @@ class Winnowing:
 
 
 def line_ranges(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, last byte + 1, words of every line, line offsets by text)."""
+    """(first byte, last byte + 1, 1, word offsets by text) of every word."""
     first, end = spans(data, off, SOLID_BYTES)
-    by_text = np.searchsorted(first, off)
-    closes = _STOPS[data[end - 1]] if len(end) else np.zeros(0, dtype=bool)
-    if len(first) > 1:
-        breaks = np.cumsum(data == 10)
-        closes[:-1] |= breaks[first[1:]] != breaks[end[:-1] - 1]
-    closes[by_text[1:][np.diff(by_text) > 0] - 1] = True
-    last = np.flatnonzero(closes)
-    begin = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
-    return first[begin], end[last], last - begin + 1, np.searchsorted(begin, by_text)
+    return first, end, np.ones(len(first), dtype=np.int64), np.searchsorted(first, off)
 
 
 def selected_grams(hashes: np.ndarray, words: np.ndarray, by_text: np.ndarray, w: Winnowing) -> tuple[np.ndarray, np.ndarray]:
-    """(line at which each selected gram starts, hash of the gram)."""
+    """(word at which each selected gram starts, hash of the gram)."""
     n = len(hashes)
     if n == 0:
         return np.zeros(0, dtype=np.int64), hashes
@@ -104,18 +92,17 @@ def _lines(w: Winnowing):  # noqa: ANN202
                 owner = np.searchsorted(at, by_text)
                 local = (at - np.repeat(by_text[:-1], np.diff(owner))).astype(np.int32)
                 picks = pa.StructArray.from_arrays([pa.array(value.view(np.int64)), pa.array(local)], names=["h", "pos"])
-                words = words.astype(np.int32)
+                small = (hashes >> U(32)).astype(np.uint32)
                 cut = list(zip(by_text[:-1], by_text[1:], strict=True))
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         part.column("text"),
-                        pa.array([hashes[a:b].tobytes() for a, b in cut], type=pa.binary()),
-                        pa.array([words[a:b].tobytes() for a, b in cut], type=pa.binary()),
+                        pa.array([small[a:b].tobytes() for a, b in cut], type=pa.binary()),
                         pa.ListArray.from_arrays(pa.array(owner.astype(np.int32)), picks),
                     ],
-                    names=["doc_id", "text", "hashes", "words", "picks"],
+                    names=["doc_id", "text", "hashes", "picks"],
                 )
 
     return run
@@ -124,25 +111,24 @@ def _lines(w: Winnowing):  # noqa: ANN202
 _PICKS = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("pos", T.IntegerType())]))
 
 
-def equal_runs(late: np.ndarray, early: np.ndarray, shift: int, words: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Maximal runs [start, stop) of lines of ``late`` equal to those ``shift`` lines before in ``early``."""
+def equal_runs(late: np.ndarray, early: np.ndarray, shift: int, least: int) -> list[tuple[int, int]]:
+    """Maximal runs [start, stop) of words of ``late`` equal to those ``shift`` words before in ``early``."""
     lo, hi = max(0, shift), min(len(late), len(early) + shift)
     if hi <= lo:
         return []
     same = np.concatenate([[False], late[lo:hi] == early[lo - shift : hi - shift], [False]])
     edge = np.flatnonzero(same[1:] != same[:-1])
-    total = np.concatenate([[0], np.cumsum(words)])
-    return [(int(a) + lo, int(b) + lo) for a, b in zip(edge[::2], edge[1::2], strict=True) if total[b + lo] - total[a + lo] >= least]
+    return [(int(a) + lo, int(b) + lo) for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= least]
 
 
 def _extend(w: Winnowing):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid, start, stop = [], [], []
-            columns = [batch.column(c).to_pylist() for c in ("uid", "shift", "late", "early", "words")]
-            for u, shift, late, early, words in zip(*columns, strict=True):
-                found = equal_runs(np.frombuffer(late, dtype=U), np.frombuffer(early, dtype=U), shift, np.frombuffer(words, dtype=np.int32), w.gram_words)
-                for a, b in found:
+            columns = [batch.column(c).to_pylist() for c in ("uid", "shifts", "late", "early")]
+            for u, shifts, late, early in zip(*columns, strict=True):
+                x, y = np.frombuffer(late, dtype=np.uint32), np.frombuffer(early, dtype=np.uint32)
+                for a, b in merged([r for shift in shifts for r in equal_runs(x, y, shift, w.gram_words)], w.gram_words):
                     uid.append(u)
                     start.append(a)
                     stop.append(b)
@@ -153,7 +139,7 @@ def _extend(w: Winnowing):  # noqa: ANN202
     return run
 
 
-def merged(runs: list[tuple[int, int]], words: np.ndarray, least: int) -> list[tuple[int, int]]:
+def merged(runs: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
     """Unions of touching runs that hold at least so many words."""
     out: list[list[int]] = []
     for a, b in sorted(runs):
@@ -161,25 +147,23 @@ def merged(runs: list[tuple[int, int]], words: np.ndarray, least: int) -> list[t
             out[-1][1] = max(out[-1][1], b)
         else:
             out.append([a, b])
-    total = np.concatenate([[0], np.cumsum(words)])
-    return [(a, b) for a, b in out if total[b] - total[a] >= least]
+    return [(a, b) for a, b in out if b - a >= least]
 
 
 def cut_out(text: str, runs: list[tuple[int, int]], least: int) -> tuple[str, list[tuple[int, int]]]:
-    """(the text without the runs of lines, their word ranges)."""
+    """(the text without the runs of words, the runs removed)."""
     off, data = buffers(plain_strings(pa.array([text], type=pa.large_string())))
-    first, _, words, _ = line_ranges(data, off)
-    gone = merged(runs, words, least)
+    first, *_ = line_ranges(data, off)
+    gone = merged(runs, least)
     kept, at = [], 0
     for a, b in gone:
         kept.append(data[at : first[a]])
         at = first[b] if b < len(first) else len(data)
     kept.append(data[at:])
     out = b"".join(x.tobytes() for x in kept).decode()
-    total = np.concatenate([[0], np.cumsum(words)])
     if gone and gone[-1][1] == len(first):
         out = out.rstrip()
-    return out, [(int(total[a]), int(total[b])) for a, b in gone]
+    return out, gone
 
 
 _REMOVED = "array<struct<start: int, stop: int>>"
@@ -221,7 +205,6 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, w: Winnowing = Winnowing()
             T.StructField("doc_id", ids),
             T.StructField("text", T.StringType()),
             T.StructField("hashes", T.BinaryType()),
-            T.StructField("words", T.BinaryType()),
             T.StructField("picks", _PICKS),
         ]
     )
@@ -232,10 +215,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, w: Winnowing = Winnowing()
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid", "pos")
     same = Window.partitionBy("h")
     met = picks.withColumn("first", F.min(place).over(same)).where("not (uid = first.uid and pos = first.pos)")
-    pairs = met.select("uid", F.col("first.uid").alias("early_uid"), (F.col("pos") - F.col("first.pos")).alias("shift")).distinct()
-    late = lines.select("uid", F.col("hashes").alias("late"), "words")
+    # the words of two texts travel once, however often they meet
+    pairs = met.groupBy("uid", F.col("first.uid").alias("early_uid")).agg(F.collect_set(F.col("pos") - F.col("first.pos")).alias("shifts"))
+    late = lines.select("uid", F.col("hashes").alias("late"))
     early = lines.select(F.col("uid").alias("early_uid"), F.col("hashes").alias("early"))
-    joined = pairs.join(early, "early_uid").join(late, "uid").select("uid", "shift", "late", "early", "words")
+    joined = pairs.join(early, "early_uid").join(late, "uid").select("uid", "shifts", "late", "early")
     runs = joined.mapInArrow(_extend(w), "uid long, start int, stop int").distinct()
     marked = ws.table(runs.groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("runs")), "runs")
     n_bytes = marked.agg(F.sum(96 + 40 * F.size("runs"))).first()[0] or 0  # rows and their places in the broadcast table

@@ -68,3 +68,18 @@ def test_beyond_the_broadcast_bound_the_rows_are_the_same(spark):
     docs = spark.createDataFrame(corpus(), SCHEMA)
     rows = [sorted(map(tuple, line_winnow.dedup_lines(spark, docs, w).collect()), key=repr) for w in (line_winnow.Winnowing(), line_winnow.Winnowing(broadcast_bytes=-1))]
     assert rows[0] == rows[1]
+
+
+def test_repeats_that_dont_keep_to_lines_go_to_the_last_word(spark):
+    rng = random.Random(5)
+    own = [[f"{'abcd'[i]}{rng.randrange(10**9)}" for _ in range(80)] for i in range(4)]
+    plain = [f"p{rng.randrange(10**9)}" for _ in range(60)]
+    lined = [x + ("." if i % 17 == 9 else "") for i, x in enumerate(plain)]
+    rows = []
+    for i, passage in enumerate((plain, plain, lined, lined[3:56])):
+        rows.append((i, " ".join([*own[i][:40], *passage, *own[i][40:]])))
+    got = {r["doc_id"]: r for r in line_winnow.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0]["removed"] == got[2]["removed"] == []
+    assert got[1]["text"] == " ".join(own[1])
+    assert got[3]["text"] == " ".join(own[3])
+    assert [tuple(x) for x in got[3]["removed"]] == [(40, 93)]
