@@ -25,9 +25,6 @@ __all__ = ["FLAGSHIP", "oracle_sql", "queries"]
 
 FLAGSHIP = "signed_chi2_terms"
 
-#: Forms that the clustering and the topic model are fitted on occur at least so often.
-CLUSTER_OCCURRENCES = 100
-
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -205,21 +202,17 @@ def inertia_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chd.cut_scores(chd.positions(units, "k", "uce_id"), _pairs(spark, sf_dir)).select("pos", F.round("chi2", 4).alias("chi2"))
 
 
-def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dtm.dtm(_active(spark, sf_dir), CLUSTER_OCCURRENCES)
-
-
 def chd_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chd.classify(_clustered(spark, sf_dir)).assign
+    return chd.classify(_pairs(spark, sf_dir)).assign
 
 
 def chd_dendrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = chd.classify(_clustered(spark, sf_dir))
+    found = chd.classify(_pairs(spark, sf_dir))
     return found.tree.join(chd.dendrogram(found.tree), "node")
 
 
 def chd_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chd.classify(_clustered(spark, sf_dir)).terms
+    return chd.classify(_pairs(spark, sf_dir)).terms
 
 
 def _crossed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,18 +300,13 @@ def labbe_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labbe.average_linkage(labbe.distances(_groups(spark, sf_dir)))
 
 
-def _topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    active = _active(spark, sf_dir)
-    return dtm.count_matrix(active, dtm.retained_forms(active, CLUSTER_OCCURRENCES))
-
-
 def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, vocabulary, _ = topics.fit(_topic_counts(spark, sf_dir), iterations=10)
+    model, vocabulary, _ = topics.fit(count_matrix(spark, sf_dir))
     return topics.top_terms(model, vocabulary)
 
 
 def lda_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, _, vectors = topics.fit(_topic_counts(spark, sf_dir), iterations=10)
+    model, _, vectors = topics.fit(count_matrix(spark, sf_dir))
     return topics.dominant_topics(model, vectors)
 
 

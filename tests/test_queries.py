@@ -5,6 +5,7 @@ import shutil
 import subprocess
 import sys
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 
@@ -42,3 +43,27 @@ def test_the_rest_works_without_the_training_data_operators(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert not any(n.startswith('op') for n in q), q; assert 'pipeline' not in q; print(len(q), len(e.oracle_sql()))"
     ran = subprocess.run([sys.executable, "-c", code], cwd=target, env=os.environ | {"PYTHONPATH": str(target)}, capture_output=True, text=True, timeout=120)
     assert ran.returncode == 0, ran.stderr
+
+
+def test_clustering_and_topics_take_all_forms_and_the_iterations_of_the_operators(spark, monkeypatch):
+    asked = []
+
+    def fit(counts, *args, **kwargs):
+        asked.append((counts, args, kwargs))
+        return None, None, None
+
+    def classify(pairs, *args, **kwargs):
+        asked.append((pairs, args, kwargs))
+        return SimpleNamespace(assign=None, tree=None, terms=None)
+
+    monkeypatch.setattr(core.topics, "fit", fit)
+    monkeypatch.setattr(core.topics, "top_terms", lambda *_: None)
+    monkeypatch.setattr(core.topics, "dominant_topics", lambda *_: None)
+    monkeypatch.setattr(core.chd, "classify", classify)
+    for name in ("lda_topics", "lda_documents", "chd_classes", "chd_terms"):
+        core.queries()[name](spark, SF)
+    active = core.active_forms(spark, SF)
+    want = active.groupBy("form").count().where("count >= 3").count()
+    for table, args, kwargs in asked:
+        assert (args, kwargs) == ((), {})
+        assert table.select("form").distinct().count() == want
