@@ -1,10 +1,11 @@
 """Document fingerprints: MinHash by universal hash permutations, bands joined in Spark.
 
 Coordinate k of a fingerprint is the least of ``(a_k * x + b_k) mod 2**64 >> 32``
-over the 32-bit shingles x, a 2-universal family; all coordinates of a document
-come from one numpy product.  Band keys are joined in Spark into candidate
-pairs of distinct shingle sets, exact Jaccard verifies them, and the documents
-of both sets make the pairs returned.
+over the 32-bit shingles x, a 2-universal family; the coordinates of many
+documents come from one numpy pass each.  Distinct shingle sets are joined by
+band key in Spark, and exact Jaccard verifies every pair of sets that share a
+band.  The result has one row a document; pairs are counted where they are
+compared and not listed.
 """
 
 from __future__ import annotations
@@ -12,92 +13,74 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lexmill.llm import near
-from lexmill.llm.common import Workspace, need
+from lexmill.llm.common import need
 from lexmill.llm.textkernel import U
 
 PRODUCTION = near.Banding(shingle_words=3, bands=25, rows=4, threshold=0.6)
 
 
 def universal_signer(coordinates: int, seed: int = 11) -> near.Signer:
-    """A function from a set of 32-bit shingles to its MinHash signature."""
+    """A function from shingles of documents to their MinHash signatures."""
     random = np.random.default_rng(seed)
-    a = random.integers(1, 1 << 63, size=(coordinates, 1), dtype=U) * U(2) + U(1)
-    b = random.integers(0, 1 << 63, size=(coordinates, 1), dtype=U) * U(2)
+    a = random.integers(1, 1 << 63, size=coordinates, dtype=U) * U(2) + U(1)
+    b = random.integers(0, 1 << 63, size=coordinates, dtype=U) * U(2)
 
-    def sign(shingles: np.ndarray) -> np.ndarray:
-        out = None
-        for start in range(0, len(shingles), 1024):
-            x = shingles[None, start : start + 1024].astype(U)
-            least = (a * x + b).min(axis=1)
-            out = least if out is None else np.minimum(out, least)
-        return (out >> U(32)).astype(np.uint32)
+    def permute(x: np.ndarray, k: int) -> np.ndarray:
+        return ((x * a[k] + b[k]) >> U(32)).astype(np.uint32)
 
-    return sign
+    return lambda shingles, starts: least_by_document(shingles.astype(U), starts, coordinates, permute)
 
 
-def _joined_pairs(members: DataFrame, wanted: DataFrame, sets: DataFrame, banding: near.Banding) -> DataFrame:
-    """(a, b, jaccard) by joining the buckets with themselves, and the pairs with both sets."""
-    side = members.join(wanted.select("node", "doc_id"), "node")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
-    left = side.select("bucket", F.col("node").alias("a"), order.alias("oa"))
-    right = side.select("bucket", F.col("node").alias("b"), order.alias("ob"))
-    pairs = left.join(right, "bucket").where("oa > ob").select("a", "b").distinct()
-    return near.verify(pairs, sets, banding.threshold)
+def least_by_document(x: np.ndarray, starts: np.ndarray, coordinates: int, permute) -> np.ndarray:  # noqa: ANN001
+    """The least of ``permute(x, k)`` of every document, a row a document and a column a coordinate.
 
-
-#: Documents of one set that travel in one row while pairs of sets become pairs of documents.
-HOLDER_ROWS = 256
-
-
-def _document_pairs(feats: DataFrame, found: DataFrame, holder_rows: int = HOLDER_ROWS) -> DataFrame:
-    """(doc_id, other_id, jaccard): every pair of documents of two found sets (a, b, jaccard), or of one set.
-
-    ``feats`` (node, doc_id, uid) is a written table.  Lists of documents are
-    paired first and then spread over all tasks, so that sets of many copies
-    don't fill one.
+    Documents are taken in runs that stay in the cache; a longer one is cut.
     """
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid")
-    number = F.row_number().over(Window.partitionBy("node").orderBy("uid")) - 1
-    held = feats.select("node", order.alias("o")).select("node", "o", F.col("o.uid").alias("uid"))
-    held = held.select("node", "o", F.floor(number / F.lit(holder_rows)).alias("k")).groupBy("node", "k").agg(F.collect_list("o").alias("os"))
-    left, right = (held.select(F.col("node").alias(x), F.col("k").alias(f"k{x}"), F.col("os").alias(f"o{x}")) for x in "ab")
-    near_lists = found.join(left, "a").join(right, "b").select("a", "b", "ka", "kb", "oa", "ob", "jaccard")
-    several = (F.col("ka") > F.col("kb")) | ((F.col("ka") == F.col("kb")) & (F.size("oa") > 1))
-    copy_lists = left.join(right, F.col("a") == F.col("b")).where(several).select("a", "b", "ka", "kb", "oa", "ob", F.lit(1.0).alias("jaccard"))
-    lists = near_lists.unionByName(copy_lists).repartition("a", "b", "ka", "kb")
-    pairs = lists.withColumn("x", F.explode("oa")).withColumn("y", F.explode("ob"))
-    pairs = pairs.where("a <> b or ka <> kb or x > y")
-    return pairs.select(F.greatest("x", "y")["doc_id"].alias("doc_id"), F.least("x", "y")["doc_id"].alias("other_id"), "jaccard")
-
-
-def near_pairs(spark: SparkSession, docs: DataFrame, banding: near.Banding = PRODUCTION, most_blocks: int = near.MOST_BLOCKS) -> DataFrame:
-    """(doc_id, other_id, jaccard) of near-duplicate documents.
-
-    Distinct shingle sets that share a band and whose Jaccard reaches the
-    threshold are found first; then every pair of documents of two such sets, and
-    every pair of documents of one set with 1.0, is returned once, the later id
-    (nulls last) first.  Documents without a word are in no pair; rows that
-    repeat id and text pair with each other.  ``docs`` needs doc_id and text,
-    other columns are ignored.
+    ends = np.append(starts[1:], len(x))
+    out = np.full((len(starts), coordinates), 0xFFFFFFFF, dtype=np.uint32)
+    lo, step = 0, 1 << 15
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + step, side="right")))
+        for at in range(int(starts[lo]), int(ends[hi - 1]), step):
+            part = x[at : min(at + step, int(ends[hi - 1]))]
+            begins = starts[lo:hi] - at if hi - lo > 1 else np.zeros(1, dtype=np.int64)
+            for k in range(coordinates):
+                np.minimum(out[lo:hi, k], np.minimum.reduceat(permute(part, k), begins), out=out[lo:hi, k])
+        lo = hi
+    return out
+
+
+def near_classes(spark: SparkSession, docs: DataFrame, banding: near.Banding = PRODUCTION) -> DataFrame:
+    """(doc_id, class_id, set_id, n_links): one row a row of ``docs``.
+
+    ``set_id`` is the least id of the documents with the same shingle set,
+    ``n_links`` the number of other sets that share a band with it and whose
+    Jaccard reaches the threshold, and ``class_id`` the least id of all
+    documents joined by such links.  Nulls come last among ids.  Documents
+    without a word (null, empty, only punctuation) are alone in their class;
+    rows that repeat id and text are rows of one class.  ``docs`` needs doc_id
+    and text, other columns are ignored.  An empty table gives an empty result.
     """
     need(docs, "doc_id", "text")
-    ws = Workspace(spark, "fingerprints")
-    # the number of a row is fixed when the table is written, and only then
-    numbered = near.features(docs, banding, lambda: universal_signer(banding.coordinates)).withColumn("uid", F.monotonically_increasing_id())
-    feats = ws.table(numbered, "features")
-    reps = near.representatives(feats)
-    members = ws.table(near.bucket_members(reps), "members")
-    wanted = ws.table(reps.join(members.select("node").distinct(), "node", "left_semi"), "wanted")
-    keys = wanted.select("node", "doc_id", "digest")
-    sets = ws.table(near.node_sets(docs, near.within_broadcast(keys), banding.shingle_words), "sets")
-    stars = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    labels = ws.table(near.components(ws, stars, "candidates"), "candidates-labelled")
-    nodes = wanted.select("node", "doc_id", "bands").join(sets, "node")
-    found, giant = near.verify_blocks(nodes, labels, banding.threshold, most_blocks=most_blocks)
-    giant = ws.table(giant, "giant")
-    if not giant.isEmpty():
-        found = found.unionByName(_joined_pairs(members.join(giant.select("node"), "node", "left_semi"), wanted, sets, banding))
-    return _document_pairs(feats, found)
+    found = near.candidates(spark, docs, banding, lambda: universal_signer(banding.coordinates), "fingerprints")
+    ws = found.ws
+    own = found.members.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # at most one a band
+    placed = near.all_blocks(found.members.join(own, "node"), F.col("buckets"), F.lit(None).cast("binary"))
+    links = ws.table(near.compare(placed, found.sets, banding.threshold), "links")
+    labels = ws.table(near.components(ws, near.edges_of(links), "all"), "labels")
+    counts = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id")
+    sets = found.feats.groupBy("node").agg(F.min(order).alias("s"))
+    sets = ws.table(sets.join(labels, "node", "left").join(counts, "node", "left").withColumn("label", F.coalesce("label", "node")), "nodes")
+    classes = sets.groupBy("label").agg(F.min("s").alias("c"))
+    known = sets.join(classes, "label").select("node", F.col("c.doc_id").alias("class_id"), F.col("s.doc_id").alias("set_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    some = found.feats.select("node", "doc_id").join(known, "node").select("doc_id", "class_id", "set_id", "n_links")
+    return some.unionByName(without_words(docs, found.feats).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(0).cast("long").alias("n_links")))
+
+
+def without_words(docs: DataFrame, feats: DataFrame) -> DataFrame:
+    """(doc_id) of the rows of ``docs`` that have no shingle."""
+    digests = docs.select("doc_id", near.text_digest(F.col("text")).alias("digest"))
+    return digests.join(feats.select("digest").distinct(), "digest", "left_anti").select("doc_id")

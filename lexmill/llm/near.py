@@ -1,12 +1,12 @@
 """Near-duplicate search over shingle sets: candidates from signature bands, exact Jaccard.
 
 Two operators use it with signatures of different kinds.  The unit of search is
-the *distinct shingle set*: documents with equal sets are collapsed before any
-pair is formed, so thousands of copies cost one node.  Within a band bucket all
-members are first compared with the bucket's earliest member (a star, linear in
-the bucket); pairs of members that the verified stars leave in different groups
-are then compared one by one.  Every candidate pair is thus either verified or
-already known to lie in one group, and nothing is capped.
+the *distinct shingle set*: documents with equal sets are one node, so thousands
+of copies cost one.  Nodes are joined by band key into buckets; of buckets with
+the same members one is kept.  A bucket is cut into blocks of bounded size, and
+blocks are compared by counting common shingles in numpy, each comparison a row
+group of its own: a hot bucket is spread over tasks, and what leaves a task is a
+spanning forest of its links (and numbers of links), never all pairs.
 
 Documents without a word (null or empty text too) have no shingle and are never
 near duplicates.  Node identity is the shingle set, not ``doc_id``: null or
@@ -27,19 +27,22 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lexmill.llm.common import Workspace, packed, unpacked
-from lexmill.llm.textkernel import U, mix, plain_strings, shingle_hashes, word_hashes
+from lexmill.llm.textkernel import U, blocks, mix, plain_strings, shingle_hashes, word_hashes
 
-Signer = Callable[[np.ndarray], np.ndarray]
+#: From (shingles of several documents, where each begins) to signatures, a row a document.
+Signer = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 @dataclass(frozen=True)
 class Banding:
-    """Shingle length, signature layout and the least Jaccard of a near duplicate."""
+    """Shingle length, signature layout, the least Jaccard of a near duplicate, and the size of a block."""
 
     shingle_words: int = 3
     bands: int = 25
     rows: int = 4
     threshold: float = 0.6
+    block_nodes: int = 256
+    block_shingles: int = 1 << 18
 
     @property
     def coordinates(self) -> int:
@@ -51,25 +54,18 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("\0"))))
 
 
-def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingles of every text, as 32-bit hashes."""
+def shingle_blocks(texts: pa.Array, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(sorted distinct shingles as 32-bit hashes, offsets by text) of runs of texts, in order."""
     strings = plain_strings(texts)
-    for start in range(0, len(strings), 256):
-        words, offsets = word_hashes(strings.slice(start, 256))
+    for start, stop in blocks(strings):
+        words, offsets = word_hashes(strings.slice(start, stop - start))
         hashes, ends = shingle_hashes(words, offsets, n)
-        small = (hashes >> U(32)).astype(np.uint32)
-        for i in range(len(ends) - 1):
-            yield np.unique(small[ends[i] : ends[i + 1]])
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = len(b) - 1
-    common = int(np.count_nonzero(b[at] == a))
-    return common / (len(a) + len(b) - common)
+        owner = np.repeat(np.arange(stop - start, dtype=U), np.diff(ends))
+        keys = np.sort((owner << U(32)) | (hashes >> U(32)))
+        if len(keys):
+            keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+        offset = np.searchsorted(keys >> U(32), np.arange(stop - start + 1, dtype=U))
+        yield (keys & U(0xFFFFFFFF)).astype(np.uint32), offset
 
 
 def _binary(parts: list[bytes]) -> pa.Array:
@@ -77,36 +73,42 @@ def _binary(parts: list[bytes]) -> pa.Array:
 
 
 def features(docs: DataFrame, banding: Banding, signer: Callable[[], Signer]) -> DataFrame:
-    """(doc_id, digest, node, bands) of every document that has a shingle.
+    """(doc_id, digest, node, size, bands) of every document that has a shingle.
 
-    ``node`` identifies the shingle set, ``bands`` holds one 64-bit key a band.
+    ``node`` identifies the shingle set, ``size`` is its number of shingles,
+    ``bands`` holds one 64-bit key a band.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = signer()
         salt = mix(np.arange(1, banding.bands + 1, dtype=U))
         for batch in batches:
-            keep, nodes, keys = [], [], []
-            for i, shingles in enumerate(shingle_sets(batch.column("text"), banding.shingle_words)):
-                if len(shingles):
-                    keep.append(i)
-                    nodes.append(xxhash.xxh3_128_digest(shingles))
-                    signature = sign(shingles).reshape(banding.bands, banding.rows).astype(U)
-                    key = salt
+            keep, nodes, sizes, keys, base = [], [], [], [], 0
+            for shingles, off in shingle_blocks(batch.column("text"), banding.shingle_words):
+                size = np.diff(off)
+                some = np.flatnonzero(size)
+                keep.append(some + base)
+                base += len(size)
+                if len(some):
+                    nodes += [xxhash.xxh3_128_digest(shingles[off[i] : off[i + 1]]) for i in some]
+                    sizes.append(size[some])
+                    signature = sign(shingles, off[:-1][some]).reshape(len(some), banding.bands, banding.rows).astype(U)
+                    key = np.broadcast_to(salt, (len(some), banding.bands))
                     for r in range(banding.rows):
-                        key = mix(key * U(0x9FB21C651E98DF25) + signature[:, r])
-                    keys.append(key)
+                        key = mix(key * U(0x9FB21C651E98DF25) + signature[:, :, r])
+                    keys.append(key.ravel())
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
-            ends = np.arange(len(keys) + 1, dtype=np.int32) * banding.bands
-            rows = pa.array(keep, type=pa.int64())
+            ends = np.arange(len(nodes) + 1, dtype=np.int32) * banding.bands
+            rows = pa.array(np.concatenate(keep) if keep else np.zeros(0, dtype=np.int64), type=pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(rows),
                     batch.column("digest").take(rows),
                     _binary(nodes),
+                    pa.array(np.concatenate(sizes) if sizes else np.zeros(0, dtype=np.int64), type=pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ],
-                names=["doc_id", "digest", "node", "bands"],
+                names=["doc_id", "digest", "node", "size", "bands"],
             )
 
     ids = docs.schema["doc_id"].dataType
@@ -115,6 +117,7 @@ def features(docs: DataFrame, banding: Banding, signer: Callable[[], Signer]) ->
             T.StructField("doc_id", ids),
             T.StructField("digest", T.BinaryType()),
             T.StructField("node", T.BinaryType()),
+            T.StructField("size", T.LongType()),
             T.StructField("bands", T.ArrayType(T.LongType())),
         ]
     )
@@ -122,34 +125,27 @@ def features(docs: DataFrame, banding: Banding, signer: Callable[[], Signer]) ->
 
 
 def representatives(feats: DataFrame) -> DataFrame:
-    """(node, doc_id, digest, bands): the earliest document of every shingle set."""
-    first = F.min_by(F.struct("doc_id", "digest", "bands"), F.struct(F.col("doc_id").isNull(), "doc_id", "digest"))
+    """(node, doc_id, digest, size, bands): the earliest document of every shingle set."""
+    first = F.min_by(F.struct("doc_id", "digest", "size", "bands"), F.struct(F.col("doc_id").isNull(), "doc_id", "digest"))
     return feats.groupBy("node").agg(first.alias("r")).select("node", "r.*")
 
 
-def bucket_members(reps: DataFrame) -> DataFrame:
-    """(bucket, node, leader) of all band buckets with at least two nodes."""
-    rows = reps.select(F.explode("bands").alias("bucket"), "node", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "node").alias("o"))
-    whole = Window.partitionBy("bucket")
-    return (
-        rows.withColumn("leader", F.min("o").over(whole)["node"])
-        .withColumn("size", F.count("*").over(whole))
-        .where("size > 1")
-        .select("bucket", "node", "leader")
-    )
-
-
-#: Keys of documents are sent to all executors up to this size; beyond, texts are shuffled by key.
-BROADCAST_BYTES = 64 << 20
-_KEY_BYTES = 224  # of a row in the broadcast table, as measured
-
-
-def within_broadcast(keys: DataFrame) -> DataFrame:
-    """``keys`` (doc_id, digest and a little more) with a broadcast hint, if they are few enough.
+def bucket_members(reps: DataFrame, banding: Banding) -> DataFrame:
+    """(bucket, node, n_blocks, leads): the nodes of every band bucket of at least two.
 
-    ``keys`` should be a written table: it is counted first.
+    Band keys are counted first, with partial sums, so that a bucket of any size
+    is never gathered; of buckets with equal members (by number and two 64-bit
+    sums) one stays.  ``leads`` marks the bucket's leader.
     """
-    return F.broadcast(keys) if keys.count() * _KEY_BYTES <= BROADCAST_BYTES else keys
+    rows = reps.select(F.explode("bands").alias("bucket"), "node", "size", F.xxhash64("node").alias("x"))
+    found = rows.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.sum("size").alias("total"), F.min("x").alias("lead"),
+        F.bit_xor("x").alias("m1"), F.bit_xor(F.xxhash64("x")).alias("m2"),
+    ).where("n > 1")
+    kept = found.groupBy("n", "total", "lead", "m1", "m2").agg(F.min("bucket").alias("bucket"))
+    n_blocks = F.ceil(F.greatest(F.col("n") / F.lit(banding.block_nodes), F.col("total") / F.lit(banding.block_shingles))).cast("int")
+    kept = kept.select("bucket", "lead", n_blocks.alias("n_blocks"))
+    return rows.select("bucket", "node", "x").join(kept, "bucket").select("bucket", "node", "n_blocks", (F.col("x") == F.col("lead")).alias("leads"))
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -158,10 +154,11 @@ def node_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = []
-            for s in shingle_sets(batch.column("text"), n):
-                steps = s.copy()
-                steps[1:] -= s[:-1]
-                sets.append(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes())
+            for shingles, off in shingle_blocks(batch.column("text"), n):
+                for i in range(len(off) - 1):
+                    steps = shingles[off[i] : off[i + 1]].copy()
+                    steps[1:] -= shingles[off[i] : off[i + 1] - 1]
+                    sets.append(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("node"), _binary(sets)], names=["node", "shingles"])
 
     texts = docs.select("doc_id", text_digest(F.col("text")).alias("digest"), "text").alias("t")
@@ -176,88 +173,151 @@ def _set_of(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
 
 
-def verify(edges: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the edges (a, b) whose exact Jaccard reaches the threshold.
-
-    The sets of ``a`` travel to ``b`` once an edge; the earlier document is ``b``,
-    so the set of a star's centre isn't copied before the last join.
+_STEP = 1 << 21
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``left`` has in common with each of ``right``; memory is bounded by the step."""
+    held = np.concatenate(right)
+    owner = np.repeat(np.arange(len(right)), [len(s) for s in right])
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], owner[order]
+    asked = np.concatenate(left)
+    asker = np.repeat(np.arange(len(left)), [len(s) for s in left])
+    low = np.searchsorted(held, asked)
+    hits = np.searchsorted(held, asked, side="right") - low
+    used = np.flatnonzero(hits)
+    low, hits, asker = low[used], hits[used], asker[used]
+    upto = np.cumsum(hits)
+    out = np.zeros(len(left) * len(right), dtype=np.int64)
+    a = 0
+    while a < len(hits):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + _STEP, side="right")))
+        n = hits[a:b]
+        at = np.repeat(low[a:b] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out += np.bincount(np.repeat(asker[a:b] * len(right), n) + owner[at], minlength=len(out))
+        a = b
+    return out.reshape(len(left), len(right))
+
+
+def linked(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the pairs whose Jaccard reaches the threshold; within ``left``, i < j, if there is no ``right``."""
+    other = left if right is None else right
+    common = common_counts(left, other)
+    whole = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in other])[None, :] - common
+    i, j = np.nonzero(common >= threshold * whole)
+    return (i[i < j], j[i < j]) if right is None else (i, j)
+
+
+class Forest:
+    """Union-find over places; keeps the links that joined two trees."""
+
+    def __init__(self, n: int) -> None:
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of each (bucket, i, j); they arrive together."""
+    key, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            here = (row["bucket"], row["i"], row["j"])
+            if here != key and rows:
+                yield rows
+                rows = []
+            key = here
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+_LINKS = "a binary, b binary, links long"
+
+
+def compare(placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, null): links that span every comparison's groups; (a, null, links): numbers of links by node.
+
+    ``placed`` (bucket, i, j, own, node, buckets, label): the nodes of blocks i
+    and j of a bucket, ``own`` the node's; i = j compares a block with itself.
+    A pair is counted in the least of the buckets it shares (``buckets``, all of
+    a node's; null: in every bucket).  Nodes of one label (null: none) are known to be joined.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            last, right, scores = None, None, []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                blob = y.as_py()
-                if blob != last:
-                    last, right = blob, _set_of(blob)
-                scores.append(jaccard(_set_of(x.as_py()), right))
-            score = np.array(scores, dtype=np.float64)
-            hit = pa.array(np.flatnonzero(score >= threshold))
+        for rows in _grouped(batches):
+            bucket, i, j = rows[0]["bucket"], rows[0]["i"], rows[0]["j"]
+            first = [k for k, r in enumerate(rows) if r["own"] == i]
+            second = None if i == j else [k for k, r in enumerate(rows) if r["own"] == j]
+            if not first or second == [] or (second is None and len(first) < 2):
+                continue
+            labels = [r["label"] for r in rows]
+            if labels[0] is not None and len(set(labels)) == 1:
+                continue
+            blobs = [_set_of(r["shingles"]) for r in rows]
+            x, y = linked([blobs[k] for k in first], None if second is None else [blobs[k] for k in second], threshold)
+            x, y = np.array(first)[x], np.array(first if second is None else second)[y]
+            if rows[0]["buckets"] is not None and len(x):
+                known = [set(r["buckets"]) for r in rows]
+                own = np.array([min(known[a] & known[b]) == bucket for a, b in zip(x.tolist(), y.tolist(), strict=True)])
+                x, y = x[own], y[own]
+            forest = Forest(len(rows))
+            at: dict[bytes, int] = {}
+            for k, label in enumerate(labels):
+                if label is not None:
+                    forest.join(at.setdefault(label, k), k)
+            span = [(rows[a]["node"], rows[b]["node"]) for a, b in zip(x.tolist(), y.tolist(), strict=True) if forest.join(a, b)]
+            n = np.bincount(np.concatenate([x, y]), minlength=len(rows))
+            some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("a").take(hit), batch.column("b").take(hit), pa.array(score).take(hit)],
-                names=["a", "b", "jaccard"],
+                [
+                    _binary([a for a, _ in span] + [rows[k]["node"] for k in some]),
+                    _binary([b for _, b in span] + [None] * len(some)),
+                    pa.array([None] * len(span) + n[some].tolist(), type=pa.int64()),
+                ],
+                names=["a", "b", "links"],
             )
 
-    left = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary, jaccard double").distinct()
-
-
-#: Nodes of one task of :func:`verify_blocks`, and the largest candidate component it takes.
-BLOCK_NODES, MOST_BLOCKS = 512, 256
-
-
-def _compare_blocks(threshold: float) -> Callable[[pa.Table], pa.Table]:
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["doc_id"] is None, r["doc_id"] if r["doc_id"] is not None else 0, r["node"]))
-        across = rows[0]["i"] != rows[0]["j"]
-        block = np.array([r["own"] for r in rows])
-        bands = np.array([r["bands"] for r in rows], dtype=np.int64)
-        sets = [_set_of(r["shingles"]) for r in rows]
-        later, earlier, scores = [], [], []
-        for x in range(1, len(rows)):
-            meets = (bands[:x] == bands[x]).any(axis=1)
-            if across:
-                meets &= block[:x] != block[x]
-            for y in np.flatnonzero(meets):
-                score = jaccard(sets[x], sets[y])
-                if score >= threshold:
-                    later.append(rows[x]["node"])
-                    earlier.append(rows[y]["node"])
-                    scores.append(score)
-        return pa.table({"a": _binary(later), "b": _binary(earlier), "jaccard": pa.array(scores, type=pa.float64())})
-
-    return run
-
-
-def verify_blocks(nodes: DataFrame, labels: DataFrame, threshold: float, block_nodes: int = BLOCK_NODES, most_blocks: int = MOST_BLOCKS) -> tuple[DataFrame, DataFrame]:
-    """((a, b, jaccard) of all candidate pairs of nodes that hold, the nodes left out).
-
-    ``nodes`` (node, doc_id, bands, shingles), ``labels`` (node, label): written
-    tables; the label joins nodes that share buckets.  A set travels once to the
-    task of its component, however many pairs it is in: small components share
-    tasks, a component of several blocks has a task for each two blocks, and
-    pairs are found by comparing band keys there.  Components beyond
-    ``most_blocks`` blocks, which would be copied too often, are returned as
-    (node, label) for a join of pairs.
-    """
-    n_small = max(1, labels.count() // block_nodes)
-    by_label = Window.partitionBy("label")
-    placed = labels.withColumn("m", F.count("*").over(by_label)).withColumn("k", F.row_number().over(by_label.orderBy("node")) - 1)
-    n_blocks = F.ceil(F.col("m") / F.lit(block_nodes)).cast("int")
-    placed = placed.withColumn("n", n_blocks).withColumn("own", F.floor(F.col("k") / F.lit(block_nodes)).cast("int"))
-    giant = placed.where(F.col("n") > most_blocks).select("node", "label")
-    shared = F.pmod(F.xxhash64("label"), F.lit(n_small))
-    small = placed.where("n = 1").select("node", shared.alias("task"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"))
-    large = placed.where((F.col("n") > 1) & (F.col("n") <= most_blocks)).select("node", F.xxhash64("label").alias("task"), "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    large = large.select("node", "task", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    run = _compare_blocks(threshold)
-    found = None
-    for part in (small, large):
-        rows = part.join(nodes.select("node", "doc_id", "bands", "shingles"), "node")
-        pairs = rows.groupBy("task", "i", "j").applyInArrow(run, "a binary, b binary, jaccard double")
-        found = pairs if found is None else found.unionByName(pairs)
-    return found, giant
+    rows = placed.join(sets, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return rows.select("bucket", "i", "j", "own", "node", "buckets", "label", "shingles").mapInArrow(run, _LINKS)
+
+
+def _none(kind: str) -> Column:
+    return F.lit(None).cast(kind)
+
+
+def _block(n_blocks: str = "n_blocks") -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(3)), F.col(n_blocks)).cast("int")
+
+
+def all_blocks(members: DataFrame, buckets: Column, label: Column) -> DataFrame:
+    """``placed`` for all pairs of blocks of every bucket."""
+    own = members.withColumn("own", _block()).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    return own.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", buckets.alias("buckets"), label.alias("label"))
+
+
+def star_blocks(members: DataFrame) -> DataFrame:
+    """``placed`` for the comparison of every block with the bucket's leader, which is block -1."""
+    leader = members.where("leads").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    rows = [
+        leader.select("bucket", F.lit(-1).alias("i"), "j", F.lit(-1).alias("own"), "node"),
+        members.where("not leads").select("bucket", F.lit(-1).alias("i"), _block().alias("j"), _block().alias("own"), "node"),
+    ]
+    return rows[0].unionByName(rows[1]).select("*", _none("array<long>").alias("buckets"), _none("binary").alias("label"))
+
+
+def edges_of(links: DataFrame) -> DataFrame:
+    return links.where("b is not null").select("a", "b")
 
 
 def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
@@ -283,6 +343,8 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
         if state == found:
             break
         state = found
+    else:
+        raise RuntimeError("the components didn't converge")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots).distinct()
 
@@ -293,41 +355,45 @@ class Found:
 
     ws: Workspace
     feats: DataFrame
-    reps: DataFrame
-    edges: DataFrame
-    labels: DataFrame
+    members: DataFrame
+    sets: DataFrame
 
 
-def search(spark: SparkSession, docs: DataFrame, banding: Banding, signer: Callable[[], Signer], name: str) -> Found:
-    """Groups of near duplicates: components of all verified candidate pairs."""
+def candidates(spark: SparkSession, docs: DataFrame, banding: Banding, signer: Callable[[], Signer], name: str) -> Found:
+    """Features of all documents, band buckets of nodes, and the sets of the nodes in them."""
     ws = Workspace(spark, name)
     feats = ws.table(features(docs, banding, signer), "features")
-    reps = representatives(feats)
-    members = ws.table(bucket_members(reps), "members")
+    reps = ws.table(representatives(feats), "reps")
+    members = ws.table(bucket_members(reps, banding), "members")
     wanted = reps.select("node", "doc_id", "digest").join(members.select("node").distinct(), "node", "left_semi")
-    wanted = within_broadcast(ws.table(wanted, "wanted"))
     sets = ws.table(node_sets(docs, wanted, banding.shingle_words), "sets")
-    stars = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    edges = ws.table(verify(stars, sets, banding.threshold), "edges-star")
+    ws.drop("reps")
+    return Found(ws, feats, members, sets)
+
+
+def group_labels(found: Found, banding: Banding) -> DataFrame:
+    """(node, label) of all nodes that have a near duplicate; the label is the least node of the group.
+
+    Buckets are first compared with their leaders only, which is linear in the
+    bucket; members that this leaves in different groups are then compared
+    block by block.
+    """
+    ws = found.ws
+    edges = ws.table(edges_of(compare(star_blocks(found.members), found.sets, banding.threshold)), "edges-star")
     labels = ws.table(components(ws, edges, "star"), "labels-star")
-    labelled = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    split = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    open_members = ws.table(labelled.join(split, "bucket", "left_semi"), "open")
-    left = open_members.select("bucket", F.col("node").alias("a"), F.col("label").alias("la"))
-    right = open_members.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
-    cross = left.join(right, "bucket").where("la < lb").select("a", "b").distinct()
-    tried = stars.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-    cross = cross.join(tried, (F.least("a", "b") == tried.x) & (F.greatest("a", "b") == tried.y), "left_anti")
-    more = ws.table(verify(cross, sets, banding.threshold), "edges-cross")
-    edges = edges.union(more)
-    if not more.isEmpty():
-        labels = ws.table(components(ws, edges, "all"), "labels")
-    return Found(ws, feats, reps, edges, labels)
-
-
-def grouped(found: Found) -> DataFrame:
+    labelled = found.members.join(labels, "node", "left").select("bucket", "node", "n_blocks", F.coalesce("label", "node").alias("label"))
+    labelled = ws.table(labelled, "labelled")
+    split = labelled.groupBy("bucket").agg(F.min(F.xxhash64("label")).alias("lo"), F.max(F.xxhash64("label")).alias("hi")).where("lo <> hi").select("bucket")
+    left = all_blocks(labelled.join(split, "bucket", "left_semi"), _none("array<long>"), F.col("label"))
+    more = ws.table(edges_of(compare(left, found.sets, banding.threshold)), "edges-cross")
+    if more.isEmpty():
+        return labels
+    return ws.table(components(ws, edges.union(more), "all"), "labels")
+
+
+def grouped(found: Found, labels: DataFrame) -> DataFrame:
     """(doc_id, digest, node, label) of every document with shingles."""
-    return found.feats.select("doc_id", "digest", "node").join(found.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return found.feats.select("doc_id", "digest", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def earliest(rows: DataFrame) -> DataFrame:
@@ -342,10 +408,11 @@ def drop_losers(docs: DataFrame, digest: Callable[[Column], Column], losers: Dat
     """``docs`` without the losers (doc_id, digest); of rows that repeat both, one stays.
 
     ``losers`` is a written table; ``repeats`` lists the (doc_id, digest) that
-    several rows have.
+    several rows have.  The join is the planner's: rows are partitioned by key,
+    unless it finds the losers small enough to send.
     """
     rows = packed(docs, F.col("doc_id").alias("i"), digest(F.col("text")).alias("d"))
-    gone = within_broadcast(losers.select(F.col("doc_id").alias("li"), F.col("digest").alias("ld")))
+    gone = losers.select(F.col("doc_id").alias("li"), F.col("digest").alias("ld"))
     rows = rows.join(gone, (F.col("d") == F.col("ld")) & F.col("i").eqNullSafe(F.col("li")), "left_anti")
     if not repeats.isEmpty():
         again = repeats.select(F.col("doc_id").alias("ri"), F.col("digest").alias("rd")).distinct()

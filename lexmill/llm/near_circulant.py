@@ -1,76 +1,70 @@
 """Near-duplicate removal by circulant MinHash.
 
-Two permutations make all signature coordinates: the first scatters the
-shingles over a universe of ``2**universe_bits`` places, the second is one
-random table of that length, and coordinate k is the least entry of the table
-shifted circularly by k.  The k-th to (k+K)-th entries from a shingle's place
-lie side by side, so a document's signature is one gather of contiguous rows and
-one minimum.  Band keys make candidates; exact Jaccard decides.
+Two permutations of the ring of ``2**32`` places make all signature coordinates:
+the first scatters the shingles, and coordinate k is the least value of the
+second, shifted circularly by k, over the places.  Both are bijective mixings of
+32-bit numbers, so the ring needs no table, and disjoint sets of shingles never
+agree in a coordinate however large they are.  Band keys make candidates; exact
+Jaccard decides.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import near
 from lexmill.llm.common import need
-from lexmill.llm.textkernel import U
+from lexmill.llm.fingerprints import least_by_document, without_words
 
 PRODUCTION = near.Banding(shingle_words=3, bands=25, rows=4, threshold=0.6)
 
+_W = np.uint32
 
-@lru_cache(maxsize=4)
-def _table(bits: int, coordinates: int, seed: int) -> np.ndarray:
-    ring = np.random.default_rng(seed).permutation(1 << bits).astype(np.uint32)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate([ring, ring[:coordinates]]), coordinates)
 
+def circulant_signer(coordinates: int, seed: int = 7) -> near.Signer:
+    """A function from 32-bit shingles of documents to their signatures."""
+    first, second = (_W(x | 1) for x in np.random.default_rng(seed).integers(1 << 30, 1 << 32, 2, dtype=np.uint64).tolist())
 
-def circulant_signer(coordinates: int, universe_bits: int = 20, seed: int = 7) -> near.Signer:
-    """A function from a set of 32-bit shingles to its signature."""
-    ring = _table(universe_bits, coordinates, seed)
-    first, second = U(0x9E3779B1 + 2 * seed), U(0x85EBCA77)
-    low = U(0xFFFFFFFF)
+    def scatter(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> _W(16))) * first
+        x ^= x >> _W(15)
+        x *= second
+        x ^= x >> _W(16)
+        return x
 
-    def sign(shingles: np.ndarray) -> np.ndarray:
-        x = shingles.astype(U)
-        x = (x * first) & low
-        x ^= x >> U(15)
-        x = (x * second) & low
-        places = np.unique((x >> U(32 - universe_bits)).astype(np.int64))
-        out = None
-        for start in range(0, len(places), 4096):
-            least = ring[places[start : start + 4096]].min(axis=0)
-            out = least if out is None else np.minimum(out, least)
-        return out
+    def shifted(places: np.ndarray, k: int) -> np.ndarray:
+        y = places + _W(k)
+        y ^= y >> _W(16)
+        y *= _W(0x7FEB352D)
+        y ^= y >> _W(15)
+        y *= _W(0x846CA68B)
+        return y
 
-    return sign
+    return lambda shingles, starts: least_by_document(scatter(shingles), starts, coordinates, shifted)
 
 
-def near_groups(spark: SparkSession, docs: DataFrame, banding: near.Banding = PRODUCTION) -> near.Found:
-    """Search ``docs`` (doc_id, text and any other columns)."""
+def _search(spark: SparkSession, docs: DataFrame, banding: near.Banding) -> tuple[near.Found, DataFrame]:
+    """(tables of the search, rows (doc_id, digest, node, label))."""
     need(docs, "doc_id", "text")
-    return near.search(spark, docs, banding, lambda: circulant_signer(banding.coordinates), "near-circulant")
+    found = near.candidates(spark, docs, banding, lambda: circulant_signer(banding.coordinates), "near-circulant")
+    return found, near.grouped(found, near.group_labels(found, banding))
 
 
 def near_dedup_report(spark: SparkSession, docs: DataFrame, banding: near.Banding = PRODUCTION) -> DataFrame:
     """One row a kept document: (doc_id, n_members, chunk, members).
 
-    ``members`` lists the ids of its group, its own among them.  Documents
-    without a word (null, empty, only punctuation) are groups of their own, one
-    a row of ``docs``.  Ties go to the least ``doc_id``, nulls last.  An empty
-    table gives an empty result.
+    ``members`` lists the ids of its group, its own among them; a group of more
+    than 10 000 is spread over rows (``chunk``).  Documents without a word
+    (null, empty, only punctuation) are groups of their own, one a row of
+    ``docs``.  Ties go to the least ``doc_id``, nulls last.  An empty table
+    gives an empty result.
     """
-    found = near_groups(spark, docs, banding)
-    rows = near.grouped(found)
+    found, rows = _search(spark, docs, banding)
     kept = near.earliest(rows)
     listed = rows.join(kept, "label").select(F.col("label").alias("group"), "kept", "doc_id", "size")
-    alone = docs.select("doc_id", near.text_digest(F.col("text")).alias("digest"))
-    known = found.feats.select("digest").distinct()
-    alone = alone.join(known, "digest", "left_anti").select(
+    alone = without_words(docs, found.feats).select(
         F.col("doc_id"), F.lit(1).cast("long").alias("n_members"), F.lit(0).cast("long").alias("chunk"), F.array("doc_id").alias("members")
     )
     return near.member_lists(listed).unionByName(alone)
@@ -82,8 +76,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, banding: near.Banding = PRO
     The least ``doc_id`` of a group stays.  Documents without a word all stay.
     Rows that repeat both id and text count as one document.
     """
-    found = near_groups(spark, docs, banding)
-    rows = near.grouped(found)
+    found, rows = _search(spark, docs, banding)
     joined = rows.join(near.earliest(rows), "label")
     loses = ~(F.col("doc_id").eqNullSafe(F.col("kept")) & (F.col("digest") == F.col("kept_digest")))
     losers = found.ws.table(joined.where(loses).select("doc_id", "digest"), "losers")

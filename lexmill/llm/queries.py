@@ -43,7 +43,7 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.near_pairs(spark, _table(spark, sf_dir, "documents"))
+    return fingerprints.near_classes(spark, _table(spark, sf_dir, "documents"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

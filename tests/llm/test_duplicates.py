@@ -1,8 +1,10 @@
+import dataclasses
 import itertools
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill.llm import exact_mph, fingerprints, near, near_circulant
 from tests.llm.fixtures import SCHEMA, corpus, shingles, similarity
@@ -46,43 +48,54 @@ def test_near_groups_are_those_of_all_pairs(spark):
     assert joined <= allowed
 
 
-@pytest.mark.parametrize(("block_nodes", "most_blocks"), [(512, 256), (3, 256), (3, 1), (512, 0)])
-def test_fingerprint_pairs_are_those_of_all_pairs(spark, monkeypatch, block_nodes, most_blocks):
-    monkeypatch.setattr(near.verify_blocks, "__defaults__", (block_nodes, most_blocks))
+@pytest.mark.parametrize("block_nodes", [3, 256])
+def test_classes_and_links_are_those_of_all_pairs(spark, block_nodes):
+    banding = dataclasses.replace(fingerprints.PRODUCTION, block_nodes=block_nodes)
     texts = texts_of(spark)
-    want = true_pairs(texts, fingerprints.PRODUCTION.threshold)
-    rows = fingerprints.near_pairs(spark, spark.read.parquet(f"{SF}/documents.parquet"), most_blocks=most_blocks).collect()
-    by_set = defaultdict(list)
-    for i in sorted(texts):
-        by_set[frozenset(shingles(texts[i]))].append(i)
-    first = {i: ids[0] for s, ids in by_set.items() for i in ids}
-    got = {(r["doc_id"], r["other_id"]): r["jaccard"] for r in rows}
-    assert set(got) <= want
-    wanted = {(a, b) for a, b in want if first[b] == b and (first[a] == a or first[a] == b)}
-    assert len(wanted & set(got)) >= 0.9 * len(wanted)
-    for (a, b), jaccard in got.items():
-        assert jaccard == pytest.approx(similarity(shingles(texts[a]), shingles(texts[b])), abs=1e-9)
-
-
-@pytest.mark.parametrize("holder_rows", [2, 256])
-def test_copies_have_all_their_near_partners(spark, monkeypatch, holder_rows):
-    monkeypatch.setattr(fingerprints._document_pairs, "__defaults__", (holder_rows,))
+    sets = {i: frozenset(shingles(t)) for i, t in texts.items()}
+    pairs = true_pairs(texts, banding.threshold)
+    pairs |= {(b, a) for a, b in itertools.combinations(sorted(texts), 2) if sets[a] and sets[a] == sets[b]}
+    rows = fingerprints.near_classes(spark, spark.read.parquet(f"{SF}/documents.parquet"), banding).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    wanted = {i: g[0] for g in components(texts, pairs) for i in g}
+    assert sum(r["class_id"] == wanted[r["doc_id"]] for r in rows) >= 0.98 * len(rows)
+    assert all(wanted[r["class_id"]] == wanted[r["doc_id"]] for r in rows)
+    assert all(r["set_id"] == min(i for i in texts if sets[i] == sets[r["doc_id"]]) for r in rows if sets[r["doc_id"]])
+    linked = {frozenset((sets[a], sets[b])) for a, b in pairs if sets[a] != sets[b]}
+    true_links = {s: sum(s in p for p in linked) for s in sets.values()}
+    got = {sets[r["doc_id"]]: r["n_links"] for r in rows}
+    assert all(n <= true_links[s] for s, n in got.items())
+    assert sum(got.values()) >= 0.9 * sum(true_links.values()) > 0
+
+
+@pytest.mark.parametrize("block_nodes", [2, 256])
+def test_copies_are_in_the_class_of_their_texts(spark, block_nodes):
     base = [f"w{i}" for i in range(200)]
     one, two, three = (" ".join(base[:n]) for n in (200, 190, 180))
-    rows = [(i, (one, two, three)[i % 3]) for i in range(15)] + [(20, "alone in the world it is"), (21, one), (21, one), (21, one), (None, two)]
-    got = sorted(((r["doc_id"], r["other_id"]) for r in fingerprints.near_pairs(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=repr)
-    ids = [*range(15), 21, 21, 21, None]
-    assert got == sorted(((b, a) for a, b in itertools.combinations(ids, 2)), key=repr)
-
-
-def test_recall_of_document_pairs_without_restriction(spark):
-    texts = texts_of(spark)
-    want = true_pairs(texts, fingerprints.PRODUCTION.threshold)
-    rows = fingerprints.near_pairs(spark, spark.read.parquet(f"{SF}/documents.parquet")).collect()
-    got = {(r["doc_id"], r["other_id"]) for r in rows}
-    assert got <= want
-    assert len(got) == len(rows)
-    assert len(got) >= 0.9 * len(want)
+    rows = [(i, (one, two, three)[i % 3]) for i in range(15)] + [(20, "alone in the world it is"), (21, one), (21, one), (None, two), (30, ""), (31, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(1)).repartition(3)
+    banding = dataclasses.replace(fingerprints.PRODUCTION, block_nodes=block_nodes)
+    got = sorted((tuple(r) for r in fingerprints.near_classes(spark, docs, banding).collect()), key=repr)
+    wanted = [(i, 0, i % 3, 2) for i in range(15)] + [(20, 20, 20, 0), (21, 0, 0, 2), (21, 0, 0, 2), (None, 0, 1, 2), (30, 30, 30, 0), (31, 31, 31, 0)]
+    assert got == sorted(wanted, key=repr)
+
+
+def test_common_counts_in_steps(monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 300, n, dtype=np.uint32)) for n in (1, 40, 200, 500)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[1:]] for a in sets]
+    for step in (1, 7, 1 << 21):
+        monkeypatch.setattr(near, "_STEP", step)
+        assert near.common_counts(sets, sets[1:]).tolist() == want
+
+
+def test_disjoint_long_texts_share_no_band():
+    rng = np.random.default_rng(9)
+    both = rng.permutation(np.unique(rng.integers(0, 2**32, 4_000_000, dtype=np.uint32)))
+    half = len(both) // 2
+    for sign in (near_circulant.circulant_signer(100), fingerprints.universal_signer(100)):
+        a, b = sign(both, np.array([0, half]))
+        assert not (a == b).any()
 
 
 def test_recall_of_both_signatures_at_the_threshold():
@@ -91,7 +104,7 @@ def test_recall_of_both_signatures_at_the_threshold():
         hits, same = 0, []
         for _ in range(300):
             common, own = rng.integers(0, 2**32, 240, dtype=np.uint32), rng.integers(0, 2**32, (2, 60), dtype=np.uint32)
-            a, b = (sign(np.unique(np.concatenate([common, o]))) for o in own)  # Jaccard 240 / 360
+            a, b = sign(np.concatenate([common, own[0], common, own[1]]), np.array([0, 300]))  # Jaccard 240 / 360
             same.append((a == b).mean())
             hits += (a.reshape(25, 4) == b.reshape(25, 4)).all(axis=1).any()
         assert np.mean(same) == pytest.approx(2 / 3, abs=0.03)
@@ -116,7 +129,7 @@ def test_awkward_rows(spark):
     assert left.count(None) == 3
     empty = docs.limit(0)
     assert near_circulant.near_dedup(spark, empty).count() == near_circulant.near_dedup_report(spark, empty).count() == 0
-    assert fingerprints.near_pairs(spark, empty).count() == exact_mph.exact_dedup_report(spark, empty).count() == 0
+    assert fingerprints.near_classes(spark, empty).count() == exact_mph.exact_dedup_report(spark, empty).count() == 0
 
 
 def test_many_copies_and_a_chain_make_one_group(spark):
@@ -151,8 +164,21 @@ def test_an_outside_history_removes_its_texts(spark):
     assert sorted((r["doc_id"] for r in exact_mph.exact_dedup(spark, docs, history).collect())) == [6, 8]
 
 
-def test_beyond_the_broadcast_bound_the_rows_are_the_same(spark, monkeypatch):
-    docs = spark.createDataFrame(corpus(), SCHEMA)
-    wanted = sorted(map(tuple, near_circulant.near_dedup(spark, docs).collect()), key=repr)
-    monkeypatch.setattr(near, "BROADCAST_BYTES", -1)
-    assert sorted(map(tuple, near_circulant.near_dedup(spark, docs).collect()), key=repr) == wanted
+def test_a_hot_bucket_is_compared_in_blocks(spark):
+    rng = np.random.default_rng(1)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(60):  # distinct texts around one, some of them too far from the leader
+        t = list(base)
+        for k in rng.integers(0, 120, int(rng.integers(1, 12))):
+            t[k] = f"x{rng.integers(1000)}"
+        texts.append(" ".join(t))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = [sorted(map(tuple, near_circulant.near_dedup_report(spark, docs, dataclasses.replace(near_circulant.PRODUCTION, block_nodes=n)).collect())) for n in (4, 256)]
+    assert whole[0] == whole[1]
+    links = [sorted(map(tuple, fingerprints.near_classes(spark, docs, dataclasses.replace(fingerprints.PRODUCTION, block_nodes=n)).collect())) for n in (4, 256)]
+    assert links[0] == links[1]
+    sets = [shingles(t) for t in texts]
+    most = [sum(a is not b and similarity(a, b) >= 0.6 for b in sets) for a in sets]
+    assert all(r[3] <= n for r, n in zip(links[0], most, strict=True))
+    assert sum(r[3] for r in links[0]) >= 0.9 * sum(most)
