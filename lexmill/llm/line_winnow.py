@@ -1,21 +1,29 @@
 """Removal of repeated runs of words by winnowing.
 
-The unit is the word, so a passage that starts or ends inside a line, or has no
-punctuation at all, is matched to its last word.  A *gram* is a run of
-``gram_words`` words.  Within every window of ``window_words`` grams the gram of
-least hash is selected, so any run of at least gram and window words together
-that two places share has a gram selected in both: none is missed by chance.
-
-Selected grams are grouped by hash; each later occurrence is joined with the
-first one (least ``doc_id``, then position), and the words around are compared
-both ways.  Equal runs of at least ``gram_words`` words mark their later words;
-marked runs that touch form one, and runs of at least ``min_words`` words are
-deleted.
+The hashed unit is the word and not the line: passages are repeated from the
+middle of one line to the middle of another, or without any line end, and whole
+lines then miss their first and last words or all of them.  A *gram* is a run of
+``gram_words`` words.  In every window of grams that spans ``min_words`` words the
+gram of least hash is selected, so two equal runs of ``min_words`` words have the
+same gram selected: no such repeat is missed.
+
+1. The selected grams of all documents are joined by hash; those that occur once
+   are done with.
+2. Around every other one, at each of its positions, the match is extended to the
+   left and to the right, word by word, to the runs of ``min_words`` words whose
+   least gram it is.  These are joined by hash in turn, each with *all* other
+   occurrences, and the first in the order of ``doc_id`` and position stays.
+3. Later runs are removed.  A word thus goes if, and only if, it lies in a run of
+   ``min_words`` words that occurs earlier in the corpus, whatever document that is in.
+
+Both joins are by sorted slices of hashes (see ``blobs``): a chunk sends a hash
+once, however often it has it, so boilerplate of a third of all documents is one
+item a chunk, and no two texts are ever brought together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,209 +31,223 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lexmill.llm.common import Workspace, need
-from lexmill.llm.textkernel import SOLID_BYTES, U, blocks, buffers, mix, plain_strings, range_hashes, spans
+from lexmill.llm import blobs
+from lexmill.llm.common import Workspace, need, shards
+from lexmill.llm.textkernel import SOLID_BYTES, U, mix, range_hashes, spans
 
 _NEXT = U(0x9FB21C651E98DF25)
 
 
 @dataclass(frozen=True)
 class Winnowing:
-    """Lengths in words; ``broadcast_bytes`` bounds the runs that are sent to all executors at the end."""
+    """Lengths in words (a removed run has at least ``min_words``), and selected grams of a shard."""
 
     gram_words: int = 15
-    window_words: int = 20
     min_words: int = 30
-    broadcast_bytes: int = 64 << 20
+    shard_grams: int = 4 << 20
+    chunk_bytes: int = 6 << 20
 
+    @property
+    def window(self) -> int:
+        """Grams in a run of ``min_words`` words."""
+        return self.min_words - self.gram_words + 1
 
-def line_ranges(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, last byte + 1, 1, word offsets by text) of every word."""
-    first, end = spans(data, off, SOLID_BYTES)
-    return first, end, np.ones(len(first), dtype=np.int64), np.searchsorted(first, off)
 
+@dataclass
+class Words:
+    """The words of a chunk: byte ranges, offsets by text, hash of the run of ``min_words`` that starts
+    at each start of one, the least gram of that run and where it stands (ties: the first)."""
+
+    first: np.ndarray
+    by_text: np.ndarray
+    start: np.ndarray
+    run: np.ndarray
+    least: np.ndarray
+    at: np.ndarray
 
-def selected_grams(hashes: np.ndarray, words: np.ndarray, by_text: np.ndarray, w: Winnowing) -> tuple[np.ndarray, np.ndarray]:
-    """(word at which each selected gram starts, hash of the gram)."""
+
+def words_of(off: np.ndarray, data: np.ndarray, w: Winnowing) -> Words:
+    first, end = spans(data, off, SOLID_BYTES)
+    hashes = range_hashes(data, first, end)
+    by_text = np.searchsorted(first, off)
     n = len(hashes)
-    if n == 0:
-        return np.zeros(0, dtype=np.int64), hashes
-    start = np.concatenate([[0], np.cumsum(words)])
-    text_end = np.repeat(by_text[1:], np.diff(by_text))
-    stop = np.searchsorted(start, start[:-1] + w.gram_words)
-    valid = stop <= text_end
-    stop = np.where(valid, stop, text_end)
+    left = np.repeat(by_text[1:], np.diff(by_text)) - np.arange(n)  # words to the text's end
     gram = np.zeros(n, dtype=U)
-    live, k = np.flatnonzero(valid), 0
-    while len(live):
-        gram[live] = mix(gram[live] * _NEXT + hashes[live + k] + U(k + 1))
-        k += 1
-        live = live[live + k < stop[live]]
-    places = np.flatnonzero(valid)
-    value, word = gram[places], start[places]
-    last = np.searchsorted(word, word + w.window_words)
-    last = np.minimum(last, np.searchsorted(places, text_end[places]))
-    best, at = value.copy(), np.arange(len(places))
-    live, k = np.arange(len(places)), 1
-    while True:
-        live = live[live + k < last[live]]
-        if not len(live):
-            break
-        lower = live[value[live + k] <= best[live]]
-        best[lower], at[lower] = value[lower + k], lower + k
-        k += 1
-    picked = np.unique(at)
-    return places[picked], value[picked]
-
-
-def _lines(w: Winnowing):  # noqa: ANN202
+    at = np.flatnonzero(left >= w.gram_words)
+    acc = np.zeros(len(at), dtype=U)
+    for k in range(w.gram_words):
+        acc = mix(acc * _NEXT + hashes[at + k] + U(k + 1))
+    gram[at] = acc
+    start = np.flatnonzero(left >= w.min_words)
+    least, offset, run = gram[start], np.zeros(len(start), dtype=np.int64), np.zeros(len(start), dtype=U)
+    for k in range(1, w.window):
+        other = gram[start + k]
+        offset[other < least] = k
+        np.minimum(least, other, out=least)
+    for k in (*range(0, w.window - 1, w.gram_words), w.window - 1):  # these grams cover the run
+        run = mix(run * _NEXT + gram[start + k])
+    return Words(first, by_text, start, run, least, start + offset)
+
+
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct hashes, first place of each, code by item)."""
+    return np.unique(hashes, return_index=True, return_inverse=True)
+
+
+def _send_grams(w: Winnowing, n: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            strings = plain_strings(batch.column("text"))
-            for lo, hi in blocks(strings, 4 << 20):
-                off, data = buffers(strings.slice(lo, hi - lo))
-                first, end, words, by_text = line_ranges(data, off)
-                hashes = range_hashes(data, first, end)
-                at, value = selected_grams(hashes, words, by_text, w)
-                owner = np.searchsorted(at, by_text)
-                local = (at - np.repeat(by_text[:-1], np.diff(owner))).astype(np.int32)
-                picks = pa.StructArray.from_arrays([pa.array(value.view(np.int64)), pa.array(local)], names=["h", "pos"])
-                small = (hashes >> U(32)).astype(np.uint32)
-                cut = list(zip(by_text[:-1], by_text[1:], strict=True))
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        part.column("text"),
-                        pa.array([small[a:b].tobytes() for a, b in cut], type=pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(owner.astype(np.int32)), picks),
-                    ],
-                    names=["doc_id", "text", "hashes", "picks"],
-                )
+            for row in batch.to_pylist():
+                chunk = blobs.read_chunk(row["keys"], row["sizes"], row["texts"])
+                found = words_of(chunk.off, chunk.data, w)
+                _, one = np.unique(found.at, return_index=True)  # a run of each selected gram
+                least, count = np.unique(found.least[one], return_counts=True)
+                twice = count > 1
+                yield blobs.parts([(s, row["chunk"], blobs.steps(least[a:b]), np.packbits(twice[a:b]).tobytes()) for s, a, b in blobs.slices(least, n)])
 
     return run
 
 
-_PICKS = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("pos", T.IntegerType())]))
+def _repeated_grams(table: pa.Table) -> pa.Table:
+    """Which of the grams sent occur more than once, a bit each."""
+    rows = table.to_pylist()
+    hashes = [blobs.unsteps(r["a"]) for r in rows]
+    edge = np.cumsum([0, *map(len, hashes)])
+    twice = np.concatenate([np.unpackbits(np.frombuffer(r["b"], dtype=np.uint8), count=len(h)) for r, h in zip(rows, hashes, strict=True)]).astype(bool)
+    _, code, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    often = twice | (count > 1)[code]
+    return blobs.parts_table([(r["shard"], r["chunk"], np.packbits(often[edge[i] : edge[i + 1]]).tobytes(), None) for i, r in enumerate(rows)])
 
 
-def equal_runs(late: np.ndarray, early: np.ndarray, shift: int, least: int) -> list[tuple[int, int]]:
-    """Maximal runs [start, stop) of words of ``late`` equal to those ``shift`` words before in ``early``."""
-    lo, hi = max(0, shift), min(len(late), len(early) + shift)
-    if hi <= lo:
-        return []
-    same = np.concatenate([[False], late[lo:hi] == early[lo - shift : hi - shift], [False]])
-    edge = np.flatnonzero(same[1:] != same[:-1])
-    return [(int(a) + lo, int(b) + lo) for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= least]
+def _answered(hashes: np.ndarray, replies: list[dict], n_shards: int) -> np.ndarray:
+    """A reply's bit for each of a chunk's sorted distinct hashes."""
+    out = np.zeros(len(hashes), dtype=bool)
+    by_shard = {r["shard"]: r["a"] for r in replies}
+    for s, a, b in blobs.slices(hashes, n_shards):
+        out[a:b] = np.unpackbits(np.frombuffer(by_shard[s], dtype=np.uint8), count=b - a).astype(bool)
+    return out
 
 
-def _extend(w: Winnowing):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            uid, start, stop = [], [], []
-            columns = [batch.column(c).to_pylist() for c in ("uid", "shifts", "late", "early")]
-            for u, shifts, late, early in zip(*columns, strict=True):
-                x, y = np.frombuffer(late, dtype=np.uint32), np.frombuffer(early, dtype=np.uint32)
-                for a, b in merged([r for shift in shifts for r in equal_runs(x, y, shift, w.gram_words)], w.gram_words):
-                    uid.append(u)
-                    start.append(a)
-                    stop.append(b)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(uid, type=pa.int64()), pa.array(start, type=pa.int32()), pa.array(stop, type=pa.int32())], names=["uid", "start", "stop"]
-            )
-
-    return run
+def _candidates(found: Words, replies: list[dict], n: int) -> np.ndarray:
+    """Places of the runs whose least gram occurs more than once."""
+    least, _, code = _distinct(found.least)
+    return np.flatnonzero(_answered(least, replies, n)[code])
 
 
-def merged(runs: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
-    """Unions of touching runs that hold at least so many words."""
-    out: list[list[int]] = []
-    for a, b in sorted(runs):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out if b - a >= least]
-
-
-def cut_out(text: str, runs: list[tuple[int, int]], least: int) -> tuple[str, list[tuple[int, int]]]:
-    """(the text without the runs of words, the runs removed)."""
-    off, data = buffers(plain_strings(pa.array([text], type=pa.large_string())))
-    first, *_ = line_ranges(data, off)
-    gone = merged(runs, least)
-    kept, at = [], 0
-    for a, b in gone:
-        kept.append(data[at : first[a]])
-        at = first[b] if b < len(first) else len(data)
-    kept.append(data[at:])
-    out = b"".join(x.tobytes() for x in kept).decode()
-    if gone and gone[-1][1] == len(first):
-        out = out.rstrip()
-    return out, gone
-
-
-_REMOVED = "array<struct<start: int, stop: int>>"
+def _send_runs(w: Winnowing, n: int) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        row, (grams,) = blobs.split_rows(table, 1)
+        chunk = blobs.read_chunk(row["keys"], row["sizes"], row["texts"])
+        found = words_of(chunk.off, chunk.data, w)
+        at = _candidates(found, grams, n)
+        hashes, first, _ = _distinct(found.run[at])
+        owner = np.searchsorted(found.by_text, found.start[at][first], side="right") - 1
+        keys = chunk.keys[owner]
+        return blobs.parts_table([(s, row["chunk"], blobs.steps(hashes[a:b]), blobs.planes(keys[a:b])) for s, a, b in blobs.slices(hashes, n)])
 
+    return run
 
-def _clean(w: Winnowing):  # noqa: ANN202
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, removed = [], []
-            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                clean, gone = cut_out(text, [(r["start"], r["stop"]) for r in runs], w.min_words)
-                texts.append(clean)
-                removed.append([{"start": a, "stop": b} for a, b in gone])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(texts, type=pa.string()), pa.array(removed, type=kind)], names=["doc_id", "text", "removed"]
-            )
+def _first_runs(table: pa.Table) -> pa.Table:
+    """Which of the runs sent are the first of their hash, a bit each."""
+    rows = table.to_pylist()
+    hashes = [blobs.unsteps(r["a"]) for r in rows]
+    size = [len(h) for h in hashes]
+    edge = np.cumsum([0, *size])
+    together = np.concatenate(hashes)
+    order = np.lexsort((np.repeat([r["chunk"] for r in rows], size), np.concatenate([blobs.unplanes(r["b"], np.int64) for r in rows]), together))
+    ordered = together[order]
+    won = np.zeros(len(order), dtype=bool)
+    won[order] = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(order) else False
+    return blobs.parts_table([(r["shard"], r["chunk"], np.packbits(won[edge[i] : edge[i + 1]]).tobytes(), None) for i, r in enumerate(rows)])
+
+
+def later_runs(found: Words, at: np.ndarray, won: np.ndarray, first: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Places of the candidate runs ``at`` that aren't the first of the corpus."""
+    stays = won[code] & (first[code] == np.arange(len(at)))
+    return found.start[at[~stays]]
+
+
+def _clean(w: Winnowing, n: int, doc_type: pa.DataType) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        row, (grams, firsts) = blobs.split_rows(table, 2)
+        chunk = blobs.read_chunk(row["keys"], row["sizes"], row["texts"])
+        found = words_of(chunk.off, chunk.data, w)
+        at = _candidates(found, grams, n)
+        hashes, first, code = _distinct(found.run[at])
+        gone = later_runs(found, at, _answered(hashes, firsts, n), first, code)
+        n_words = len(found.first)
+        cover = np.cumsum(np.bincount(gone, minlength=n_words + 1) - np.bincount(gone + w.min_words, minlength=n_words + 1)) > 0
+        cover = cover[:n_words]
+        # ranges of removed words; none goes on into the next text
+        opens = cover & ~np.concatenate([[False], cover[:-1]])
+        begins = found.by_text[:-1][np.diff(found.by_text) > 0]
+        opens[begins] = cover[begins]
+        start = np.flatnonzero(opens)
+        text_end = np.repeat(found.by_text[1:], np.diff(found.by_text))[start] if len(start) else start
+        idle = np.flatnonzero(~cover)
+        stop = np.append(idle, n_words)[np.searchsorted(idle, start)] if len(start) else start
+        stop = np.minimum(stop, text_end)
+        # bytes from the first removed word to the next that stays, or to the text's end
+        owner = np.searchsorted(found.by_text, start, side="right") - 1
+        upto = np.where(stop < text_end, np.append(found.first, len(chunk.data))[stop], chunk.off[owner + 1])
+        mark = np.zeros(len(chunk.data) + 1, dtype=np.int32)
+        np.add.at(mark, found.first[start], 1)
+        np.add.at(mark, upto, -1)
+        keep = np.cumsum(mark)[: len(chunk.data)] == 0
+        off = np.concatenate([[0], np.cumsum(keep)])[chunk.off]
+        data = chunk.data[keep].tobytes()
+        texts = pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(data))
+        texts = pa.array([None if z else t for z, t in zip(chunk.null, texts.to_pylist(), strict=True)], type=pa.string()) if chunk.null.any() else texts.cast(pa.string())
+        base = found.by_text[owner]
+        both = np.column_stack([start - base, stop - base]).ravel().astype(np.int32)
+        ends = np.searchsorted(owner, np.arange(len(off))) * 2
+        removed = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(both, type=pa.int32()))
+        return pa.table(
+            {
+                "doc_id": pa.array(row["doc_ids"], type=doc_type),
+                "text": texts,
+                "n_words": pa.array(np.diff(found.by_text).astype(np.int32)),
+                "removed": removed,
+            }
+        )
 
     return run
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, w: Winnowing = Winnowing()) -> DataFrame:  # noqa: B008
-    """(doc_id, text, removed) of every row of ``docs``.
-
-    ``text`` lacks the repeated runs, ``removed`` lists their word ranges
-    [start, stop) in the original.  The first occurrence stays, in the order of
-    ``doc_id`` (nulls last; rows of one id in the order they are stored); a run
-    repeated inside one document loses its later copies too.  A text all of
-    which is a repeat becomes empty; null texts stay null, and texts of fewer
-    than ``min_words`` words are never touched.  An empty table gives an empty
-    result.
+    """(doc_id, text, n_words, removed) of every row of ``docs``.
+
+    ``text`` lacks the repeated runs, each with the white space after it;
+    ``n_words`` counts the words of the original, and ``removed`` lists start and
+    stop of its removed ranges of words, one after another.  The first occurrence
+    stays, in the order of ``doc_id`` (integers by value, other ids by their MD5,
+    nulls last; rows of one id in the order they are stored); a run repeated
+    inside one document loses its later copies too.  A text all of which is a
+    repeat becomes empty (but for white space before its first word); null texts
+    stay null, and texts of fewer than ``min_words`` words are never touched.
+    Other columns are ignored.  An empty table gives an empty result.
     """
     need(docs, "doc_id", "text")
     ws = Workspace(spark, "line-winnow")
     ids = docs.schema["doc_id"].dataType
-    schema = T.StructType(
+    chunks = ws.table(blobs.chunked(docs.select("doc_id", "text"), blobs.order_key(F.col("doc_id"), ids), w.chunk_bytes), "chunks")
+    # selected grams are a known share of the words, and words have two bytes at least
+    n = max(shards(spark), -(-chunks.count() * w.chunk_bytes // (w.window * w.shard_grams)))
+    columns = ["keys", "sizes", "texts"]
+    sent = chunks.select("chunk", *columns).mapInArrow(_send_grams(w, n), blobs.PARTS)
+    grams = ws.table(sent.groupBy("shard").applyInArrow(_repeated_grams, blobs.PARTS), "grams")
+    sent = blobs.with_replies(chunks, columns, grams).groupBy("chunk").applyInArrow(_send_runs(w, n), blobs.PARTS)
+    firsts = ws.table(sent.groupBy("shard").applyInArrow(_first_runs, blobs.PARTS), "firsts")
+    out = T.StructType(
         [
             T.StructField("doc_id", ids),
             T.StructField("text", T.StringType()),
-            T.StructField("hashes", T.BinaryType()),
-            T.StructField("picks", _PICKS),
+            T.StructField("n_words", T.IntegerType()),
+            T.StructField("removed", T.ArrayType(T.IntegerType())),
         ]
     )
-    # the number of a row is fixed when the table is written, and only then
-    numbered = docs.select("doc_id", "text").mapInArrow(_lines(w), schema).withColumn("uid", F.monotonically_increasing_id())
-    lines = ws.table(numbered, "lines")
-    picks = lines.select("uid", "doc_id", F.explode("picks").alias("p")).select("uid", "doc_id", "p.h", "p.pos")
-    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid", "pos")
-    same = Window.partitionBy("h")
-    met = picks.withColumn("first", F.min(place).over(same)).where("not (uid = first.uid and pos = first.pos)")
-    # the words of two texts travel once, however often they meet
-    pairs = met.groupBy("uid", F.col("first.uid").alias("early_uid")).agg(F.collect_set(F.col("pos") - F.col("first.pos")).alias("shifts"))
-    late = lines.select("uid", F.col("hashes").alias("late"))
-    early = lines.select(F.col("uid").alias("early_uid"), F.col("hashes").alias("early"))
-    joined = pairs.join(early, "early_uid").join(late, "uid").select("uid", "shifts", "late", "early")
-    runs = joined.mapInArrow(_extend(w), "uid long, start int, stop int").distinct()
-    marked = ws.table(runs.groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("runs")), "runs")
-    n_bytes = marked.agg(F.sum(96 + 40 * F.size("runs"))).first()[0] or 0  # rows and their places in the broadcast table
-    small = F.broadcast if n_bytes <= w.broadcast_bytes else (lambda x: x)
-    out = T.StructType([T.StructField("doc_id", ids), T.StructField("text", T.StringType()), *T._parse_datatype_string(f"removed {_REMOVED}").fields])
-    texts = lines.select("uid", "doc_id", "text")
-    touched = texts.join(small(marked), "uid").select("doc_id", "text", "runs").mapInArrow(_clean(w), out)
-    whole = texts.join(small(marked.select("uid")), "uid", "left_anti").select("doc_id", "text", F.array().cast(_REMOVED).alias("removed"))
-    return touched.union(whole)
+    rows = blobs.with_replies(chunks, ["doc_ids", *columns], grams, firsts)
+    return rows.groupBy("chunk").applyInArrow(_clean(w, n, to_arrow_type(ids)), out)

@@ -136,6 +136,30 @@ OP9_SQL = """
     SELECT doc_id, 1::BIGINT, 0::BIGINT, [doc_id] FROM documents WHERE text IS NULL"""
 
 
+OP10_SQL = r"""
+    WITH texts AS (
+        SELECT doc_id, text, regexp_extract_all(text, '[^\t\n\v\f\r ]+[\t\n\v\f\r ]*') AS pieces,
+            regexp_extract_all(text, '[^\t\n\v\f\r ]+') AS words, regexp_extract(text, '^[\t\n\v\f\r ]*') AS head
+        FROM documents),
+    runs AS (
+        SELECT doc_id, i, md5(array_to_string(words[i:i + 29], ' ')) AS run FROM texts, range(1, len(words) - 28) t(i)),
+    later AS (
+        SELECT doc_id, i FROM runs QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1),
+    word AS (SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM texts),
+    marked AS (
+        SELECT doc_id, i, piece, coalesce(i - max(later.i) OVER (PARTITION BY doc_id ORDER BY i) < 30, false) AS gone
+        FROM word LEFT JOIN later USING (doc_id, i)),
+    edges AS (
+        SELECT *, lag(gone, 1, false) OVER d AS before, lead(gone, 1, false) OVER d AS after FROM marked WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+    made AS (
+        SELECT doc_id, string_agg(piece, '' ORDER BY i) FILTER (NOT gone) AS kept, count(*) AS n,
+            list(i - 1 ORDER BY i) FILTER (gone AND NOT before) AS starts, list(i ORDER BY i) FILTER (gone AND NOT after) AS stops
+        FROM edges GROUP BY doc_id)
+    SELECT doc_id, head || coalesce(kept, '') AS text, coalesce(n, 0)::INT AS n_words,
+        coalesce(flatten(list_transform(list_zip(starts, stops), lambda x: [x[1], x[2]])), [])::INT[] AS removed
+    FROM texts LEFT JOIN made USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL by query, where SQL can express it."""
-    return {"op1_lm_scoring": OP1_SQL, "op2_url_filters": OP2_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_lm_scoring": OP1_SQL, "op2_url_filters": OP2_SQL, "op9_exact_dedup": OP9_SQL, "op10_line_dedup": OP10_SQL}

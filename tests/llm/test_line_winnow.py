@@ -1,4 +1,8 @@
+import dataclasses
 import random
+import re
+
+import pytest
 
 from lexmill.llm import line_winnow
 from tests.llm.fixtures import SCHEMA, corpus, prose, sentence
@@ -21,25 +25,73 @@ def test_long_repeats_go_and_the_first_stays(spark):
         else:
             assert passage not in got[i]["text"]
             assert got[i]["text"] == text.replace(passage + " ", "")
-            assert sum(r["stop"] - r["start"] for r in got[i]["removed"]) == 60
+            assert sum(b - a for a, b in ranges(got[i])) == 60
+
+
+def ranges(row):
+    return list(zip(row["removed"][::2], row["removed"][1::2], strict=True))
 
 
-def test_any_shared_run_has_a_gram_selected_on_both_sides():
-    import numpy as np
-    import pyarrow as pa
+def brute_force(rows, w):
+    """(text, removed) by row: every run of min_words words that came before goes."""
+    seen, out = set(), []
+    for k in sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0)):
+        text = rows[k][1]
+        words = [m.span() for m in re.finditer(r"[^\t\n\v\f\r ]+", text or "")]
+        cover = [False] * len(words)
+        for i in range(len(words) - w.min_words + 1):
+            run = tuple(text[a:b] for a, b in words[i : i + w.min_words])
+            if run in seen:
+                cover[i : i + w.min_words] = [True] * w.min_words
+            seen.add(run)
+        kept, gone, i = text[: words[0][0]] if words else text, [], 0
+        for i, c in enumerate(cover):
+            stop = words[i + 1][0] if i + 1 < len(words) else len(text)
+            if not c:
+                kept += text[words[i][0] : stop]
+            elif i and cover[i - 1]:
+                gone[-1] = i + 1
+            else:
+                gone += [i, i + 1]
+        out.append((rows[k][0], kept, len(words), gone))
+    return out
 
-    from lexmill.llm.textkernel import buffers, plain_strings, range_hashes
 
-    rng, w = random.Random(3), line_winnow.Winnowing()
-    for _ in range(40):
-        passage = " ".join(sentence(rng, rng.randint(4, 14)) for _ in range(9))
-        texts = [prose(rng, 5) + " " + passage + " " + prose(rng, 5) for _ in range(2)]
-        off, data = buffers(plain_strings(pa.array(texts, type=pa.large_string())))
-        first, end, words, by_text = line_winnow.line_ranges(data, off)
-        hashes = range_hashes(data, first, end)
-        at, value = line_winnow.selected_grams(hashes, words, by_text, w)
-        cut = np.searchsorted(at, by_text[1])
-        assert set(value[:cut].tolist()) & set(value[cut:].tolist())
+@pytest.mark.parametrize("chunk_bytes", [3000, 6 << 20])
+@pytest.mark.parametrize("w", [line_winnow.Winnowing(), line_winnow.Winnowing(gram_words=3, min_words=8), line_winnow.Winnowing(gram_words=8, min_words=8)])
+def test_rows_are_those_of_brute_force(spark, w, chunk_bytes):
+    rng = random.Random(4)
+    passages = [[f"p{rng.randrange(60)}" for _ in range(rng.randint(5, 90))] for _ in range(12)]
+    rows = []
+    for i in range(150):
+        words = []
+        for _ in range(rng.randint(0, 4)):
+            p = rng.choice(passages)
+            a = rng.randrange(len(p))
+            words += p[a : a + rng.randint(1, 80)] + [f"u{rng.randrange(10**6)}" for _ in range(rng.randint(0, 20))]
+        rows.append((i, "".join(x + rng.choice([" ", "\n", "  ", "\t"]) for x in words)))
+    rows += [(200, "again " * 500), (201, "ça va " * 40), (202, " \n"), (203, None), (204, "ça va " * 40)]
+    shuffled = rng.sample(rows, len(rows))
+    docs = spark.createDataFrame(shuffled, "doc_id long, text string").repartition(3)
+    got = line_winnow.dedup_lines(spark, docs, dataclasses.replace(w, chunk_bytes=chunk_bytes)).collect()
+    assert sorted((tuple(r) for r in got)) == sorted(brute_force(rows, w))
+
+
+def test_every_document_of_the_table_as_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    got = line_winnow.dedup_lines(spark, docs).collect()
+    assert any(r["removed"] for r in got)
+    assert sorted(map(tuple, got), key=repr) == sorted(brute_force(rows, line_winnow.Winnowing()), key=repr)
+
+
+def test_ids_that_are_not_integers(spark):
+    rng = random.Random(2)
+    passage = prose(rng, 6)
+    docs = spark.createDataFrame([(x, passage) for x in "abcd"] + [(None, passage)], "doc_id string, text string")
+    got = {r["doc_id"]: r["text"] for r in line_winnow.dedup_lines(spark, docs).collect()}
+    assert sorted(got.values()) == ["", "", "", "", passage]
+    assert got[None] == ""
 
 
 def test_awkward_rows(spark):
@@ -61,13 +113,7 @@ def test_a_run_repeated_inside_one_document(spark):
     passage, other = prose(rng, 6), prose(rng, 6)
     text = f"{passage}\n{other}\n{passage}"
     got = line_winnow.dedup_lines(spark, spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    assert got["text"] == f"{passage}\n{other}"
-
-
-def test_beyond_the_broadcast_bound_the_rows_are_the_same(spark):
-    docs = spark.createDataFrame(corpus(), SCHEMA)
-    rows = [sorted(map(tuple, line_winnow.dedup_lines(spark, docs, w).collect()), key=repr) for w in (line_winnow.Winnowing(), line_winnow.Winnowing(broadcast_bytes=-1))]
-    assert rows[0] == rows[1]
+    assert got["text"] == f"{passage}\n{other}\n"
 
 
 def test_repeats_that_dont_keep_to_lines_go_to_the_last_word(spark):
@@ -82,4 +128,4 @@ def test_repeats_that_dont_keep_to_lines_go_to_the_last_word(spark):
     assert got[0]["removed"] == got[2]["removed"] == []
     assert got[1]["text"] == " ".join(own[1])
     assert got[3]["text"] == " ".join(own[3])
-    assert [tuple(x) for x in got[3]["removed"]] == [(40, 93)]
+    assert got[3]["removed"] == [40, 93]
