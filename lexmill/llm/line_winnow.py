@@ -35,9 +35,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lexmill.llm import blobs
 from lexmill.llm.common import Workspace, need, shards
-from lexmill.llm.textkernel import SOLID_BYTES, U, mix, range_hashes, spans
+from lexmill.llm.textkernel import SOLID_BYTES, U, range_hashes, run_hashes, sliding, spans
 
-_NEXT = U(0x9FB21C651E98DF25)
+
+_NONE = U(0xFFFFFFFFFFFFFFFF)
 
 
 @dataclass(frozen=True)
@@ -57,15 +58,15 @@ class Winnowing:
 
 @dataclass
 class Words:
-    """The words of a chunk: byte ranges, offsets by text, hash of the run of ``min_words`` that starts
-    at each start of one, the least gram of that run and where it stands (ties: the first)."""
+    """The words of a chunk: first bytes, hashes and offsets by text; the starts of runs of ``min_words``
+    words, the hash of the gram at each word (greatest where none is) and the least gram of each run."""
 
     first: np.ndarray
+    hashes: np.ndarray
     by_text: np.ndarray
     start: np.ndarray
-    run: np.ndarray
+    gram: np.ndarray
     least: np.ndarray
-    at: np.ndarray
 
 
 def words_of(off: np.ndarray, data: np.ndarray, w: Winnowing) -> Words:
@@ -74,26 +75,19 @@ def words_of(off: np.ndarray, data: np.ndarray, w: Winnowing) -> Words:
     by_text = np.searchsorted(first, off)
     n = len(hashes)
     left = np.repeat(by_text[1:], np.diff(by_text)) - np.arange(n)  # words to the text's end
-    gram = np.zeros(n, dtype=U)
+    gram = np.full(n, _NONE, dtype=U)
     at = np.flatnonzero(left >= w.gram_words)
-    acc = np.zeros(len(at), dtype=U)
-    for k in range(w.gram_words):
-        acc = mix(acc * _NEXT + hashes[at + k] + U(k + 1))
-    gram[at] = acc
+    gram[at] = np.minimum(run_hashes(hashes, at, w.gram_words), _NONE - U(1))
     start = np.flatnonzero(left >= w.min_words)
-    least, offset, run = gram[start], np.zeros(len(start), dtype=np.int64), np.zeros(len(start), dtype=U)
-    for k in range(1, w.window):
-        other = gram[start + k]
-        offset[other < least] = k
-        np.minimum(least, other, out=least)
-    for k in (*range(0, w.window - 1, w.gram_words), w.window - 1):  # these grams cover the run
-        run = mix(run * _NEXT + gram[start + k])
-    return Words(first, by_text, start, run, least, start + offset)
+    return Words(first, hashes, by_text, start, gram, sliding(gram, w.window, least=True)[start])
 
 
-def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct hashes, first place of each, code by item)."""
-    return np.unique(hashes, return_index=True, return_inverse=True)
+def selected(found: Words, w: Winnowing) -> np.ndarray:
+    """The hash of every selected gram, once for each word at which it is selected."""
+    least = np.zeros(len(found.gram) + w.window - 1, dtype=U)
+    least[found.start + w.window - 1] = found.least
+    # a gram is selected if no run that holds it has a lesser one, ties too
+    return found.gram[found.gram == sliding(least, w.window, least=False)[: len(found.gram)]]
 
 
 def _send_grams(w: Winnowing, n: int):  # noqa: ANN202
@@ -102,8 +96,7 @@ def _send_grams(w: Winnowing, n: int):  # noqa: ANN202
             for row in batch.to_pylist():
                 chunk = blobs.read_chunk(row["keys"], row["sizes"], row["texts"])
                 found = words_of(chunk.off, chunk.data, w)
-                _, one = np.unique(found.at, return_index=True)  # a run of each selected gram
-                least, count = np.unique(found.least[one], return_counts=True)
+                least, count = np.unique(selected(found, w), return_counts=True)
                 twice = count > 1
                 yield blobs.parts([(s, row["chunk"], blobs.steps(least[a:b]), np.packbits(twice[a:b]).tobytes()) for s, a, b in blobs.slices(least, n)])
 
@@ -130,10 +123,13 @@ def _answered(hashes: np.ndarray, replies: list[dict], n_shards: int) -> np.ndar
     return out
 
 
-def _candidates(found: Words, replies: list[dict], n: int) -> np.ndarray:
-    """Places of the runs whose least gram occurs more than once."""
-    least, _, code = _distinct(found.least)
-    return np.flatnonzero(_answered(least, replies, n)[code])
+def _candidates(found: Words, replies: list[dict], n: int, w: Winnowing) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the runs whose least gram occurs more than once."""
+    turns = np.flatnonzero(np.concatenate([[True], found.least[1:] != found.least[:-1]])) if len(found.least) else found.start
+    grams, code = np.unique(found.least[turns], return_inverse=True)
+    often = _answered(grams, replies, n)[code]
+    start = found.start[np.repeat(often, np.diff(np.append(turns, len(found.least))))]
+    return start, run_hashes(found.hashes, start, w.min_words)
 
 
 def _send_runs(w: Winnowing, n: int) -> Callable[[pa.Table], pa.Table]:
@@ -141,9 +137,9 @@ def _send_runs(w: Winnowing, n: int) -> Callable[[pa.Table], pa.Table]:
         row, (grams,) = blobs.split_rows(table, 1)
         chunk = blobs.read_chunk(row["keys"], row["sizes"], row["texts"])
         found = words_of(chunk.off, chunk.data, w)
-        at = _candidates(found, grams, n)
-        hashes, first, _ = _distinct(found.run[at])
-        owner = np.searchsorted(found.by_text, found.start[at][first], side="right") - 1
+        start, run_hash = _candidates(found, grams, n, w)
+        hashes, first = np.unique(run_hash, return_index=True)
+        owner = np.searchsorted(found.by_text, start[first], side="right") - 1
         keys = chunk.keys[owner]
         return blobs.parts_table([(s, row["chunk"], blobs.steps(hashes[a:b]), blobs.planes(keys[a:b])) for s, a, b in blobs.slices(hashes, n)])
 
@@ -164,20 +160,16 @@ def _first_runs(table: pa.Table) -> pa.Table:
     return blobs.parts_table([(r["shard"], r["chunk"], np.packbits(won[edge[i] : edge[i + 1]]).tobytes(), None) for i, r in enumerate(rows)])
 
 
-def later_runs(found: Words, at: np.ndarray, won: np.ndarray, first: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """Places of the candidate runs ``at`` that aren't the first of the corpus."""
-    stays = won[code] & (first[code] == np.arange(len(at)))
-    return found.start[at[~stays]]
-
-
 def _clean(w: Winnowing, n: int, doc_type: pa.DataType) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         row, (grams, firsts) = blobs.split_rows(table, 2)
         chunk = blobs.read_chunk(row["keys"], row["sizes"], row["texts"])
         found = words_of(chunk.off, chunk.data, w)
-        at = _candidates(found, grams, n)
-        hashes, first, code = _distinct(found.run[at])
-        gone = later_runs(found, at, _answered(hashes, firsts, n), first, code)
+        begin, run_hash = _candidates(found, grams, n, w)
+        hashes, first = np.unique(run_hash, return_index=True)
+        stays = np.zeros(len(begin), dtype=bool)
+        stays[first[_answered(hashes, firsts, n)]] = True
+        gone = begin[~stays]
         n_words = len(found.first)
         cover = np.cumsum(np.bincount(gone, minlength=n_words + 1) - np.bincount(gone + w.min_words, minlength=n_words + 1)) > 0
         cover = cover[:n_words]

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,23 +149,35 @@ def bucket_members(reps: DataFrame, banding: Banding) -> DataFrame:
     return rows.select("bucket", "node", "x").join(kept, "bucket").select("bucket", "node", "n_blocks", (F.col("x") == F.col("lead")).alias("leads"))
 
 
+def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [pa.compress(t.as_buffer(), "zstd", asbytes=True) if t.is_valid else None for t in plain_strings(batch.column("text"))]
+        sizes = pc.binary_length(batch.column("text")).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), _binary(texts), sizes], names=["doc_id", "digest", "z", "n_bytes"])
+
+
 def node_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, shingles) of the wanted nodes (node, doc_id, digest), read from their documents' texts."""
+    """(node, shingles) of the wanted nodes (node, doc_id, digest), read from their documents' texts.
+
+    Texts are joined by key, and travel compressed: an exchange's own codec hardly shortens them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = []
-            for shingles, off in shingle_blocks(batch.column("text"), n):
+            texts = [pa.decompress(z.as_buffer(), k.as_py(), "zstd", asbytes=True) for z, k in zip(batch.column("z"), batch.column("n_bytes"), strict=True)]
+            for shingles, off in shingle_blocks(pa.array(texts, type=pa.large_binary()).cast(pa.large_string()), n):
                 for i in range(len(off) - 1):
                     steps = shingles[off[i] : off[i + 1]].copy()
                     steps[1:] -= shingles[off[i] : off[i + 1] - 1]
                     sets.append(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("node"), _binary(sets)], names=["node", "shingles"])
 
-    texts = docs.select("doc_id", text_digest(F.col("text")).alias("digest"), "text").alias("t")
-    found = texts.join(
+    texts = docs.where("text is not null").select("doc_id", text_digest(F.col("text")).alias("digest"), "text")
+    schema = T.StructType([*texts.schema.fields[:2], T.StructField("z", T.BinaryType()), T.StructField("n_bytes", T.LongType())])
+    found = texts.mapInArrow(_shrink, schema).alias("t").join(
         wanted.alias("w"), (F.col("t.digest") == F.col("w.digest")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
-    ).select("w.node", "t.text")
+    ).select("w.node", "t.z", "t.n_bytes")
     return found.mapInArrow(run, "node binary, shingles binary")
 
 

@@ -111,6 +111,25 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U))
 
 
+def run_hashes(hashes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the run of ``length`` items that begins at each start, of the items' hashes."""
+    power, inverse = _power_tables(len(hashes) + 1)
+    total = np.empty(len(hashes) + 1, dtype=U)
+    total[0] = 0
+    np.cumsum(hashes * power[: len(hashes)], out=total[1:])
+    return mix((total[starts + length] - total[starts]) * inverse[starts] + U(length))
+
+
+def sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
+    """The least (or greatest) of the ``width`` items from each place on; fewer at the end."""
+    out, done, op = x.copy(), 1, np.minimum if least else np.maximum
+    while done < width and done < len(x):
+        k = min(done, width - done)
+        out[:-k] = op(out[:-k], out[k:])
+        done += k
+    return out
+
+
 def word_hashes(strings: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word in order, word offsets by text) of plain strings."""
     hashes, offsets, base = [], [np.zeros(1, dtype=np.int64)], 0
