@@ -4,27 +4,33 @@ The distinct SHA-256 digests of the *historical* documents are spread over
 shards; each shard is a minimal perfect hash of BBHash kind (levels of bit
 vectors; a key is placed at the first level where no other key has its bit).
 Slot s of a shard holds the full digest of the key placed there and the locator
-(``doc_id``) of its winner.  A later digest is looked up by the hash and then
-compared byte by byte with the slot's digest: equal, it is a repeat of the
-slot's winner; else it is no member, and nonmembers are grouped by digest among
-themselves.  The index is a written table, one row a shard.
+(``doc_id``) of its winner.  Every later document's digest is looked up by the
+hash and then compared byte by byte with the slot's digest: equal, the document
+is a repeat of the slot's winner and done with; else it is no member.  Only
+nonmembers are then grouped by digest among themselves.  The index is a written
+table, one row a shard; a shard that many rows ask for, as they do for a text of
+which there are very many copies, is copied to several tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexmill.llm import near
 from lexmill.llm.common import Workspace, need, shards
 from lexmill.llm.textkernel import U, mix
 
 DIGEST_BYTES = 32
-SHARD_KEYS = 500_000
+#: Documents of a shard of the index, and rows that are looked up in one task.
+SHARD_KEYS, TASK_ROWS = 200_000, 1_000_000
 _MAX_LEVELS = 60
 
 
@@ -92,95 +98,129 @@ class PerfectHash:
         return cls(levels)
 
 
-INDEX_SCHEMA = "shard long, n long, sizes array<long>, bits binary, digests binary, locators array<long>"
+def _index_schema(ids: T.DataType) -> T.StructType:
+    fields = {"shard": T.LongType(), "sizes": T.ArrayType(T.LongType()), "bits": T.BinaryType(), "digests": T.BinaryType(), "locators": T.ArrayType(ids)}
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
 
 
-def _build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    words = _words(pdf["digest"].tolist())
-    hashed = PerfectHash.build(words)
-    slots = hashed.slots(words)
-    digests, locators = np.empty_like(words), [None] * len(words)
-    digests[slots] = words
-    for slot, doc in zip(slots, pdf["winner"].tolist(), strict=True):
-        locators[slot] = None if pd.isna(doc) else int(doc)
-    sizes, bits = hashed.to_bytes()
-    return pd.DataFrame(
-        {"shard": [int(pdf["shard"].iloc[0])], "n": [len(words)], "sizes": [sizes], "bits": [bits], "digests": [digests.tobytes()], "locators": [locators]}
-    )
-
-
-def _look_up(keys: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    """Winner of every distinct digest of a shard: the index's where it is a member, else its own first."""
-    member = np.zeros(len(keys), dtype=bool)
-    winner = [None if pd.isna(x) else int(x) for x in keys["first"]]
-    if len(index) and len(keys):
-        row = index.iloc[0]
-        hashed = PerfectHash.from_bytes(list(row["sizes"]), row["bits"])
-        held = np.frombuffer(row["digests"], dtype=U).reshape(-1, 4)
-        words = _words(keys["digest"].tolist())
+def _build_shard(ids: pa.DataType) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        words = _words(table.column("digest").to_pylist())
+        hashed = PerfectHash.build(words)
         slots = hashed.slots(words)
-        member = (slots >= 0) & (held[np.maximum(slots, 0)] == words).all(axis=1)
-        for i in np.flatnonzero(member):
-            doc = row["locators"][slots[i]]
-            winner[i] = None if doc is None or pd.isna(doc) else int(doc)
-    return pd.DataFrame({"digest": keys["digest"], "winner": pd.array(winner, dtype="Int64"), "historical": member, "size": keys["size"]})
+        digests, at = np.empty_like(words), np.empty(len(slots), dtype=np.int64)
+        digests[slots] = words
+        at[slots] = np.arange(len(slots))
+        locators = table.column("winner").combine_chunks().take(pa.array(at))
+        sizes, bits = hashed.to_bytes()
+        return pa.table(
+            {
+                "shard": table.column("shard").slice(0, 1),
+                "sizes": pa.array([sizes], type=pa.list_(pa.int64())),
+                "bits": pa.array([bits], type=pa.binary()),
+                "digests": pa.array([digests.tobytes()], type=pa.binary()),
+                "locators": pa.ListArray.from_arrays(pa.array([0, len(slots)], type=pa.int32()), locators.cast(ids)),
+            }
+        )
+
+    return run
+
+
+def _look_up(ids: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(rows: pa.Table, index: pa.Table) -> pa.Table:
+        """The rows, each with whether it is a member and with its winner if so."""
+        member, winner = np.zeros(len(rows), dtype=bool), pa.nulls(len(rows), type=ids)
+        if len(index) and len(rows):
+            sizes, bits, digests = (index.column(c)[0].as_py() for c in ("sizes", "bits", "digests"))
+            held = np.frombuffer(digests, dtype=U).reshape(-1, 4)
+            words = _words(rows.column("digest").to_pylist())
+            slots = PerfectHash.from_bytes(sizes, bits).slots(words)
+            member = (slots >= 0) & (held[np.maximum(slots, 0)] == words).all(axis=1)
+            winner = index.column("locators")[0].values.take(pa.array(slots, mask=~member))
+        return pa.table({"doc_id": rows.column("doc_id"), "digest": rows.column("digest"), "member": pa.array(member), "winner": winner})
+
+    return run
 
 
 @dataclass
 class Winners:
-    """Written tables of one run."""
+    """Written tables of one run: (doc_id, digest); (doc_id, digest, winner, historical) of every row with a text."""
 
     ws: Workspace
     digests: DataFrame
-    index: DataFrame
-    winners: DataFrame
+    resolved: DataFrame
 
 
-def build_index(spark: SparkSession, ws: Workspace, digests: DataFrame) -> DataFrame:
-    """The index table of historical (doc_id, digest) rows; the least ``doc_id`` wins."""
-    distinct = ws.table(digests.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("winner")), "distinct")
-    n = max(shards(spark), -(-distinct.count() // SHARD_KEYS))
-    keyed = distinct.withColumn("shard", _shard(n))
-    return ws.table(keyed.groupBy("shard").applyInPandas(_build_shard, INDEX_SCHEMA).withColumn("of", F.lit(n)), "index")
+def _shard(n: int) -> Column:
+    return F.pmod(F.xxhash64("digest"), F.lit(n))
 
 
-def _shard(n: int | Column) -> Column:
-    return F.pmod(F.xxhash64("digest"), F.lit(n) if isinstance(n, int) else n)
+def build_index(ws: Workspace, old: DataFrame, n_shards: int) -> tuple[DataFrame, DataFrame]:
+    """(distinct historical digests and winners, the index table) of (doc_id, digest) rows; the least ``doc_id`` wins."""
+    ids = old.schema["doc_id"].dataType
+    distinct = ws.table(old.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("winner")), "distinct")
+    keyed = distinct.withColumn("shard", _shard(n_shards))
+    return distinct, ws.table(keyed.groupBy("shard").applyInArrow(_build_shard(to_arrow_type(ids)), _index_schema(ids)), "index")
 
 
-def look_up(digests: DataFrame, index: DataFrame, n_shards: int) -> DataFrame:
-    """(digest, winner, historical, size) of the distinct digests of (doc_id, digest) rows."""
-    distinct = digests.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("size"))
-    keyed = distinct.withColumn("shard", _shard(n_shards))
-    out = "digest binary, winner long, historical boolean, size long"
-    return keyed.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_look_up, out)
+def look_up(rows: DataFrame, index: DataFrame, n_shards: int, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(doc_id, digest, member, winner) of (doc_id, digest) rows, each looked up by itself.
+
+    Rows of a shard beyond ``task_rows`` are spread by their id over copies of
+    the shard, so that a text of any number of copies fills no task.
+    """
+    ids = rows.schema["doc_id"].dataType
+    keyed = rows.withColumn("shard", _shard(n_shards))
+    copies = keyed.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(task_rows)).alias("n"))
+    keyed = keyed.join(F.broadcast(copies), "shard")  # a number for each of the shards that the session has
+    keyed = keyed.withColumn("copy", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("n"))).drop("n")
+    held = index.join(F.broadcast(copies), "shard").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).drop("n")
+    out = T.StructType([rows.schema["doc_id"], rows.schema["digest"], T.StructField("member", T.BooleanType()), T.StructField("winner", ids)])
+    return keyed.groupBy("shard", "copy").cogroup(held.groupBy("shard", "copy")).applyInArrow(_look_up(to_arrow_type(ids)), out)
+
+
+def _middle(digests: DataFrame) -> object:
+    """An id that has about half of the ids before it."""
+    kind = digests.schema["doc_id"].dataType
+    if isinstance(kind, T.IntegralType):
+        low, high = digests.agg(F.min("doc_id"), F.max("doc_id")).first()
+        return None if low is None else low + (high - low) // 2
+    return digests.where("doc_id is not null").agg(F.min_by("doc_id", F.md5(F.col("doc_id").cast("string")))).first()[0]
 
 
 def find_winners(spark: SparkSession, docs: DataFrame, history: DataFrame | None = None) -> Winners:
-    """Digest every document, index the historical ones and look all up.
+    """Digest every document, index the historical ones and look up all others.
 
-    Without ``history`` (doc_id, text) the older half of the id range of
-    ``docs`` is the history: ids grow as documents come in, so the winner of a
-    group is its least ``doc_id``.
+    Without ``history`` (doc_id, text) the older part of ``docs`` is the history:
+    the lower half of the range of integer ids, or the ids up to a middling one
+    where they aren't integers.  The winner of a group is its least ``doc_id``.
     """
     need(docs, "doc_id", "text")
     ws = Workspace(spark, "exact-mph")
-    digests = ws.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest")), "digests")
+    digests = ws.table(docs.select("doc_id", text_digest(F.col("text")).alias("digest")), "digests")
+    some = digests.where("digest is not null")
     if history is None:
-        low, high = digests.agg(F.min("doc_id"), F.max("doc_id")).first()
-        middle = 0 if low is None else low + (high - low) // 2
-        old = digests.where(F.col("doc_id") <= middle)
+        is_old = F.coalesce(F.col("doc_id") <= F.lit(_middle(digests)), F.lit(False))
+        old, new = some.where(is_old), some.where(~is_old)
     else:
         need(history, "doc_id", "text")
-        old = history.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"))
-    index = build_index(spark, ws, old)
-    ws_n = index.select("of").first()
-    winners = ws.table(look_up(digests, index, ws_n[0] if ws_n else shards(spark)), "winners")
-    return Winners(ws, digests, index, winners)
+        kind = docs.schema["doc_id"].dataType
+        old, new = history.select(F.col("doc_id").cast(kind).alias("doc_id"), text_digest(F.col("text")).alias("digest")), some
+    n = max(shards(spark), -(-digests.count() // SHARD_KEYS))
+    distinct, index = build_index(ws, old, n)
+    found = ws.table(look_up(new, index, n), "looked-up")
+    members = found.where("member").select("doc_id", "digest", "winner", F.lit(True).alias("historical"))
+    strangers = found.where("not member").select("doc_id", "digest")
+    groups = strangers.groupBy("digest").agg(F.min("doc_id").alias("winner"))
+    resolved = members.unionByName(strangers.join(groups, "digest").select("doc_id", "digest", "winner", F.lit(False).alias("historical")))
+    if history is None:
+        own = old.join(distinct, "digest").select("doc_id", "digest", "winner", F.lit(True).alias("historical"))
+        resolved = resolved.unionByName(own)
+    return Winners(ws, digests, ws.table(resolved, "resolved"))
 
 
 def exact_dedup_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row a kept document: (doc_id, n_members, chunk, members).
+    """One row a kept document: (doc_id, n_members, chunk, members); ids of any type that has an order.
 
     ``members`` lists the ids of all documents with the same text, the kept one
     among them (chunked, see ``near.member_lists``).  A null text repeats no
@@ -189,7 +229,8 @@ def exact_dedup_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
     empty result.
     """
     found = find_winners(spark, docs)
-    rows = found.digests.join(found.winners, "digest").select(F.col("digest").alias("group"), F.col("winner").alias("kept"), "doc_id", "size")
+    sizes = found.resolved.groupBy("digest").agg(F.count("*").alias("size"))
+    rows = found.resolved.join(sizes, "digest").select(F.col("digest").alias("group"), F.col("winner").alias("kept"), "doc_id", "size")
     alone = found.digests.where("digest is null").select(
         "doc_id", F.lit(1).cast("long").alias("n_members"), F.lit(0).cast("long").alias("chunk"), F.array("doc_id").alias("members")
     )
@@ -204,10 +245,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, history: DataFrame | None
     rows that repeat both id and text count as one document.
     """
     found = find_winners(spark, docs, history)
-    joined = found.digests.join(found.winners, "digest")
     loses = ~F.col("doc_id").eqNullSafe(F.col("winner"))
     if history is not None:
         loses = loses | F.col("historical")
-    losers = found.ws.table(joined.where(loses).select("doc_id", "digest"), "losers")
+    losers = found.ws.table(found.resolved.where(loses).select("doc_id", "digest"), "losers")
     repeats = found.digests.where("digest is not null").groupBy("doc_id", "digest").count().where("count > 1")
     return near.drop_losers(docs, text_digest, losers, repeats)

@@ -5,6 +5,10 @@ events fill *lines*, which end at line ends of the source and at block-level
 tags; a line's ratio is its text characters over its tags (at least one).  The
 ratios are smoothed by a Gaussian and split into two clusters by one-dimensional
 2-means; lines in the upper cluster are content.
+
+What stands in scripts, styles, heads and the like is no line.  Such an element
+has to be closed: one that isn't (but for scripts and styles, which swallow the
+page in a browser too) hides nothing.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -27,6 +32,10 @@ BLOCK_TAGS = frozenset(
     "header hr html legend li main nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 SILENT_TAGS = frozenset("head script style noscript template svg iframe object textarea".split())
+#: Silent up to the page's end if they aren't closed.
+_RAW_TAGS = frozenset(("script", "style"))
+#: What a head may hold; any other tag ends it.
+_HEAD_TAGS = frozenset("base link meta noscript script style template title".split())
 _SPACE = re.compile(r"\s+")
 
 
@@ -39,7 +48,10 @@ class Smoothing:
 
 
 class _Lines(HTMLParser):
-    """Collects (text, number of tags) by line."""
+    """Collects (text, number of tags) by line.
+
+    A silent element is read like any other, and taken back when it is closed.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -47,8 +59,7 @@ class _Lines(HTMLParser):
         self.tags: list[int] = []
         self.parts: list[str] = []
         self.count = 0
-        self.silent: str | None = None
-        self.depth = 0
+        self.open: list[tuple[str, int, list[str], int]] = []  # silent elements, and what there was before them
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
@@ -57,14 +68,19 @@ class _Lines(HTMLParser):
             self.tags.append(self.count)
         self.parts, self.count = [], 0
 
+    def take_back(self, k: int) -> None:
+        """To what there was before the k-th open silent element."""
+        _, n, self.parts, self.count = self.open[k]
+        del self.texts[n:], self.tags[n:], self.open[k:]
+
     def handle_starttag(self, tag: str, attrs: list) -> None:  # noqa: ARG002
-        if self.silent is not None:
-            self.depth += tag == self.silent
-            if tag != "body":
-                return
-            self.silent = None
+        if tag == "body" or (self.open and self.open[-1][0] == "head" and tag not in _HEAD_TAGS):
+            heads = [k for k, x in enumerate(self.open) if x[0] == "head"]
+            if heads:
+                self.take_back(heads[0])
         if tag in SILENT_TAGS:
-            self.silent, self.depth = tag, 1
+            self.open.append((tag, len(self.texts), self.parts, self.count))
+            self.parts, self.count = [], 0
             return
         if tag in BLOCK_TAGS:
             self.flush()
@@ -75,32 +91,64 @@ class _Lines(HTMLParser):
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if self.silent is not None:
-            if tag == self.silent:
-                self.depth -= 1
-                if self.depth == 0:
-                    self.silent = None
+        if tag in SILENT_TAGS:
+            own = [k for k, x in enumerate(self.open) if x[0] == tag]
+            if own:
+                self.take_back(own[-1])
             return
         self.count += 1
         if tag in BLOCK_TAGS:
             self.flush()
 
     def handle_data(self, data: str) -> None:
-        if self.silent is not None:
-            return
         head, *rest = data.split("\n")
         self.parts.append(head)
         for line in rest:
             self.flush()
             self.parts.append(line)
 
+    def finish(self) -> None:
+        raw = [k for k, x in enumerate(self.open) if x[0] in _RAW_TAGS]
+        if raw:
+            self.take_back(raw[0])
+        kept = [part for x in self.open for part in x[2]]
+        counts = sum(x[3] for x in self.open)
+        self.parts, self.count = kept + self.parts, counts + self.count
+        self.flush()
+
+
+_OPENERS = re.compile(r"<[!?/a-zA-Z]")
+
+
+def closable(html: str) -> tuple[str, str]:
+    """(what the parser can read in one go, the text after the last tag).
+
+    After the last ``>`` no tag can end, and a comment that isn't closed is no
+    comment: fed as they are, each start of one would make the parser search the
+    rest of the page.
+    """
+    stop = html.rfind(">") + 1
+    last = html.rfind("-->", 0, stop)
+    head, tail = html[:stop], html[stop:]
+    if "<!--" in head[max(0, last) :]:
+        cut = max(0, last)
+        head = head[:cut] + head[cut:].replace("<!--", "")
+    for opener, closer in (("<?", ">"), ("<![", "]"), ("<!", ">")):
+        cut = head.rfind(closer) + 1
+        if opener in head[cut:]:
+            head = head[:cut] + head[cut:].replace(opener, "")
+    return head, unescape(_OPENERS.split(tail, maxsplit=1)[0])
+
 
 def page_lines(html: str) -> tuple[list[str], list[int]]:
     """Text and number of tags of every line of a page."""
     parser = _Lines()
-    parser.feed(html)
+    head, tail = closable(html)
+    parser.feed(head)
     parser.close()
-    parser.flush()
+    if tail and not (parser.open and parser.open[-1][0] in _RAW_TAGS):
+        parser.handle_data(tail)
+    parser.finish()
     return parser.texts, parser.tags
 
 
@@ -147,7 +195,8 @@ def _extract(s: Smoothing):  # noqa: ANN202
                     lines.append(0)
                     kept.append(0)
                     continue
-                texts, tags = page_lines(html.as_py())
+                page = html.as_py()
+                texts, tags = page_lines(page.decode("utf-8", "replace") if isinstance(page, bytes) else page)
                 mask = content_mask(texts, tags, s) if texts else np.zeros(0, dtype=bool)
                 out.append("\n".join(t for t, k in zip(texts, mask, strict=True) if k))
                 lines.append(len(texts))
@@ -163,9 +212,10 @@ def _extract(s: Smoothing):  # noqa: ANN202
 def extract_pages(pages: DataFrame, s: Smoothing = Smoothing()) -> DataFrame:  # noqa: B008
     """(page_id, url, text, n_lines, n_content) of every row of ``pages``; narrow, no shuffle.
 
-    Null HTML gives a null text; empty HTML, or HTML without text, gives an empty
+    Binary HTML is read as UTF-8, with a mark for bytes that aren't.  Null HTML
+    gives a null text; empty HTML, or HTML without text, gives an empty
     text.  A page of one line, or of equal ratios, is content throughout.
-    Malformed markup is read as the parser recovers it.
+    Malformed markup is read as the parser recovers it; a tag that never ends is dropped.
     """
     need(pages, "page_id", "url", "html")
     schema = T.StructType(

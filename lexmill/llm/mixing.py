@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexmill.llm.common import Workspace, need, packed
+from lexmill.llm.common import Workspace, need, packed, shards
 from lexmill.llm.textkernel import SOLID_BYTES, blocks, buffers, plain_strings, spans
 
 BISECTIONS = 60
@@ -101,6 +101,11 @@ def _block_of(h: Column, n_blocks: Column) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % n_blocks
 
 
+def _turn(mixing: Mixing) -> Column:
+    """What sorts the blocks of an epoch into its permutation."""
+    return F.md5(F.concat_ws("|", F.lit(mixing.seed), F.col("epoch").cast("string"), F.coalesce("source", F.lit("")), F.col("block").cast("string")))
+
+
 def plan(spark: SparkSession, docs: DataFrame, mixing: Mixing) -> tuple[DataFrame, DataFrame, list[dict]]:
     """(copies by block, ranks by block and epoch, summary by source).
 
@@ -125,7 +130,7 @@ def plan(spark: SparkSession, docs: DataFrame, mixing: Mixing) -> tuple[DataFram
     placed = sizes.join(F.broadcast(sources.select(F.col("source").alias("s"), "epochs", "rest", "n_blocks")), F.col("source").eqNullSafe(F.col("s")))
     placed = placed.withColumn("block", _block_of(F.col("h"), F.col("n_blocks")))
     per_block = ws.table(placed.groupBy("source", "epochs", "rest", "n_blocks", "block").agg(F.sum("n_tokens").alias("n")), "blocks")
-    order = F.md5(F.concat_ws("|", F.lit(mixing.seed), F.col("epoch").cast("string"), F.coalesce("source", F.lit("")), F.col("block").cast("string")))
+    order = _turn(mixing)
     turns = per_block.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs")))).withColumn("o", order)
     by_epoch = Window.partitionBy("source", "epoch").orderBy("o", "block")
     turns = turns.withColumn("block_rank", F.row_number().over(by_epoch).cast("long") - 1).withColumn("upto", F.sum("n").over(by_epoch))
@@ -176,6 +181,12 @@ def mix(spark: SparkSession, docs: DataFrame, mixing: Mixing = Mixing()) -> Data
 
 
 def mix_rows(spark: SparkSession, docs: DataFrame, mixing: Mixing = Mixing()) -> DataFrame:  # noqa: B008
-    """The rows of ``docs`` that the mixture takes, columns unchanged, repeated once an epoch."""
+    """The rows of ``docs`` that the mixture takes, columns unchanged, repeated once an epoch.
+
+    They are returned, and so written, in training order: by epoch, then block
+    after block in the permutation of the epoch's blocks of all sources, then by
+    the hash of the id within a block.
+    """
     rows, _ = mixed_rows(spark, docs, mixing)
-    return rows.select("row.*")
+    order = [F.col("epoch"), _turn(mixing), F.col("source"), F.col("block"), F.col("h")]
+    return rows.repartitionByRange(shards(spark), *order).sortWithinPartitions(*order).select("row.*")

@@ -448,6 +448,6 @@ def member_lists(rows: DataFrame, chunk_rows: int = 10_000) -> DataFrame:
     return (
         rows.withColumn("chunk", chunk)
         .groupBy("group", "kept", "size", "chunk")
-        .agg(F.sort_array(F.collect_list("doc_id")).alias("members"))
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id"))), lambda x: x["doc_id"]).alias("members"))  # null ids too
         .select(F.col("kept").alias("doc_id"), F.col("size").alias("n_members"), "chunk", "members")
     )

@@ -1,6 +1,6 @@
 """Order-preserving packing into training windows by dynamic programming.
 
-Documents stay in the order of ``doc_id`` and are cut, only at document or
+Documents stay in order and are cut, only at document or
 sentence ends, into windows of ``capacity`` tokens.  A window of fewer tokens is
 padded, one of more is truncated; the cuts minimise
 
@@ -11,9 +11,11 @@ least ``f(i) + pad * P(i)`` over the i whose window fits, a sliding window kept
 in a monotone queue, or the least ``f(i) - truncate * P(i)`` over all earlier i,
 a running minimum: one pass, linear in the sentences.
 
-The order is cut into blocks of about ``block_docs`` consecutive documents that
+The order is cut by rank into blocks of ``block_docs`` consecutive documents that
 are packed independently, each ending its last window; that is what is
-distributed, and the cost is at most one padded window a block.
+distributed, and the cost is at most one padded window a block.  The order is
+that of ``doc_id``, or the order in which documents are stored, so that what a
+mixture has permuted stays so.
 """
 
 from __future__ import annotations
@@ -23,13 +25,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import Window
 
-from lexmill.llm.common import Workspace, need
+from lexmill.llm.common import Workspace, need, shards
 from lexmill.llm.textkernel import SOLID_BYTES, blocks, buffers, plain_strings, spans
 
 _STOPS = np.zeros(256, dtype=bool)
@@ -112,21 +115,21 @@ def best_cuts(lengths: np.ndarray, document_end: np.ndarray, p: Packing) -> tupl
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lengths = [x.tobytes() for x in sentence_lengths(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("block"), batch.column("doc_id"), batch.column("tie"), pa.array(lengths, type=pa.binary())],
-            names=["block", "doc_id", "tie", "lengths"],
-        )
+        columns = [batch.column("doc_id"), batch.column("place"), pa.array(lengths, type=pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "place", "lengths"])
 
 
-_SPAN = "array<struct<doc_id: bigint, start: int, stop: int>>"
-SCHEMA = f"block long, window int, n_tokens int, padding int, truncated int, doc_ids array<long>, spans {_SPAN}"
+def _schema(ids: T.DataType) -> T.StructType:
+    span = T.StructType([T.StructField("doc_id", ids), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
+    numbers = [T.StructField(c, T.IntegerType()) for c in ("window", "n_tokens", "padding", "truncated")]
+    return T.StructType([T.StructField("block", T.LongType()), *numbers, T.StructField("doc_ids", T.ArrayType(ids)), T.StructField("spans", T.ArrayType(span))])
 
 
-def _packer(p: Packing):  # noqa: ANN202
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "tie"], na_position="last", kind="stable")
-        per_doc = [np.frombuffer(x, dtype=np.int32) for x in pdf["lengths"]]
-        ids = [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
+def _packer(p: Packing, schema: pa.Schema):  # noqa: ANN202
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rank")
+        per_doc = [np.frombuffer(x, dtype=np.int32) for x in table.column("lengths").to_pylist()]
+        ids = table.column("doc_id").to_pylist()
         sizes = np.array([len(x) for x in per_doc])
         rows = []
         if sizes.sum():
@@ -137,7 +140,7 @@ def _packer(p: Packing):  # noqa: ANN202
             cuts, _ = best_cuts(lengths, ends, p)
             total = np.concatenate([[0], np.cumsum(lengths)])
             base = total[np.concatenate([[0], np.cumsum(sizes)])]
-            start = 0
+            block, start = table.column("block")[0].as_py(), 0
             for k, stop in enumerate(cuts):
                 parts = []
                 for d in range(owner[start], owner[stop - 1] + 1):
@@ -145,41 +148,59 @@ def _packer(p: Packing):  # noqa: ANN202
                     if b > a:
                         parts.append({"doc_id": ids[d], "start": int(a - base[d]), "stop": int(b - base[d])})
                 n = int(total[stop] - total[start])
-                rows.append((k, n, max(0, p.capacity - n), max(0, n - p.capacity), [x["doc_id"] for x in parts], parts))
+                rows.append((block, k, n, max(0, p.capacity - n), max(0, n - p.capacity), [x["doc_id"] for x in parts], parts))
                 start = stop
-        out = pd.DataFrame(rows, columns=["window", "n_tokens", "padding", "truncated", "doc_ids", "spans"])
-        out.insert(0, "block", pdf["block"].iloc[0])
-        return out
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
+        return pa.Table.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return pack
 
 
-def pack_windows(spark: SparkSession, docs: DataFrame, packing: Packing = Packing()) -> DataFrame:  # noqa: B008
+def stored_place() -> Column:
+    """Where a row is stored, of a table read from files: the order of file names, then of rows."""
+    return F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+def id_place() -> Column:
+    """The order of ``doc_id``, nulls last; of one id, that of the MD5 of the texts."""
+    return F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.md5("text").alias("tie"))
+
+
+def ranked(ws: Workspace, units: DataFrame) -> DataFrame:
+    """``units`` (place) with ``rank``, from 0 on, in the order of place.
+
+    Rows are partitioned by ranges of the order, and a partition's first rank is
+    the number of rows before it: no window spans more than one partition.
+    """
+    order = ["place", "uid"]  # the number of a stored row tells equal places apart
+    n = max(shards(ws.spark), 1)
+    sorted_units = units.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id())
+    held = ws.table(sorted_units, "ordered")
+    counts = sorted((r["part"], r["count"]) for r in held.groupBy("part").count().collect())  # a number a partition
+    before = np.concatenate([[0], np.cumsum([c for _, c in counts])]).tolist()
+    starts = ws.spark.createDataFrame([(p, b) for (p, _), b in zip(counts, before, strict=False)], "part int, before long")
+    within = Window.partitionBy("part").orderBy(*order)
+    return held.withColumn("k", F.row_number().over(within)).join(F.broadcast(starts), "part").withColumn("rank", F.col("k") - 1 + F.col("before"))
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, packing: Packing = Packing(), place: Column | None = None) -> DataFrame:  # noqa: B008
     """One row a window: (block, window, n_tokens, padding, truncated, doc_ids, spans).
 
     ``spans`` lists the token ranges [start, stop) of its documents, in order;
     ``n_tokens`` counts all of them, the last ``truncated`` of which lie beyond
     the capacity.  Every token of every document is in exactly one window.
-    Documents without a token (null, empty, white space) are in none; null ids
-    come last, in a block of their own; rows with one id are ordered by the
-    MD5 of their texts and each is packed.  A sentence longer than the
-    capacity is a truncated window.  An empty table gives no windows.
+    Documents are taken in the order of ``place``: by default ``id_place`` (ids of
+    any type that has an order, null ids last, rows of one id by the MD5 of
+    their texts), or ``stored_place``.  Each of several equal rows is packed.
+    Documents without a token (null, empty, white space) are in no window.  A
+    sentence longer than the capacity is a truncated window.  An empty table
+    gives no windows.
     """
     need(docs, "doc_id", "text")
     ws = Workspace(spark, "packing")
-    ids = F.col("doc_id").cast("long")
-    low, high, n = docs.agg(F.min(ids), F.max(ids), F.count(ids)).first()
-    low = low or 0
-    span = max(1, -(-((high or 0) - low + 1) * packing.block_docs // max(1, n)))
-    block = F.floor((ids - F.lit(low)) / F.lit(span)).cast("long")
-    keyed = docs.select(block.alias("block"), ids.alias("doc_id"), F.md5("text").alias("tie"), "text")
-    schema = T.StructType(
-        [
-            T.StructField("block", T.LongType()),
-            T.StructField("doc_id", T.LongType()),
-            T.StructField("tie", T.StringType()),
-            T.StructField("lengths", T.BinaryType()),
-        ]
-    )
-    units = ws.table(keyed.mapInArrow(_units, schema), "units")
-    return units.groupBy("block").applyInPandas(_packer(packing), SCHEMA)
+    keyed = docs.select("doc_id", (id_place() if place is None else place).alias("place"), "text")
+    schema = T.StructType([*keyed.schema.fields[:2], T.StructField("lengths", T.BinaryType())])
+    units = ws.table(keyed.mapInArrow(_units, schema).withColumn("uid", F.monotonically_increasing_id()), "units")
+    blocks_of = ranked(ws, units).withColumn("block", F.floor(F.col("rank") / F.lit(packing.block_docs)).cast("long"))
+    out = _schema(docs.schema["doc_id"].dataType)
+    return blocks_of.select("block", "rank", "doc_id", "lengths").groupBy("block").applyInArrow(_packer(packing, to_arrow_schema(out)), out)

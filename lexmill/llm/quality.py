@@ -1,8 +1,8 @@
 """Quality classifier by supervised subword embeddings.
 
 A document is the average of learned vectors of its features: every white-space
-word, hashed as a whole; the byte n-grams of the word between boundary marks; and
-the word bigrams.  A bigram is hashed by the exclusive or of its words, so it has
+word, hashed as a whole; the character n-grams of the word between boundary marks
+(characters are those of Unicode, never parts of one); and the word bigrams.  A bigram is hashed by the exclusive or of its words, so it has
 no order, and all bigrams of a word with itself are one feature.  A softmax layer gives class probabilities.
 Vectors and layer are trained together by stochastic gradient descent in numpy
 on a bounded sample of labelled documents.
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +37,7 @@ class Training:
     word_buckets: int = 1 << 16
     gram_buckets: int = 1 << 17
     pair_buckets: int = 1 << 16
-    gram_bytes: tuple[int, ...] = (3, 4)
+    gram_characters: tuple[int, ...] = (3, 4)
     dimensions: int = 16
     epochs: int = 8
     learning_rate: float = 0.7
@@ -54,7 +55,7 @@ class Folded:
 
 @dataclass
 class Model:
-    """Input vectors (words, byte n-grams, word bigrams), output layer and bias; class 1 is good."""
+    """Input vectors (words, character n-grams, word bigrams), output layer and bias; class 1 is good."""
 
     vectors: np.ndarray
     layer: np.ndarray
@@ -77,13 +78,15 @@ def _word_features(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes:
     """(features, offsets by word): the word's own feature, then those of its n-grams.
 
     The marks before and after the word are part of the n-grams at its ends: such
-    an n-gram is one byte shorter and salted by the side.
+    an n-gram is one character shorter and salted by the side.
     """
     n_words = len(start)
+    characters = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # where each begins
+    start, end = np.searchsorted(characters, start), np.searchsorted(characters, end)
     features = [(hashes % U(t.word_buckets)).astype(np.int64)]
     owners = [np.arange(n_words)]
     length = end - start
-    for n in t.gram_bytes:
+    for n in t.gram_characters:
         for salt, size, at_start, at_end in ((0, n, False, False), (1, n - 1, True, False), (2, n - 1, False, True)):
             if at_start or at_end:
                 owner = np.flatnonzero(length >= size)
@@ -92,7 +95,7 @@ def _word_features(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes:
                 count = np.maximum(length - n + 1, 0)
                 owner = np.repeat(np.arange(n_words), count)
                 a = start[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-            h = range_hashes(data, a, a + size)
+            h = range_hashes(data, characters[a], characters[a + size])
             h = mix(h + U(salt * 0x9E37 + n))
             features.append((h % U(t.gram_buckets)).astype(np.int64) + t.word_buckets)
             owners.append(owner)
@@ -177,11 +180,17 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], classes: np.ndarray, t: T
 
 
 def _sample(docs: DataFrame, labels: DataFrame, t: Training) -> DataFrame:
-    """(doc_id, quality, text) of the labelled documents with the least id hashes."""
+    """(doc_id, quality, text) of at most ``sample_rows`` labelled documents, those with the least id hashes.
+
+    Only labels of documents that are there count.  Of several labels of one id
+    the least quality holds; of several texts the one of least MD5.
+    """
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(t.sample_rows)
-    once = docs.select("doc_id", "text").where("text is not null")
-    return once.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    held = docs.where("text is not null and doc_id is not null").select("doc_id", F.md5("text").alias("m"))
+    both = held.groupBy("doc_id").agg(F.min("m").alias("m")).join(known, "doc_id")
+    chosen = both.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(t.sample_rows)
+    texts = docs.select("doc_id", "text").withColumn("m", F.md5("text"))
+    return texts.join(F.broadcast(chosen), ["doc_id", "m"]).dropDuplicates(["doc_id"]).select("doc_id", "quality", "text")
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, t: Training = Training()) -> Folded:  # noqa: B008
@@ -213,12 +222,13 @@ def _scored(docs: DataFrame, model: Folded, t: Training) -> DataFrame:
     """(row, p_good) with all columns of ``docs`` in row."""
     folded = docs.sparkSession.sparkContext.broadcast(model.weights)  # one number a bucket, whatever the input
     prior = model.prior
-    rows = packed(docs, F.col("text").alias("t"))
+    rows = packed(docs)
+    place = [c.lower() for c in docs.columns].index("text")
     schema = T.StructType([rows.schema["row"], T.StructField("p_good", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = score_texts(batch.column("t"), folded.value, prior, t)
+            p = score_texts(pc.struct_field(batch.column("row"), [place]).cast(pa.string()), folded.value, prior, t)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(p, type=pa.float64())], names=["row", "p_good"])
 
     return rows.mapInArrow(run, schema)

@@ -22,7 +22,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(list(url_trie.PRODUCTION_RULES), "entry string, action string")
+    rules = spark.createDataFrame(url_trie.read_rules(url_trie.PRODUCTION_LIST), "entry string, action string")
     return url_trie.filter_urls(spark, _table(spark, sf_dir, "pages"), rules)
 
 
@@ -89,7 +89,7 @@ OP2_SQL = r"""
         FROM keys JOIN rules ON key = entry GROUP BY page_id)
     SELECT page_id, url, coalesce(action, 'allow') AS action, entry, coalesce(depth, 0)::INT AS depth
     FROM pages LEFT JOIN best USING (page_id)""".replace(
-    "{rules}", ", ".join(f"('{entry}', '{action}')" for entry, action in url_trie.PRODUCTION_RULES)
+    "{rules}", ", ".join(f"('{entry}', '{action}')" for entry, action in url_trie.read_rules(url_trie.PRODUCTION_LIST))
 )
 
 OP1_SQL = r"""

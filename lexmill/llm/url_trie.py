@@ -13,8 +13,11 @@ URLs, which has the same result.
 
 from __future__ import annotations
 
+import csv
 import pickle
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,20 +29,18 @@ from lexmill.llm.common import need
 
 TRIE_BYTES = 64 << 20
 
-PRODUCTION_RULES: tuple[tuple[str, str], ...] = (
-    ("example.net", "block"),
-    ("tionsh.example.net", "allow"),
-    ("tionsh.example.net/de", "block"),
-    ("thering.example.org", "block"),
-    ("www.thering.example.org/fr", "allow"),
-    ("blog.tionble.example.com/en", "block"),
-    ("m.example.com", "block"),
-    ("m.tiontion.example.com", "block"),
-    ("m.tiontion.example.com/de", "allow"),
-    ("example.org", "allow"),
-    ("m.thther.example.org/es", "block"),
-    ("tionsh.example.net/es", "block"),
-)
+#: What an entry's label or segment takes in a worker: a dictionary, its place in the parent and the string.
+_PART_BYTES, _ENTRY_BYTES = 480, 320
+
+#: The list that the registered query applies: unwanted hosts, and exceptions below them.
+PRODUCTION_LIST = str(Path(__file__).with_name("url_rules.csv"))
+
+
+def read_rules(path: str) -> list[tuple[str, str]]:
+    """(entry, action) of a list with these two columns; lines that start with # are comments."""
+    with Path(path).open(encoding="utf-8", newline="") as lines:
+        rows = csv.DictReader(line for line in lines if not line.startswith("#"))
+        return [(r["entry"], r["action"]) for r in rows]
 
 
 def _host(url: Column) -> Column:
@@ -108,9 +109,15 @@ class Trie:
         return found
 
 
-def _match(trie_bytes: bytes):  # noqa: ANN202
+@lru_cache(maxsize=1)
+def _trie(entries: bytes) -> Trie:
+    """Built once a worker, whatever number of tasks it runs."""
+    return Trie(pickle.loads(entries))  # noqa: S301
+
+
+def _match(entries):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(pickle.loads(trie_bytes))  # noqa: S301
+        trie = _trie(entries.value)
         for batch in batches:
             found = [trie.longest(a, b) or ("allow", None, 0) for a, b in zip(batch.column("l").to_pylist(), batch.column("s").to_pylist(), strict=True)]
             action, entry, depth = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [])
@@ -134,7 +141,8 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: DataFrame, trie_by
     need(rules, "entry", "action")
     keyed = entry_keys(rules.select("entry", "action"))
     # the list is measured where it lies; only a list within the bound comes to the driver
-    size = keyed.agg(F.sum(F.aggregate("key", F.lit(64), lambda n, x: n + F.length(x) + 16))).first()[0] or 0
+    parts = F.size("key") * F.lit(_PART_BYTES) + F.length(F.concat_ws("", "key")) + F.length("entry")
+    size = keyed.agg(F.sum(parts + F.lit(_ENTRY_BYTES))).first()[0] or 0
     labels, segments = url_keys(F.col("url"))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), labels.alias("l"), segments.alias("s"))
     if size > trie_bytes:
@@ -149,7 +157,8 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: DataFrame, trie_by
             T.StructField("depth", T.IntegerType()),
         ]
     )
-    return rows.mapInArrow(_match(pickle.dumps(sorted(entries, key=lambda e: e[0]))), schema)
+    sent = spark.sparkContext.broadcast(pickle.dumps(sorted(entries, key=lambda e: e[0])))
+    return rows.mapInArrow(_match(sent), schema)
 
 
 def match_by_join(rows: DataFrame, keyed: DataFrame) -> DataFrame:

@@ -182,3 +182,22 @@ def test_a_hot_bucket_is_compared_in_blocks(spark):
     most = [sum(a is not b and similarity(a, b) >= 0.6 for b in sets) for a in sets]
     assert all(r[3] <= n for r, n in zip(links[0], most, strict=True))
     assert sum(r[3] for r in links[0]) >= 0.9 * sum(most)
+
+
+def test_hot_digests_are_looked_up_in_copies_of_their_shard(spark):
+    old = spark.createDataFrame([(1, "hot"), (2, "cold")], "doc_id long, text string")
+    new = spark.range(10, 3010).selectExpr("id as doc_id", "case when id % 3 = 0 then concat('own', id) else 'hot' end as text")
+    ws = exact_mph.Workspace(spark, "test")
+    digest = lambda df: ws.table(df.select("doc_id", exact_mph.text_digest(F.col("text")).alias("digest")), df.columns[0] + str(df.count()))
+    _, index = exact_mph.build_index(ws, digest(old), 4)
+    found = exact_mph.look_up(digest(new), index, 4, task_rows=100).collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(10, 3010))
+    assert all(r["member"] == (r["doc_id"] % 3 > 0) and r["winner"] == (1 if r["member"] else None) for r in found)
+
+
+def test_exact_copies_of_string_ids(spark):
+    rows = [("b", "x"), ("a", "x"), ("c", "y"), (None, "x"), ("d", None), ("e", ""), ("f", "")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert sorted(r["doc_id"] for r in exact_mph.exact_dedup(spark, docs).collect()) == ["a", "c", "d", "e"]
+    report = {r["doc_id"]: (r["n_members"], set(r["members"])) for r in exact_mph.exact_dedup_report(spark, docs).collect()}
+    assert report == {"a": (3, {"a", "b", None}), "c": (1, {"c"}), "d": (1, {"d"}), "e": (2, {"e", "f"})}

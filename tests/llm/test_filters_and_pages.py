@@ -1,5 +1,7 @@
 import math
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -98,3 +100,65 @@ def test_smoothing_and_threshold_against_brute_force():
     error = lambda t: sum(((c - c.mean()) ** 2).sum() for c in (x[x < t], x[x >= t]) if len(c))
     assert error(html_cetr.threshold(x)) == pytest.approx(min(error(t) for t in x))
     assert html_cetr.threshold(np.array([2.0, 2.0])) == 2.0
+
+
+def test_unclosed_silent_elements_hide_nothing():
+    for tag in ("svg", "noscript", "template", "object", "iframe"):
+        assert html_cetr.page_lines(f"<p>one</p><{tag}><p>two</p><p>three")[0] == ["one", "two", "three"]
+        assert html_cetr.page_lines(f"<p>one</p><{tag}><p>two</p></{tag}><p>three")[0] == ["one", "three"]
+    assert html_cetr.page_lines("<head><title>t</title><p>text")[0] == ["text"]
+    assert html_cetr.page_lines("<p>a</p><script>var b = '<p>c</p>'")[0] == ["a"]
+    assert html_cetr.page_lines("1 <!-- no --> 2 <!-- open 3 <b>4</b> <unended")[0] == ["1 2 open 3 4"]
+
+
+@pytest.mark.parametrize("piece", ["<a <b ", "<!-- ", '<a b="', "</a ", "<!x ", "<?x ", "<![CDATA[ ", "<svg><p>", "<!-- > "])
+def test_malformed_pages_take_linear_time(piece):
+    began = time.process_time()
+    html_cetr.page_lines(piece * (200_000 // len(piece)))
+    html_cetr.page_lines(piece * (200_000 // len(piece)) + ">")
+    assert time.process_time() - began < 10
+
+
+def test_binary_pages(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>ça va</p>".encode()), (2, "u", b"<p>\xff</p>"), (3, "u", None)], "page_id long, url string, html binary")
+    assert [r["text"] for r in html_cetr.extract_pages(pages).orderBy("page_id").collect()] == ["ça va", "\ufffd", None]
+
+
+def test_rows_are_those_of_brute_force(spark):
+    """Pages of paragraphs and inline tags, read here by a split at the tags."""
+    rng = random.Random(7)
+    pages = []
+    for i in range(60):
+        out = []
+        for _ in range(rng.randint(1, 25)):
+            words = [rng.choice(["word", "<b>bold</b>", "<i>x</i>", "&amp;", "longerword"]) for _ in range(rng.choice([1, 2, 3, 40]))]
+            out.append(f"<{(t := rng.choice(['p', 'div', 'li']))}>{' '.join(words)}</{t}>")
+        pages.append((i, "".join(out)))
+
+    def brute(html):
+        texts, tags = [], []
+        for line in re.findall(r"<(?:p|div|li)>.*?</(?:p|div|li)>", html):
+            texts.append(" ".join(re.sub(r"<[^>]*>", "", line).replace("&amp;", "&").split()))
+            tags.append(line.count("<"))
+        ratio = [math.log1p(len(t) / max(1, n)) for t, n in zip(texts, tags, strict=True)]
+        weight = lambda d: math.exp(-0.5 * d * d) if abs(d) <= 3 else 0.0
+        smooth = [sum(weight(i - j) * x for j, x in enumerate(ratio)) / sum(weight(i - j) for j in range(len(ratio))) for i in range(len(ratio))]
+        if max(smooth) - min(smooth) < 1e-12:
+            return "\n".join(texts)
+        values = sorted(set(smooth))
+        spread = lambda part: sum((x - sum(part) / len(part)) ** 2 for x in part)
+        cuts = [(spread([x for x in smooth if x <= v]) + spread([x for x in smooth if x > v]), v) for v in values[:-1]]
+        cut = min(cuts)[1]
+        return "\n".join(t for t, x in zip(texts, smooth, strict=True) if x > cut)
+
+    table = spark.createDataFrame([(i, "u", h) for i, h in pages], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_cetr.extract_pages(table).collect()}
+    same = sum(got[i] == brute(h) for i, h in pages)
+    assert same >= 58  # equal splits may fall either way
+
+
+def test_the_registered_list_blocks_unwanted_hosts_only():
+    trie_rows = dict(url_trie.read_rules(url_trie.PRODUCTION_LIST))
+    assert trie_rows["casino-win.example.com"] == "block"
+    assert set(trie_rows.values()) == {"allow", "block"}
+    assert not {"example.com", "example.net", "example.org"} & set(trie_rows)

@@ -111,3 +111,38 @@ def test_every_token_is_in_one_window(spark):
         assert at == n
     assert sum(w["n_tokens"] for w in windows) == sum(len((r[1] or "").split()) for r in rows)
     assert packing.pack_windows(spark, docs.limit(0)).count() == 0
+
+
+def test_a_far_id_does_not_fill_a_block(spark):
+    rows = [(i, "One two three.") for i in range(500)] + [(10**12, "far."), (-(2**63), "least."), (2**63 - 1, "most."), (None, "none.")]
+    windows = packing.pack_windows(spark, spark.createDataFrame(rows, "doc_id long, text string"), packing.Packing(capacity=30, block_docs=50)).collect()
+    windows.sort(key=lambda r: (r["block"], r["window"]))
+    assert {r["block"] for r in windows} == set(range(11))
+    assert [i for r in windows for i in r["doc_ids"]] == [-(2**63), *range(500), 10**12, 2**63 - 1, None]
+
+
+def test_ids_of_any_type_in_their_order(spark):
+    rows = [(f"d{i:03}", f"Text {i} ends.") for i in range(40)] + [(None, "last.")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    windows = sorted(packing.pack_windows(spark, docs, packing.Packing(capacity=9, block_docs=10)).collect(), key=lambda r: (r["block"], r["window"]))
+    assert [i for r in windows for i in r["doc_ids"]] == [r[0] for r in rows]
+
+
+def test_windows_follow_the_mixture(spark, tmp_path):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, prose(rng, rng.randint(1, 4)), "ab"[i % 3 == 0]) for i in range(300)], "doc_id long, text string, source string").repartition(5)
+    m = mixing.Mixing(budget=0.9, max_repetition=1.0, block_tokens=300)
+    mixing.mix_rows(spark, docs, m).write.parquet(str(tmp_path / "mixed"))
+    windows = packing.pack_windows(spark, spark.read.parquet(str(tmp_path / "mixed")), packing.Packing(block_docs=40), packing.stored_place()).collect()
+    seen = list(dict.fromkeys(i for r in sorted(windows, key=lambda r: (r["block"], r["window"])) for i in r["doc_ids"]))
+    taken = {r["doc_id"]: r for r in mixing.mix(spark, docs, m).collect()}
+    assert set(seen) == set(taken)
+    places = defaultdict(list)
+    for at, i in enumerate(seen):
+        places[taken[i]["source"], taken[i]["block"]].append(at)
+    assert all(x == list(range(x[0], x[0] + len(x))) for x in places.values())  # a block's documents stand together
+    for source in "ab":
+        order = sorted((x[0], taken[seen[x[0]]]["block_rank"]) for (s, _), x in places.items() if s == source)
+        assert [rank for _, rank in order] == sorted(rank for _, rank in order)
+    assert len(places) > 8
+    assert seen != sorted(seen)

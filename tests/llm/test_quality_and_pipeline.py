@@ -1,5 +1,7 @@
 import itertools
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +37,49 @@ def test_awkward_rows_are_scored(spark):
     assert quality.keep_good(spark, docs, only).count() == len(rows)
 
 
+def test_scores_are_those_of_the_forward_pass():
+    t = quality.Training(word_buckets=1 << 9, gram_buckets=1 << 9, pair_buckets=1 << 9, epochs=3)
+    texts = pa.array(["good words here", "ça va très bien", "naïve 日本語 text", "", None, "a", "spam spam SPAM " * 50, "日本 ok"])
+    features = list(quality.document_features(texts, t))
+    model = quality.fit(features, np.array([1, 1, 0, 0, 1, 0, 0, 1]), t)
+    folded = model.folded()
+    scores = quality.score_texts(texts, folded.weights, folded.prior, t)
+    for (at, share), score in zip(features, scores, strict=True):
+        logits = (share @ model.vectors[at] if len(at) else np.zeros(t.dimensions)) @ model.layer + model.bias
+        p = np.exp(logits - logits.max())
+        assert score == pytest.approx(p[1] / p.sum(), abs=1e-4)
+
+
+def test_features_are_words_character_n_grams_and_pairs():
+    t = quality.Training(word_buckets=1 << 30, gram_buckets=1 << 30, pair_buckets=1 << 30)
+
+    def count(text):
+        """Distinct features by brute force, over characters."""
+        words, found = text.split(), set()
+        for w in words:
+            found.add(("w", w))
+            for n in t.gram_characters:
+                found |= {("g", n, w[i : i + n]) for i in range(len(w) - n + 1)}
+                if len(w) >= n - 1:
+                    found |= {("a", n, w[: n - 1]), ("z", n, w[1 - n :])}
+        return len(found | {("p", frozenset(x)) for x in itertools.pairwise(words)})
+
+    texts = ["ça va très bien", "日本語 日本 語", "plain ascii text of some words", "ééé eee"]
+    assert [len(f) for f, _ in quality.document_features(pa.array(texts), t)] == [count(x) for x in texts]
+
+
+def test_the_bound_counts_labelled_documents_that_are_there(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)] + [(7, "another text of seven")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100, 8000)] + [(7, 1), (7, 0)], "doc_id long, quality int")
+    t = quality.Training(sample_rows=90)
+    rows = [{tuple(r) for r in quality._sample(docs.repartition(n), labels, t).collect()} for n in (1, 3)]
+    assert rows[0] == rows[1]
+    assert len(rows[0]) == 90
+    whole = {tuple(r) for r in quality._sample(docs, labels, quality.Training()).collect()}
+    assert len(whole) == 101
+    assert [r for r in whole if r[0] == 7][0][1] == 0
+
+
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("stages")
