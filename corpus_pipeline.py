@@ -35,13 +35,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
-    """Sources are brought to their target weights."""
+    """Sources are brought to their target weights; what is taken is stored in training order."""
     return mixing.mix_rows(spark, docs, MIXING)
 
 
 def window_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
-    """Documents are packed into windows; one row a window."""
-    return packing.pack_windows(spark, docs)
+    """Documents are packed into windows in the order in which the mixture stored them; one row a window."""
+    return packing.pack_windows(spark, docs, place=packing.stored_place())
 
 
 STAGES: list[tuple[str, Stage]] = [
