@@ -176,7 +176,7 @@ def node_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     texts = docs.where("text is not null").select("doc_id", text_digest(F.col("text")).alias("digest"), "text")
     schema = T.StructType([*texts.schema.fields[:2], T.StructField("z", T.BinaryType()), T.StructField("n_bytes", T.LongType())])
     found = texts.mapInArrow(_shrink, schema).alias("t").join(
-        wanted.alias("w"), (F.col("t.digest") == F.col("w.digest")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
+        wanted.hint("merge").alias("w"), (F.col("t.digest") == F.col("w.digest")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
     ).select("w.node", "t.z", "t.n_bytes")
     return found.mapInArrow(run, "node binary, shingles binary")
 
@@ -421,11 +421,10 @@ def drop_losers(docs: DataFrame, digest: Callable[[Column], Column], losers: Dat
     """``docs`` without the losers (doc_id, digest); of rows that repeat both, one stays.
 
     ``losers`` is a written table; ``repeats`` lists the (doc_id, digest) that
-    several rows have.  The join is the planner's: rows are partitioned by key,
-    unless it finds the losers small enough to send.
+    several rows have.  Rows are partitioned by key at every size.
     """
     rows = packed(docs, F.col("doc_id").alias("i"), digest(F.col("text")).alias("d"))
-    gone = losers.select(F.col("doc_id").alias("li"), F.col("digest").alias("ld"))
+    gone = losers.select(F.col("doc_id").alias("li"), F.col("digest").alias("ld")).hint("merge")
     rows = rows.join(gone, (F.col("d") == F.col("ld")) & F.col("i").eqNullSafe(F.col("li")), "left_anti")
     if not repeats.isEmpty():
         again = repeats.select(F.col("doc_id").alias("ri"), F.col("digest").alias("rd")).distinct()
