@@ -11,6 +11,7 @@ import argparse
 import sys
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,13 @@ def _lexicon(spark: SparkSession, folder: str | None) -> DataFrame:
     return lexicon.keyed_lexicon(dictionaries.read_lexicon(spark, f"{folder}/lexicon.txt"), dictionaries.read_keys(spark, f"{folder}/key.cfg"))
 
 
+def _lexicon_expressions(spark: SparkSession, folder: str | None) -> dict[str, str]:
+    try:
+        return dictionaries.read_expressions(spark, f"{folder}/expression.txt") if folder else {}
+    except AnalysisException:  # a lexicon needn't have any
+        return {}
+
+
 def prepare(spark: SparkSession, a: Arguments) -> dict[str, DataFrame]:
     drop = () if a.keep_all_speakers else tuple(a.drop_speakers.split(",")) if a.drop_speakers else MODERATORS
     docs = documents.import_directory(spark, a.corpus, a.text_column, drop)
@@ -39,6 +47,7 @@ def prepare(spark: SparkSession, a: Arguments) -> dict[str, DataFrame]:
         stopwords=dictionaries.read_stopwords(spark, a.stopwords) if a.stopwords else (),
         synonyms=dictionaries.read_synonyms(spark, a.synonyms) if a.synonyms else {},
         expressions=dictionaries.read_user_expressions(spark, a.expressions) if a.expressions else {},
+        lexicon_expressions=_lexicon_expressions(spark, a.dictionaries),
         adverbs_active=not a.no_adverbs,
         unknown_active=not a.unknown_supplementary,
         min_token_length=a.min_token_len,
@@ -61,10 +70,18 @@ def _variable(p: Prepared, name: str, alias: str) -> DataFrame:
     return p.segments.select("uci_id", "uce_id").join(values, "uci_id").select("uce_id", alias)
 
 
+def _few(values: DataFrame, most: int) -> list[str]:
+    """The distinct values in order; an error beyond so many."""
+    rows = values.distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise LexicalError(f"more than {most} values of {values.columns[0]}")
+    return sorted(r[0] for r in rows)
+
+
 def _names(p: Prepared, asked: str | None) -> list[str]:
     if asked:
         return asked.split(",")
-    return sorted(r["k"] for r in p.documents.select(F.explode(F.map_keys("variables")).alias("k")).distinct().limit(1000).collect())
+    return _few(p.documents.select(F.explode(F.map_keys("variables")).alias("k")), 1000)
 
 
 def run_chd(spark: SparkSession, a: Arguments) -> dict[str, DataFrame]:
@@ -133,7 +150,7 @@ def run_labbe(spark: SparkSession, a: Arguments) -> dict[str, DataFrame]:
 def run_emotions(spark: SparkSession, a: Arguments) -> dict[str, DataFrame]:
     p = read_prepared(spark, a.prepared)
     words = spark.read.csv(a.lexicon, header=True, sep=";").select("form", "emotion")
-    names = sorted(r["emotion"] for r in words.select("emotion").distinct().limit(100).collect())
+    names = _few(words.select("emotion"), 100)
     each = sentiment.emotions(p.documents, words, names, "uci_id")
     out = {"emotions": each, "emotions_mean": sentiment.mean_emotions(each, names)}
     for v in _names(p, a.variables):
@@ -195,8 +212,8 @@ def run_all(spark: SparkSession, a: Arguments) -> dict[str, DataFrame]:
     for name in ("chd", "afc", "simi", "lda", "labbe", "extras", "saturation", "report"):
         try:
             main([name, a.prepared], spark)
-        except LexicalError as error:  # the other stages don't need this one
-            print(f"{name}: {error}", file=sys.stderr)
+        except Exception as error:  # the other stages may still run  # noqa: BLE001
+            print(f"{name}: {str(error).splitlines()[0] if str(error) else type(error).__name__}", file=sys.stderr)
     return {}
 
 

@@ -11,12 +11,14 @@ class Preparation:
     """How tokens become active forms.
 
     ``expressions`` maps phrases of words (joined by a space) to their
-    replacement; ``synonyms`` maps variants to canonical lemmas.
+    replacement, those of the lexicon (``lexicon_expressions``) in a second pass;
+    ``synonyms`` maps variants to canonical lemmas.
     """
 
     stopwords: tuple[str, ...] = ()
     synonyms: dict[str, str] = field(default_factory=dict)
     expressions: dict[str, str] = field(default_factory=dict)
+    lexicon_expressions: dict[str, str] = field(default_factory=dict)
     adverbs_active: bool = True
     unknown_active: bool = True
     min_token_length: int = 1

@@ -29,21 +29,34 @@ def log_choose(n: Column, k: Column) -> Column:
     return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
 
 
+#: Terms of a tail beyond these are under a 1e-16th of it, whatever its length.
+_BLOCK = 512
+
+
 def hypergeometric_tail(k: Column, total: Column, row: Column, column: Column, upper: bool) -> Column:
-    """P(X >= k), or P(X <= k), of drawing ``column`` cells of ``total`` of which ``row`` count.
+    """P(X >= k), or P(X <= k), of drawing ``column`` cells of ``total`` of which ``row`` count; k lies on the tail's side of the mean.
 
     The first term comes from log-factorials, the others from the ratio of
-    neighbouring terms, so no table of factorials has to be joined.
+    neighbouring terms, so no table of factorials has to be joined.  Away from
+    the mean the ratio falls; from the mean on it is at most
+    1 - j / (2 * variance) after j steps, so terms fall as exp(-j * j / (4 * variance))
+    and 16 standard deviations hold all that counts.  Tails longer than that are
+    cut there: arrays grow with the square root of the counts at most.
     """
     low = F.greatest(F.lit(0).cast("long"), column - (total - row))
     high = F.least(row, column)
     log_first = log_choose(row, k) + log_choose(total - row, column - k) - log_choose(total, column)
     empty = F.array().cast("array<bigint>")
+    share = row.cast("double") / total
+    variance = column.cast("double") * share * (1 - share) * (total - column) / F.greatest(total - 1, F.lit(1))
+    reach = (F.lit(16.0) * F.sqrt(F.greatest(variance, F.lit(0.0)))).cast("long") + _BLOCK
     if upper:
-        steps = F.when(k < high, F.sequence(k, high - 1)).otherwise(empty)
+        stop = F.least(high - 1, k + reach)
+        steps = F.when(k < high, F.sequence(k, stop)).otherwise(empty)
         ratio = lambda i: ((row - i) * (column - i)).cast("double") / ((i + 1) * (total - row - column + i + 1)).cast("double")
     else:
-        steps = F.when(k > low, F.sequence(k, low + 1)).otherwise(empty)
+        stop = F.greatest(low + 1, k - reach)
+        steps = F.when(k > low, F.sequence(k, stop)).otherwise(empty)
         ratio = lambda i: (i * (total - row - column + i)).cast("double") / ((row - i + 1) * (column - i + 1)).cast("double")
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
 

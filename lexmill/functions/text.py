@@ -11,9 +11,11 @@ TOKEN = r"[\p{L}\p{Nl}\p{No}]+"
 SENTENCE = r"[^.!?;\n\r]+[.!?;]?"
 _BLANK_START, _BLANK_END = r"^[\s ]+", r"[\s ]+$"
 
-#: Speakers whose turns are usually not analysed.
-MODERATORS = ("moderat", "interview", "system")
-_LABEL = r"^\s*(\p{L}.{0,38}?)\s*:\s"
+#: Speakers whose turns are usually not analysed, by how their names begin.
+MODERATORS = tuple(f"{x}dor" for x in ("modera", "media", "entrevista", "facilita", "pesquisa", "coordena", "apresenta")) + ("palestrante",)
+#: A name of letters, dots, digits and blanks at the start of a line, a colon and white space on the same line.
+_LABEL = r"(?mU)^[^\S\n]*([A-Za-z\u00c0-\u00ff][A-Za-z\u00c0-\u00ff.\d ]{0,38}?)[^\S\n]*:[^\S\n]"
+_LINE_END = "\r\n|[\r\v\f\x1c-\x1e\x85\u2028\u2029]"
 
 
 def tokens(text: Column) -> Column:
@@ -51,14 +53,14 @@ def strip_accents(text: Column) -> Column:
 
 
 def drop_bracketed(text: Column) -> Column:
-    """Annotations in brackets or parentheses on one line, up to 60 characters, become a space."""
-    return F.regexp_replace(text, r"\[[^\]\n]{0,60}\]|\([^)\n]{0,60}\)", " ")
+    """Annotations of up to 60 characters on one line, from ( or [ to the next ) or ], become a space."""
+    return F.regexp_replace(text, r"[(\[][^)\]\n]{0,60}[)\]]", " ")
 
 
 def drop_markers(text: Column) -> Column:
-    """Marks of inaudible speech and left-over numbered speaker labels become a space."""
-    marked = F.regexp_replace(text, r"(?iu)\b(?:inaudible|inaud[ií]vel|unintelligible|incompreens[ií]vel)\b", " ")
-    return F.regexp_replace(marked, r"(?iu)\b(?:speaker|falante|orador)\s*\d+\s*:?", " ")
+    """Marks of inaudible speech and left-over speaker labels, numbered or not, become a space."""
+    marked = F.regexp_replace(text, r"(?iU)\b(?:in(?:aud|compreens|inteleg)[ií]vel|ininteligível)\b", " ")
+    return F.regexp_replace(marked, r"(?iU)\b(?:participante|palestrante|moderador|(?:entrevistador|mediador)a?)\s*\d*\b", " ")
 
 
 def collapse_blanks(text: Column) -> Column:
@@ -96,35 +98,37 @@ def slug(text: Column) -> Column:
 
 
 def split_turns(text: Column) -> Column:
-    """Array of (speaker, body) by line.
+    """Array of (speaker, body), a turn each.
 
-    A line that starts with a label and a colon sets the speaker, who stays until
-    the next label; lines before any label have a null speaker.
+    A line that starts with a label and a colon begins a turn, which lasts until
+    the next label; lines before any label are a turn of a null speaker.  One
+    pass of a regular expression marks the labels, so the cost is linear.
     """
-    lines = F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r")
-    start = F.struct(F.lit(None).cast("string").alias("speaker"), F.array().cast("array<struct<speaker:string,body:string>>").alias("turns"))
-
-    def step(state: Column, line: Column) -> Column:
-        label = F.regexp_extract(line, _LABEL, 1)
-        found = label != ""
-        speaker = F.when(found, label).otherwise(state["speaker"])
-        body = F.when(found, F.regexp_replace(line, _LABEL, "")).otherwise(line)
-        turn = F.struct(speaker.alias("speaker"), body.alias("body"))
-        return F.struct(speaker.alias("speaker"), F.concat(state["turns"], F.array(turn)).alias("turns"))
-
-    return F.aggregate(lines, start, step, lambda state: state["turns"])
+    lines = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[\x01\x02]", ""), _LINE_END, "\n"), r"\n\z", "")
+    pieces = F.split(F.regexp_replace(lines, _LABEL, "\x01$1\x02"), "\x01")
+    body = lambda p, last: F.when(last, p).otherwise(F.regexp_replace(p, r"\n\z", ""))
+    turn = lambda speaker, p: F.struct(speaker.alias("speaker"), p.alias("body"))
+    n = F.size(pieces)
+    first = F.get(pieces, F.lit(0))
+    head = F.when(first != "", F.array(turn(F.lit(None).cast("string"), body(first, n == 1)))).otherwise(F.array().cast("array<struct<speaker:string,body:string>>"))
+    rest = F.transform(
+        F.slice(pieces, F.lit(2), n),
+        lambda p, i: turn(F.substring_index(p, "\x02", 1), body(F.regexp_replace(p, "^[^\x02]*\x02", ""), i == n - 2)),
+    )
+    return F.concat(head, rest)
 
 
 def filter_turns(text: Column, drop: tuple[str, ...] = MODERATORS) -> tuple[Column, Column]:
-    """(text without the turns of dropped speakers, number of dropped lines).
+    """(text without the turns of dropped speakers, number of dropped turns).
 
     ``drop`` holds case-insensitive regular expressions of how names begin.  A
-    text without any label is left as it is.
+    text without any label is left as it is, and so is all text if ``drop`` is empty.
     """
+    if not drop:
+        return text, F.lit(0)
     turns = split_turns(text)
-    pattern = "(?i)^\\s*(?:" + "|".join(drop) + ")" if drop else "(?!)"
+    pattern = "(?iU)^\\s*(?:" + "|".join(drop) + ")"
     labelled = F.exists(turns, lambda t: t["speaker"].isNotNull())
-    dropped = F.filter(turns, lambda t: F.coalesce(t["speaker"].rlike(pattern), F.lit(False)))
-    kept = F.filter(turns, lambda t: ~F.coalesce(t["speaker"].rlike(pattern), F.lit(False)))
-    joined = F.array_join(F.transform(kept, lambda t: t["body"]), "\n")
-    return F.when(labelled, joined).otherwise(text), F.when(labelled, F.size(dropped)).otherwise(0)
+    gone = lambda t: F.coalesce(t["speaker"].rlike(pattern), F.lit(False))
+    joined = F.array_join(F.transform(F.filter(turns, lambda t: ~gone(t)), lambda t: t["body"]), "\n")
+    return F.when(labelled, joined).otherwise(text), F.when(labelled, F.size(F.filter(turns, gone))).otherwise(0)

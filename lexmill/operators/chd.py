@@ -4,8 +4,8 @@ Each split orders the segments of a class by the first axis of its correspondenc
 analysis, takes the cut of the order with the greatest chi-square between the two
 sides' profiles, and relocates segments while that raises it.
 
-The axis comes from the residual cross-products of the forms where they are few,
-else from power iteration by joins; the chi-square of every cut comes from window
+The axis comes from Lanczos steps on the sparse cells in one task while they are
+few enough, else from block iteration by joins; the chi-square of every cut comes from window
 sums: with L_v the count of form v so far, s the cells so far, n all cells and
 Q = sum over v of L_v**2 / column_v,
 
@@ -16,11 +16,11 @@ and a segment that holds v for the m-th time adds (2 m - 1) / column_v to Q.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,8 +29,9 @@ from lexmill.errors import MatrixError
 from lexmill.operators.contingency import adjusted_rand, characteristic_terms
 from lexmill.workers import checkpointing
 
-MAX_GRAM_FORMS = 3000
-POWER_STEPS = 60
+#: Cells of the largest class whose axis is computed in one task: 16 bytes each there.
+MAX_LOCAL_CELLS = 20_000_000
+TOLERANCE, LANCZOS_STEPS, MAX_RESTARTS, BLOCK, MAX_STEPS = 1e-9, 120, 100, 8, 500
 #: Rows of one task that ranks or sums in order, and the most such tasks.
 RANGE_ROWS, MAX_RANGES = 1_000_000, 256
 
@@ -58,61 +59,108 @@ def first_axis(cells: DataFrame) -> DataFrame:
 
     For 0/1 cells the coordinate is the mean of e_v / sqrt(c_v) over the
     segment's forms, e the leading eigenvector of the forms' residual
-    cross-products.  The largest component of e is made positive.
+    cross-products.  The largest component of e is made positive.  Both ways to
+    e, in one task or by joins, end when its residual is below ``TOLERANCE``.
     """
-    spark = cells.sparkSession
     total = cells.count()
-    sizes = cells.groupBy("uce_id").agg(F.count("*").cast("double").alias("size"))
-    mass = cells.groupBy("form").agg((F.count("*") / F.lit(float(max(1, total)))).alias("c"))
-    names = [(r["form"], r["c"]) for r in mass.orderBy("form").limit(MAX_GRAM_FORMS + 1).collect()]
-    if not names:
+    if not total:
         raise MatrixError("no cell to analyse")
-    if len(names) <= MAX_GRAM_FORMS:
-        place = {v: i for i, (v, _) in enumerate(names)}
-        c = np.array([x for _, x in names])
-        rows = cells.groupBy("uce_id").agg(F.collect_list("form").alias("fs"))
-        index = F.broadcast(spark.createDataFrame([(v, i) for v, i in place.items()], "form string, i int"))
-        rows = cells.join(index, "form").groupBy("uce_id").agg(F.collect_list("i").alias("fs"))
-        v = len(names)
-
-        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            gram = np.zeros((v, v))
-            for pdf in batches:
-                for fs in pdf["fs"]:
-                    gram[np.ix_(fs, fs)] += 1.0 / len(fs)
-            i, j = np.nonzero(gram)
-            yield pd.DataFrame({"i": i, "j": j, "g": gram[i, j]})
-
-        summed = rows.select("fs").mapInPandas(partial, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
-        found = summed.toPandas()
-        gram = np.zeros((v, v))
-        gram[found["i"], found["j"]] = found["g"] / total
-        root = np.sqrt(np.outer(c, c))
-        residual = gram / root - root
-        e = np.linalg.eigh((residual + residual.T) / 2)[1][:, -1]
+    weights = _local_weights(cells) if total <= MAX_LOCAL_CELLS else _joined_weights(cells, total)
+    return cells.join(weights, "form").groupBy("uce_id").agg(F.avg("w").alias("axis"))
+
+
+def leading_vector(row: np.ndarray, form: np.ndarray, n_rows: int, n_forms: int, tolerance: float) -> np.ndarray:
+    """The leading eigenvector of the residual cross-products of 0/1 cells, by restarted Lanczos steps."""
+    column = np.bincount(form, minlength=n_forms).astype(np.float64)
+    size = np.bincount(row, minlength=n_rows).astype(np.float64)
+    scale, root = 1.0 / np.sqrt(column), np.sqrt(column / len(row))
+
+    def apply(e: np.ndarray) -> np.ndarray:
+        y = np.bincount(row, weights=(e * scale)[form], minlength=n_rows) / size
+        return np.bincount(form, weights=y[row], minlength=n_forms) * scale - root * (root @ e)
+
+    e = np.random.default_rng(0).standard_normal(n_forms)
+    e -= root * (root @ e)
+    most = min(n_forms, LANCZOS_STEPS)
+    for _ in range(MAX_RESTARTS):
+        norm = np.linalg.norm(e)
+        if norm < 1e-300:
+            return root
+        basis, alpha, beta = [e / norm], [], []
+        while True:
+            z = apply(basis[-1])
+            alpha.append(float(z @ basis[-1]))
+            held = np.array(basis)
+            for _ in range(2):
+                z -= held.T @ (held @ z)
+            left = float(np.linalg.norm(z))
+            if left < 1e-13 or len(basis) == most:
+                break
+            beta.append(left)
+            basis.append(z / left)
+        values, vectors = np.linalg.eigh(np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1))
+        e = held.T @ vectors[:, -1]
+        if left * abs(vectors[-1, -1]) <= tolerance * max(1e-3, abs(values[-1])):
+            return e / np.linalg.norm(e)
+    raise MatrixError("the first axis didn't converge")
+
+
+def _local_weights(cells: DataFrame) -> DataFrame:
+    """(form, w) of at most ``MAX_LOCAL_CELLS`` cells, in one task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.column("uce_id").combine_chunks().dictionary_encode()
+        names, codes = np.unique(table.column("form").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        order = np.lexsort((codes, rows.indices.to_numpy()))
+        e = leading_vector(rows.indices.to_numpy()[order], codes[order], len(rows.dictionary), len(names), TOLERANCE)
         if e[np.argmax(np.round(np.abs(e), 9))] < 0:
             e = -e
-        weights = spark.createDataFrame([(n, float(x / np.sqrt(y))) for (n, y), x in zip(names, e, strict=True)], "form string, w double")
-        weights = F.broadcast(weights)
-    else:
-        weights = _power_axis(cells, sizes, mass)
-    return cells.join(weights, "form").groupBy("uce_id").agg(F.avg("w").alias("axis"))
+        c = np.bincount(codes, minlength=len(names)) / len(codes)
+        return pa.table({"form": pa.array(names.tolist(), pa.string()), "w": e / np.sqrt(c)})
+
+    placed = cells.select(F.lit(1).alias("task"), F.col("uce_id").cast("string").alias("uce_id"), "form").orderBy("uce_id", "form")
+    return placed.groupBy("task").applyInArrow(run, "form string, w double")
+
 
+def _joined_weights(cells: DataFrame, total: int) -> DataFrame:
+    """(form, w) by iteration of ``BLOCK`` vectors at once: two sparse products by joins a step.
 
-def _power_axis(cells: DataFrame, sizes: DataFrame, mass: DataFrame) -> DataFrame:
-    """(form, w) by power iteration: two sparse products and a deflation a step, nothing on the driver but a norm."""
+    What comes to the driver are cross-products of the block.  The vectors are
+    made orthonormal and turned to their Ritz vectors; it ends when the first
+    one's residual is small, so close eigenvalues cost steps and not accuracy.
+    """
     checkpointing(cells.sparkSession)
-    current = mass.select("form", "c", (F.pmod(F.xxhash64("form"), F.lit(2001)) - 1000).cast("double").alias("e"))
-    for step in range(POWER_STEPS):
-        rows = cells.join(current, "form").groupBy("uce_id").agg(F.avg(F.col("e") / F.sqrt("c")).alias("y"))
-        new = cells.join(rows, "uce_id").groupBy("form").agg(F.sum("y").alias("z")).join(current.select("form", "c"), "form")
-        total = cells.count() if step == 0 else total  # noqa: F821
-        new = new.withColumn("z", F.col("z") / F.lit(float(total)) / F.sqrt("c"))
-        dot = new.agg(F.sum(F.col("z") * F.sqrt("c")).alias("d")).first()["d"]
-        new = new.withColumn("z", F.col("z") - F.lit(dot) * F.sqrt("c"))
-        norm = new.agg(F.sqrt(F.sum(F.col("z") * F.col("z"))).alias("n")).first()["n"] or 1.0
-        current = new.select("form", "c", (F.col("z") / F.lit(norm)).alias("e")).checkpoint()
-    return current.select("form", (F.col("e") / F.sqrt("c")).alias("w"))
+    root = F.sqrt("c")
+    es = [f"e{k}" for k in range(BLOCK)]
+    zs = [f"z{k}" for k in range(BLOCK)]
+    start = [((F.pmod(F.xxhash64("form", F.lit(k)), F.lit(2_000_003)) - 1_000_001) / F.lit(1e6)).alias(x) for k, x in enumerate(es)]
+    current = cells.groupBy("form").agg((F.count("*") / F.lit(float(total))).alias("c")).select("form", "c", *start).checkpoint()
+    for _ in range(MAX_STEPS):
+        means = cells.join(current, "form").groupBy("uce_id").agg(*[F.avg(F.col(x) / root).alias(x) for x in es])
+        sums = cells.join(means, "uce_id").groupBy("form").agg(*[F.sum(x).alias(z) for x, z in zip(es, zs, strict=True)])
+        both = current.join(sums, "form").select("form", "c", *es, *[(F.col(z) / F.lit(float(total)) / root).alias(z) for z in zs]).checkpoint()
+        dots = both.agg(*[F.sum(F.col(x) * root) for x in es], *[F.sum(F.col(x) * F.col(y)) for x in es for y in [*es, *zs]], *[F.sum(F.col(z) * root) for z in zs], *[F.sum(F.col(x) * F.col(y)) for x in zs for y in zs]).first()
+        values, b = np.array(dots, dtype=float), BLOCK
+        er, cross = values[:b], values[b : b + 2 * b * b].reshape(b, 2 * b)
+        zr, zz = values[b + 2 * b * b : 2 * b + 2 * b * b], values[2 * b + 2 * b * b :].reshape(b, b)
+        # all without the trivial axis, root: E' = E - root er, Z' = A E - root zr
+        ee, ez, zz = cross[:, :b] - np.outer(er, er), cross[:, b:] - np.outer(er, zr), zz - np.outer(zr, zr)
+        kept, turn = np.linalg.eigh(ee)
+        good = kept > 1e-12 * kept[-1]
+        half = turn[:, good] / np.sqrt(kept[good])
+        ritz, inner = np.linalg.eigh(half.T @ (ez + ez.T) / 2 @ half)
+        mix = half @ inner[:, ::-1]
+        lead = mix[:, 0]
+        residual = float(np.sqrt(max(0.0, lead @ zz @ lead - ritz[-1] ** 2)))
+        turned = lambda k, source, off: sum((F.col(x) * F.lit(float(v)) for x, v in zip(source, mix[:, k], strict=True)), F.lit(0.0)) - root * F.lit(float(off @ mix[:, k]))  # noqa: B023, E731
+        if residual <= TOLERANCE * max(1e-3, abs(ritz[-1])):
+            found = both.select("form", "c", turned(0, es, er).alias("e"))
+            sign = found.orderBy(F.desc(F.round(F.abs("e"), 9)), "form").first()["e"]
+            return found.select("form", (F.col("e") * F.lit(-1.0 if sign < 0 else 1.0) / root).alias("w"))
+        scale = [1.0 / max(1e-12, abs(r)) for r in ritz[::-1]] + [1.0] * (b - len(ritz))
+        turns = [(turned(k, zs, zr) * F.lit(scale[k])).alias(es[k]) if k < mix.shape[1] else start[k] for k in range(b)]
+        current = both.select("form", "c", *turns)
+    raise MatrixError("the first axis didn't converge")
 
 
 def positions(rows: DataFrame, key: str, tie: str) -> DataFrame:
@@ -243,6 +291,13 @@ def _relocated(units: DataFrame, cells: DataFrame, d: Division) -> DataFrame:
     return rows.withColumn("task", F.lit(1)).groupBy("task").applyInPandas(run, "uce_id string, left boolean")
 
 
+def halves_chi2(halves: DataFrame, cells: DataFrame) -> float:
+    """Chi-square of the two sides (uce_id, left) as they are."""
+    counted = cells.join(halves, "uce_id").groupBy("form").agg(F.count_if("left").cast("double").alias("l"), F.count("*").cast("double").alias("c"))
+    q, s, n = counted.agg(F.sum(F.col("l") * F.col("l") / F.col("c")), F.sum("l"), F.sum("c")).first()
+    return float(n * n / (s * (n - s)) * (q - s * s / n)) if s and 0 < s < n else 0.0
+
+
 @dataclass
 class Classes:
     """``assign`` (uce_id, class), ``tree`` (node, parent, left, right, chi2, size, split_order, class), ``terms``."""
@@ -255,11 +310,13 @@ class Classes:
 def classify(pairs: DataFrame, d: Division = Division()) -> Classes:  # noqa: B008
     """Split the largest class that can be split until there are ``n_classes``.
 
-    Classes are numbered by size.  ``pairs`` is (uce_id, form).
+    Classes are numbered by size.  ``pairs`` is (uce_id, form).  What a split
+    makes is checkpointed, so plans don't grow with the number of splits.
     """
     spark = pairs.sparkSession
-    pairs = pairs.select(F.col("uce_id").cast("string").alias("uce_id"), "form").distinct().cache()
-    units = pairs.select("uce_id").distinct().cache()
+    checkpointing(spark)
+    pairs = pairs.select(F.col("uce_id").cast("string").alias("uce_id"), "form").distinct().checkpoint()
+    units = pairs.select("uce_id").distinct().checkpoint()
     live: dict[int, DataFrame] = {0: units}
     sizes = {0: units.count()}
     if sizes[0] < 4:
@@ -273,18 +330,22 @@ def classify(pairs: DataFrame, d: Division = Division()) -> Classes:  # noqa: B0
             break
         node = max(open_, key=lambda c: sizes[c])
         rows = live[node]
-        cells = filter_columns(pairs.join(rows.select("uce_id"), "uce_id", "left_semi"), d.min_column).cache()
-        ordered = order_rows(rows, first_axis(cells)).cache()
-        position, chi2 = best_cut(ordered, cells, d.min_class_size)
+        cells = filter_columns(pairs.join(rows.select("uce_id"), "uce_id", "left_semi"), d.min_column).checkpoint()
+        ordered = order_rows(rows, first_axis(cells)).checkpoint()
+        position, _ = best_cut(ordered, cells, d.min_class_size)
+        if not d.min_class_size <= position <= sizes[node] - d.min_class_size:
+            frozen.add(node)
+            continue
         halves = ordered.select("uce_id", (F.col("pos") <= position).alias("left"))
         if d.relocate:
             halves = _relocated(halves, cells, d)
-        halves = halves.cache()
+        halves = halves.checkpoint()
         found = {r["left"]: r["n"] for r in halves.groupBy("left").agg(F.count("*").alias("n")).collect()}
         if len(found) < 2 or min(found.values()) < d.min_class_size:
             frozen.add(node)
             continue
         n_splits += 1
+        chi2 = halves_chi2(halves, cells)
         del live[node]
         a, b = len(tree), len(tree) + 1
         for k, is_left in ((a, True), (b, False)):
@@ -298,7 +359,7 @@ def classify(pairs: DataFrame, d: Division = Division()) -> Classes:  # noqa: B0
     for c, rows in live.items():
         part = rows.select("uce_id", F.lit(number[c]).alias("class"))
         assign = part if assign is None else assign.unionByName(part)
-    assign = assign.cache()
+    assign = assign.checkpoint()
     table = [(k, t["parent"], t["left"], t["right"], t["chi2"], t["size"], t["split_order"], number.get(k)) for k, t in tree.items()]
     schema = "node int, parent int, left int, right int, chi2 double, size long, split_order int, class int"
     return Classes(assign, spark.createDataFrame(table, schema), characteristic_terms(pairs, assign))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexmill.config import Preparation
+from lexmill.errors import MatrixError
 from lexmill.functions import text as X
 from lexmill.operators.lexicon import lemma_of, lexed
 
@@ -66,8 +67,11 @@ def word_tree(docs: DataFrame, query: str, lexicon: DataFrame, prep: Preparation
 
 
 def render_tree(tree: DataFrame, root: str, most: int = 10_000) -> str:
-    """The tree as indented text, frequent branches first."""
-    rows = sorted(((list(r["path"]), r["n"]) for r in tree.orderBy(F.desc("n")).limit(most).collect()), key=lambda x: len(x[0]))
+    """The tree as indented text, frequent branches first; refused beyond ``most`` paths."""
+    found = tree.limit(most + 1).collect()
+    if len(found) > most:
+        raise MatrixError(f"more than {most} paths; take a lesser depth")
+    rows = sorted(((list(r["path"]), r["n"]) for r in found), key=lambda x: (len(x[0]), -x[1], x[0]))
     children: dict[tuple, list[tuple[int, str]]] = {}
     for path, n in rows:
         children.setdefault(tuple(path[:-1]), []).append((n, path[-1]))
@@ -87,12 +91,14 @@ def inactive_surface(segs_tokens: DataFrame, lexicon: DataFrame, prep: Preparati
     return lexed(segs_tokens.select("token").distinct(), lexicon, prep).where(~F.col("active")).select("token")
 
 
-def key_phrases(docs: DataFrame, stop: DataFrame, longest: int = 3, top: int = 30, id_column: str = "doc_id") -> DataFrame:
+def key_phrases(docs: DataFrame, stop: DataFrame, longest: int = 3, top: int = 30, id_column: str = "doc_id", most_alike: float = 0.9) -> DataFrame:
     """(phrase, score): key phrases by unsupervised term features; low scores are best.
 
     Term features are casing, position, frequency, relatedness to context and
     spread over sentences; a phrase's score combines those of its words and its
-    own frequency.  Phrases neither start nor end with a stopword.
+    own frequency.  Phrases neither start nor end with a stopword.  From the best
+    on, a phrase is left out if an edit distance of so small a share of its
+    length parts it from a better one that their likeness exceeds ``most_alike``.
     """
     sents = docs.select(F.col(id_column).alias("d"), F.posexplode(X.sentences(F.col("text"))).alias("sent", "s"))
     raw = F.regexp_extract_all("s", F.lit(X.TOKEN), F.lit(0))
@@ -138,4 +144,31 @@ def key_phrases(docs: DataFrame, stop: DataFrame, longest: int = 3, top: int = 3
         F.aggregate(inner, F.lit(0.0), lambda a, x: a + x["s"]).alias("total"),
     )
     grouped = phrases.groupBy("phrase").agg(F.count("*").alias("n"), F.first("product").alias("product"), F.first("total").alias("total"))
-    return grouped.select("phrase", F.round(f("product") / (f("n") * (1 + f("total"))), 8).alias("score")).orderBy("score", "phrase").limit(top)
+    ranked = grouped.select("phrase", F.round(f("product") / (f("n") * (1 + f("total"))), 8).alias("score")).orderBy("score", "phrase")
+    return _unlike(ranked, top, most_alike)
+
+
+def _distance(a: str, b: str) -> int:
+    """Edits (insert, delete, replace) from one to the other."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, start=1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, start=1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def _unlike(ranked: DataFrame, top: int, most_alike: float) -> DataFrame:
+    """The first ``top`` phrases that aren't too much like a better one; read in order, in growing portions, until there are so many."""
+    kept: list[tuple[str, float]] = []
+    asked = 4 * top
+    while True:
+        rows = ranked.limit(asked).collect()
+        kept = []
+        for r in rows:
+            alike = lambda x: 1 - _distance(r["phrase"], x) / max(len(r["phrase"]), len(x), 1)  # noqa: B023, E731
+            if len(kept) < top and all(alike(x) <= most_alike for x, _ in kept):
+                kept.append((r["phrase"], r["score"]))
+        if len(kept) == top or len(rows) < asked:
+            return ranked.sparkSession.createDataFrame(kept, "phrase string, score double")
+        asked *= 4

@@ -41,10 +41,10 @@ def distances(table: DataFrame) -> DataFrame:
 
 def matrix(pairs: DataFrame) -> DataFrame:
     """(group_a, group_b, distance) in both directions, with a zero diagonal."""
-    mirrored = pairs.select(F.col("group_b").alias("group_a"), F.col("group_a").alias("group_b"), "distance")
-    names = pairs.select(F.col("group_a").alias("g")).union(pairs.select("group_b")).distinct()
-    diagonal = names.select(F.col("g").alias("group_a"), F.col("g").alias("group_b"), F.lit(0.0).alias("distance"))
-    return pairs.unionByName(mirrored).unionByName(diagonal)
+    entry = lambda a, b, d: F.struct(F.col(a).alias("group_a"), F.col(b).alias("group_b"), d.alias("distance"))
+    own, zero = F.col("distance"), F.lit(0.0)
+    cells = F.array(entry("group_a", "group_b", own), entry("group_b", "group_a", own), entry("group_a", "group_a", zero), entry("group_b", "group_b", zero))
+    return pairs.select(F.explode(cells).alias("c")).select("c.*").distinct()
 
 
 def extremes(pairs: DataFrame, top: int = 3) -> DataFrame:

@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.config import Preparation
+from lexmill.errors import CorpusError
 
 ALIASES = {"conj": "con"}
-SUPPLEMENTARY_PREFIXES = ("art", "aux", "con", "pre", "pro", "ono", "num")
-ACTIVE_PREFIXES = ("nom", "ver", "adj", "adv")
+SUPPLEMENTARY_PREFIXES = ("art", "aux", "con", "pre", "pro", "ono")
+ACTIVE_PREFIXES = ("nom", "ver", "adj", "adv", "num")
 UNKNOWN_POS = "nom"
 
 _EDGE, _MARK = "\x02", "\x01"
@@ -24,11 +25,9 @@ _BETWEEN = _EDGE + _EDGE
 
 
 def resolve_key(pos: Column, configured: Column) -> Column:
-    """1 for active, 2 for supplementary; the configured key comes first."""
-    name = F.lower(pos)
-    for alias, target in ALIASES.items():
-        name = F.when(name == alias, F.lit(target)).otherwise(name)
-    starts = lambda prefixes: F.lit(False) if not prefixes else name.rlike("^(?:" + "|".join(prefixes) + ")")
+    """1 for active, 2 for supplementary: the configured key, else by how the name begins, else active."""
+    name = pos
+    starts = lambda prefixes: name.rlike("^(?:" + "|".join(prefixes) + ")")
     return (
         F.when(configured.isNotNull(), configured)
         .when(name.endswith("_sup"), F.lit(2))
@@ -44,11 +43,10 @@ def keyed_lexicon(lexicon: DataFrame, pos_key: DataFrame | None = None) -> DataF
     if pos_key is None:
         return lexicon.select("form", "lemma", "pos", resolve_key(F.col("pos"), F.lit(None).cast("int")).alias("key"))
     keys = pos_key.select(F.lower("pos").alias("kpos"), F.col("key").cast("int").alias("configured"))
-    name = F.lower("pos")
-    for alias, target in ALIASES.items():
-        name = F.when(name == alias, F.lit(target)).otherwise(name)
-    joined = lexicon.join(keys, name == F.col("kpos"), "left")
-    return joined.select("form", "lemma", "pos", resolve_key(F.col("pos"), F.col("configured")).alias("key"))
+    other = keys.select(F.col("kpos").alias("apos"), F.col("configured").alias("by_alias"))
+    alias = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
+    joined = lexicon.join(keys, F.col("pos") == F.col("kpos"), "left").join(other, F.element_at(alias, F.col("pos")) == F.col("apos"), "left")
+    return joined.select("form", "lemma", "pos", resolve_key(F.col("pos"), F.coalesce("configured", "by_alias")).alias("key"))
 
 
 def close_synonyms(pairs: dict[str, str]) -> dict[str, str]:
@@ -63,17 +61,17 @@ def close_synonyms(pairs: dict[str, str]) -> dict[str, str]:
     return closed
 
 
-def close_synonyms_sql(spark: SparkSession, pairs: DataFrame) -> DataFrame:
-    """(variant, canonical) closed by a recursive query, for chains without cycles."""
-    pairs.createOrReplaceTempView("lexmill_synonym_pairs")
-    return spark.sql(
-        """
-        WITH RECURSIVE walk(variant, at, depth) AS (
-            SELECT variant, canonical, 1 FROM lexmill_synonym_pairs
-            UNION ALL
-            SELECT w.variant, p.canonical, w.depth + 1 FROM walk w JOIN lexmill_synonym_pairs p ON p.variant = w.at WHERE w.depth < 50)
-        SELECT variant, max_by(at, depth) AS canonical FROM walk GROUP BY variant"""
-    )
+#: Synonyms are a list that people write; a table beyond this isn't one.
+MAX_SYNONYMS = 1_000_000
+
+
+def close_synonyms_table(pairs: DataFrame) -> DataFrame:
+    """(variant, canonical) with chains closed, of any length and with cycles; of several targets of a variant the least."""
+    rows = pairs.groupBy("variant").agg(F.min("canonical").alias("canonical")).limit(MAX_SYNONYMS + 1).collect()
+    if len(rows) > MAX_SYNONYMS:
+        raise CorpusError(f"more than {MAX_SYNONYMS} synonyms")
+    closed = close_synonyms({r["variant"]: r["canonical"] for r in rows})
+    return pairs.sparkSession.createDataFrame(sorted(closed.items()), "variant string, canonical string")
 
 
 def merge_expressions(words: Column, expressions: dict[str, str]) -> Column:
@@ -140,3 +138,8 @@ def lemma_of(spark: SparkSession, word: str, lexicon: DataFrame, prep: Preparati
     """The lemma of one word, by the same rules."""
     one = spark.createDataFrame([(word.strip().lower(),)], "token string")
     return lexed(one, lexicon, prep).first()["lemma"]
+
+
+def merge_all(words: Column, prep: Preparation) -> Column:
+    """The user's expressions first, then the lexicon's over what is left."""
+    return merge_expressions(merge_expressions(words, prep.expressions), prep.lexicon_expressions)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.config import Preparation
 from lexmill.functions import text as X
-from lexmill.operators.lexicon import lexed, merge_expressions
+from lexmill.operators.lexicon import lexed, merge_all
 
 
 def _bounds(counts: Column, size: int) -> Column:
@@ -52,7 +52,7 @@ def segments(docs: DataFrame, size: int = 40, id_column: str = "doc_id", keep: t
 
 def segment_tokens(segs: DataFrame, prep: Preparation = Preparation(), keep: tuple[str, ...] = ()) -> DataFrame:  # noqa: B008
     """(uci_id, uce_id, pos, token), after the merging of expressions."""
-    words = merge_expressions(F.col("tokens"), prep.expressions)
+    words = merge_all(F.col("tokens"), prep)
     return segs.select("uci_id", "uce_id", *keep, F.posexplode(words).alias("pos", "token"))
 
 

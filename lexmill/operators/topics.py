@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexmill.errors import MatrixError
+
+#: The vocabulary and the topics' weights of its forms are on the driver.
+MAX_FORMS = 1 << 20
+
 METRICS = {"griffiths": True, "cao_juan": False, "arun": False, "deveaud": True}
 
 
@@ -20,8 +25,11 @@ def bags(counts: DataFrame) -> DataFrame:
 
 def fit(counts: DataFrame, k: int = 3, iterations: int = 50, seed: int = 0, optimizer: str = "online") -> tuple[LDAModel, CountVectorizerModel, DataFrame]:
     """(model, vocabulary, vectors) of latent Dirichlet allocation on (doc_id, form, n)."""
+    n = counts.select("form").distinct().count()
+    if n > MAX_FORMS:
+        raise MatrixError(f"{n} forms; topic models take {MAX_FORMS} at most, raise the least frequency")
     rows = bags(counts)
-    vocabulary = CountVectorizer(inputCol="forms", outputCol="features", vocabSize=1 << 20).fit(rows)
+    vocabulary = CountVectorizer(inputCol="forms", outputCol="features", vocabSize=max(1, n)).fit(rows)
     vectors = vocabulary.transform(rows).select("doc_id", "features")
     model = LDA(k=k, maxIter=iterations, seed=seed, optimizer=optimizer, featuresCol="features").fit(vectors)
     return model, vocabulary, vectors

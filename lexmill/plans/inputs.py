@@ -16,15 +16,19 @@ LEXICON: tuple[tuple[str, str, str], ...] = (
     ("and", "and", "con"), ("as", "as", "conj"), ("que", "que", "conj"), ("et", "et", "con"), ("und", "und", "con"),
     ("is", "be", "aux"), ("was", "be", "aux"), ("are", "be", "aux"), ("be", "be", "aux"),
     ("that", "that", "pro"), ("it", "it", "pro_per"), ("this", "this", "pro"), ("he", "he", "pro_per"), ("es", "es", "pro"),
-    ("ononst", "ononst", "ver"), ("inoran", "inor", "adj"), ("orantion", "inor", "nom"), ("tion", "tion", "nom_sup"), ("ly", "ly", "adv"),
+    ("ononst", "ononst", "ver"), ("inoran", "inor", "adj"), ("orantion", "inor", "nom"), ("tion", "tion", "nom_sup"), ("ly", "ly", "adv"), ("ing", "ing", "num"), ("ed", "ed", "num_ord"),
 )
 
-SYNONYMS = {"orre": "rewh", "thatin": "hehely", "hehely": "rewh"}
+#: A chain of two, one of eighty, and a cycle with a way into it.
+SYNONYMS = {"orre": "rewh", "thatin": "hehely", "hehely": "rewh"} | {f"link{i:02}": f"link{i + 1:02}" for i in range(80)} | {"way": "ring1", "ring1": "ring2", "ring2": "ring1"}
 
 PREP = Preparation(stopwords=("nd", "th"), synonyms=SYNONYMS, adverbs_active=False, min_token_length=2)
 
 EXPRESSIONS = {"of the": "of_the", "in the": "in_the", "de la": "de_la", "it was that": "it_was_that"}
 
+#: The lexicon's own, for what the user's leave; one begins with a replacement of theirs.
+LEXICON_EXPRESSIONS = {"of_the in": "of_the_in", "the the": "the_twice", "de de la": "never", "to be": "to_be"}
+
 POLARITY: tuple[tuple[str, int], ...] = (("rewh", 1), ("ononst", 1), ("ing", 1), ("ea", 1), ("inor", -1), ("nt", -1), ("ou", -1), ("st", -1))
 
 NEGATIONS = ("ti", "er", "ha")

@@ -16,13 +16,14 @@ def _list(words: tuple[str, ...]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
+#: A walk ends at a word without a synonym, or at the first that it meets again.
 _CLOSED = """
     WITH RECURSIVE pairs(variant, canonical) AS ({synonyms}),
     walk AS (
-        SELECT variant, canonical AS node, 1 AS depth FROM pairs
+        SELECT variant, canonical AS node, [variant] AS seen FROM pairs
         UNION ALL
-        SELECT w.variant, p.canonical, w.depth + 1 FROM walk w JOIN pairs p ON p.variant = w.node WHERE w.depth < 50),
-    synonyms AS (SELECT variant, max_by(node, depth) AS canonical FROM walk GROUP BY variant)""".replace(
+        SELECT w.variant, p.canonical, list_append(w.seen, w.node) FROM walk w JOIN pairs p ON p.variant = w.node WHERE NOT list_contains(w.seen, w.node)),
+    synonyms AS (SELECT variant, max_by(node, len(seen)) AS canonical FROM walk GROUP BY variant)""".replace(
     "{synonyms}", _values(list(inputs.SYNONYMS.items()))
 )
 
@@ -30,7 +31,7 @@ _LEXED = r"""
     lexicon(form, lemma, pos) AS ({lexicon}),
     keyed AS (
         SELECT *, CASE WHEN ends_with(pos, '_sup') THEN 2
-            WHEN regexp_matches(CASE WHEN pos = 'conj' THEN 'con' ELSE pos END, '^(art|aux|con|pre|pro|ono|num)') THEN 2 ELSE 1 END AS key
+            WHEN regexp_matches(CASE WHEN pos = 'conj' THEN 'con' ELSE pos END, '^(art|aux|con|pre|pro|ono)') THEN 2 ELSE 1 END AS key
         FROM lexicon),
     words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nl}\p{No}]+')) AS token FROM documents),
     known AS (
@@ -217,9 +218,9 @@ def _ngrams(n: int, tail: str = "") -> str:
     )
 
 
-def _expressions() -> str:
+def _expressions(*passes: dict[str, str]) -> str:
     text = r"' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{Nl}\p{No}]+'), '  ') || ' '"
-    for phrase, merged in sorted(inputs.EXPRESSIONS.items(), key=lambda x: -len(x[0].split())):
+    for phrase, merged in [x for table in passes for x in sorted(table.items(), key=lambda x: -len(x[0].split()))]:
         text = f"replace({text}, ' {'  '.join(phrase.split())} ', ' {merged} ')"
     return f"""
     SELECT doc_id, CASE WHEN merged = '' THEN 0 ELSE len(string_split(merged, ' ')) END AS n_tokens, merged AS tokens
@@ -241,8 +242,8 @@ def oracle_sql() -> dict[str, str]:
         "sentence_counts": _base(" SELECT doc_id, len(ss) AS n_sentences FROM pieces"),
         "clean_artifacts": r"""
             SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
-                '\[[^\]\n]{0,60}\]|\([^)\n]{0,60}\)', ' ', 'g'), '(?i)\b(?:inaudible|inaud[ií]vel|unintelligible|incompreens[ií]vel)\b', ' ', 'g'),
-                '(?i)\b(?:speaker|falante|orador)\s*\d+\s*:?', ' ', 'g'), '[ \t]{2,}', ' ', 'g'), '^[\s\x{0b}\x{a0}]+', ''), '[\s\x{0b}\x{a0}]+$', '') AS text
+                '[(\[][^)\]\n]{0,60}[)\]]', ' ', 'g'), '(?i)\b(?:inaud[ií]vel|incompreens[ií]vel|ininteleg[ií]vel|ininteligível)\b', ' ', 'g'),
+                '(?i)\b(?:participante|moderador|palestrante|entrevistadora?|mediadora?)\s*\d*\b', ' ', 'g'), '[ \t]{2,}', ' ', 'g'), '^[\s\x{0b}\x{a0}]+', ''), '[\s\x{0b}\x{a0}]+$', '') AS text
             FROM documents""",
         "strip_markdown": r"""
             SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
@@ -253,18 +254,21 @@ def oracle_sql() -> dict[str, str]:
         "normalise_blanks": r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, regexp_replace(source, '[^\p{L}\p{N}_]+', '_', 'g') AS slug FROM documents",
         "speaker_filter": r"""
             WITH scripts AS (SELECT conv_id, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS script FROM conversations GROUP BY conv_id),
-            lines AS (SELECT conv_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT conv_id, string_split_regex(script, '\r\n|\n|\r') AS ls FROM scripts)),
-            marked AS (SELECT *, regexp_extract(line, '^\s*(\p{L}.{0,38}?)\s*:\s', 1) AS label FROM lines),
+            lines AS (
+                SELECT conv_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i
+                FROM (SELECT conv_id, string_split_regex(regexp_replace(script, '(?:\r\n|\n|\r)$', ''), '\r\n|\n|\r') AS ls FROM scripts)),
+            marked AS (SELECT *, regexp_extract(line, '^\s*([A-Za-zÀ-ÿ][A-Za-zÀ-ÿ.\d ]{0,38}?)\s*:\s', 1) AS label FROM lines),
             spoken AS (
-                SELECT conv_id, i, last_value(nullif(label, '') IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY i) AS speaker,
-                    CASE WHEN label <> '' THEN regexp_replace(line, '^\s*(\p{L}.{0,38}?)\s*:\s', '') ELSE line END AS body
+                SELECT conv_id, i, label, last_value(nullif(label, '') IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY i) AS speaker,
+                    CASE WHEN label <> '' THEN regexp_replace(line, '^\s*[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ.\d ]{0,38}?\s*:\s', '') ELSE line END AS body
                 FROM marked),
             judged AS (SELECT *, coalesce(regexp_matches(speaker, '(?i)^\s*(?:system|user)'), false) AS gone FROM spoken)
-            SELECT conv_id, coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text, count(*) FILTER (gone) AS n_dropped
+            SELECT conv_id, coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text, count(*) FILTER (gone AND label <> '') AS n_dropped
             FROM judged GROUP BY conv_id""",
         "synonym_closure": _CLOSED + " SELECT variant, canonical FROM synonyms",
         "lemma_map": _base(" SELECT token, lemma, pos, known, active FROM lexed"),
-        "expressions_merge": _expressions(),
+        "expressions_merge": _expressions(inputs.EXPRESSIONS),
+        "expressions_two_passes": _expressions(inputs.EXPRESSIONS, inputs.LEXICON_EXPRESSIONS),
         "segments": _base(" SELECT uce_id, doc_id, uce_index, text, len(tokens) AS n_tokens FROM segments"),
         "active_forms": _base(" SELECT uce_id, pos, form FROM active"),
         "inactive_tokens": _base(" SELECT token FROM lexed WHERE NOT active AND token IN (SELECT token FROM surface)"),

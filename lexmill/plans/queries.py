@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from lexmill.plans import inputs
 from lexmill.plans.oracles import oracle_sql
 from lexmill.sinks import export
 from lexmill.streaming import counts as streaming
+from lexmill.workers import spread
 
 __all__ = ["FLAGSHIP", "oracle_sql", "queries"]
 
@@ -27,7 +29,7 @@ FLAGSHIP = "signed_chi2_terms"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def _lexicon(spark: SparkSession) -> DataFrame:
@@ -38,16 +40,22 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.segments(_docs(spark, sf_dir), keep=("lang", "source"))
 
 
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(uci_id, uce_id, lang, source, n): the segments without their text, kept while the session lasts."""
+    return _segments(spark, sf_dir).select("uci_id", "uce_id", "lang", "source", F.size("tokens").alias("n")).persist()
+
+
 def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.active_forms(_segments(spark, sf_dir), _lexicon(spark), inputs.PREP, keep=("lang", "source"))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dtm.dtm(_active(spark, sf_dir), inputs.PREP.min_occurrences)
+    """The term table, kept while the session lasts: what several parts of a query, or several queries, read is made once."""
+    return dtm.dtm(_active(spark, sf_dir), inputs.PREP.min_occurrences).persist()
 
 
 def _classes(spark: SparkSession, sf_dir: str, column: str = "lang", name: str = "class") -> DataFrame:
-    return _segments(spark, sf_dir).select("uce_id", F.col(column).alias(name))
+    return _units(spark, sf_dir).select("uce_id", F.col(column).alias(name))
 
 
 # ---- text -----------------------------------------------------------------------------------
@@ -91,7 +99,7 @@ def speaker_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def synonym_closure(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: ARG001
-    return lexicon.close_synonyms_sql(spark, spark.createDataFrame(list(inputs.SYNONYMS.items()), "variant string, canonical string"))
+    return lexicon.close_synonyms_table(spark.createDataFrame(list(inputs.SYNONYMS.items()), "variant string, canonical string"))
 
 
 def lemma_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +113,13 @@ def expressions_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.array_join(words, " ").alias("tokens"))
 
 
+def expressions_two_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user's expressions, then the lexicon's."""
+    prep = replace(inputs.PREP, expressions=inputs.EXPRESSIONS, lexicon_expressions=inputs.LEXICON_EXPRESSIONS)
+    words = lexicon.merge_all(X.tokens(F.col("text")), prep)
+    return _docs(spark, sf_dir).select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.array_join(words, " ").alias("tokens"))
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _segments(spark, sf_dir)
     return rows.select("uce_id", F.col("uci_id").alias("doc_id"), F.col("uce_index").cast("long").alias("uce_index"), "text", F.size("tokens").cast("long").alias("n_tokens"))
@@ -152,7 +167,7 @@ def advice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = _segments(spark, sf_dir).select(F.size("tokens").cast("long").alias("n"))
+    sizes = _units(spark, sf_dir).select(F.col("n").cast("long").alias("n"))
     return export.histogram(sizes, "n", 5).select(F.col("bin").cast("long").alias("bin"), F.col("n").alias("count"))
 
 
@@ -180,7 +195,7 @@ def heatmap_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segments(spark, sf_dir).select("uce_id", "lang", "source").unpivot("uce_id", ["lang", "source"], "variable", "part")
+    return _units(spark, sf_dir).select("uce_id", "lang", "source").unpivot("uce_id", ["lang", "source"], "variable", "part")
 
 
 def part_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,21 +213,33 @@ def adjusted_rand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inertia_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chi-square of cutting the segments, ordered by length and name, after each position."""
-    units = _segments(spark, sf_dir).select("uce_id", F.size("tokens").alias("k"))
+    units = _units(spark, sf_dir).select("uce_id", F.col("n").alias("k"))
     return chd.cut_scores(chd.positions(units, "k", "uce_id"), _pairs(spark, sf_dir)).select("pos", F.round("chi2", 4).alias("chi2"))
 
 
+_divided: dict[tuple[str, str], chd.Classes] = {}
+
+
+def _classified(spark: SparkSession, sf_dir: str) -> chd.Classes:
+    """The classification, made once a session and folder for the three queries that show it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _divided:
+        _divided.clear()
+        _divided[key] = chd.classify(_pairs(spark, sf_dir))
+    return _divided[key]
+
+
 def chd_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chd.classify(_pairs(spark, sf_dir)).assign
+    return _classified(spark, sf_dir).assign
 
 
 def chd_dendrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = chd.classify(_pairs(spark, sf_dir))
-    return found.tree.join(chd.dendrogram(found.tree), "node")
+    tree = _classified(spark, sf_dir).tree
+    return tree.join(chd.dendrogram(tree), "node")
 
 
 def chd_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chd.classify(_pairs(spark, sf_dir)).terms
+    return _classified(spark, sf_dir).terms
 
 
 def _crossed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -417,7 +444,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
     plain = (
         token_counts, sentence_counts, clean_artifacts, strip_markdown, strip_accents, normalise_blanks, speaker_filter,
-        synonym_closure, lemma_map, expressions_merge, segments, active_forms, inactive_tokens,
+        synonym_closure, lemma_map, expressions_merge, expressions_two_passes, segments, active_forms, inactive_tokens,
         forms_freq, top_forms, dtm_pairs, dtm_row_sizes, count_matrix, diagnostics, advice, length_histogram,
         signed_chi2_terms, typical_segments, partition_warnings, heatmap_props, part_table, specificities, adjusted_rand,
         inertia_cut, chd_classes, chd_dendrogram, chd_terms, form_class_table, afc_inertia, afc_axes, afc_coords,

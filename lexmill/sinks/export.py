@@ -47,15 +47,18 @@ def segment_texts(segs: DataFrame) -> DataFrame:
 
 
 def gexf(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> str:
-    """The graph as GEXF; ``nodes`` (form, freq, community), ``edges`` (form_i, form_j, weight)."""
-    shown = nodes.select("form", "freq", "community").orderBy("form").limit(most).collect()
+    """The graph as GEXF; ``nodes`` (form, freq, community), ``edges`` (form_i, form_j, weight); refused beyond ``most`` of either."""
+    shown = nodes.select("form", "freq", "community").orderBy("form").limit(most + 1).collect()
+    links = edges.select("form_i", "form_j", "weight").orderBy("form_i", "form_j").limit(most + 1).collect()
+    if max(len(shown), len(links)) > most:
+        raise MatrixError(f"more than {most} nodes or edges; export the tables")
     known = {r["form"]: i for i, r in enumerate(shown)}
     lines = ['<?xml version="1.0" encoding="UTF-8"?>', '<gexf xmlns="http://gexf.net/1.3" version="1.3">', '<graph defaultedgetype="undirected">']
     lines += ['<attributes class="node"><attribute id="0" title="freq" type="long"/><attribute id="1" title="community" type="integer"/></attributes>', "<nodes>"]
     for r in shown:
         lines.append(f'<node id="{known[r["form"]]}" label={quoteattr(r["form"])}><attvalues><attvalue for="0" value="{r["freq"]}"/><attvalue for="1" value="{r["community"]}"/></attvalues></node>')
     lines += ["</nodes>", "<edges>"]
-    for i, r in enumerate(edges.select("form_i", "form_j", "weight").orderBy("form_i", "form_j").limit(most).collect()):
+    for i, r in enumerate(links):
         if r["form_i"] in known and r["form_j"] in known:
             lines.append(f'<edge id="{i}" source="{known[r["form_i"]]}" target="{known[r["form_j"]]}" weight="{r["weight"]}"/>')
     return "\n".join([*lines, "</edges>", "</graph>", "</gexf>"])

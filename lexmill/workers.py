@@ -6,7 +6,7 @@ import os
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -30,6 +30,16 @@ def importable(spark: SparkSession) -> None:
         environment.setdefault(name, value)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """``table``, over all cores if it has fewer parts than these.
+
+    A small table in one file is read by one task, and all that follows in its
+    row stays there.  Tables of more parts are left as they are read.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < 2 * cores else table
+
+
 def checkpointing(spark: SparkSession) -> None:
     """Make ``checkpoint()`` work: in the folder the session names, or for a local session in one of its own."""
     context = spark.sparkContext

@@ -37,9 +37,10 @@ def test_entry_has_rows(spark):
     assert df.count() > 0
 
 
-def test_the_rest_works_without_the_training_data_operators(tmp_path):
+@pytest.mark.parametrize("gone", [("llm", "corpus_pipeline.py"), ("llm",)])
+def test_the_rest_works_without_the_training_data_operators(tmp_path, gone):
     target = tmp_path / "copy"
-    shutil.copytree(ROOT, target, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    shutil.copytree(ROOT, target, ignore=shutil.ignore_patterns(".git", *gone, "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert not any(n.startswith('op') for n in q), q; assert 'pipeline' not in q; print(len(q), len(e.oracle_sql()))"
     ran = subprocess.run([sys.executable, "-c", code], cwd=target, env=os.environ | {"PYTHONPATH": str(target)}, capture_output=True, text=True, timeout=120)
     assert ran.returncode == 0, ran.stderr
@@ -47,6 +48,7 @@ def test_the_rest_works_without_the_training_data_operators(tmp_path):
 
 def test_clustering_and_topics_take_all_forms_and_the_iterations_of_the_operators(spark, monkeypatch):
     asked = []
+    monkeypatch.setattr(core, "_divided", {})
 
     def fit(counts, *args, **kwargs):
         asked.append((counts, args, kwargs))
