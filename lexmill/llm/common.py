@@ -65,12 +65,12 @@ class Workspace:
         self.root = f"{shared_folder(spark)}/{name}-{next(self._serial)}-{uuid.uuid4().hex[:12]}"
         _written.append((spark, self.root))
 
-    def table(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    def table(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
         """Write ``df`` as Parquet and read it back."""
         path = f"{self.root}/{name}"
         writer = df.write.mode("overwrite").option("compression", "zstd")
         if partition_by:
-            writer = writer.partitionBy(partition_by)
+            writer = writer.partitionBy(*partition_by)
         with _shuffle_cleanup(self.spark):
             writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)

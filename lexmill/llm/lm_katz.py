@@ -1,455 +1,485 @@
 """Katz backoff language model of the corpus, and its score of every document.
 
-Bigrams and unigrams of all documents are counted.  Counts r up to ``k`` are
-discounted by Good and Turing; bigrams of fewer than ``min_count`` occurrences are
-dropped, which leaves their whole mass to the backoff.  With c(h) the count of a
-history, p(w) the discounted unigram probability and B(h) the bigrams kept,
+N-grams of all orders up to ``order`` are counted over all documents.  Counts r up
+to ``k`` are discounted by Good and Turing.  With c(h) the count of a history h of
+n - 1 words, h' its last n - 2 words and B(h) the n-grams kept of it,
 
     p(w | h) = d * c(h, w) / c(h)              where (h, w) is in B(h)
-             = alpha(h) * p(w)                 elsewhere,
-    alpha(h) = (1 - sum of p(w | h) over B(h)) / (1 - sum of p(w) over B(h)),
-
-so each history's probabilities, with the unknown word's, sum to 1 exactly.  A
-text is scored as  <s> words </s>, token by token.
-
-Words are known by 64-bit hashes (see ``textkernel``).  What is counted grows
-with the corpus and never comes to the driver: the corpus is cut into chunks of
-about ``chunk_tokens`` tokens that hold their distinct words and bigrams as sorted
-arrays; sorted slices of these travel to the shard of their hash, are merged
-there with numpy, and the counts travel back in the same order.  An exchange
-thus moves few, long, compressible rows, about nine bytes a distinct bigram of a
-chunk.  Histories that are so frequent that they would fill a shard are spread
-over all shards by the following word.
+             = alpha(h) * p(w | h')            elsewhere,
+    alpha(h) = (1 - sum of p(w | h) over B(h)) / (1 - sum of p(w | h') over B(h)),
+
+down to the discounted p(w), so each history's probabilities, with the unknown
+word's, sum to 1 exactly; alpha is 1 for a history without any n-gram kept.  All
+n-grams are kept but those of order 3 and more that occur once: their mass goes to
+the backoff, as in Katz's paper and the usual toolkits.  A text is scored as
+<s> words </s>, token by token; the first word has one word of history.
+
+Words are known by 64-bit hashes (see ``textkernel``), n-grams by the chained hash
+of their words.  What is counted grows with the corpus and never comes to the
+driver: a chunk of documents sends its distinct n-grams as sorted slices to the
+shard of their hash, where they are merged in numpy, and the counts travel back in
+the same order (see ``blobs``).  Order after order is counted so, and the sums over
+B(h) alike, history by history; an n-gram that holds a shorter one of a single
+occurrence is known to occur once and isn't sent.  The model is one table,
+partitioned by order and kind (counts of n-grams, sums of histories), one sorted
+slice a shard; any text is scored from it by the same look-ups.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from lexmill.llm import blobs
 from lexmill.llm.common import Workspace, need, shards
-from lexmill.llm.textkernel import U, mix, plain_strings, word_hashes
+from lexmill.llm.textkernel import U, mix, word_hashes
 
 END, BEGIN = U(1), U(2)
-_PAIR = U(0x9FB21C651E98DF25)
+_NEXT = U(0x9FB21C651E98DF25)
 
 
 @dataclass(frozen=True)
 class Katz:
-    """Discounting and cut-off, then sizes of chunks and shards."""
+    """Order, discounting, then sizes of chunks and shards; n-grams of order 3 and more need ``least_count`` (1 or 2)."""
 
+    order: int = 3
     k: int = 5
-    min_count: int = 2
-    chunk_tokens: int = 1 << 20
-    shard_pairs: int = 4 << 20
+    least_count: int = 2
+    chunk_bytes: int = 6 << 20
+    shard_words: int = 4 << 20
 
+    def least(self, n: int) -> int:
+        return 1 if n < 3 else self.least_count
 
-# ---- compressible blobs -------------------------------------------------------------------
 
+def discounts(often: list[int], k: int, min_count: int) -> list[float]:
+    """d(r) of counts r = 0 to k + 1; the last holds for all larger counts.
 
-def _planes(x: np.ndarray) -> bytes:
-    """The bytes of an array, the same byte of all items together."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()
-
-
-def _unplanes(blob: bytes, dtype: type) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(blob, dtype=np.uint8).reshape(width, -1).T).view(dtype).ravel()
-
-
-def _steps(x: np.ndarray) -> bytes:
-    """Differences (modulo 2**64) of a mostly sorted array of hashes."""
-    d = x.copy()
-    d[1:] -= x[:-1]
-    return _planes(d)
-
-
-def _unsteps(blob: bytes) -> np.ndarray:
-    return np.cumsum(_unplanes(blob, U), dtype=U)
-
-
-def _shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Shards are ranges of hashes, so that sorted hashes fall into slices."""
-    return (((hashes >> U(32)) * U(n)) >> U(32)).astype(np.int64)
-
-
-def _ranges(shard: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
-    edges = np.searchsorted(shard, np.arange(n + 1))
-    for s in range(n):
-        if edges[s + 1] > edges[s]:
-            yield s, int(edges[s]), int(edges[s + 1])
-
-
-# ---- chunks -------------------------------------------------------------------------------
-
-
-def _chunker(options: Katz):  # noqa: ANN202
-    def flush(pid: int, serial: int, ids: list[pa.Array], words: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
-        hashes, size = np.concatenate(words), np.concatenate(sizes).astype(np.int32)
-        codes, distinct = pd.factorize(np.concatenate([np.array([END, BEGIN], dtype=U), hashes]))
-        order = np.argsort(distinct)
-        rank = np.empty(len(order), dtype=np.int32)
-        rank[order] = np.arange(len(order), dtype=np.int32)
-        tokens = rank[codes[2:]]
-        count = np.bincount(tokens, minlength=len(distinct)).astype(np.int32)
-        count[rank[0]] = np.count_nonzero(size)  # every text with a word has one end
-        together = pa.concat_arrays(ids)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([(pid << 24) + serial], type=pa.int64()),
-                pa.ListArray.from_arrays(pa.array([0, len(together)], type=pa.int32()), together),
-                pa.array([_planes(size)], type=pa.binary()),
-                pa.array([_planes(tokens)], type=pa.binary()),
-                pa.array([_steps(distinct[order])], type=pa.binary()),
-                pa.array([_planes(count)], type=pa.binary()),
-            ],
-            names=["chunk", "doc_ids", "sizes", "tokens", "vocabulary", "counts"],
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, serial, held = TaskContext.get().partitionId(), 0, 0
-        ids: list[pa.Array] = []
-        words: list[np.ndarray] = []
-        sizes: list[np.ndarray] = []
-        for batch in batches:
-            strings = plain_strings(batch.column("text"))
-            for start in range(0, len(strings), 256):
-                hashes, offsets = word_hashes(strings.slice(start, 256))
-                ids.append(batch.column("doc_id").slice(start, 256))
-                words.append(hashes)
-                sizes.append(np.diff(offsets))
-                held += len(hashes)
-                if held >= options.chunk_tokens:
-                    yield flush(pid, serial, ids, words, sizes)
-                    ids, words, sizes, held, serial = [], [], [], 0, serial + 1
-        if ids:
-            yield flush(pid, serial, ids, words, sizes)
-
-    return run
+    ``often[r]`` is the number of n-grams that occur r times.  Counts below
+    ``min_count`` have 0.  Where the Good-Turing estimate of a count isn't in
+    (0, 1], for want of data, the count isn't discounted.
+    """
+    n1, nk = often[1], often[k + 1]
+    common = (k + 1) * nk / n1 if n1 else 1.0
+    out = [0.0]
+    for r in range(1, k + 1):
+        d = 1.0
+        if n1 and often[r] and common < 1:
+            d = ((r + 1) * often[r + 1] / (r * often[r]) - common) / (1 - common)
+        out.append(d if 0 < d <= 1 else 1.0)
+    return [0.0 if r < min_count else d for r, d in enumerate(out)] + [1.0]
 
 
 @dataclass
-class Chunk:
-    """One chunk, decoded: its distinct bigrams in shard order, and where each token's bigram is."""
-
-    sizes: np.ndarray
-    vocabulary: np.ndarray
-    history: np.ndarray  # codes of the distinct bigrams' words, in the order sent
-    word: np.ndarray
-    count: np.ndarray
-    shard: np.ndarray
-    occurrence: np.ndarray  # by predicted token
-    ends: np.ndarray  # predicted tokens up to each text's end
-
-
-def read_chunk(sizes: bytes, tokens: bytes, vocabulary: bytes, hot: np.ndarray, n: int) -> Chunk:
-    """Decode a chunk; the order of its bigrams is a function of its content."""
-    size, token, vocab = _unplanes(sizes, np.int32).astype(np.int64), _unplanes(tokens, np.int32), _unsteps(vocabulary)
-    end, begin = np.searchsorted(vocab, [END, BEGIN])
-    predicted = size + (size > 0)
-    ends = np.cumsum(predicted)
-    used = size > 0
-    word = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
-    last = ends[used] - 1
-    inner = np.ones(len(word), dtype=bool)
-    inner[last] = False
-    word[inner], word[last] = token, end
-    history = np.empty_like(word)
-    history[1:] = word[:-1]
-    history[(ends - predicted)[used]] = begin
-    pair, occurrence, count = np.unique(history * len(vocab) + word, return_inverse=True, return_counts=True)
-    h, w = pair // max(1, len(vocab)), pair % max(1, len(vocab))
-    hh, wh = vocab[h], vocab[w]
-    shard = _shard_of(np.where(np.isin(hh, hot), mix(hh ^ (wh * _PAIR)), hh), n)
-    order = np.argsort(shard, kind="stable")
-    place = np.empty_like(order)
-    place[order] = np.arange(len(order))
-    return Chunk(size, vocab, h[order], w[order], count[order].astype(np.int64), shard[order], place[occurrence], ends)
-
-
-# ---- counting -----------------------------------------------------------------------------
-
-_PARTS = "shard long, chunk long, a binary, b binary, c binary"
-_COUNTED = "kind string, shard long, chunk long, a binary, b binary, c binary"
-
-
-def _send_pairs(hot: np.ndarray, n: int):  # noqa: ANN202
+class Figures:
+    """What the driver holds: discounts by order, tokens in all and the unknown word's probability."""
+
+    d: dict[int, list[float]] = field(default_factory=dict)
+    tokens: int = 0
+    unknown: float = 0.0
+
+
+# ---- a chunk, as far as its replies go -----------------------------------------------------
+
+
+def _codes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct keys, code by item, an item of each)."""
+    code, distinct = pd.factorize(keys)
+    order = np.argsort(distinct)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    code = rank[code]
+    item = np.empty(len(order), dtype=np.int64)
+    item[code[::-1]] = np.arange(len(code))[::-1]
+    return distinct[order], code, item
+
+
+class Reading:
+    """The predicted tokens of a chunk: n-grams, histories, counts and probabilities order by order."""
+
+    def __init__(self, row: dict, replies: dict[str, list[dict]], figures: Figures, options: Katz, n_shards: int) -> None:
+        self.replies, self.figures, self.options, self.n_shards = replies, figures, options, n_shards
+        chunk = blobs.read_chunk(row["keys"], row["sizes"], row["texts"])
+        strings = pa.LargeStringArray.from_buffers(len(chunk.off) - 1, pa.py_buffer(chunk.off.astype(np.int64)), pa.py_buffer(chunk.data.tobytes()))
+        words, offsets = word_hashes(strings)
+        size = np.diff(offsets)
+        self.size = size + (size > 0)
+        self.ends = np.cumsum(self.size)
+        n = int(self.ends[-1]) if len(self.ends) else 0
+        begins = (self.ends - self.size)[size > 0]
+        self.place = np.arange(n) - np.repeat(begins, self.size[size > 0])  # within the text
+        self.word = np.empty(n, dtype=U)
+        last = np.zeros(n, dtype=bool)
+        last[self.ends[size > 0] - 1] = True
+        self.word[~last], self.word[last] = words, END
+        self.tokens: dict[int, np.ndarray] = {1: np.arange(n)}  # those that have an n-gram of the order
+        self.keys: dict[int, np.ndarray] = {1: self.word}  # by token
+        self.distinct, self.code, self.item = {}, {}, {}
+        self.counts: dict[int, np.ndarray] = {}  # by token
+        self.owned: dict[int, np.ndarray] = {}  # by distinct n-gram: is it this chunk that accounts for it?
+        self.sent: dict[int, np.ndarray] = {}
+
+    def history(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(key, count) of the history of each token of the order."""
+        t = self.tokens[n]
+        if n > 2:
+            return self.keys[n - 1][t - 1], self.counts[n - 1][t - 1]
+        end = np.searchsorted(self.distinct[1], END)
+        texts = self.counts[1][self.item[1][end]] if len(self.distinct[1]) else 0
+        key, count = np.full(len(t), BEGIN, dtype=U), np.full(len(t), texts, dtype=np.int64)
+        inner = np.flatnonzero(self.place[t] > 0)
+        key[inner], count[inner] = self.word[t[inner] - 1], self.counts[1][t[inner] - 1]
+        return key, count
+
+    def grams(self, n: int) -> None:
+        """N-grams of the order, and which of them have to be asked for."""
+        if n > 1:
+            self.tokens[n] = np.flatnonzero(self.place >= n - 2)
+            keys = np.zeros(len(self.word), dtype=U)
+            history, count = self.history(n)
+            keys[self.tokens[n]] = mix(history * _NEXT + self.word[self.tokens[n]] + U(n))
+            self.keys[n] = keys
+        t = self.tokens[n]
+        self.distinct[n], self.code[n], self.item[n] = _codes(self.keys[n][t])
+        self.sent[n] = np.ones(len(self.distinct[n]), dtype=bool)
+        least = self.options.least(n)
+        if least > 1:
+            self.sent[n] = (np.minimum(count, self.counts[n - 1][t]) >= least)[self.item[n]]
+
+    def counted(self, n: int) -> None:
+        """The counts that came back; what wasn't sent occurs less than it has to."""
+        count, owned = np.zeros(len(self.distinct[n]), dtype=np.int64), np.zeros(len(self.distinct[n]), dtype=bool)
+        keys = self.distinct[n][self.sent[n]]
+        got, own = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+        by_shard = {r["shard"]: r for r in self.replies[f"c{n}"]}
+        for s, a, b in blobs.slices(keys, self.n_shards):
+            got[a:b] = blobs.unplanes(by_shard[s]["b"], U).astype(np.int64)
+            own[a:b] = np.unpackbits(np.frombuffer(by_shard[s]["c"], dtype=np.uint8), count=b - a).astype(bool)
+        count[self.sent[n]], owned[self.sent[n]] = got, own
+        by_token = np.zeros(len(self.word), dtype=np.int64)
+        by_token[self.tokens[n]] = count[self.code[n]]
+        self.counts[n], self.owned[n] = by_token, owned
+
+    def kept(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(is its n-gram kept, its discounted count) by token of the order."""
+        count, d = self.counts[n][self.tokens[n]], np.array(self.figures.d[n])
+        return count >= self.options.least(n), d[np.minimum(count, len(d) - 1)] * count
+
+    def first(self) -> np.ndarray:
+        """p(w) by token."""
+        some, share = self.kept(1)
+        return np.where(some, share / max(1, self.figures.tokens), self.figures.unknown)
+
+    def histories(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which tokens of the order have a history that may have n-grams, its sorted distinct keys, code by such token)."""
+        key, count = self.history(n)
+        some = np.flatnonzero(count >= self.options.least(n))
+        distinct, code, _ = _codes(key[some])
+        return some, distinct, code
+
+    def sums(self, n: int, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(history, sum of discounted counts, sum of lower probabilities) over the kept n-grams that this chunk accounts for."""
+        some, distinct, code = self.histories(n)
+        kept, share = self.kept(n)
+        at = np.full(len(self.tokens[n]), -1, dtype=np.int64)
+        at[some] = code
+        item = self.item[n][self.owned[n]]
+        item = item[kept[item] & (at[item] >= 0)]
+        total = [np.bincount(at[item], weights=x[item], minlength=len(distinct)) for x in (share, lower[self.tokens[n]])]
+        return distinct, total[0], total[1]
+
+    def next(self, n: int, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(p(w | history) by token, which of the order's tokens were backed off)."""
+        some, distinct, code = self.histories(n)
+        s, below = np.zeros(len(distinct)), np.zeros(len(distinct))
+        by_shard = {r["shard"]: r for r in self.replies[f"p{n}"]}
+        for k, a, b in blobs.slices(distinct, self.n_shards):
+            s[a:b], below[a:b] = blobs.unplanes(by_shard[k]["b"], np.float64), blobs.unplanes(by_shard[k]["c"], np.float64)
+        kept, share = self.kept(n)
+        t = self.tokens[n]
+        total, alpha = np.ones(len(t)), np.ones(len(t))
+        count = self.history(n)[1][some].astype(np.float64)
+        total[some], alpha[some] = weights(s[code], below[code], count)
+        out = lower.copy()
+        out[t] = np.where(kept, share / total, alpha * lower[t])
+        return out, ~kept
+
+    def evaluate(self, upto: int) -> tuple[np.ndarray, np.ndarray]:
+        """(p by token of the order, or of the highest that its place has; is it backed off): recursively from order 1 on."""
+        p, backed = self.first(), self.counts[1] == 0
+        for n in range(2, upto + 1):
+            p, missed = self.next(n, p)
+            backed[self.tokens[n]] = missed
+        return p, backed
+
+
+def weights(s: np.ndarray, below: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(what counts are divided by, alpha) of histories.
+
+    Where the n-grams kept leave nothing over for unseen words, one more
+    occurrence is reckoned; where there is no unseen word, they share all.
+    """
+    seen_all = (1 - below < 1e-12) & (s > 0)
+    total = np.where(seen_all, s, np.where((count - s < 1e-9) & (s > 0), count + 1.0, count))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        alpha = np.where(seen_all, 0.0, (1 - s / total) / (1 - below))
+    return total, np.where(s > 0, alpha, 1.0)
+
+
+# ---- what chunks send and shards answer ----------------------------------------------------
+
+_ROWS = "kind string, shard long, chunk long, a binary, b binary, c binary"
+_KINDS = [("kind", pa.string()), ("shard", pa.int64()), ("chunk", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_KINDS)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, (_, k) in zip(columns, _KINDS, strict=True)], names=[n for n, _ in _KINDS])
+
+
+def _messages(reading: Reading, chunk: int, step: int) -> list[tuple]:
+    """What a chunk sends in a step: its n-grams of order ``step``, and its sums by history of the order before."""
+    order, n_shards, out = reading.options.order, reading.n_shards, []
+    for n in range(1, min(step, order) + 1):
+        reading.grams(n)
+        if n < step:
+            reading.counted(n)
+    if step <= order:
+        keys = reading.distinct[step][reading.sent[step]]
+        count = np.bincount(reading.code[step], minlength=len(reading.distinct[step]))[reading.sent[step]].astype(U)
+        out += [(f"c{step}", s, chunk, blobs.steps(keys[a:b]), blobs.planes(count[a:b]), None) for s, a, b in blobs.slices(keys, n_shards)]
+        once = int(np.count_nonzero(~reading.sent[step]))
+        if once:
+            out.append((f"o{step}", 0, chunk, np.array([0, once], dtype=np.int64).tobytes(), None, None))
+    if step > 2:
+        n = step - 1
+        lower, _ = reading.evaluate(n - 1)
+        keys, s, below = reading.sums(n, lower)
+        out += [(f"p{n}", k, chunk, blobs.steps(keys[a:b]), blobs.planes(s[a:b]), blobs.planes(below[a:b])) for k, a, b in blobs.slices(keys, n_shards)]
+    return out
+
+
+def _first_step(figures: Figures, options: Katz, n_shards: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                x = read_chunk(row["sizes"], row["tokens"], row["vocabulary"], hot, n)
-                hh, wh = x.vocabulary[x.history], x.vocabulary[x.word]
-                out = [
-                    (s, row["chunk"], _steps(hh[a:b]), _steps(wh[a:b]), _planes(x.count[a:b].astype(np.uint32)))
-                    for s, a, b in _ranges(x.shard, n)
-                ]
-                yield _batch(out, ["shard", "chunk", "a", "b", "c"])
+                yield _rows(_messages(Reading(row, {}, figures, options, n_shards), row["chunk"], 1))
 
     return run
 
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = {"kind": pa.string(), "shard": pa.int64(), "chunk": pa.int64()}
-    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), type=kinds.get(k, pa.binary())) for k, c in zip(names, columns, strict=True)], names=names)
+def _split(table: pa.Table) -> tuple[dict, dict[str, list[dict]]]:
+    rows = table.to_pylist()
+    replies: dict[str, list[dict]] = {}
+    for r in rows:
+        if r["kind"] != "chunk":
+            replies.setdefault(r["kind"], []).append(r)
+    known = {f"{kind}{n}": [] for kind in "cp" for n in range(1, 10)}
+    return next(r for r in rows if r["kind"] == "chunk"), known | replies
 
 
-def _merge_pairs(options: Katz):  # noqa: ANN202
+def _later_step(step: int, figures: Figures, options: Katz, n_shards: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        h, w = [_unsteps(r["a"]) for r in rows], [_unsteps(r["b"]) for r in rows]
-        c = [_unplanes(r["c"], np.uint32) for r in rows]
-        edge = np.concatenate([[0], np.cumsum([len(x) for x in h])])
-        hh, wh = np.concatenate(h), np.concatenate(w)
-        key, first, inverse = np.unique(mix(hh * _PAIR + wh), return_index=True, return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate(c), minlength=len(key)).astype(np.int64)
-        shard = rows[0]["shard"]
-        back = total[inverse]
-        out = [("response", shard, r["chunk"], None, None, _planes(back[edge[i] : edge[i + 1]].astype(np.uint64))) for i, r in enumerate(rows)]
-        kept = total >= options.min_count
-        at = first[kept]
-        at_order = np.lexsort((wh[at], hh[at]))
-        at = at[at_order]
-        out.append(("model", shard, None, _steps(hh[at]), _steps(wh[at]), _planes(total[kept][at_order].astype(np.uint64))))
-        often = np.bincount(np.minimum(total, options.k + 2), minlength=options.k + 3)
-        out.append(("often", shard, None, None, None, often.astype(np.int64).tobytes()))
-        return pa.Table.from_batches([_batch(out, ["kind", "shard", "chunk", "a", "b", "c"])])
+        row, replies = _split(table)
+        return pa.Table.from_batches([_rows(_messages(Reading(row, replies, figures, options, n_shards), row["chunk"], step))])
 
     return run
 
 
-def _explode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for vocabulary, counts in zip(batch.column("vocabulary"), batch.column("counts"), strict=True):
-            w, c = _unsteps(vocabulary.as_py()), _unplanes(counts.as_py(), np.int32)
-            some = c > 0
-            yield pa.RecordBatch.from_arrays([pa.array(w[some].view(np.int64)), pa.array(c[some].astype(np.int64))], names=["w", "c"])
-
+def _merge(options: Katz) -> Callable[[pa.Table], pa.Table]:
+    """Answers to all chunks, and what the model keeps: counts (m) and how often they occur (o), or sums of histories (h)."""
 
-def _explode_model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b, c in zip(*(batch.column(k).to_pylist() for k in "abc"), strict=True):
-            h, w, n = _unsteps(a).view(np.int64), _unsteps(b).view(np.int64), _unplanes(c, U).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(w), pa.array(n)], names=["h", "w", "c"])
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
+        kind, n, shard = rows[0]["kind"][0], int(rows[0]["kind"][1:]), rows[0]["shard"]
+        if kind == "o":
+            once = sum(int(np.frombuffer(r["a"], dtype=np.int64)[1]) for r in rows)
+            often = np.zeros(options.k + 3, dtype=np.int64)
+            often[1] = once
+            return pa.Table.from_batches([_rows([(f"o{n}", shard, None, often.tobytes(), None, None)])])
+        keys = [blobs.unsteps(r["a"]) for r in rows]
+        edge = np.cumsum([0, *map(len, keys)])
+        together = np.concatenate(keys)
+        distinct, first, code = np.unique(together, return_index=True, return_inverse=True)
+        if kind == "p":
+            sums = [np.bincount(code, weights=np.concatenate([blobs.unplanes(r[c], np.float64) for r in rows]), minlength=len(distinct)) for c in "bc"]
+            back = [x[code] for x in sums]
+            out = [(f"p{n}", shard, r["chunk"], None, *(blobs.planes(x[edge[i] : edge[i + 1]]) for x in back)) for i, r in enumerate(rows)]
+            some = np.flatnonzero(sums[0] > 0)
+            out.append((f"h{n}", shard, None, blobs.steps(distinct[some]), *(blobs.planes(x[some]) for x in sums)))
+            return pa.Table.from_batches([_rows(out)])
+        weight = np.concatenate([blobs.unplanes(r["b"], U) for r in rows]).astype(np.float64)
+        total = np.bincount(code, weights=weight, minlength=len(distinct)).astype(U)
+        own = np.zeros(len(together), dtype=bool)
+        own[first] = True
+        back = total[code]
+        out = [(f"c{n}", shard, r["chunk"], None, blobs.planes(back[edge[i] : edge[i + 1]]), np.packbits(own[edge[i] : edge[i + 1]]).tobytes()) for i, r in enumerate(rows)]
+        some = np.flatnonzero(total >= options.least(n))
+        often = np.bincount(np.minimum(total, options.k + 2).astype(np.int64), minlength=options.k + 3).astype(np.int64)
+        out.append((f"m{n}", shard, None, blobs.steps(distinct[some]), blobs.planes(total[some]), None))
+        out.append((f"o{n}", shard, None, often.tobytes(), np.array([int(total.sum())], dtype=np.int64).tobytes(), None))
+        return pa.Table.from_batches([_rows(out)])
 
+    return run
 
-def discounts(often: list[int], k: int, min_count: int) -> list[float]:
-    """d(r) of counts r = 0 to k + 1; the last holds for all larger counts.
 
-    ``often[r]`` is the number of n-grams that occur r times.  Counts below
-    ``min_count`` have 0.  Where the Good-Turing estimate of a count isn't in
-    (0, 1], for want of data, the count isn't discounted.
-    """
-    n1, nk = often[1], often[k + 1]
-    common = (k + 1) * nk / n1 if n1 else 1.0
-    out = [0.0]
-    for r in range(1, k + 1):
-        d = 1.0
-        if n1 and often[r] and common < 1:
-            d = ((r + 1) * often[r + 1] / (r * often[r]) - common) / (1 - common)
-        out.append(d if 0 < d <= 1 else 1.0)
-    return [0.0 if r < min_count else d for r, d in enumerate(out)] + [1.0]
+def _look_up(asked: pa.Table, held: pa.Table) -> pa.Table:
+    """Answers to chunks of any texts, from the model's slice of the shard."""
+    out, rows = [], held.to_pylist()
+    keys = blobs.unsteps(rows[0]["a"]) if rows and rows[0]["a"] else np.zeros(0, dtype=U)
+    for r in asked.to_pylist():
+        wanted = blobs.unsteps(r["a"])
+        at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+        hit = keys[at] == wanted if len(keys) else np.zeros(len(wanted), dtype=bool)
 
+        def found(column: str, kind: type, hit: np.ndarray = hit, at: np.ndarray = at) -> np.ndarray:
+            return np.where(hit, blobs.unplanes(rows[0][column], kind)[at], kind(0)).astype(kind) if len(keys) else np.zeros(len(hit), dtype=kind)
 
-# ---- the model ----------------------------------------------------------------------------
+        if r["kind"][0] == "c":
+            out.append((r["kind"], r["shard"], r["chunk"], None, blobs.planes(found("b", U)), np.packbits(np.zeros(len(wanted), dtype=bool)).tobytes()))
+        elif r["kind"][0] == "p":
+            out.append((r["kind"], r["shard"], r["chunk"], None, blobs.planes(found("b", np.float64)), blobs.planes(found("c", np.float64))))
+    return pa.Table.from_batches([_rows(out)])
 
 
-@dataclass
-class Model:
-    """Written tables and a few numbers.
+# ---- training and scoring ------------------------------------------------------------------
 
-    ``ngrams`` (partitioned by n_words: 1, 2) has h, w, c and the probability p;
-    ``histories`` has h, total (what c(h, w) is divided by) and alpha.
-    """
+_CHUNK = ["doc_ids", "keys", "sizes", "texts"]
 
-    ws: Workspace
-    chunks: DataFrame
-    counted: DataFrame
-    ngrams: DataFrame
-    histories: DataFrame
-    hot: np.ndarray
-    n_shards: int
-    d1: list[float]
-    d2: list[float]
-    tokens: int
-    unknown: float
 
+def _with_replies(chunks: DataFrame, replies: list[DataFrame]) -> DataFrame:
+    kinds = {f.name: f.dataType for f in chunks.schema}
+    blank = [F.lit(None).cast(k).alias(c) for c, k in (("shard", "long"), ("a", "binary"), ("b", "binary"), ("c", "binary"))]
+    out = chunks.select(F.lit("chunk").alias("kind"), "chunk", *blank, *_CHUNK)
+    for reply in replies:
+        out = out.unionByName(reply.select("kind", "chunk", "shard", "a", "b", "c", *[F.lit(None).cast(kinds[c]).alias(c) for c in _CHUNK]))
+    return out
 
-def _discounted(c: str, d: list[float]) -> F.Column:
-    table = F.array(*[F.lit(x) for x in d])
-    return F.element_at(table, F.least(F.col(c), F.lit(len(d) - 1)).cast("int") + 1) * F.col(c)
 
+@dataclass
+class Model:
+    """``table`` (n_words, kind, shard, a, b, c), partitioned by n_words and kind; m: keys and counts, h: keys and sums."""
 
-def train(spark: SparkSession, docs: DataFrame, options: Katz = Katz()) -> Model:  # noqa: B008
-    """Count all of ``docs`` (doc_id, text) and write the model."""
-    need(docs, "doc_id", "text")
-    ws = Workspace(spark, "katz")
-    schema = T.StructType(
-        [
-            T.StructField("chunk", T.LongType()),
-            T.StructField("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType)),
-            *[T.StructField(c, T.BinaryType()) for c in ("sizes", "tokens", "vocabulary", "counts")],
-        ]
-    )
-    chunks = ws.table(docs.select("doc_id", "text").mapInArrow(_chunker(options), schema), "chunks")
-    words = chunks.select("vocabulary", "counts").mapInArrow(_explode_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
-    words = ws.table(words, "words")
-    small = [F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, options.k + 2)]
-    tokens, n_words, *often = words.agg(F.sum("c"), F.count("*"), *small).first()
-    tokens = tokens or 0
-    d1 = discounts([0, *often], options.k, 1)
-    n = max(shards(spark), -(-tokens // options.shard_pairs))
-    # histories that would fill a quarter of a shard alone: at most four a shard
-    frequent = words.where(F.col("c") > max(1, tokens // (4 * n))).select("w", "c").collect()
-    hot = np.array([r["w"] for r in frequent if r["w"] != int(END)], dtype=np.int64).view(U)
-    if any(r["w"] == int(END) for r in frequent):
-        hot = np.append(hot, BEGIN)
-    parts = chunks.select("chunk", "sizes", "tokens", "vocabulary").mapInArrow(_send_pairs(hot, n), _PARTS)
-    counted = ws.table(parts.groupBy("shard").applyInArrow(_merge_pairs(options), _COUNTED), "counted")
-    found = np.zeros(options.k + 3, dtype=np.int64)
-    for row in counted.where("kind = 'often'").select("c").collect():  # one short row a shard
-        found += np.frombuffer(row["c"], dtype=np.int64)
-    d2 = discounts(found.tolist(), options.k, options.min_count)
-    unigrams = words.withColumn("p", _discounted("c", d1) / F.lit(float(max(1, tokens))))
-    known = unigrams.agg(F.sum("p")).first()[0] or 0.0
-    pairs = ws.table(counted.where("kind = 'model'").select("a", "b", "c").mapInArrow(_explode_model, "h long, w long, c long"), "pairs")
-    followed = (
-        pairs.join(unigrams.select("w", "p"), "w")
-        .groupBy("h")
-        .agg(F.sum(_discounted("c", d2)).alias("s"), F.sum("p").alias("lower"))
-    )
-    counts = words.select(F.when(F.col("w") == int(END), int(BEGIN)).otherwise(F.col("w")).alias("h"), F.col("c").alias("ch"))
-    nothing_left = F.col("ch") - F.col("s") < 1e-9
-    all_seen = 1 - F.col("lower") < 1e-12
-    total = F.when(all_seen, F.col("s")).when(nothing_left, F.col("ch") + 1.0).otherwise(F.col("ch").cast("double"))
-    alpha = F.when(all_seen, 0.0).otherwise((1 - F.col("s") / F.col("total")) / (1 - F.col("lower")))
-    histories = ws.table(followed.join(counts, "h").withColumn("total", total).withColumn("alpha", alpha).select("h", "ch", "total", "alpha"), "histories")
-    bigrams = pairs.join(histories, "h").select("h", "w", "c", (_discounted("c", d2) / F.col("total")).alias("p"), F.lit(2).alias("n_words"))
-    singles = unigrams.select(F.lit(None).cast("long").alias("h"), "w", "c", "p", F.lit(1).alias("n_words"))
-    ngrams = ws.table(singles.unionByName(bigrams), "ngrams", partition_by="n_words")
-    ws.drop("pairs")
-    ws.drop("words")
-    return Model(ws, chunks, counted, ngrams, histories, hot, n, d1, d2, tokens, max(0.0, 1.0 - known))
-
-
-# ---- scoring ------------------------------------------------------------------------------
-
-
-def _ask_words(n: int):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("vocabulary").to_pylist(), strict=True):
-                vocab = _unsteps(blob)
-                out = [(s, chunk, _steps(vocab[a:b]), None, None) for s, a, b in _ranges(_shard_of(vocab, n), n)]
-                yield _batch(out, ["shard", "chunk", "a", "b", "c"])
+    table: DataFrame
+    figures: Figures
+    options: Katz
+    n_shards: int
 
-    return run
 
+def _chunks(ws: Workspace, docs: DataFrame, options: Katz) -> DataFrame:
+    return ws.table(blobs.chunked(docs.select("doc_id", "text"), F.lit(0).cast("long"), options.chunk_bytes), "chunks")
 
-def _answer_words(asked: pa.Table, known: pa.Table) -> pa.Table:
-    """By asked word: log p, log alpha and what the log of its count as a history is short of."""
-    out = []
-    w = known.column("w").to_numpy().view(U)
-    order = np.argsort(w)
-    w = w[order]
-    p, alpha, total = (known.column(c).to_numpy()[order] for c in ("p", "alpha", "total"))
-    with np.errstate(divide="ignore"):
-        log_p, log_alpha, log_total = np.log(p), np.log(alpha), np.log(total)
-    for row in asked.to_pylist():
-        vocab = _unsteps(row["a"])
-        at = np.minimum(np.searchsorted(w, vocab), max(0, len(w) - 1))
-        hit = w[at] == vocab if len(w) else np.zeros(len(vocab), dtype=bool)
-        parts = [_planes(np.where(hit, x[at], 0.0) if len(w) else np.zeros(len(vocab))) for x in (log_p, log_alpha, log_total)]
-        out.append(("words", row["shard"], row["chunk"], *parts))
-    return pa.Table.from_batches([_batch(out, ["kind", "shard", "chunk", "a", "b", "c"])])
 
+def _figures(table: DataFrame, n: int, figures: Figures, options: Katz) -> None:
+    """Discounts of an order from the shards' short rows."""
+    often, tokens = np.zeros(options.k + 3, dtype=np.int64), 0
+    for row in table.where(F.col("kind") == f"o{n}").select("a", "b").collect():
+        often += np.frombuffer(row["a"], dtype=np.int64)
+        tokens += int(np.frombuffer(row["b"], dtype=np.int64)[0]) if row["b"] else 0
+    figures.d[n] = discounts(often.tolist(), options.k, options.least(n))
+    if n == 1:
+        lost = sum((1 - figures.d[1][r]) * r * int(often[r]) for r in range(1, options.k + 1))
+        if lost < 1e-9:  # one more occurrence, of an unseen word
+            lost, tokens = 1.0, tokens + 1
+        figures.tokens, figures.unknown = tokens, lost / tokens
 
-def _score(hot: np.ndarray, n: int, d2: list[float], options: Katz, doc_type: pa.DataType) -> Callable[[pa.Table], pa.Table]:
-    factor = np.array(d2)
 
+def train(spark: SparkSession, docs: DataFrame, options: Katz = Katz()) -> tuple[Model, DataFrame, list[DataFrame]]:  # noqa: B008
+    """(model, chunks, replies to them) of all of ``docs`` (doc_id, text)."""
+    need(docs, "doc_id", "text")
+    ws = Workspace(spark, "katz")
+    chunks = _chunks(ws, docs, options)
+    n = max(shards(spark), -(-chunks.count() * options.chunk_bytes // (6 * options.shard_words)))  # a word has about six bytes
+    figures, tables = Figures(), []
+    for step in range(1, options.order + 2):
+        if step == 1:
+            sent = chunks.select("chunk", "keys", "sizes", "texts").mapInArrow(_first_step(figures, options, n), _ROWS)
+        else:
+            replies = [t.where(F.col("part").isin("c", "p")) for t in tables]
+            sent = _with_replies(chunks, replies).groupBy("chunk").applyInArrow(_later_step(step, figures, options, n), _ROWS)
+        merged = sent.groupBy("kind", "shard").applyInArrow(_merge(options), _ROWS)
+        merged = merged.withColumn("n_words", F.substring("kind", 2, 9).cast("int")).withColumn("part", F.substring("kind", 1, 1))
+        tables.append(ws.table(merged, f"step-{step}", partition_by=("n_words", "part")))
+        if step <= options.order:
+            _figures(tables[-1], step, figures, options)
+    whole = tables[0]
+    for t in tables[1:]:
+        whole = whole.unionByName(t)
+    model = Model(whole.where(F.col("part").isin("m", "h")), figures, options, n)
+    return model, chunks, [t.where(F.col("part").isin("c", "p")) for t in tables]
+
+
+def _score(figures: Figures, options: Katz, n_shards: int, doc_type: pa.DataType) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        x = next(r for r in rows if r["kind"] == "chunk")
-        chunk = read_chunk(x["sizes"], x["tokens"], x["vocabulary"], hot, n)
-        answers = sorted((r for r in rows if r["kind"] == "words"), key=lambda r: r["shard"])
-        counts = sorted((r for r in rows if r["kind"] == "response"), key=lambda r: r["shard"])
-        empty = [np.zeros(0)]
-        log_p, log_alpha, log_total = (np.concatenate([_unplanes(r[k], np.float64) for r in answers] or empty) for k in "abc")
-        c = np.concatenate([_unplanes(r["c"], U).astype(np.int64) for r in counts] or [np.zeros(0, dtype=np.int64)])
-        seen = c >= options.min_count
+        row, replies = _split(table)
+        reading = Reading(row, replies, figures, options, n_shards)
+        for n in range(1, options.order + 1):
+            reading.grams(n)
+            reading.counted(n)
+        p, backed = reading.evaluate(options.order)
         with np.errstate(divide="ignore"):
-            direct = np.log(factor[np.minimum(c, len(factor) - 1)] * c) - log_total[chunk.history]
-        value = np.where(seen, direct, log_alpha[chunk.history] + log_p[chunk.word])
-        running = np.concatenate([[0.0], np.cumsum(value[chunk.occurrence])])
-        backed = np.concatenate([[0], np.cumsum(~seen[chunk.occurrence])])
-        start = np.concatenate([[0], chunk.ends[:-1]])
-        size = chunk.ends - start
-        score = running[chunk.ends] - running[start]
+            value = np.log(p)
+        running, missed = np.concatenate([[0.0], np.cumsum(value)]), np.concatenate([[0], np.cumsum(backed)])
+        start = reading.ends - reading.size
         return pa.table(
             {
-                "doc_id": pa.array(x["doc_ids"], type=doc_type),
-                "n_tokens": pa.array(size.astype(np.int64)),
-                "n_backoff": pa.array((backed[chunk.ends] - backed[start]).astype(np.int64)),
-                "log_prob": pa.array(score, mask=size == 0),
+                "doc_id": pa.array(row["doc_ids"], type=doc_type),
+                "n_tokens": pa.array(reading.size.astype(np.int64)),
+                "n_backoff": pa.array((missed[reading.ends] - missed[start]).astype(np.int64)),
+                "log_prob": pa.array(running[reading.ends] - running[start], mask=reading.size == 0),
             }
         )
 
     return run
 
 
-def score(spark: SparkSession, model: Model, options: Katz = Katz()) -> DataFrame:  # noqa: B008
-    """(doc_id, n_tokens, n_backoff, log_prob) of the documents the model was trained on."""
-    n = model.n_shards
-    asked = model.chunks.select("chunk", "vocabulary").mapInArrow(_ask_words(n), _PARTS)
-    unigrams = model.ngrams.where("n_words = 1").select("w", "p")
-    histories = model.histories.select("h", "total", "alpha")
-    begin = spark.createDataFrame([(int(BEGIN), None)], "w long, p double")  # no word, but a history
-    known = unigrams.unionByName(begin).join(histories, F.col("w") == F.col("h"), "left")
-    known = known.select("w", F.coalesce("p", F.lit(1.0)).alias("p"), F.coalesce("alpha", F.lit(1.0)).alias("alpha"), F.coalesce("total", F.lit(1.0)).alias("total"))
-    placed = known.withColumn("shard", _shard_column("w", n))
-    answers = asked.groupBy("shard").cogroup(placed.groupBy("shard")).applyInArrow(_answer_words, _COUNTED)
-    answers = model.ws.table(answers.where("chunk is not null"), "answers")
-    blank = F.lit(None).cast("binary")
-    ids = model.chunks.schema["doc_ids"].dataType
-    whole = model.chunks.select(F.lit("chunk").alias("kind"), F.lit(0).cast("long").alias("shard"), "chunk", blank.alias("a"), blank.alias("b"), blank.alias("c"), "doc_ids", "sizes", "tokens", "vocabulary")
-    replies = answers.unionByName(model.counted.where("kind = 'response'"))
-    replies = replies.select("kind", "shard", "chunk", "a", "b", "c", F.lit(None).cast(ids).alias("doc_ids"), blank.alias("sizes"), blank.alias("tokens"), blank.alias("vocabulary"))
-    out = T.StructType(
-        [
-            T.StructField("doc_id", ids.elementType),
-            T.StructField("n_tokens", T.LongType()),
-            T.StructField("n_backoff", T.LongType()),
-            T.StructField("log_prob", T.DoubleType()),
-        ]
-    )
-    run = _score(model.hot, n, model.d2, options, to_arrow_type(ids.elementType))
-    return whole.unionByName(replies).groupBy("chunk").applyInArrow(run, out)
-
-
-def _shard_column(w: str, n: int) -> F.Column:
-    """``_shard_of`` in Spark: the upper half of the hash as a number, times n, over 2**32."""
-    upper = F.shiftrightunsigned(F.col(w), 32)
-    return F.shiftrightunsigned(upper * F.lit(n).cast("long"), 32)
+def _scored(chunks: DataFrame, replies: list[DataFrame], model: Model) -> DataFrame:
+    ids = chunks.schema["doc_ids"].dataType.elementType
+    out = T.StructType([T.StructField("doc_id", ids), T.StructField("n_tokens", T.LongType()), T.StructField("n_backoff", T.LongType()), T.StructField("log_prob", T.DoubleType())])
+    run = _score(model.figures, model.options, model.n_shards, to_arrow_type(ids))
+    scored = _with_replies(chunks, replies).groupBy("chunk").applyInArrow(run, out)
+    return scored.withColumn("log_prob", F.round("log_prob", 4))
+
+
+def score_texts(spark: SparkSession, model: Model, docs: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, n_backoff, log_prob) of any texts, by look-ups in the model's table.
+
+    A word that the model doesn't know has the mass that discounting took from
+    the words (if it took none, that of one more occurrence).
+    """
+    need(docs, "doc_id", "text")
+    ws, options, n = Workspace(spark, "katz-score"), model.options, model.n_shards
+    chunks, replies = _chunks(ws, docs, options), []
+    held = model.table.withColumn("kind", F.concat(F.when(F.col("part") == "m", "c").otherwise("p"), F.col("n_words").cast("string")))
+    for step in range(1, options.order + 2):
+        if step == 1:
+            sent = chunks.select("chunk", "keys", "sizes", "texts").mapInArrow(_first_step(model.figures, options, n), _ROWS)
+        else:
+            sent = _with_replies(chunks, replies).groupBy("chunk").applyInArrow(_later_step(step, model.figures, options, n), _ROWS)
+        asked = ws.table(sent.where(~F.col("kind").startswith("o")), f"asked-{step}")
+        own = held.select("kind", "shard", "chunk", "a", "b", "c")
+        found = asked.groupBy("kind", "shard").cogroup(own.groupBy("kind", "shard")).applyInArrow(_look_up, _ROWS)
+        replies.append(ws.table(found, f"found-{step}"))
+    return _scored(chunks, replies, model)
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, options: Katz = Katz()) -> DataFrame:  # noqa: B008
-    """(doc_id, n_tokens, n_backoff, log_prob) of every row of ``docs``.
+    """(doc_id, n_tokens, n_backoff, log_prob) of every row of ``docs`` by the model of them all.
 
     ``n_tokens`` counts the words and the text's end, ``n_backoff`` those whose
-    bigram isn't in the model, ``log_prob`` is the natural logarithm of the
-    text's probability, rounded to four places.  A text without a word (null,
+    longest n-gram isn't in the model, ``log_prob`` is the natural logarithm of
+    the text's probability, rounded to four places.  A text without a word (null,
     empty, punctuation) isn't counted and has 0 tokens and a null ``log_prob``.
-    Repeated rows count as often as they occur; null ids are scored like others.
-    An empty table gives an empty result.
+    Repeated rows count as often as they occur; null ids are scored like others;
+    other columns are ignored.  An empty table gives an empty result.
     """
-    model = train(spark, docs, options)
-    return score(spark, model, options).withColumn("log_prob", F.round("log_prob", 4))
+    model, chunks, replies = train(spark, docs, options)
+    return _scored(chunks, replies, model)

@@ -97,35 +97,43 @@ OP1_SQL = r"""
     WITH texts AS (
         SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '(?:[a-z0-9_]|[^\x00-\x7F])+') AS words FROM documents),
     tokens AS (
-        SELECT r, unnest(list_concat(['<s>'], words)) AS h, unnest(list_concat(words, ['</s>'])) AS w
+        SELECT r, unnest(list_concat([NULL, '<s>'], words)) AS u, unnest(list_concat(['<s>'], words, [NULL])) AS h, unnest(list_concat(words, ['</s>', NULL])) AS w
         FROM texts WHERE len(words) > 0),
-    uni AS (SELECT w, count(*) AS c FROM tokens GROUP BY w),
-    bi AS (SELECT h, w, count(*) AS c FROM tokens GROUP BY h, w),
+    said AS (SELECT * FROM tokens WHERE w IS NOT NULL),
+    uni AS (SELECT w, count(*) AS c FROM said GROUP BY w),
+    bi AS (SELECT h, w, count(*) AS c FROM said GROUP BY h, w),
+    tri AS (SELECT u, h, w, count(*) AS c FROM said WHERE u IS NOT NULL GROUP BY u, h, w),
     often AS (
         SELECT 1 AS n, c AS r, count(*)::DOUBLE AS m FROM uni WHERE c <= 6 GROUP BY c
-        UNION ALL SELECT 2, c, count(*)::DOUBLE FROM bi WHERE c <= 6 GROUP BY c),
+        UNION ALL SELECT 2, c, count(*)::DOUBLE FROM bi WHERE c <= 6 GROUP BY c
+        UNION ALL SELECT 3, c, count(*)::DOUBLE FROM tri WHERE c <= 6 GROUP BY c),
     common AS (SELECT n, 6 * coalesce(max(m) FILTER (r = 6), 0) / max(m) FILTER (r = 1) AS q FROM often GROUP BY n),
     raw AS (
         SELECT a.n, a.r, ((a.r + 1) * coalesce(b.m, 0) / (a.r * a.m) - q) / (1 - q) AS d, q
         FROM often a LEFT JOIN often b ON a.n = b.n AND b.r = a.r + 1 JOIN common ON common.n = a.n WHERE a.r <= 5),
-    disc AS (
-        SELECT n, r, CASE WHEN n = 2 AND r < 2 THEN 0 WHEN q < 1 AND d > 0 AND d <= 1 THEN d ELSE 1 END AS d FROM raw),
-    total AS (SELECT sum(c)::DOUBLE AS t FROM uni),
-    puni AS (
-        SELECT w, uni.c, coalesce(d, 1) * uni.c / t AS p FROM uni CROSS JOIN total LEFT JOIN disc ON n = 1 AND r = uni.c),
-    kept AS (
-        SELECT bi.h, bi.w, coalesce(d, 1) * bi.c AS s FROM bi LEFT JOIN disc ON n = 2 AND r = bi.c WHERE bi.c >= 2),
-    followed AS (SELECT h, sum(s) AS s, sum(p) AS lower FROM kept JOIN puni USING (w) GROUP BY h),
-    hist AS (
-        SELECT f.h, s, lower, u.c AS ch,
-            CASE WHEN 1 - lower < 1e-12 THEN s WHEN u.c - s < 1e-9 THEN u.c + 1 ELSE u.c END AS total
-        FROM followed f JOIN uni u ON u.w = CASE WHEN f.h = '<s>' THEN '</s>' ELSE f.h END),
+    disc AS (SELECT n, r, CASE WHEN q < 1 AND d > 0 AND d <= 1 THEN d ELSE 1 END AS d FROM raw),
+    total AS (
+        SELECT CASE WHEN sum((1 - coalesce(d, 1)) * c) < 1e-9 THEN sum(c) + 1 ELSE sum(c) END::DOUBLE AS t
+        FROM uni LEFT JOIN disc ON n = 1 AND r = uni.c),
+    p1 AS (SELECT w, uni.c, coalesce(d, 1) * uni.c / t AS p FROM uni CROSS JOIN total LEFT JOIN disc ON n = 1 AND r = uni.c),
+    s2 AS (
+        SELECT bi.h, bi.w, bi.c, coalesce(d, 1) * bi.c AS s, p1.p AS below FROM bi JOIN p1 USING (w) LEFT JOIN disc ON n = 2 AND r = bi.c),
+    h2 AS (
+        SELECT h, s, below, CASE WHEN 1 - below < 1e-12 THEN s WHEN u.c - s < 1e-9 THEN u.c + 1 ELSE u.c END AS total
+        FROM (SELECT h, sum(s) AS s, sum(below) AS below FROM s2 GROUP BY h) JOIN uni u ON u.w = CASE WHEN h = '<s>' THEN '</s>' ELSE h END),
+    p2 AS (SELECT s2.h, s2.w, s2.c, s2.s / total AS p FROM s2 JOIN h2 USING (h)),
+    s3 AS (
+        SELECT tri.u, tri.h, tri.w, coalesce(d, 1) * tri.c AS s, p2.p AS below
+        FROM tri JOIN p2 ON p2.h = tri.h AND p2.w = tri.w LEFT JOIN disc ON n = 3 AND r = tri.c WHERE tri.c >= 2),
+    h3 AS (
+        SELECT g.u, g.h, s, below, CASE WHEN 1 - below < 1e-12 THEN s WHEN bi.c - s < 1e-9 THEN bi.c + 1 ELSE bi.c END AS total
+        FROM (SELECT u, h, sum(s) AS s, sum(below) AS below FROM s3 GROUP BY u, h) g JOIN bi ON bi.h = g.u AND bi.w = g.h),
     scored AS (
-        SELECT t.r, k.s IS NULL AS backed,
-            CASE WHEN k.s IS NOT NULL THEN ln(k.s / hist.total)
-                WHEN hist.h IS NULL THEN ln(p)
-                ELSE ln((1 - hist.s / hist.total) / (1 - hist.lower)) + ln(p) END AS lp
-        FROM tokens t JOIN puni ON puni.w = t.w LEFT JOIN kept k ON k.h = t.h AND k.w = t.w LEFT JOIN hist ON hist.h = t.h),
+        SELECT x.r, x.u IS NOT NULL AND s3.s IS NULL AS backed,
+            ln(CASE WHEN s3.s IS NOT NULL THEN s3.s / h3.total
+                WHEN h3.s IS NOT NULL THEN (1 - h3.s / h3.total) / (1 - h3.below) * p2.p ELSE p2.p END) AS lp
+        FROM said x JOIN p2 ON p2.h = x.h AND p2.w = x.w
+        LEFT JOIN s3 ON s3.u = x.u AND s3.h = x.h AND s3.w = x.w LEFT JOIN h3 ON h3.u = x.u AND h3.h = x.h),
     sums AS (SELECT r, count(*) AS n_tokens, count(*) FILTER (backed) AS n_backoff, sum(lp) AS lp FROM scored GROUP BY r)
     SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, coalesce(n_backoff, 0) AS n_backoff, round(lp, 4) AS log_prob
     FROM texts LEFT JOIN sums USING (r)"""

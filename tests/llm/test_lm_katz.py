@@ -3,86 +3,112 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from lexmill.llm import lm_katz
+from lexmill.llm import blobs, lm_katz
 from tests.llm.fixtures import SCHEMA, corpus, words
 
 K = 5
 
 
-def brute_force(texts):
-    tokens, uni, bi = [], Counter(), Counter()
-    for text in texts:
-        ws = words(text)
-        if ws:
-            seq = ["<s>", *ws, "</s>"]
-            tokens.append(seq)
-            uni.update(seq[1:])
-            bi.update(zip(seq, seq[1:], strict=False))
-
-    def discount(counts, least):
-        often = Counter(counts.values())
-        common = (K + 1) * often[K + 1] / often[1] if often[1] else 1.0
-        out = {}
-        for r in range(1, K + 1):
-            d = 1.0
-            if often[1] and often[r] and common < 1:
-                d = ((r + 1) * often[r + 1] / (r * often[r]) - common) / (1 - common)
-            out[r] = 0.0 if r < least else d if 0 < d <= 1 else 1.0
-        return out
-
-    d1, d2, total = discount(uni, 1), discount(bi, 2), sum(uni.values())
-    p = {w: d1.get(c, 1.0) * c / total for w, c in uni.items()}
-    kept = defaultdict(dict)
-    for (h, w), c in bi.items():
-        if c >= 2:
-            kept[h][w] = d2.get(c, 1.0) * c
-    model = {}
-    for h, followers in kept.items():
-        s, lower, ch = sum(followers.values()), sum(p[w] for w in followers), uni["</s>" if h == "<s>" else h]
-        divisor = s if 1 - lower < 1e-12 else ch + 1 if ch - s < 1e-9 else ch
-        alpha = 0.0 if 1 - lower < 1e-12 else (1 - s / divisor) / (1 - lower)
-        model[h] = ({w: x / divisor for w, x in followers.items()}, alpha)
-    return p, model
-
-
-def prob(p, model, h, w):
-    followers, alpha = model.get(h, ({}, 1.0))
-    return followers[w] if w in followers else alpha * p[w]
-
-
-@pytest.mark.parametrize("chunk_tokens", [40, 1 << 20])
-def test_scores_are_those_of_the_dictionaries(spark, chunk_tokens):
+def sequence(text):
+    ws = words(text)
+    return ["<s>", *ws, "</s>"] if ws else []
+
+
+class BruteForce:
+    """The model in dictionaries, evaluated by recursion."""
+
+    def __init__(self, texts, order, least):
+        self.order = order
+        self.counts = {n: Counter() for n in range(1, order + 1)}
+        for seq in map(sequence, texts):
+            for i in range(1, len(seq)):
+                for n in range(1, min(order, i + 1) + 1):
+                    self.counts[n][tuple(seq[i - n + 1 : i + 1])] += 1
+        self.tokens = sum(self.counts[1].values())
+        self.kept, self.sums = {}, defaultdict(lambda: [0.0, 0.0])
+        for n, counts in self.counts.items():
+            often = Counter(counts.values())
+            common = (K + 1) * often[K + 1] / often[1] if often[1] else 1.0
+            d = {}
+            for r in range(1, K + 1):
+                x = ((r + 1) * often[r + 1] / (r * often[r]) - common) / (1 - common) if often[1] and often[r] and common < 1 else 1.0
+                d[r] = x if 0 < x <= 1 else 1.0
+            for gram, c in counts.items():
+                if n < 3 or c >= least:
+                    self.kept[gram] = d.get(c, 1.0) * c
+            if n == 1 and self.tokens - sum(self.kept.values()) < 1e-9:
+                self.tokens += 1
+            if n > 1:
+                for gram in counts:
+                    if gram in self.kept:
+                        self.sums[gram[:-1]][0] += self.kept[gram]
+                        self.sums[gram[:-1]][1] += self.p(gram[1:])
+        self.unknown = 1 - sum(v / self.tokens for g, v in self.kept.items() if len(g) == 1)
+
+    def history(self, h):
+        s, below = self.sums.get(h, (0.0, 0.0))
+        count = self.counts[1][("</s>",)] if h == ("<s>",) else self.counts[len(h)][h]
+        if not s:
+            return count, 1.0
+        total = s if 1 - below < 1e-12 else count + 1 if count - s < 1e-9 else count
+        return total, 0.0 if 1 - below < 1e-12 else (1 - s / total) / (1 - below)
+
+    def p(self, gram):
+        if len(gram) == 1:
+            return self.kept[gram] / self.tokens if gram in self.kept else self.unknown
+        total, alpha = self.history(gram[:-1])
+        return self.kept[gram] / total if gram in self.kept else alpha * self.p(gram[1:])
+
+    def score(self, text):
+        seq = sequence(text)
+        grams = [tuple(seq[max(0, i - self.order + 1) : i + 1]) for i in range(1, len(seq))]
+        return len(grams), sum(g not in self.kept for g in grams), sum(math.log(self.p(g)) for g in grams) if grams else None
+
+
+def same(got, want):
+    got = sorted(((r["n_tokens"], r["n_backoff"], r["log_prob"]) for r in got), key=repr)
+    want = sorted(want, key=lambda x: repr((x[0], x[1], None if x[2] is None else round(x[2], 4))))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=2e-3)
+
+
+@pytest.mark.parametrize(("order", "least", "chunk_bytes"), [(3, 2, 300), (3, 2, 6 << 20), (3, 1, 2000), (2, 2, 900), (4, 2, 2000), (1, 2, 5000)])
+def test_scores_are_those_of_the_dictionaries(spark, order, least, chunk_bytes):
     rows = corpus()
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    p, model = brute_force([r[1] for r in rows])
-    got = sorted(((r["n_tokens"], round(r["log_prob"], 3) if r["log_prob"] is not None else None) for r in lm_katz.score_documents(spark, docs, lm_katz.Katz(chunk_tokens=chunk_tokens)).collect()), key=repr)
-    want = []
-    for r in rows:
-        ws = words(r[1])
-        seq = ["<s>", *ws, "</s>"]
-        want.append((len(ws) + 1, sum(math.log(prob(p, model, h, w)) for h, w in zip(seq, seq[1:], strict=False))) if ws else (0, None))
-    want = sorted(((n, None if x is None else round(x, 3)) for n, x in want), key=repr)
-    assert [g[0] for g in got] == [w[0] for w in want]
-    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=2e-3)
+    model = BruteForce([r[1] for r in rows], order, least)
+    same(lm_katz.score_documents(spark, docs, lm_katz.Katz(order=order, least_count=least, chunk_bytes=chunk_bytes)).collect(), [model.score(r[1]) for r in rows])
+
+
+def test_any_text_is_scored_from_the_table(spark):
+    rows = corpus(5)
+    model = BruteForce([r[1] for r in rows], 3, 2)
+    trained, _, _ = lm_katz.train(spark, spark.createDataFrame(rows, SCHEMA), lm_katz.Katz(chunk_bytes=1500))
+    first = words(rows[0][1])
+    others = [" ".join(first[5:20] + ["neverseen", "word"] + first[:9]), "neverseen", "", None, rows[3][1], " ".join(reversed(first)), "x"]
+    docs = spark.createDataFrame(list(enumerate(others)), "doc_id int, text string")
+    assert trained.figures.unknown == pytest.approx(model.unknown)
+    same(lm_katz.score_texts(spark, trained, docs).collect(), [model.score(t) for t in others])
 
 
 def test_every_history_sums_to_one(spark):
     rows = corpus(5)
-    p, model = brute_force([r[1] for r in rows])
-    trained = lm_katz.train(spark, spark.createDataFrame(rows, SCHEMA))
-    unigrams = {r["w"]: r["p"] for r in trained.ngrams.where("n_words = 1").collect()}
-    assert sum(unigrams.values()) + trained.unknown == pytest.approx(1)
-    alphas = {r["h"]: r["alpha"] for r in trained.histories.collect()}
-    assert len(alphas) == len(model)
-    sums, lower = defaultdict(float), defaultdict(float)
-    for r in trained.ngrams.where("n_words = 2").collect():
-        sums[r["h"]] += r["p"]
-        lower[r["h"]] += unigrams[r["w"]]
-    for h, alpha in alphas.items():
-        assert sums[h] + alpha * (1 - lower[h]) == pytest.approx(1)
-
-
-def test_empty_table_and_clashing_names(spark):
+    model = BruteForce([r[1] for r in rows], 3, 2)
+    vocabulary = [g for g in model.counts[1]]
+    histories = [h for h in model.sums if len(h) < 3][:60]
+    for h in histories:
+        assert sum(model.p(h + w) for w in vocabulary) + model.p((*h, "neverseen")) == pytest.approx(1)
+    trained, _, _ = lm_katz.train(spark, spark.createDataFrame(rows, SCHEMA))
+    for n in (2, 3):
+        kept = sum(len(blobs.unsteps(r["a"])) for r in trained.table.where(f"part = 'm' and n_words = {n}").collect())
+        sums = sum(len(blobs.unsteps(r["a"])) for r in trained.table.where(f"part = 'h' and n_words = {n}").collect())
+        assert kept == sum(len(g) == n for g in model.kept)
+        assert sums == sum(len(h) == n - 1 for h in model.sums)
+
+
+def test_long_empty_and_clashing_tables(spark):
     assert lm_katz.score_documents(spark, spark.createDataFrame([], SCHEMA)).count() == 0
-    odd = spark.createDataFrame([(1, "a b a b", "x", 1)], "doc_id long, text string, chunk string, h int")
-    assert [r["n_tokens"] for r in lm_katz.score_documents(spark, odd).collect()] == [5]
+    odd = spark.createDataFrame([(1, "a b a b", "x", 1), (1, "a b a b", "x", 1), (None, "w " * 200_000, "y", 2)], "doc_id long, text string, chunk string, kind int")
+    got = sorted(lm_katz.score_documents(spark, odd).collect(), key=lambda r: r["n_tokens"])
+    assert [r["n_tokens"] for r in got] == [5, 5, 200_001]
+    assert got[0] == got[1]
