@@ -37,7 +37,7 @@ def spread(table: DataFrame) -> DataFrame:
     row stays there.  Tables of more parts are left as they are read.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < 2 * cores else table
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
 def checkpointing(spark: SparkSession) -> None:
