@@ -31,7 +31,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,15 +90,58 @@ class Figures:
 
 
 def _codes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct keys, code by item, an item of each)."""
-    code, distinct = pd.factorize(keys)
-    order = np.argsort(distinct)
-    rank = np.empty(len(order), dtype=np.int64)
-    rank[order] = np.arange(len(order))
-    code = rank[code]
-    item = np.empty(len(order), dtype=np.int64)
-    item[code[::-1]] = np.arange(len(code))[::-1]
-    return distinct[order], code, item
+    """(sorted distinct keys, code by item, the first item of each).
+
+    The upper bits of a key's distance from the least one and the item's number
+    are sorted as one integer; the few keys that agree in those bits are put in
+    order after that.
+    """
+    n = len(keys)
+    if n == 0:
+        return keys, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    low = keys.min()
+    far = 64 - int(keys.max() - low).bit_length()
+    bits = max(1, int(n - 1).bit_length())
+    packed = (((keys - low) << U(min(far, 63))) >> U(bits) << U(bits)) | np.arange(n, dtype=U)
+    packed.sort()
+    order = (packed & U((1 << bits) - 1)).astype(np.int64)
+    held, upper = keys[order], packed >> U(bits)
+    new = np.concatenate([[True], held[1:] != held[:-1]])
+    mixed = np.flatnonzero(new[1:] & (upper[1:] == upper[:-1]))
+    if len(mixed):
+        starts = np.unique(np.searchsorted(upper, upper[mixed]))
+        for a in starts:
+            b = int(np.searchsorted(upper, upper[a], side="right"))
+            order[a:b] = order[a:b][np.lexsort((order[a:b], held[a:b]))]
+        held = keys[order]
+        new = np.concatenate([[True], held[1:] != held[:-1]])
+    code = np.empty(n, dtype=np.int64)
+    code[order] = np.cumsum(new) - 1
+    return held[new], code, order[new]
+
+
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks as codes of words, frequent words first, and the words' hashes."""
+    for batch in batches:
+        for row, ids in zip(batch.drop_columns(["doc_ids"]).to_pylist(), range(len(batch)), strict=True):
+            chunk = blobs.read_chunk(row["keys"], row["sizes"], row["texts"])
+            strings = pa.LargeStringArray.from_buffers(len(chunk.off) - 1, pa.py_buffer(chunk.off.astype(np.int64)), pa.py_buffer(chunk.data.tobytes()))
+            words, offsets = word_hashes(strings)
+            distinct, code, _ = _codes(words)
+            often = np.argsort(-np.bincount(code, minlength=len(distinct)), kind="stable")
+            rank = np.empty(len(often), dtype=np.uint32)
+            rank[often] = np.arange(len(often), dtype=np.uint32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("chunk").slice(ids, 1),
+                    batch.column("doc_ids").slice(ids, 1),
+                    pa.array([blobs.planes(np.diff(offsets).astype(np.int64))], type=pa.binary()),
+                    pa.array([len(words)], type=pa.int64()),
+                    pa.array([pa.compress(blobs.planes(rank[code]), "zstd", asbytes=True)], type=pa.binary()),
+                    pa.array([blobs.planes(distinct[often])], type=pa.binary()),
+                ],
+                names=["chunk", "doc_ids", "sizes", "n", "codes", "words"],
+            )
 
 
 class Reading:
@@ -107,10 +149,9 @@ class Reading:
 
     def __init__(self, row: dict, replies: dict[str, list[dict]], figures: Figures, options: Katz, n_shards: int) -> None:
         self.replies, self.figures, self.options, self.n_shards = replies, figures, options, n_shards
-        chunk = blobs.read_chunk(row["keys"], row["sizes"], row["texts"])
-        strings = pa.LargeStringArray.from_buffers(len(chunk.off) - 1, pa.py_buffer(chunk.off.astype(np.int64)), pa.py_buffer(chunk.data.tobytes()))
-        words, offsets = word_hashes(strings)
-        size = np.diff(offsets)
+        size = blobs.unplanes(row["sizes"], np.int64)
+        codes = blobs.unplanes(pa.decompress(row["codes"], 4 * row["n"], "zstd", asbytes=True), np.uint32) if row["n"] else np.zeros(0, dtype=np.uint32)
+        words = blobs.unplanes(row["words"], U)[codes]
         self.size = size + (size > 0)
         self.ends = np.cumsum(self.size)
         n = int(self.ends[-1]) if len(self.ends) else 0
@@ -161,7 +202,7 @@ class Reading:
         got, own = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
         by_shard = {r["shard"]: r for r in self.replies[f"c{n}"]}
         for s, a, b in blobs.slices(keys, self.n_shards):
-            got[a:b] = blobs.unplanes(by_shard[s]["b"], U).astype(np.int64)
+            got[a:b] = _unsmall(by_shard[s]["b"], U).astype(np.int64)
             own[a:b] = np.unpackbits(np.frombuffer(by_shard[s]["c"], dtype=np.uint8), count=b - a).astype(bool)
         count[self.sent[n]], owned[self.sent[n]] = got, own
         by_token = np.zeros(len(self.word), dtype=np.int64)
@@ -202,7 +243,7 @@ class Reading:
         s, below = np.zeros(len(distinct)), np.zeros(len(distinct))
         by_shard = {r["shard"]: r for r in self.replies[f"p{n}"]}
         for k, a, b in blobs.slices(distinct, self.n_shards):
-            s[a:b], below[a:b] = blobs.unplanes(by_shard[k]["b"], np.float64), blobs.unplanes(by_shard[k]["c"], np.float64)
+            s[a:b], below[a:b] = _unsmall(by_shard[k]["b"], np.float64), _unsmall(by_shard[k]["c"], np.float64)
         kept, share = self.kept(n)
         t = self.tokens[n]
         total, alpha = np.ones(len(t)), np.ones(len(t))
@@ -236,6 +277,16 @@ def weights(s: np.ndarray, below: np.ndarray, count: np.ndarray) -> tuple[np.nda
 
 # ---- what chunks send and shards answer ----------------------------------------------------
 
+def _small(x: np.ndarray) -> bytes:
+    """Counts and sums, compressed: mostly few values."""
+    return len(x).to_bytes(8, "little") + pa.compress(blobs.planes(x), "zstd", asbytes=True)
+
+
+def _unsmall(blob: bytes, kind: type) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    return blobs.unplanes(pa.decompress(blob[8:], 8 * n, "zstd", asbytes=True), kind) if n else np.zeros(0, dtype=kind)
+
+
 _ROWS = "kind string, shard long, chunk long, a binary, b binary, c binary"
 _KINDS = [("kind", pa.string()), ("shard", pa.int64()), ("chunk", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]
 
@@ -255,7 +306,7 @@ def _messages(reading: Reading, chunk: int, step: int) -> list[tuple]:
     if step <= order:
         keys = reading.distinct[step][reading.sent[step]]
         count = np.bincount(reading.code[step], minlength=len(reading.distinct[step]))[reading.sent[step]].astype(U)
-        out += [(f"c{step}", s, chunk, blobs.steps(keys[a:b]), blobs.planes(count[a:b]), None) for s, a, b in blobs.slices(keys, n_shards)]
+        out += [(f"c{step}", s, chunk, blobs.steps(keys[a:b]), _small(count[a:b]), None) for s, a, b in blobs.slices(keys, n_shards)]
         once = int(np.count_nonzero(~reading.sent[step]))
         if once:
             out.append((f"o{step}", 0, chunk, np.array([0, once], dtype=np.int64).tobytes(), None, None))
@@ -263,7 +314,7 @@ def _messages(reading: Reading, chunk: int, step: int) -> list[tuple]:
         n = step - 1
         lower, _ = reading.evaluate(n - 1)
         keys, s, below = reading.sums(n, lower)
-        out += [(f"p{n}", k, chunk, blobs.steps(keys[a:b]), blobs.planes(s[a:b]), blobs.planes(below[a:b])) for k, a, b in blobs.slices(keys, n_shards)]
+        out += [(f"p{n}", k, chunk, blobs.steps(keys[a:b]), _small(s[a:b]), _small(below[a:b])) for k, a, b in blobs.slices(keys, n_shards)]
     return out
 
 
@@ -308,23 +359,23 @@ def _merge(options: Katz) -> Callable[[pa.Table], pa.Table]:
         keys = [blobs.unsteps(r["a"]) for r in rows]
         edge = np.cumsum([0, *map(len, keys)])
         together = np.concatenate(keys)
-        distinct, first, code = np.unique(together, return_index=True, return_inverse=True)
+        distinct, code, first = _codes(together)
         if kind == "p":
-            sums = [np.bincount(code, weights=np.concatenate([blobs.unplanes(r[c], np.float64) for r in rows]), minlength=len(distinct)) for c in "bc"]
+            sums = [np.bincount(code, weights=np.concatenate([_unsmall(r[c], np.float64) for r in rows]), minlength=len(distinct)) for c in "bc"]
             back = [x[code] for x in sums]
-            out = [(f"p{n}", shard, r["chunk"], None, *(blobs.planes(x[edge[i] : edge[i + 1]]) for x in back)) for i, r in enumerate(rows)]
+            out = [(f"p{n}", shard, r["chunk"], None, *(_small(x[edge[i] : edge[i + 1]]) for x in back)) for i, r in enumerate(rows)]
             some = np.flatnonzero(sums[0] > 0)
-            out.append((f"h{n}", shard, None, blobs.steps(distinct[some]), *(blobs.planes(x[some]) for x in sums)))
+            out.append((f"h{n}", shard, None, blobs.steps(distinct[some]), *(_small(x[some]) for x in sums)))
             return pa.Table.from_batches([_rows(out)])
-        weight = np.concatenate([blobs.unplanes(r["b"], U) for r in rows]).astype(np.float64)
+        weight = np.concatenate([_unsmall(r["b"], U) for r in rows]).astype(np.float64)
         total = np.bincount(code, weights=weight, minlength=len(distinct)).astype(U)
         own = np.zeros(len(together), dtype=bool)
         own[first] = True
         back = total[code]
-        out = [(f"c{n}", shard, r["chunk"], None, blobs.planes(back[edge[i] : edge[i + 1]]), np.packbits(own[edge[i] : edge[i + 1]]).tobytes()) for i, r in enumerate(rows)]
+        out = [(f"c{n}", shard, r["chunk"], None, _small(back[edge[i] : edge[i + 1]]), np.packbits(own[edge[i] : edge[i + 1]]).tobytes()) for i, r in enumerate(rows)]
         some = np.flatnonzero(total >= options.least(n))
         often = np.bincount(np.minimum(total, options.k + 2).astype(np.int64), minlength=options.k + 3).astype(np.int64)
-        out.append((f"m{n}", shard, None, blobs.steps(distinct[some]), blobs.planes(total[some]), None))
+        out.append((f"m{n}", shard, None, blobs.steps(distinct[some]), _small(total[some]), None))
         out.append((f"o{n}", shard, None, often.tobytes(), np.array([int(total.sum())], dtype=np.int64).tobytes(), None))
         return pa.Table.from_batches([_rows(out)])
 
@@ -341,18 +392,18 @@ def _look_up(asked: pa.Table, held: pa.Table) -> pa.Table:
         hit = keys[at] == wanted if len(keys) else np.zeros(len(wanted), dtype=bool)
 
         def found(column: str, kind: type, hit: np.ndarray = hit, at: np.ndarray = at) -> np.ndarray:
-            return np.where(hit, blobs.unplanes(rows[0][column], kind)[at], kind(0)).astype(kind) if len(keys) else np.zeros(len(hit), dtype=kind)
+            return np.where(hit, _unsmall(rows[0][column], kind)[at], kind(0)).astype(kind) if len(keys) else np.zeros(len(hit), dtype=kind)
 
         if r["kind"][0] == "c":
-            out.append((r["kind"], r["shard"], r["chunk"], None, blobs.planes(found("b", U)), np.packbits(np.zeros(len(wanted), dtype=bool)).tobytes()))
+            out.append((r["kind"], r["shard"], r["chunk"], None, _small(found("b", U)), np.packbits(np.zeros(len(wanted), dtype=bool)).tobytes()))
         elif r["kind"][0] == "p":
-            out.append((r["kind"], r["shard"], r["chunk"], None, blobs.planes(found("b", np.float64)), blobs.planes(found("c", np.float64))))
+            out.append((r["kind"], r["shard"], r["chunk"], None, _small(found("b", np.float64)), _small(found("c", np.float64))))
     return pa.Table.from_batches([_rows(out)])
 
 
 # ---- training and scoring ------------------------------------------------------------------
 
-_CHUNK = ["doc_ids", "keys", "sizes", "texts"]
+_CHUNK = ["doc_ids", "sizes", "n", "codes", "words"]
 
 
 def _with_replies(chunks: DataFrame, replies: list[DataFrame]) -> DataFrame:
@@ -375,7 +426,9 @@ class Model:
 
 
 def _chunks(ws: Workspace, docs: DataFrame, options: Katz) -> DataFrame:
-    return ws.table(blobs.chunked(docs.select("doc_id", "text"), F.lit(0).cast("long"), options.chunk_bytes), "chunks")
+    texts = blobs.chunked(docs.select("doc_id", "text"), F.lit(0).cast("long"), options.chunk_bytes)
+    fields = [*texts.schema.fields[:2], T.StructField("sizes", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("codes", T.BinaryType()), T.StructField("words", T.BinaryType())]
+    return ws.table(texts.mapInArrow(_encode, T.StructType(fields)), "chunks")
 
 
 def _figures(table: DataFrame, n: int, figures: Figures, options: Katz) -> None:
@@ -401,7 +454,7 @@ def train(spark: SparkSession, docs: DataFrame, options: Katz = Katz()) -> tuple
     figures, tables = Figures(), []
     for step in range(1, options.order + 2):
         if step == 1:
-            sent = chunks.select("chunk", "keys", "sizes", "texts").mapInArrow(_first_step(figures, options, n), _ROWS)
+            sent = chunks.select("chunk", *_CHUNK[1:]).mapInArrow(_first_step(figures, options, n), _ROWS)
         else:
             replies = [t.where(F.col("part").isin("c", "p")) for t in tables]
             sent = _with_replies(chunks, replies).groupBy("chunk").applyInArrow(_later_step(step, figures, options, n), _ROWS)
@@ -461,7 +514,7 @@ def score_texts(spark: SparkSession, model: Model, docs: DataFrame) -> DataFrame
     held = model.table.withColumn("kind", F.concat(F.when(F.col("part") == "m", "c").otherwise("p"), F.col("n_words").cast("string")))
     for step in range(1, options.order + 2):
         if step == 1:
-            sent = chunks.select("chunk", "keys", "sizes", "texts").mapInArrow(_first_step(model.figures, options, n), _ROWS)
+            sent = chunks.select("chunk", *_CHUNK[1:]).mapInArrow(_first_step(model.figures, options, n), _ROWS)
         else:
             sent = _with_replies(chunks, replies).groupBy("chunk").applyInArrow(_later_step(step, model.figures, options, n), _ROWS)
         asked = ws.table(sent.where(~F.col("kind").startswith("o")), f"asked-{step}")

@@ -1,6 +1,7 @@
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from lexmill.llm import blobs, lm_katz
@@ -112,3 +113,17 @@ def test_long_empty_and_clashing_tables(spark):
     got = sorted(lm_katz.score_documents(spark, odd).collect(), key=lambda r: r["n_tokens"])
     assert [r["n_tokens"] for r in got] == [5, 5, 200_001]
     assert got[0] == got[1]
+
+
+def test_codes_are_those_of_a_full_sort():
+    rng = np.random.default_rng(2)
+    cases = [rng.integers(0, 2**64, 5000, dtype=np.uint64) % np.uint64(m) for m in (3, 2**20, 2**63)]
+    cases += [rng.integers(0, 2**64, 3000, dtype=np.uint64), np.array([5], dtype=np.uint64), np.array([2**64 - 1, 0, 2**64 - 1], dtype=np.uint64)]
+    base = rng.integers(0, 2**40, 40, dtype=np.uint64) << np.uint64(24)
+    cases.append((base[rng.integers(0, 40, 4000)] + rng.integers(0, 3, 4000, dtype=np.uint64)).astype(np.uint64))
+    for keys in cases:
+        want = np.unique(keys, return_index=True, return_inverse=True)
+        got = lm_katz._codes(keys)
+        assert (got[0] == want[0]).all()
+        assert (got[2] == want[1]).all()
+        assert (got[1] == want[2]).all()
