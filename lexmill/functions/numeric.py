@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _G = 7.0
 _LANCZOS = (
@@ -29,39 +32,37 @@ def log_choose(n: Column, k: Column) -> Column:
     return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
 
 
-#: Terms of a tail beyond these are under a 1e-16th of it, whatever its length.
-_BLOCK = 512
+def tail_sums(k: np.ndarray, total: np.ndarray, row: np.ndarray, column: np.ndarray, upper: np.ndarray) -> np.ndarray:
+    """Sum of the tail's terms over its first, by the ratio of neighbouring terms, all rows at once.
+
+    A row is done where its terms no longer count, about nine standard
+    deviations from the mean, or at the end of the range.
+    """
+    k, total, row, column = (np.asarray(x, dtype=np.float64) for x in (k, total, row, column))
+    last = np.where(upper, np.minimum(row, column), np.maximum(0.0, column - (total - row)))
+    at, term, acc = k.copy(), np.ones(len(k)), np.ones(len(k))
+    live = np.flatnonzero(at != last)
+    while len(live):
+        x, r, c, rest, up = at[live], row[live], column[live], (total - row - column)[live], upper[live]
+        rise = (r - x) * (c - x) / ((x + 1) * np.where(up, rest + x + 1, 1.0))
+        fall = x * (rest + x) / ((r - x + 1) * (c - x + 1))
+        term[live] *= np.where(up, rise, fall)
+        acc[live] += term[live]
+        at[live] += np.where(up, 1.0, -1.0)
+        live = live[(at[live] != last[live]) & (term[live] > 1e-17 * acc[live])]
+    return acc
+
+
+def _tail_udf(k: pd.Series, total: pd.Series, row: pd.Series, column: pd.Series, upper: pd.Series) -> pd.Series:
+    return pd.Series(tail_sums(k.to_numpy(), total.to_numpy(), row.to_numpy(), column.to_numpy(), upper.to_numpy(dtype=bool)))
 
 
-def hypergeometric_tail(k: Column, total: Column, row: Column, column: Column, upper: bool) -> Column:
+def hypergeometric_tail(k: Column, total: Column, row: Column, column: Column, upper: Column | bool) -> Column:
     """P(X >= k), or P(X <= k), of drawing ``column`` cells of ``total`` of which ``row`` count; k lies on the tail's side of the mean.
 
-    The first term comes from log-factorials, the others from the ratio of
-    neighbouring terms, so no table of factorials has to be joined.  Away from
-    the mean the ratio falls; from the mean on it is at most
-    1 - j / (2 * variance) after j steps, so terms fall as exp(-j * j / (4 * variance))
-    and 16 standard deviations hold all that counts.  Tails longer than that are
-    cut there: arrays grow with the square root of the counts at most.
+    The first term comes from log-factorials in the JVM, the sum of the others,
+    for which expressions would build an array a row, from numpy by Arrow batches.
     """
-    low = F.greatest(F.lit(0).cast("long"), column - (total - row))
-    high = F.least(row, column)
     log_first = log_choose(row, k) + log_choose(total - row, column - k) - log_choose(total, column)
-    empty = F.array().cast("array<bigint>")
-    share = row.cast("double") / total
-    variance = column.cast("double") * share * (1 - share) * (total - column) / F.greatest(total - 1, F.lit(1))
-    reach = (F.lit(16.0) * F.sqrt(F.greatest(variance, F.lit(0.0)))).cast("long") + _BLOCK
-    if upper:
-        stop = F.least(high - 1, k + reach)
-        steps = F.when(k < high, F.sequence(k, stop)).otherwise(empty)
-        ratio = lambda i: ((row - i) * (column - i)).cast("double") / ((i + 1) * (total - row - column + i + 1)).cast("double")
-    else:
-        stop = F.greatest(low + 1, k - reach)
-        steps = F.when(k > low, F.sequence(k, stop)).otherwise(empty)
-        ratio = lambda i: (i * (total - row - column + i)).cast("double") / ((row - i + 1) * (column - i + 1)).cast("double")
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
-
-    def step(state: Column, i: Column) -> Column:
-        term = state["term"] * ratio(i)
-        return F.struct(term.alias("term"), (state["sum"] + term).alias("sum"))
-
-    return F.exp(log_first) * F.aggregate(steps, start, step, lambda s: s["sum"])
+    side = F.lit(upper) if isinstance(upper, bool) else upper
+    return F.exp(log_first) * F.pandas_udf(_tail_udf, T.DoubleType())(k, total, row, column, side)

@@ -97,7 +97,7 @@ def specificities(table: DataFrame, threshold: float = 2.0) -> DataFrame:
     keys = ["total", "row", "column", "k"]
     args = [F.col(c) for c in ("k", "total", "row", "column")]
     distinct = cells.select(*keys).distinct()
-    tail = F.when(F.col("k") >= expected, hypergeometric_tail(*args, upper=True)).otherwise(hypergeometric_tail(*args, upper=False))
+    tail = hypergeometric_tail(*args, upper=F.col("k") >= expected)
     scored = distinct.withColumn("raw", -F.log10(F.greatest(F.least(tail, F.lit(1.0)), F.lit(1e-300))))
     rows = cells.join(scored, keys).where(F.col("raw") >= threshold)
     sign = F.when(F.col("k") >= expected, F.lit("+")).otherwise(F.lit("-"))

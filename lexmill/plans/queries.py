@@ -40,9 +40,24 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.segments(_docs(spark, sf_dir), keep=("lang", "source"))
 
 
+_made: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """A table that several parts of a query, or several queries, read: made once a session and folder, kept on memory and disk."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _made:
+        for old in [k for k in _made if k[:2] != key[:2]]:
+            if old[0] == key[0]:
+                _made[old].unpersist()
+            del _made[old]
+        _made[key] = make(spark, sf_dir).persist()
+    return _made[key]
+
+
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(uci_id, uce_id, lang, source, n): the segments without their text, kept while the session lasts."""
-    return _segments(spark, sf_dir).select("uci_id", "uce_id", "lang", "source", F.size("tokens").alias("n")).persist()
+    """(uci_id, uce_id, lang, source, n): the segments without their text."""
+    return _once(spark, sf_dir, "units", lambda s, d: _segments(s, d).select("uci_id", "uce_id", "lang", "source", F.size("tokens").alias("n")))
 
 
 def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +65,8 @@ def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The term table, kept while the session lasts: what several parts of a query, or several queries, read is made once."""
-    return dtm.dtm(_active(spark, sf_dir), inputs.PREP.min_occurrences).persist()
+    """The term table."""
+    return _once(spark, sf_dir, "pairs", lambda s, d: dtm.dtm(_active(s, d), inputs.PREP.min_occurrences))
 
 
 def _classes(spark: SparkSession, sf_dir: str, column: str = "lang", name: str = "class") -> DataFrame:
