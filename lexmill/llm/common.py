@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lexmill.workers import importable
 
 _written: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,6 +43,12 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
+    for spark, table in _tables:
+        try:
+            if spark.sparkContext._jsc is not None:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+        except Exception:  # as below  # noqa: BLE001
+            pass
     for spark, path in _written:
         try:
             if spark.sparkContext._jsc is not None:
@@ -75,6 +82,15 @@ class Workspace:
             writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, name: str, column: str) -> DataFrame:
+        """Write ``df`` in as many buckets of ``column`` as an exchange has parts: grouping by it moves no row."""
+        table = f"spark_catalog.default.lexmill_{uuid.uuid4().hex}"  # buckets need a catalog; the entry goes at exit
+        writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{name}")
+        with _shuffle_cleanup(self.spark):
+            writer.bucketBy(shards(self.spark), column).saveAsTable(table)
+        _tables.append((self.spark, table))
+        return self.spark.table(table)
+
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""
         _delete(self.spark, f"{self.root}/{name}")

@@ -20,15 +20,21 @@ driver: a chunk of documents sends its distinct n-grams as sorted slices to the
 shard of their hash, where they are merged in numpy, and the counts travel back in
 the same order (see ``blobs``).  Order after order is counted so, and the sums over
 B(h) alike, history by history; an n-gram that holds a shorter one of a single
-occurrence is known to occur once and isn't sent.  The model is one table,
-partitioned by order and kind (counts of n-grams, sums of histories), one sorted
-slice a shard; any text is scored from it by the same look-ups.
+occurrence is known to occur once and isn't sent.  A chunk asks for the weights of
+a history only if some of B(h) may lie elsewhere: where the counts of the n-grams
+that it has leave too little of c(h) for another one, it reckons them itself.
+Alpha is answered only where the chunk backs off, else just what counts are divided by.
+Chunks are written once in buckets and stay there; only answers travel to them.
+The model is one table, partitioned by order and kind (counts of n-grams, weights
+of histories), one sorted slice a shard; any text is scored from it by the same
+look-ups.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -144,26 +150,50 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@dataclass
+class Sums:
+    """Histories of a chunk: by token, then sorted with their counts; which have to be asked for, and which need alpha; (discounted counts, lower probabilities) over the kept n-grams."""
+
+    some: np.ndarray
+    code: np.ndarray
+    distinct: np.ndarray
+    count: np.ndarray
+    ask: np.ndarray
+    need: np.ndarray
+    local: list[np.ndarray]
+    owned: list[np.ndarray]
+
+
 class Reading:
     """The predicted tokens of a chunk: n-grams, histories, counts and probabilities order by order."""
 
-    def __init__(self, row: dict, replies: dict[str, list[dict]], figures: Figures, options: Katz, n_shards: int) -> None:
+    def __init__(self, row: dict, replies: dict[str, list[dict]], figures: Figures, options: Katz, n_shards: int, among: bool) -> None:
         self.replies, self.figures, self.options, self.n_shards = replies, figures, options, n_shards
+        self.among = among  # are the texts among those that were counted?
         size = blobs.unplanes(row["sizes"], np.int64)
         codes = blobs.unplanes(pa.decompress(row["codes"], 4 * row["n"], "zstd", asbytes=True), np.uint32) if row["n"] else np.zeros(0, dtype=np.uint32)
-        words = blobs.unplanes(row["words"], U)[codes]
+        table = blobs.unplanes(row["words"], U)
         self.size = size + (size > 0)
         self.ends = np.cumsum(self.size)
         n = int(self.ends[-1]) if len(self.ends) else 0
         begins = (self.ends - self.size)[size > 0]
         self.place = np.arange(n) - np.repeat(begins, self.size[size > 0])  # within the text
-        self.word = np.empty(n, dtype=U)
         last = np.zeros(n, dtype=bool)
         last[self.ends[size > 0] - 1] = True
-        self.word[~last], self.word[last] = words, END
+        if n:
+            table = np.append(table, END)
+        by_hash = np.argsort(table)
+        place = np.empty(len(table), dtype=np.int64)
+        place[by_hash] = np.arange(len(table))
+        code = np.empty(n, dtype=np.int64)
+        code[~last] = place[codes]
+        code[last] = place[-1:]
+        item = np.empty(len(table), dtype=np.int64)
+        item[code[::-1]] = np.arange(n)[::-1]
+        self.word = table[by_hash][code]
         self.tokens: dict[int, np.ndarray] = {1: np.arange(n)}  # those that have an n-gram of the order
         self.keys: dict[int, np.ndarray] = {1: self.word}  # by token
-        self.distinct, self.code, self.item = {}, {}, {}
+        self.distinct, self.code, self.item = {1: table[by_hash]}, {1: code}, {1: item}
         self.counts: dict[int, np.ndarray] = {}  # by token
         self.owned: dict[int, np.ndarray] = {}  # by distinct n-gram: is it this chunk that accounts for it?
         self.sent: dict[int, np.ndarray] = {}
@@ -188,8 +218,8 @@ class Reading:
             history, count = self.history(n)
             keys[self.tokens[n]] = mix(history * _NEXT + self.word[self.tokens[n]] + U(n))
             self.keys[n] = keys
+            self.distinct[n], self.code[n], self.item[n] = _codes(keys[self.tokens[n]])
         t = self.tokens[n]
-        self.distinct[n], self.code[n], self.item[n] = _codes(self.keys[n][t])
         self.sent[n] = np.ones(len(self.distinct[n]), dtype=bool)
         least = self.options.least(n)
         if least > 1:
@@ -219,38 +249,60 @@ class Reading:
         some, share = self.kept(1)
         return np.where(some, share / max(1, self.figures.tokens), self.figures.unknown)
 
-    def histories(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(which tokens of the order have a history that may have n-grams, its sorted distinct keys, code by such token)."""
+    def histories(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(which tokens of the order have a history that may have n-grams, its sorted distinct keys, their counts, code by such token)."""
         key, count = self.history(n)
         some = np.flatnonzero(count >= self.options.least(n))
-        distinct, code, _ = _codes(key[some])
-        return some, distinct, code
-
-    def sums(self, n: int, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(history, sum of discounted counts, sum of lower probabilities) over the kept n-grams that this chunk accounts for."""
-        some, distinct, code = self.histories(n)
+        t, held, code = self.tokens[n][some], self.distinct[n - 1], self.code[n - 1]
+        if n > 2:
+            code = code[np.searchsorted(self.tokens[n - 1], t - 1)]
+        else:
+            begin, inner = int(np.searchsorted(held, BEGIN)), self.place[t] > 0
+            held = np.insert(held, begin, BEGIN)
+            before = code[t - 1]
+            code = np.where(inner, before + (before >= begin), begin)
+        used = np.zeros(len(held), dtype=bool)
+        used[code] = True
+        code = (np.cumsum(used) - 1)[code]
+        often = np.zeros(int(used.sum()), dtype=np.int64)
+        often[code] = count[some]
+        return some, held[used], often, code
+
+    def sums(self, n: int, lower: np.ndarray) -> Sums:
+        """Over the kept n-grams of each history: those of the chunk, and those that it accounts for."""
+        some, distinct, count, code = self.histories(n)
         kept, share = self.kept(n)
         at = np.full(len(self.tokens[n]), -1, dtype=np.int64)
         at[some] = code
-        item = self.item[n][self.owned[n]]
-        item = item[kept[item] & (at[item] >= 0)]
-        total = [np.bincount(at[item], weights=x[item], minlength=len(distinct)) for x in (share, lower[self.tokens[n]])]
-        return distinct, total[0], total[1]
+        below = lower[self.tokens[n]]
+
+        def over(item: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+            return [np.bincount(at[item], weights=x[item], minlength=len(distinct)) for x in values]
+
+        item = self.item[n][at[self.item[n]] >= 0]
+        often = self.counts[n][self.tokens[n]]
+        (seen,) = over(item, np.maximum(often, 1) if self.among else often)
+        own = self.item[n][self.owned[n]]
+        item, own = item[kept[item]], own[kept[own] & (at[own] >= 0)]
+        need = np.zeros(len(distinct), dtype=bool)
+        need[code[~kept[some]]] = True
+        return Sums(some, code, distinct, count, count - seen >= self.options.least(n), need, over(item, share, below), over(own, share, below))
 
     def next(self, n: int, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(p(w | history) by token, which of the order's tokens were backed off)."""
-        some, distinct, code = self.histories(n)
-        s, below = np.zeros(len(distinct)), np.zeros(len(distinct))
+        sums = self.sums(n, lower)
+        total, alpha = weights(*sums.local, sums.count.astype(np.float64))
+        asked = np.flatnonzero(sums.ask)
         by_shard = {r["shard"]: r for r in self.replies[f"p{n}"]}
-        for k, a, b in blobs.slices(distinct, self.n_shards):
-            s[a:b], below[a:b] = _unsmall(by_shard[k]["b"], np.float64), _unsmall(by_shard[k]["c"], np.float64)
+        for k, a, b in blobs.slices(sums.distinct[asked], self.n_shards):
+            at = asked[a:b]
+            total[at], alpha[at] = _unfolded(*_answered(by_shard[k], sums.need[at]), sums.count[at])
         kept, share = self.kept(n)
         t = self.tokens[n]
-        total, alpha = np.ones(len(t)), np.ones(len(t))
-        count = self.history(n)[1][some].astype(np.float64)
-        total[some], alpha[some] = weights(s[code], below[code], count)
+        by_token = np.ones((2, len(t)))
+        by_token[:, sums.some] = total[sums.code], alpha[sums.code]
         out = lower.copy()
-        out[t] = np.where(kept, share / total, alpha * lower[t])
+        out[t] = np.where(kept, share / by_token[0], by_token[1] * lower[t])
         return out, ~kept
 
     def evaluate(self, upto: int) -> tuple[np.ndarray, np.ndarray]:
@@ -275,6 +327,18 @@ def weights(s: np.ndarray, below: np.ndarray, count: np.ndarray) -> tuple[np.nda
     return total, np.where(s > 0, alpha, 1.0)
 
 
+def _folded(s: np.ndarray, below: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights as one number and its sort: alpha where counts are divided by the history's (0) or by one more (1), or that divisor where alpha is 0 (2)."""
+    total, alpha = weights(s, below, count)
+    sort = np.where((alpha == 0) & (s > 0), 2, np.where(total == count, 0, 1)).astype(np.uint8)
+    return np.where(sort == 2, total, alpha), sort
+
+
+def _unfolded(value: np.ndarray, sort: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(divisor, alpha) again."""
+    return np.where(sort == 2, value, count + (sort == 1)), np.where(sort == 2, 0.0, value)
+
+
 # ---- what chunks send and shards answer ----------------------------------------------------
 
 def _small(x: np.ndarray) -> bytes:
@@ -284,7 +348,38 @@ def _small(x: np.ndarray) -> bytes:
 
 def _unsmall(blob: bytes, kind: type) -> np.ndarray:
     n = int.from_bytes(blob[:8], "little")
-    return blobs.unplanes(pa.decompress(blob[8:], 8 * n, "zstd", asbytes=True), kind) if n else np.zeros(0, dtype=kind)
+    return blobs.unplanes(pa.decompress(blob[8:], np.dtype(kind).itemsize * n, "zstd", asbytes=True), kind) if n else np.zeros(0, dtype=kind)
+
+
+def _asked(distinct: np.ndarray, ask: np.ndarray, need: np.ndarray, s: np.ndarray, below: np.ndarray, count: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Keys; which of them are asked for, need alpha and have sums; these sums and the history's count."""
+    some = np.flatnonzero(s > 0)
+    marks = np.packbits(np.concatenate([ask, need, s > 0])).tobytes()
+    held = [_small(x[some]) for x in (s, below, count.astype(np.int64))]
+    return blobs.steps(distinct), marks, b"".join(len(x).to_bytes(8, "little") + x for x in held)
+
+
+def _unasked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(keys, is it asked for, does it need alpha, which have sums, the sums and the count of these)."""
+    keys, held, at = blobs.unsteps(row["a"]), [], 0
+    ask, need, some = np.unpackbits(np.frombuffer(row["b"], dtype=np.uint8), count=3 * len(keys)).astype(bool).reshape(3, -1)
+    for kind in (np.float64, np.float64, np.int64):
+        size = int.from_bytes(row["c"][at : at + 8], "little")
+        held.append(_unsmall(row["c"][at + 8 : at + 8 + size], kind))
+        at += 8 + size
+    return keys, ask, need, np.flatnonzero(some), held
+
+
+def _answer(value: np.ndarray, sort: np.ndarray, need: np.ndarray) -> tuple[bytes, bytes]:
+    """Folded weights, without an alpha that isn't needed."""
+    return _small(value[need | (sort == 2)]), _small(sort)
+
+
+def _answered(row: dict, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sort = _unsmall(row["c"], np.uint8)
+    value = np.ones(len(sort))
+    value[need | (sort == 2)] = _unsmall(row["b"], np.float64)
+    return value, sort
 
 
 _ROWS = "kind string, shard long, chunk long, a binary, b binary, c binary"
@@ -313,8 +408,10 @@ def _messages(reading: Reading, chunk: int, step: int) -> list[tuple]:
     if step > 2:
         n = step - 1
         lower, _ = reading.evaluate(n - 1)
-        keys, s, below = reading.sums(n, lower)
-        out += [(f"p{n}", k, chunk, blobs.steps(keys[a:b]), _small(s[a:b]), _small(below[a:b])) for k, a, b in blobs.slices(keys, n_shards)]
+        sums = reading.sums(n, lower)
+        some = np.flatnonzero(sums.ask | (sums.owned[0] > 0))
+        sent = [x[some] for x in (sums.distinct, sums.ask, sums.need, *sums.owned, sums.count)]
+        out += [(f"p{n}", k, chunk, *_asked(*[x[a:b] for x in sent])) for k, a, b in blobs.slices(sent[0], n_shards)]
     return out
 
 
@@ -322,31 +419,28 @@ def _first_step(figures: Figures, options: Katz, n_shards: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield _rows(_messages(Reading(row, {}, figures, options, n_shards), row["chunk"], 1))
+                yield _rows(_messages(Reading(row, {}, figures, options, n_shards, True), row["chunk"], 1))
 
     return run
 
 
-def _split(table: pa.Table) -> tuple[dict, dict[str, list[dict]]]:
-    rows = table.to_pylist()
-    replies: dict[str, list[dict]] = {}
-    for r in rows:
-        if r["kind"] != "chunk":
-            replies.setdefault(r["kind"], []).append(r)
-    known = {f"{kind}{n}": [] for kind in "cp" for n in range(1, 10)}
-    return next(r for r in rows if r["kind"] == "chunk"), known | replies
+def _split(chunk: pa.Table, answers: pa.Table) -> tuple[dict, dict[str, list[dict]]]:
+    replies: dict[str, list[dict]] = {f"{kind}{n}": [] for kind in "cp" for n in range(1, 10)}
+    for r in answers.to_pylist():
+        replies.setdefault(r["kind"], []).append(r)
+    return chunk.to_pylist()[0], replies
 
 
-def _later_step(step: int, figures: Figures, options: Katz, n_shards: int) -> Callable[[pa.Table], pa.Table]:
-    def run(table: pa.Table) -> pa.Table:
-        row, replies = _split(table)
-        return pa.Table.from_batches([_rows(_messages(Reading(row, replies, figures, options, n_shards), row["chunk"], step))])
+def _later_step(step: int, figures: Figures, options: Katz, n_shards: int, among: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        row, replies = _split(chunk, answers)
+        return pa.Table.from_batches([_rows(_messages(Reading(row, replies, figures, options, n_shards, among), row["chunk"], step))])
 
     return run
 
 
 def _merge(options: Katz) -> Callable[[pa.Table], pa.Table]:
-    """Answers to all chunks, and what the model keeps: counts (m) and how often they occur (o), or sums of histories (h)."""
+    """Answers to all chunks, and what the model keeps: counts (m) and how often they occur (o), or weights of histories (h)."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
@@ -356,16 +450,26 @@ def _merge(options: Katz) -> Callable[[pa.Table], pa.Table]:
             often = np.zeros(options.k + 3, dtype=np.int64)
             often[1] = once
             return pa.Table.from_batches([_rows([(f"o{n}", shard, None, often.tobytes(), None, None)])])
-        keys = [blobs.unsteps(r["a"]) for r in rows]
+        asked = [_unasked(r) for r in rows] if kind == "p" else []
+        keys = [x[0] for x in asked] if asked else [blobs.unsteps(r["a"]) for r in rows]
         edge = np.cumsum([0, *map(len, keys)])
         together = np.concatenate(keys)
         distinct, code, first = _codes(together)
         if kind == "p":
-            sums = [np.bincount(code, weights=np.concatenate([_unsmall(r[c], np.float64) for r in rows]), minlength=len(distinct)) for c in "bc"]
-            back = [x[code] for x in sums]
-            out = [(f"p{n}", shard, r["chunk"], None, *(_small(x[edge[i] : edge[i + 1]]) for x in back)) for i, r in enumerate(rows)]
+            out: list[tuple] = []
+            sums, count = np.zeros((2, len(distinct))), np.zeros(len(distinct))
+            for i, (_, _, _, at, held) in enumerate(asked):  # a chunk's keys are distinct
+                at = code[edge[i] + at]
+                sums[0, at] += held[0]
+                sums[1, at] += held[1]
+                count[at] = held[2]
+            folded = _folded(*sums, count)
+            for i, (r, (_, ask, need, _, _)) in enumerate(zip(rows, asked, strict=True)):
+                if ask.any():
+                    at = code[edge[i] : edge[i + 1]][ask]
+                    out.append((f"p{n}", shard, r["chunk"], None, *_answer(folded[0][at], folded[1][at], need[ask])))
             some = np.flatnonzero(sums[0] > 0)
-            out.append((f"h{n}", shard, None, blobs.steps(distinct[some]), *(_small(x[some]) for x in sums)))
+            out.append((f"h{n}", shard, None, blobs.steps(distinct[some]), *(_small(x[some]) for x in folded)))
             return pa.Table.from_batches([_rows(out)])
         weight = np.concatenate([_unsmall(r["b"], U) for r in rows]).astype(np.float64)
         total = np.bincount(code, weights=weight, minlength=len(distinct)).astype(U)
@@ -391,13 +495,13 @@ def _look_up(asked: pa.Table, held: pa.Table) -> pa.Table:
         at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
         hit = keys[at] == wanted if len(keys) else np.zeros(len(wanted), dtype=bool)
 
-        def found(column: str, kind: type, hit: np.ndarray = hit, at: np.ndarray = at) -> np.ndarray:
-            return np.where(hit, _unsmall(rows[0][column], kind)[at], kind(0)).astype(kind) if len(keys) else np.zeros(len(hit), dtype=kind)
+        def found(column: str, kind: type, other: int, hit: np.ndarray = hit, at: np.ndarray = at) -> np.ndarray:
+            return np.where(hit, _unsmall(rows[0][column], kind)[at], kind(other)).astype(kind) if len(keys) else np.full(len(hit), other, dtype=kind)
 
         if r["kind"][0] == "c":
-            out.append((r["kind"], r["shard"], r["chunk"], None, _small(found("b", U)), np.packbits(np.zeros(len(wanted), dtype=bool)).tobytes()))
+            out.append((r["kind"], r["shard"], r["chunk"], None, _small(found("b", U, 0)), np.packbits(np.zeros(len(wanted), dtype=bool)).tobytes()))
         elif r["kind"][0] == "p":
-            out.append((r["kind"], r["shard"], r["chunk"], None, _small(found("b", np.float64)), _small(found("c", np.float64))))
+            out.append((r["kind"], r["shard"], r["chunk"], None, *_answer(found("b", np.float64, 1), found("c", np.uint8, 0), _unasked(r)[2])))
     return pa.Table.from_batches([_rows(out)])
 
 
@@ -406,18 +510,15 @@ def _look_up(asked: pa.Table, held: pa.Table) -> pa.Table:
 _CHUNK = ["doc_ids", "sizes", "n", "codes", "words"]
 
 
-def _with_replies(chunks: DataFrame, replies: list[DataFrame]) -> DataFrame:
-    kinds = {f.name: f.dataType for f in chunks.schema}
-    blank = [F.lit(None).cast(k).alias(c) for c, k in (("shard", "long"), ("a", "binary"), ("b", "binary"), ("c", "binary"))]
-    out = chunks.select(F.lit("chunk").alias("kind"), "chunk", *blank, *_CHUNK)
-    for reply in replies:
-        out = out.unionByName(reply.select("kind", "chunk", "shard", "a", "b", "c", *[F.lit(None).cast(kinds[c]).alias(c) for c in _CHUNK]))
-    return out
+def _with_replies(chunks: DataFrame, replies: list[DataFrame], run: Callable[[pa.Table, pa.Table], pa.Table], schema: T.StructType | str) -> DataFrame:
+    """Each chunk, where it lies, with the answers to it."""
+    together = reduce(DataFrame.union, [r.select("kind", "chunk", "shard", "b", "c") for r in replies])
+    return chunks.groupBy("chunk").cogroup(together.groupBy("chunk")).applyInArrow(run, schema)
 
 
 @dataclass
 class Model:
-    """``table`` (n_words, kind, shard, a, b, c), partitioned by n_words and kind; m: keys and counts, h: keys and sums."""
+    """``table`` (n_words, kind, shard, a, b, c), partitioned by n_words and kind; m: keys and counts, h: keys and weights."""
 
     table: DataFrame
     figures: Figures
@@ -428,7 +529,7 @@ class Model:
 def _chunks(ws: Workspace, docs: DataFrame, options: Katz) -> DataFrame:
     texts = blobs.chunked(docs.select("doc_id", "text"), F.lit(0).cast("long"), options.chunk_bytes)
     fields = [*texts.schema.fields[:2], T.StructField("sizes", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("codes", T.BinaryType()), T.StructField("words", T.BinaryType())]
-    return ws.table(texts.mapInArrow(_encode, T.StructType(fields)), "chunks")
+    return ws.bucketed(texts.mapInArrow(_encode, T.StructType(fields)), "chunks", "chunk")
 
 
 def _figures(table: DataFrame, n: int, figures: Figures, options: Katz) -> None:
@@ -457,7 +558,7 @@ def train(spark: SparkSession, docs: DataFrame, options: Katz = Katz()) -> tuple
             sent = chunks.select("chunk", *_CHUNK[1:]).mapInArrow(_first_step(figures, options, n), _ROWS)
         else:
             replies = [t.where(F.col("part").isin("c", "p")) for t in tables]
-            sent = _with_replies(chunks, replies).groupBy("chunk").applyInArrow(_later_step(step, figures, options, n), _ROWS)
+            sent = _with_replies(chunks.drop("doc_ids"), replies, _later_step(step, figures, options, n, True), _ROWS)
         merged = sent.groupBy("kind", "shard").applyInArrow(_merge(options), _ROWS)
         merged = merged.withColumn("n_words", F.substring("kind", 2, 9).cast("int")).withColumn("part", F.substring("kind", 1, 1))
         tables.append(ws.table(merged, f"step-{step}", partition_by=("n_words", "part")))
@@ -470,10 +571,10 @@ def train(spark: SparkSession, docs: DataFrame, options: Katz = Katz()) -> tuple
     return model, chunks, [t.where(F.col("part").isin("c", "p")) for t in tables]
 
 
-def _score(figures: Figures, options: Katz, n_shards: int, doc_type: pa.DataType) -> Callable[[pa.Table], pa.Table]:
-    def run(table: pa.Table) -> pa.Table:
-        row, replies = _split(table)
-        reading = Reading(row, replies, figures, options, n_shards)
+def _score(figures: Figures, options: Katz, n_shards: int, among: bool, doc_type: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        row, replies = _split(chunk, answers)
+        reading = Reading(row, replies, figures, options, n_shards, among)
         for n in range(1, options.order + 1):
             reading.grams(n)
             reading.counted(n)
@@ -494,11 +595,11 @@ def _score(figures: Figures, options: Katz, n_shards: int, doc_type: pa.DataType
     return run
 
 
-def _scored(chunks: DataFrame, replies: list[DataFrame], model: Model) -> DataFrame:
+def _scored(chunks: DataFrame, replies: list[DataFrame], model: Model, among: bool) -> DataFrame:
     ids = chunks.schema["doc_ids"].dataType.elementType
     out = T.StructType([T.StructField("doc_id", ids), T.StructField("n_tokens", T.LongType()), T.StructField("n_backoff", T.LongType()), T.StructField("log_prob", T.DoubleType())])
-    run = _score(model.figures, model.options, model.n_shards, to_arrow_type(ids))
-    scored = _with_replies(chunks, replies).groupBy("chunk").applyInArrow(run, out)
+    run = _score(model.figures, model.options, model.n_shards, among, to_arrow_type(ids))
+    scored = _with_replies(chunks, replies, run, out)
     return scored.withColumn("log_prob", F.round("log_prob", 4))
 
 
@@ -516,12 +617,12 @@ def score_texts(spark: SparkSession, model: Model, docs: DataFrame) -> DataFrame
         if step == 1:
             sent = chunks.select("chunk", *_CHUNK[1:]).mapInArrow(_first_step(model.figures, options, n), _ROWS)
         else:
-            sent = _with_replies(chunks, replies).groupBy("chunk").applyInArrow(_later_step(step, model.figures, options, n), _ROWS)
+            sent = _with_replies(chunks.drop("doc_ids"), replies, _later_step(step, model.figures, options, n, False), _ROWS)
         asked = ws.table(sent.where(~F.col("kind").startswith("o")), f"asked-{step}")
         own = held.select("kind", "shard", "chunk", "a", "b", "c")
         found = asked.groupBy("kind", "shard").cogroup(own.groupBy("kind", "shard")).applyInArrow(_look_up, _ROWS)
         replies.append(ws.table(found, f"found-{step}"))
-    return _scored(chunks, replies, model)
+    return _scored(chunks, replies, model, False)
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, options: Katz = Katz()) -> DataFrame:  # noqa: B008
@@ -535,4 +636,4 @@ def score_documents(spark: SparkSession, docs: DataFrame, options: Katz = Katz()
     other columns are ignored.  An empty table gives an empty result.
     """
     model, chunks, replies = train(spark, docs, options)
-    return _scored(chunks, replies, model)
+    return _scored(chunks, replies, model, True)

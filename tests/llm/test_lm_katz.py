@@ -107,6 +107,41 @@ def test_every_history_sums_to_one(spark):
         assert sums == sum(len(h) == n - 1 for h in model.sums)
 
 
+def test_answers_hold_only_what_the_chunk_lacks(spark):
+    rows = corpus(5)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model, chunks, replies = lm_katz.train(spark, docs.coalesce(1))  # one chunk has all of every history
+    assert chunks.count() == 1
+    assert sum(r.where("part = 'p'").count() for r in replies) == 0
+    assert model.table.where("part = 'h'").count() > 0
+    model, chunks, replies = lm_katz.train(spark, docs.repartition(3), lm_katz.Katz(chunk_bytes=900))
+    answers = [r for reply in replies for r in reply.where("part = 'p' and n_words = 2").collect()]
+    some = [len(lm_katz._unsmall(r["c"], np.uint8)) for r in answers]
+    assert sum(some) > 0
+    assert all((lm_katz._unsmall(r["c"], np.uint8) == 2).sum() == len(lm_katz._unsmall(r["b"], np.float64)) for r in answers)  # no text of the corpus backs off from two words
+
+
+def test_chunks_stay_where_they_were_written(spark, capsys):
+    docs = spark.createDataFrame(corpus(5), SCHEMA)
+    lm_katz.score_documents(spark, docs, lm_katz.Katz(chunk_bytes=900)).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning(chunk") == 1  # of the answers
+    assert plan.count("Bucketed: true") == 1  # the chunks, read as they lie
+
+
+def test_weights_come_back_from_one_number():
+    s, below = np.array([0.0, 1.5, 3.0, 2.0, 4.0]), np.array([0.0, 0.3, 0.9, 1.0, 1.0 - 1e-13])
+    count = np.array([4.0, 3.0, 3.0, 5.0, 4.0])
+    value, sort = lm_katz._folded(s, below, count)
+    assert sort.tolist() == [0, 0, 1, 2, 2]
+    for need in (np.ones(5, dtype=bool), np.zeros(5, dtype=bool)):
+        b, c = lm_katz._answer(value, sort, need)
+        got = lm_katz._unfolded(*lm_katz._answered({"b": b, "c": c}, need), count)
+        total, alpha = lm_katz.weights(s, below, count)
+        assert (got[0] == total).all()
+        assert (got[1] == np.where(need | (sort == 2), alpha, 1.0)).all()
+
+
 def test_long_empty_and_clashing_tables(spark):
     assert lm_katz.score_documents(spark, spark.createDataFrame([], SCHEMA)).count() == 0
     odd = spark.createDataFrame([(1, "a b a b", "x", 1), (1, "a b a b", "x", 1), (None, "w " * 200_000, "y", 2)], "doc_id long, text string, chunk string, kind int")
