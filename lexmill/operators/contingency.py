@@ -38,9 +38,13 @@ def characteristic_terms(pairs: DataFrame, classes: DataFrame, threshold: float
     """
     joined = pairs.join(classes, "uce_id")
     units = joined.select("uce_id", "class").distinct().groupBy("class").agg(F.count("*").alias("n_class"))
+    return characteristic_cells(joined.groupBy("form", "class").agg(F.count("*").alias("n")), units, threshold)
+
+
+def characteristic_cells(cells: DataFrame, units: DataFrame, threshold: float = CHI2_THRESHOLD) -> DataFrame:
+    """The same from the counts (form, class, n) and the segments of each class (class, n_class); a class without a name has no terms."""
     units = units.withColumn("total", F.sum("n_class").over(Window.partitionBy()))
-    cells = joined.groupBy("form", "class").agg(F.count("*").alias("n_in_class"))
-    cells = cells.withColumn("n_total", F.sum("n_in_class").over(Window.partitionBy("form")))
+    cells = cells.where(F.col("class").isNotNull()).withColumnRenamed("n", "n_in_class").withColumn("n_total", F.sum("n_in_class").over(Window.partitionBy("form")))
     chi2, sign, least = signed_chi2(*[F.col(c).cast("double") for c in ("n_in_class", "n_class", "n_total", "total")])
     rows = cells.join(units, "class").select("class", "form", chi2.alias("raw"), sign.alias("sign"), "n_in_class", "n_total", F.round(least, 2).alias("min_expected"))
     return rows.where(F.col("raw") >= threshold).select("class", "form", F.round("raw", 4).alias("chi2"), "sign", "n_in_class", "n_total", "min_expected")
@@ -71,35 +75,39 @@ def part_table(pairs: DataFrame, parts: DataFrame, missing: str | None = None) -
     """
     blank = F.col("part").isNull() | (F.trim("part") == "")
     named = parts.withColumn("part", F.when(blank, F.lit(missing)).otherwise(F.col("part"))).where("part is not null")
-    joined = pairs.join(named, "uce_id")
-    cells = joined.groupBy("variable", "form", "part").agg(F.count("*").alias("k"))
-    values = cells.select("variable", "part").distinct()
-    several = values.groupBy("variable").agg(F.count("*").alias("n")).where("n > 1").select("variable")
-    values = values.join(several, "variable", "left_semi")
-    grid = cells.select("variable", "form").distinct().join(values, "variable")
-    return grid.join(cells, ["variable", "form", "part"], "left").select("variable", "form", "part", F.coalesce("k", F.lit(0).cast("long")).alias("k"))
+    return part_grid(pairs.join(named, "uce_id").groupBy("variable", "form", "part").agg(F.count("*").alias("k"))).select("variable", "form", "part", "k")
+
+
+def part_grid(cells: DataFrame) -> DataFrame:
+    """(variable, form, part, k, row) with zeros from the cells (variable, form, part, k) that are not: one row a form until the end."""
+    values = cells.groupBy("variable").agg(F.sort_array(F.collect_set("part")).alias("parts")).where("size(parts) > 1")
+    forms = cells.groupBy("variable", "form").agg(F.map_from_entries(F.collect_list(F.struct("part", "k"))).alias("ks"), F.sum("k").alias("row"))
+    rows = forms.join(F.broadcast(values), "variable").select("variable", "form", "row", "ks", F.explode("parts").alias("part"))
+    return rows.select("variable", "form", "part", F.coalesce(F.try_element_at("ks", F.col("part")), F.lit(0).cast("long")).alias("k"), "row")
 
 
 def specificities(table: DataFrame, threshold: float = 2.0) -> DataFrame:
     """(variable, form, part, score, sign, observed, expected) by the hypergeometric model.
 
     ``table`` is that of :func:`part_table`.  The score is minus the decimal
-    logarithm of the tail that the cell lies in.  Tails depend only on (N, K, n,
-    k): each distinct one is computed once.
+    logarithm of the tail that the cell lies in.
     """
-    by_form, by_part, whole = (Window.partitionBy("variable", *x) for x in (["form"], ["part"], []))
-    cells = (
-        table.withColumn("row", F.sum("k").over(by_form))
-        .withColumn("column", F.sum("k").over(by_part))
-        .join(table.groupBy("variable").agg(F.sum("k").alias("total")), "variable")
-    )
+    return _tails(table.join(table.groupBy("variable", "form").agg(F.sum("k").alias("row")), ["variable", "form"]), table, threshold)
+
+
+def specificities_of_cells(cells: DataFrame, threshold: float = 2.0) -> DataFrame:
+    """The same from the cells (variable, form, part, k) that are not zero."""
+    return _tails(part_grid(cells), cells, threshold)
+
+
+def _tails(grid: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
+    """Scores of the cells with the sums of their rows; those of the parts are few and are broadcast, tails are taken where the cell is."""
+    columns = counts.groupBy("variable", "part").agg(F.sum("k").alias("column"))
+    columns = columns.withColumn("total", F.sum("column").over(Window.partitionBy("variable")))
+    cells = grid.join(F.broadcast(columns), ["variable", "part"])
     expected = F.col("row") * F.col("column") / F.col("total")
-    keys = ["total", "row", "column", "k"]
-    args = [F.col(c) for c in ("k", "total", "row", "column")]
-    distinct = cells.select(*keys).distinct()
-    tail = hypergeometric_tail(*args, upper=F.col("k") >= expected)
-    scored = distinct.withColumn("raw", -F.log10(F.greatest(F.least(tail, F.lit(1.0)), F.lit(1e-300))))
-    rows = cells.join(scored, keys).where(F.col("raw") >= threshold)
+    tail = hypergeometric_tail(*[F.col(c) for c in ("k", "total", "row", "column")], upper=F.col("k") >= expected)
+    rows = cells.withColumn("raw", -F.log10(F.greatest(F.least(tail, F.lit(1.0)), F.lit(1e-300)))).where(F.col("raw") >= threshold)
     sign = F.when(F.col("k") >= expected, F.lit("+")).otherwise(F.lit("-"))
     return rows.select("variable", "form", "part", F.round("raw", 3).alias("score"), sign.alias("sign"), F.col("k").alias("observed"), F.round(expected, 3).alias("expected"))
 
@@ -112,11 +120,20 @@ def agreement(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 def class_proportions(pairs: DataFrame, classes: DataFrame, top: int = 20) -> DataFrame:
     """(form, class, share): share of a class's segments that hold each of the most spread forms."""
-    spread = pairs.groupBy("form").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "form").limit(top).select("form")
-    units = pairs.join(classes, "uce_id").select("uce_id", "class").distinct().groupBy("class").agg(F.count("*").alias("size"))
-    cells = form_class_table(pairs.join(F.broadcast(spread), "form", "left_semi"), classes)
+    units = pairs.join(classes, "uce_id").select("uce_id", "class").distinct().groupBy("class").agg(F.count("*").alias("n_class"))
+    spread = most_spread(pairs.groupBy("form").agg(F.count("*").alias("n")), top)
+    return proportions_of_cells(form_class_table(pairs.join(F.broadcast(spread), "form", "left_semi"), classes), units, spread)
+
+
+def most_spread(forms: DataFrame, top: int = 20) -> DataFrame:
+    """(form) of the most segments, of (form, n)."""
+    return forms.orderBy(F.desc("n"), "form").limit(top).select("form")
+
+
+def proportions_of_cells(cells: DataFrame, units: DataFrame, spread: DataFrame) -> DataFrame:
+    """The same from (form, class, n), (class, n_class) and the forms to show."""
     grid = spread.crossJoin(units)
-    return grid.join(cells, ["form", "class"], "left").select("form", "class", F.round(F.coalesce("n", F.lit(0)) / F.col("size"), 4).alias("share"))
+    return grid.join(cells, ["form", "class"], "left").select("form", "class", F.round(F.coalesce("n", F.lit(0)) / F.col("n_class"), 4).alias("share"))
 
 
 def adjusted_rand(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -80,7 +80,12 @@ def diagnostics(segs: DataFrame, active: DataFrame, min_occurrences: int = 3) ->
 
 def top_forms(active: DataFrame, n: int = 15) -> DataFrame:
     """The most frequent forms; ties in the order of the alphabet."""
-    return form_stats(active).orderBy(F.desc("freq"), "form").limit(n)
+    return most_frequent(form_stats(active), n)
+
+
+def most_frequent(stats: DataFrame, n: int = 15) -> DataFrame:
+    """The same from (form, freq, n_uce)."""
+    return stats.orderBy(F.desc("freq"), "form").limit(n)
 
 
 def advice(figures: DataFrame) -> DataFrame:

@@ -13,8 +13,12 @@ MAX_GROUPS = 2000
 
 def group_table(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """(form, group, n): segments of the group that hold the form; unnamed groups are left out."""
-    named = groups.where(F.col("group").isNotNull() & ~F.lower(F.trim("group")).isin(*MISSING))
-    return pairs.join(named, "uce_id").groupBy("form", "group").agg(F.count("*").alias("n"))
+    return pairs.join(named(groups), "uce_id").groupBy("form", "group").agg(F.count("*").alias("n"))
+
+
+def named(groups: DataFrame) -> DataFrame:
+    """The rows whose group has a name."""
+    return groups.where(F.col("group").isNotNull() & ~F.lower(F.trim("group")).isin(*MISSING))
 
 
 def distances(table: DataFrame) -> DataFrame:

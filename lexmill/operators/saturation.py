@@ -29,7 +29,11 @@ def vocabulary_curve(pairs: DataFrame, groups: DataFrame, order: DataFrame, min_
     so far hold it; one cumulative sum by form finds the step.
     """
     placed = pairs.join(groups.join(order, "group").select("uce_id", "k"), "uce_id")
-    counts = placed.groupBy("form", "k").agg(F.count("*").alias("n"))
+    return curve_of_counts(placed.groupBy("form", "k").agg(F.count("*").alias("n")), order, min_segments)
+
+
+def curve_of_counts(counts: DataFrame, order: DataFrame, min_segments: int = 3) -> DataFrame:
+    """The same from the segments with a form in the k-th group (form, k, n)."""
     upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("form").orderBy("k")))
     entered = upto.where(F.col("upto") >= min_segments).groupBy("form").agg(F.min("k").alias("k"))
     new = entered.groupBy("k").agg(F.count("*").alias("new"))
@@ -88,7 +92,11 @@ def saturation(pairs: DataFrame, groups: DataFrame, order: DataFrame, categories
 def coverage(pairs: DataFrame, groups: DataFrame, order: DataFrame, seeds: set[str], min_segments: int = 3) -> DataFrame:
     """(k, covered): share of a category's seed forms in the vocabulary after step k."""
     seeded = pairs.where(F.col("form").isin(*sorted(seeds)))
-    curve = vocabulary_curve(seeded, groups, order, min_segments)
+    return covered(vocabulary_curve(seeded, groups, order, min_segments), seeds)
+
+
+def covered(curve: DataFrame, seeds: set[str]) -> DataFrame:
+    """(k, covered) from the curve of the seed forms."""
     return curve.select("k", F.round(F.col("vocab") / max(1, len(seeds)), 2).alias("covered"))
 
 
