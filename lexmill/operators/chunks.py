@@ -282,6 +282,21 @@ def row_sizes(chunks: DataFrame, rare: DataFrame, keep: tuple[str, ...] = ()) ->
     return each_with(chunks, rare, make, "uce_id string, " + "".join(f"{c} string, " for c in keep) + "n_forms long")
 
 
+def count_matrix(chunks: DataFrame, rare: DataFrame) -> DataFrame:
+    """(doc_id, form, n) of the forms that are not rare; a document lies in one chunk."""
+    kind = chunks.schema["units"].dataType.elementType["uci_id"].dataType.simpleString()
+
+    def make(chunk: Chunk, few: pa.Table) -> pa.Table:
+        kept, ids = _kept(chunk, few), chunk.unit("uci_id").dictionary_encode()
+        doc = ids.indices.to_numpy(zero_copy_only=False).astype(np.int64)[chunk.rows[kept]]
+        key, place = np.unique(doc * max(1, len(chunk.forms)) + chunk.codes[kept], return_inverse=True)
+        n = np.bincount(place, weights=chunk.counts[kept], minlength=len(key)).astype(np.int64)
+        size = max(1, len(chunk.forms))
+        return pa.table({"doc_id": ids.dictionary.take(pa.array(key // size)), "form": chunk.forms.take(pa.array(key % size)), "n": n})
+
+    return each_with(chunks, rare, make, f"doc_id {kind}, form string, n long")
+
+
 def filled(chunks: DataFrame, min_occurrences: int, keep: tuple[str, ...]) -> DataFrame:
     """(kept columns, n_filled): segments that hold a form that is not rare.
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +14,8 @@ from pyspark.sql.window import Window
 from lexmill.config import Preparation
 from lexmill.errors import MatrixError
 from lexmill.functions import text as X
-from lexmill.operators.lexicon import lemma_of, lexed
+from lexmill.operators.chunks import lemmatised, rules
+from lexmill.operators.lexicon import lemma_of, lexed, merge_all
 
 
 _SPANS = "array<array<struct<pos:int,t:string,stop:boolean,s:double>>>"
@@ -49,7 +55,51 @@ def ngrams(active: DataFrame, n: int = 2, top: int | None = 200) -> DataFrame:
     rows = rows.where(F.size("xs") >= n).select(F.transform("xs", lambda x: x["form"]).alias("fs"))
     grams = F.transform(F.sequence(F.lit(1), F.size("fs") - (n - 1)), lambda i: F.array_join(F.slice("fs", i, F.lit(n)), " "))
     counted = rows.select(F.explode(grams).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("n"))
-    return counted if top is None else counted.orderBy(F.desc("n"), "ngram").limit(top)
+    return counted if top is None else most_frequent(counted, top)
+
+
+def most_frequent(counted: DataFrame, top: int = 200) -> DataFrame:
+    """The most frequent of (ngram, n); ties in the order of the alphabet."""
+    return counted.orderBy(F.desc("n"), "ngram").limit(top)
+
+
+#: Tokens whose n-grams are counted before they are sent.
+NGRAM_TOKENS = 2_000_000
+
+
+def ngrams_of_segments(segs: DataFrame, lexicon: DataFrame, prep: Preparation, n: int = 2) -> DataFrame:
+    """(ngram, n) of :func:`ngrams` from segments: runs are taken within their row, and counted by many segments before the shuffle."""
+    known, most = rules(lexicon, prep), NGRAM_TOKENS
+    words = segs.select(merge_all(F.col("tokens"), prep).alias("words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            forms, row, code = lemmatised(batch.column("words"), known)
+            if len(row) < n:
+                continue
+            first = np.flatnonzero(row[: len(row) - n + 1] == row[n - 1 :])
+            keys = code[first]
+            for k in range(1, n):
+                # pairs of codes become codes of their own, so no product overflows
+                keys = np.unique(keys, return_inverse=True)[1] * len(forms) + code[first + k]
+            keys, at, times = np.unique(keys, return_index=True, return_counts=True)
+            texts = pc.binary_join_element_wise(*[forms.take(pa.array(code[first[at] + k])) for k in range(n)], " ")
+            held.append((texts, times))
+            size += len(texts)
+            if size >= most:
+                yield from _summed(held)
+                held, size = [], 0
+        if held:
+            yield from _summed(held)
+
+    return words.mapInArrow(run, "ngram string, n long").groupBy("ngram").agg(F.sum("n").alias("n"))
+
+
+def _summed(held: list[tuple[pa.Array, np.ndarray]]) -> list[pa.RecordBatch]:
+    """(ngram, n) of several counts."""
+    table = pa.table({"ngram": pa.chunked_array([x for x, _ in held]), "n": np.concatenate([n for _, n in held]).astype(np.int64)})
+    return table.group_by("ngram").aggregate([("n", "sum")]).rename_columns(["ngram", "n"]).to_batches(max_chunksize=1 << 16)
 
 
 def word_tree(docs: DataFrame, query: str, lexicon: DataFrame, prep: Preparation = Preparation(), direction: str = "right", depth: int = 2, id_column: str = "doc_id") -> DataFrame:  # noqa: B008

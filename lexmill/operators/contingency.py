@@ -5,11 +5,15 @@ Inputs are long tables: ``pairs`` (uce_id, form) and ``classes`` (uce_id, class)
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexmill.functions.numeric import hypergeometric_tail
+from lexmill.operators.chunks import Chunk, each_with, local_forms
 
 CHI2_THRESHOLD = 3.84
 
@@ -58,6 +62,34 @@ def typical_segments(pairs: DataFrame, classes: DataFrame, terms: DataFrame, top
     return scored.withColumn("rank", F.row_number().over(by_class)).where(F.col("rank") <= top).select("class", "rank", "uce_id", "score")
 
 
+def typical_of_chunks(table: DataFrame, column: str, terms: DataFrame, top: int = 5) -> DataFrame:
+    """The same from a term table in chunks, of classes by a column of its segments: a chunk gets the chi-squares of its own forms and gives its best segments."""
+    own = terms.where("sign = '+'").select("class", "form", "chi2")
+    known = local_forms(table).select("chunk", "code", "form").join(own, "form").select("chunk", "code", "class", "chi2")
+
+    def best(chunk: Chunk, known: pa.Table) -> pa.Table:
+        labels, parts = chunk.unit(column), []
+        for name in known.column("class").unique().to_pylist():
+            mine = known.filter(pc.equal(known.column("class"), name))
+            weight = np.full(len(chunk.forms), np.nan)
+            weight[mine.column("code").to_numpy()] = mine.column("chi2").to_numpy()
+            inside = pc.fill_null(pc.equal(labels, name), False).to_numpy(zero_copy_only=False)
+            w = weight[chunk.codes]
+            cell = ~np.isnan(w) & inside[chunk.rows]
+            score = np.bincount(chunk.rows[cell], weights=w[cell], minlength=len(inside))
+            some = np.unique(chunk.rows[cell])
+            if len(some) > top:
+                # scores are rounded later: those that may tie then stay
+                some = some[score[some] >= np.partition(score[some], -top)[-top] - 1e-3]
+            parts.append(pa.table({"class": pa.array([name] * len(some), pa.string()), "uce_id": chunk.unit("uce_id").take(pa.array(some)), "score": score[some]}))
+        empty = pa.table({"class": pa.array([], pa.string()), "uce_id": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+        return pa.concat_tables([empty, *parts])
+
+    scored = each_with(table, known, best, "class string, uce_id string, score double").withColumn("score", F.round("score", 4))
+    by_class = Window.partitionBy("class").orderBy(F.desc("score"), F.desc("uce_id"))
+    return scored.withColumn("rank", F.row_number().over(by_class)).where(F.col("rank") <= top).select("class", "rank", "uce_id", "score")
+
+
 def partition_warnings(classes: DataFrame, terms: DataFrame, asked: int, min_class_size: int = 5) -> DataFrame:
     """(warning, value): fewer classes than asked, small classes, terms with an expected cell below 5."""
     sizes = classes.groupBy("class").agg(F.count("*").alias("n"))

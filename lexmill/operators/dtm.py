@@ -52,6 +52,12 @@ def count_matrix(active: DataFrame, vocabulary: DataFrame, level: str = "uci") -
 def diagnostics(segs: DataFrame, active: DataFrame, min_occurrences: int = 3) -> DataFrame:
     """One row of corpus figures."""
     sizes = segs.select("uci_id", F.size("tokens").cast("long").alias("n"))
+    held = dtm(active, min_occurrences).agg(F.count_distinct("uce_id").alias("n_filled"))
+    return figures(sizes, form_stats(active), held, min_occurrences)
+
+
+def figures(sizes: DataFrame, stats: DataFrame, filled: DataFrame, min_occurrences: int = 3) -> DataFrame:
+    """The same from the segments (uci_id, n tokens), the forms' statistics and the number of segments with a retained form (n_filled)."""
     by_uci = sizes.groupBy("uci_id").agg(F.count("*").alias("k"))
     one = by_uci.agg(F.count("*").alias("n_uci"), F.count_if(F.col("k") <= 1).alias("n_single_uce"))
     tokens = sizes.agg(
@@ -62,14 +68,12 @@ def diagnostics(segs: DataFrame, active: DataFrame, min_occurrences: int = 3) ->
         F.max("n").alias("tokens_max"),
         F.sum("n").alias("tokens_total"),
     )
-    stats = form_stats(active)
     forms = stats.agg(
         F.sum("freq").alias("active_total"),
         F.count("*").alias("vocabulary"),
         F.count_if(F.col("freq") == 1).alias("hapax"),
         F.count_if(F.col("freq") >= min_occurrences).alias("retained_forms"),
     )
-    filled = dtm(active, min_occurrences).agg(F.count_distinct("uce_id").alias("n_filled"))
     row = one.crossJoin(tokens).crossJoin(forms).crossJoin(filled)
     return (
         row.withColumn("active_ratio", F.round(F.try_divide("active_total", "tokens_total"), 3))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexmill.errors import MatrixError
+from lexmill.operators.chunks import Chunk, each
 
 INDICES = ("cooccurrence", "jaccard", "dice", "cosine", "phi")
 MAX_DRIVER_FORMS = 3000
@@ -27,12 +30,49 @@ def cooccurrence(pairs: DataFrame, forms: DataFrame) -> DataFrame:
     rows = kept.groupBy("uce_id").agg(F.sort_array(F.collect_list("form")).alias("fs")).where("size(fs) > 1")
     later = F.flatten(F.transform("fs", lambda x, i: F.transform(F.slice("fs", i + 2, F.size("fs")), lambda y: F.struct(x.alias("form_i"), y.alias("form_j")))))
     counts = rows.select(F.explode(later).alias("p")).groupBy("p.form_i", "p.form_j").agg(F.count("*").alias("a"))
+    return _with_sizes(counts, forms)
+
+
+def _with_sizes(counts: DataFrame, forms: DataFrame) -> DataFrame:
+    """``counts`` (form_i, form_j, a) with the segments of either form."""
     size = forms.select("form", "freq")
     return counts.join(F.broadcast(size.withColumnsRenamed({"form": "form_i", "freq": "f_i"})), "form_i").join(
         F.broadcast(size.withColumnsRenamed({"form": "form_j", "freq": "f_j"})), "form_j"
     ).select("form_i", "form_j", "a", "f_i", "f_j")
 
 
+def cooccurrence_of_chunks(table: DataFrame, forms: DataFrame) -> DataFrame:
+    """The same from a term table in chunks; ``forms`` are few and go to every task, a chunk gives one row a pair."""
+    names = [r["form"] for r in forms.select("form").collect()]
+    if len(names) > MAX_DRIVER_FORMS:
+        raise MatrixError(f"{len(names)} forms; take {MAX_DRIVER_FORMS} at most")
+    names = pa.array(sorted(names, key=lambda x: x.encode()), pa.string())
+
+    def count(chunk: Chunk) -> pa.Table | None:
+        place = pc.fill_null(pc.index_in(chunk.forms, value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        code = place[chunk.codes] if len(chunk.codes) else chunk.codes
+        held = code >= 0
+        row, code = chunk.rows[held], code[held]
+        order = np.lexsort((code, row))
+        row, code = row[order], code[order]
+        met: dict[int, int] = {}
+        # the pairs whose places in their segment are so far apart; none further than the longest segment
+        for gap in range(1, len(names)):
+            same = np.flatnonzero(row[gap:] == row[:-gap])
+            if not len(same):
+                break
+            keys, n = np.unique(code[same] * len(names) + code[same + gap], return_counts=True)
+            for key, k in zip(keys.tolist(), n.tolist(), strict=True):
+                met[key] = met.get(key, 0) + k
+        if not met:
+            return None
+        keys = np.fromiter(met, np.int64, len(met))
+        return pa.table({"form_i": names.take(pa.array(keys // len(names))), "form_j": names.take(pa.array(keys % len(names))), "a": pa.array(met.values(), pa.int64())})
+
+    counts = each(table, count, "form_i string, form_j string, a long").groupBy("form_i", "form_j").agg(F.sum("a").alias("a"))
+    return _with_sizes(counts, forms)
+
+
 def association(cooc: DataFrame, n_segments: int, index: str = "cooccurrence") -> DataFrame:
     """``cooc`` with ``weight`` by one of the indices; undefined values are 0."""
     a, fi, fj = (F.col(c).cast("double") for c in ("a", "f_i", "f_j"))
@@ -54,11 +94,16 @@ def phi_with_wrong_total(pairs: DataFrame, forms: DataFrame) -> DataFrame:
     Over all pairs of the forms, also those that never meet.
     """
     n = pairs.select("uce_id").distinct().agg(F.count("*").cast("double").alias("n"))
+    return phi_gap(cooccurrence(pairs, forms), forms, n)
+
+
+def phi_gap(cooc: DataFrame, forms: DataFrame, n: DataFrame) -> DataFrame:
+    """The same from the co-occurrences and the number of segments (n)."""
     v = forms.agg(F.count("*").cast("double").alias("v"))
     left = forms.select(F.col("form").alias("form_i"), F.col("freq").alias("f_i"))
     right = forms.select(F.col("form").alias("form_j"), F.col("freq").alias("f_j"))
     grid = left.join(right, F.col("form_i") < F.col("form_j"))
-    met = cooccurrence(pairs, forms).select("form_i", "form_j", "a")
+    met = cooc.select("form_i", "form_j", "a")
     rows = grid.join(met, ["form_i", "form_j"], "left").crossJoin(n).crossJoin(v).withColumn("a", F.coalesce("a", F.lit(0)).cast("double"))
     b, c = F.col("f_i") - F.col("a"), F.col("f_j") - F.col("a")
 
