@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lexmill.config import Preparation
 from lexmill.errors import MatrixError
 from lexmill.functions import text as X
+from lexmill.operators import phrases
 from lexmill.operators.chunks import lemmatised, rules
 from lexmill.operators.lexicon import lemma_of, lexed, merge_all
 
 
-_SPANS = "array<array<struct<pos:int,t:string,stop:boolean,s:double>>>"
-
-
 def _hits(docs: DataFrame, query: str, lexicon: DataFrame, prep: Preparation, mode: str, id_column: str, keep: tuple[str, ...]) -> DataFrame:
     """(doc_id, tokens, position) of the tokens that match; the vocabulary is looked up, not every token."""
     spark = docs.sparkSession
@@ -150,52 +147,13 @@ def key_phrases(docs: DataFrame, stop: DataFrame, longest: int = 3, top: int = 3
     on, a phrase is left out if an edit distance of so small a share of its
     length parts it from a better one that their likeness exceeds ``most_alike``.
     """
-    sents = docs.select(F.col(id_column).alias("d"), F.posexplode(X.sentences(F.col("text"))).alias("sent", "s"))
-    raw = F.regexp_extract_all("s", F.lit(X.TOKEN), F.lit(0))
-    words = sents.select("d", "sent", F.posexplode(raw).alias("pos", "w")).withColumn("t", F.lower("w"))
-    in_sentence = Window.partitionBy("d", "sent").orderBy("pos")
-    words = words.withColumn("prev", F.lag("t").over(in_sentence)).withColumn("next", F.lead("t").over(in_sentence))
-    upper = (F.length("w") > 1) & (F.upper("w") == F.col("w"))
-    title = F.col("w").rlike(r"^\p{Lu}") & (F.col("pos") > 0)
-    terms = words.groupBy("t").agg(
-        F.count("*").alias("tf"),
-        F.count_if(upper).alias("nu"),
-        F.count_if(title).alias("nt"),
-        F.median(F.col("sent") + 1).alias("mid"),
-        F.count_distinct("d", "sent").alias("spread"),
-        F.count_distinct("prev").alias("dl"),
-        F.count_distinct("next").alias("dr"),
-        F.count("prev").alias("cl"),
-        F.count("next").alias("cr"),
-    )
-    stops = stop.select(F.col("token").alias("t"), F.lit(True).alias("stop"))
-    terms = terms.join(stops, "t", "left").withColumn("stop", F.coalesce("stop", F.lit(False)))
-    content = terms.where(~F.col("stop")).agg(F.avg("tf").alias("mean_tf"), F.coalesce(F.stddev_pop("tf"), F.lit(0.0)).alias("sd_tf"))
-    overall = terms.agg(F.max("tf").alias("max_tf")).crossJoin(sents.agg(F.count("*").alias("n_sent"))).crossJoin(content)
-    f = F.col
-    casing = F.greatest("nu", "nt") / (1 + F.ln("tf"))
-    position = F.ln(F.lit(3.0) + F.ln(f("mid") + 2))
-    frequency = f("tf") / (f("mean_tf") + f("sd_tf"))
-    related = 1 + (F.coalesce(F.try_divide("dl", "cl"), F.lit(0.0)) + F.coalesce(F.try_divide("dr", "cr"), F.lit(0.0))) * f("tf") / f("max_tf")
-    spread = f("spread") / f("n_sent")
-    scored = terms.crossJoin(F.broadcast(overall)).select("t", "stop", (position * related / (casing + frequency / related + spread / related)).alias("s"))
-    listed = words.join(scored, "t").groupBy("d", "sent").agg(F.array_sort(F.collect_list(F.struct("pos", "t", "stop", "s"))).alias("xs"))
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(longest)),
-            lambda k: F.when(F.size("xs") >= k, F.transform(F.sequence(F.lit(1), F.size("xs") - k + 1), lambda i: F.slice("xs", i, k))).otherwise(F.array().cast(_SPANS)),
-        )
-    )
-    candidates = listed.select(F.explode(spans).alias("p")).where(~F.col("p")[0]["stop"] & ~F.element_at("p", -1)["stop"])
-    inner = F.filter("p", lambda x: ~x["stop"])
-    phrases = candidates.select(
-        F.array_join(F.transform("p", lambda x: x["t"]), " ").alias("phrase"),
-        F.aggregate(inner, F.lit(1.0), lambda a, x: a * x["s"]).alias("product"),
-        F.aggregate(inner, F.lit(0.0), lambda a, x: a + x["s"]).alias("total"),
-    )
-    grouped = phrases.groupBy("phrase").agg(F.count("*").alias("n"), F.first("product").alias("product"), F.first("total").alias("total"))
-    ranked = grouped.select("phrase", F.round(f("product") / (f("n") * (1 + f("total"))), 8).alias("score")).orderBy("score", "phrase")
-    return _unlike(ranked, top, most_alike)
+    table = phrases.spoken(docs).persist()
+    n_sentences = docs.select(F.size(X.sentences(F.col("text"))).alias("k")).agg(F.coalesce(F.sum(F.greatest("k", F.lit(0))), F.lit(0)).alias("n_sent"))
+    scored = phrases.terms(table, n_sentences, stop).persist()
+    kept = _first_unlike(lambda most: phrases.best_phrases(table, scored, longest, most).limit(most).collect(), top, most_alike)
+    table.unpersist()
+    scored.unpersist()
+    return docs.sparkSession.createDataFrame(kept, "phrase string, score double")
 
 
 def _distance(a: str, b: str) -> int:
@@ -209,16 +167,20 @@ def _distance(a: str, b: str) -> int:
 
 
 def _unlike(ranked: DataFrame, top: int, most_alike: float) -> DataFrame:
-    """The first ``top`` phrases that aren't too much like a better one; read in order, in growing portions, until there are so many."""
-    kept: list[tuple[str, float]] = []
+    """The first ``top`` phrases that aren't too much like a better one."""
+    kept = _first_unlike(lambda most: ranked.limit(most).collect(), top, most_alike)
+    return ranked.sparkSession.createDataFrame(kept, "phrase string, score double")
+
+
+def _first_unlike(best: Callable[[int], list[Row]], top: int, most_alike: float) -> list[tuple[str, float]]:
+    """The same of the rows that ``best`` gives of so many; read in order, in growing portions, until there are so many."""
     asked = 4 * top
     while True:
-        rows = ranked.limit(asked).collect()
-        kept = []
+        rows, kept = best(asked), []
         for r in rows:
             alike = lambda x: 1 - _distance(r["phrase"], x) / max(len(r["phrase"]), len(x), 1)  # noqa: B023, E731
             if len(kept) < top and all(alike(x) <= most_alike for x, _ in kept):
                 kept.append((r["phrase"], r["score"]))
         if len(kept) == top or len(rows) < asked:
-            return ranked.sparkSession.createDataFrame(kept, "phrase string, score double")
+            return kept
         asked *= 4

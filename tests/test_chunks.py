@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.config import Preparation
-from lexmill.operators import chunks, contingency, dtm, lexicon, segment
+from lexmill.operators import chd, chunks, concordance, contingency, dtm, lexicon, phrases, segment, topics
+from lexmill.streaming import counts
 
 PREP = Preparation(stopwords=("zz",), synonyms={"b": "a"}, min_occurrences=3, expressions={"c d": "c_d"})
 TEXTS = ["a b c d e. a a f", "b f g zz. h", "", "c d. a e e", "zz", "q r. r", None]
@@ -59,3 +60,60 @@ def test_specificities_of_cells_are_those_of_the_whole_table(spark):
     found = rows(contingency.specificities_of_cells(cells, 0.5), *columns)
     assert found == rows(contingency.specificities(grid, 0.5), *columns)
     assert found
+
+
+@pytest.fixture
+def talk(spark):
+    texts = [f"The big Cat{i % 4} sat on A mat. big cat{i % 3} ran NATO home; see the {'very ' * (i % 3)}old dog{i % 5} run" for i in range(40)]
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), spark.createDataFrame([("the",), ("on",), ("a",)], "token string")
+
+
+def test_no_phrase_that_is_among_the_best_is_passed_over(talk, spark):
+    docs, stop = talk
+    table, n = phrases.spoken(docs).persist(), spark.createDataFrame([(120,)], "n_sent long")
+    scored = phrases.terms(table, n, stop).persist()
+    whole = [tuple(r) for r in phrases.best_phrases(table, scored, 3, 10**6).collect()]
+    assert len(whole) > 20
+    for most in (1, 3, 10):
+        some = [tuple(r) for r in phrases.best_phrases(table, scored, 3, most).collect()]
+        assert some[:most] == whole[:most]
+        assert len(some) < len(whole)
+
+
+def test_key_phrases_do_not_depend_on_the_chunks(talk, monkeypatch):
+    docs, stop = talk
+    whole = [tuple(r) for r in concordance.key_phrases(docs, stop).collect()]
+    monkeypatch.setattr(phrases, "CHUNK_TOKENS", 1)
+    assert [tuple(r) for r in concordance.key_phrases(docs.coalesce(1), stop).collect()] == whole
+
+
+@pytest.mark.parametrize("tokens", [1, 10**6])
+def test_cuts_by_chunks_equal_those_of_the_rows(spark, monkeypatch, tokens):
+    monkeypatch.setattr(chunks, "CHUNK_TOKENS", tokens)
+    docs = spark.createDataFrame([(i, " ".join("abcdefgh"[(i * j) % 8] for j in range(1, 2 + i % 5)) + ".") for i in range(60)], "doc_id long, text string")
+    segs = segment.segments(docs, size=2).withColumns({"lang": F.lit("x")})
+    words = lexicon.keyed_lexicon(spark.createDataFrame([], "form string, lemma string, pos string"))
+    pairs = dtm.dtm(segment.active_forms(segs, words, Preparation()), 3)
+    units = segs.select("uce_id", F.size("tokens").alias("k"))
+    want = chd.cut_scores(chd.positions(units, "k", "uce_id"), pairs).orderBy("pos").collect()
+    placed = segs.repartitionByRange(3, F.size("tokens"), "uce_id").sortWithinPartitions(F.size("tokens"), "uce_id")
+    found = chd.cut_scores_of_chunks(chunks.chunked(placed, words, Preparation()), 3).orderBy("pos").collect()
+    assert [r["pos"] for r in found] == [r["pos"] for r in want]
+    assert [r["chi2"] for r in found] == pytest.approx([r["chi2"] for r in want])
+
+
+def test_streamed_counts_stay_off_the_driver(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([("a b a",), ("b c",)], "text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(counts, "to_memory", None)
+    found = counts.to_table(counts.form_counts(counts.read_table(spark, str(tmp_path), "documents")))
+    assert rows(found, "form", "n") == [("a", 2), ("b", 2), ("c", 1)]
+    assert len(found.inputFiles()) > 0
+
+
+def test_topics_read_kept_vectors_in_few_parts(spark):
+    table = spark.createDataFrame([(i, f"f{(i * j) % 9}", 1 + j % 2) for i in range(40) for j in range(1, 5)], "doc_id long, form string, n long").repartition(20)
+    _, vocabulary, vectors = topics.fit(table, iterations=2)
+    assert vectors.storageLevel.useMemory
+    assert vectors.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    total = {r["form"]: r["n"] for r in table.groupBy("form").agg(F.sum("n").alias("n")).collect()}
+    assert vocabulary.vocabulary == sorted(total, key=lambda x: (-total[x], x))
