@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexmill.errors import MatrixError
+from lexmill.operators.chunks import Chunk, each_with, local_forms
 from lexmill.operators.contingency import adjusted_rand, characteristic_terms
 from lexmill.workers import checkpointing
 
@@ -214,11 +215,60 @@ def cut_scores(ordered: DataFrame, cells: DataFrame) -> DataFrame:
     upto = Window.partitionBy("range").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     run = rows.withColumn("q2", F.sum("dq").over(upto)).withColumn("s2", F.sum("ds").over(upto)).join(F.broadcast(shifts), "range")
     run = run.withColumn("q", F.col("q1") + F.col("q2")).withColumn("s", (F.col("s1") + F.col("s2")).cast("double")).where("pos < last")
+    return _cut_chi2(run)
+
+
+def _cut_chi2(run: DataFrame) -> DataFrame:
+    """(pos, chi2) from the running sums (pos, q, s) and the number of cells (n)."""
     inside = (F.col("s") > 0) & (F.col("s") < F.col("n"))
     chi2 = F.when(inside, F.col("n") * F.col("n") / (F.col("s") * (F.col("n") - F.col("s"))) * (F.col("q") - F.col("s") * F.col("s") / F.col("n")))
     return run.select("pos", F.coalesce(chi2, F.lit(0.0)).alias("chi2"))
 
 
+def cut_scores_of_chunks(table: DataFrame, min_occurrences: int) -> DataFrame:
+    """The same from a term table in chunks whose segments are in order, of the forms that occur often enough.
+
+    A form's cells are counted by chunk, so what precedes a chunk is a sum over
+    the lists of chunks; no cell is moved.
+    """
+    by_form = Window.partitionBy("form")
+    earlier = by_form.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    known = local_forms(table).select(
+        "chunk", "code", F.sum("freq").over(by_form).alias("freq"), F.sum("n_uce").over(by_form).alias("col"), F.coalesce(F.sum("n_uce").over(earlier), F.lit(0)).alias("before")
+    )
+
+    def sums(chunk: Chunk, known: pa.Table) -> pa.Table:
+        column, before = np.zeros(len(chunk.forms)), np.zeros(len(chunk.forms))
+        at = known.column("code").to_numpy()
+        column[at], before[at] = known.column("col").to_numpy(), known.column("before").to_numpy()
+        kept = column[chunk.codes] > 0
+        code, row = chunk.codes[kept], chunk.rows[kept]
+        order = np.argsort(code, kind="stable")
+        sizes = np.bincount(code, minlength=len(column))
+        rank = np.empty(len(code))
+        rank[order] = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        dq = np.bincount(row, weights=(2 * (before[code] + rank) + 1) / column[code], minlength=len(chunk.sizes))
+        ds = np.bincount(row, minlength=len(chunk.sizes))
+        n = len(chunk.sizes)
+        return pa.table({"chunk": np.full(n, chunk.number), "i": np.arange(1, n + 1), "q2": np.cumsum(dq), "s2": np.cumsum(ds).astype(np.int64)})
+
+    rows = each_with(table, known.where(F.col("freq") >= min_occurrences).select("chunk", "code", "col", "before"), sums, "chunk long, i long, q2 double, s2 long").persist()
+    ends = rows.groupBy("chunk").agg(F.max("i").alias("k"), F.max_by("q2", "i").alias("q0"), F.max("s2").alias("s0"))
+    before, whole = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    shifts = ends.select(
+        "chunk",
+        F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k1"),
+        F.coalesce(F.sum("q0").over(before), F.lit(0.0)).alias("q1"),
+        F.coalesce(F.sum("s0").over(before), F.lit(0)).alias("s1"),
+        F.sum("s0").over(whole).cast("double").alias("n"),
+        F.sum("k").over(whole).alias("last"),
+    )
+    run = rows.join(F.broadcast(shifts), "chunk").select(
+        (F.col("k1") + F.col("i")).alias("pos"), (F.col("q1") + F.col("q2")).alias("q"), (F.col("s1") + F.col("s2")).cast("double").alias("s"), "n", "last"
+    )
+    return _cut_chi2(run.where("pos < last"))
+
+
 def best_cut(ordered: DataFrame, cells: DataFrame, min_size: int = 1) -> tuple[int, float]:
     """(position, chi2) of the first best cut with both sides large enough; any cut if none is."""
     n = ordered.count()

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from lexmill.functions import text as X
+from lexmill.workers import checkpointing
 
 
 def read_documents(spark: SparkSession, folder: str, schema: StructType, files_per_trigger: int = 1) -> DataFrame:
@@ -39,3 +42,26 @@ def windowed_counts(stream: DataFrame, time: str, width: str = "1 hour", late: s
 def to_memory(counts: DataFrame, name: str) -> StreamingQuery:
     """Start a query that keeps the complete result in memory, for tests and small vocabularies."""
     return counts.writeStream.outputMode("complete").format("memory").queryName(name).start()
+
+
+def to_table(counts: DataFrame) -> DataFrame:
+    """The complete result of a query once it has read all there is, by way of files: nothing of it comes to the driver.
+
+    State and result lie in the folder of checkpoints, which all executors share.
+    """
+    spark = counts.sparkSession
+    checkpointing(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    latest = spark.createDataFrame([], counts.schema)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result/{number}")
+        done.append(number)
+
+    done: list[int] = []
+    query = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").foreachBatch(write).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.schema(counts.schema).parquet(f"{folder}/result/{max(done)}") if done else latest
