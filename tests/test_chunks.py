@@ -1,5 +1,6 @@
 """The chunked term table against the rows of tokens."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +118,42 @@ def test_topics_read_kept_vectors_in_few_parts(spark):
     assert vectors.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
     total = {r["form"]: r["n"] for r in table.groupBy("form").agg(F.sum("n").alias("n")).collect()}
     assert vocabulary.vocabulary == sorted(total, key=lambda x: (-total[x], x))
+
+
+def one_by_one(side, rows, n_forms, min_size, passes):
+    """Relocation, a row at a time."""
+    side = side.copy()
+    for _ in range(passes):
+        moved = False
+        for i in range(len(rows)):
+            other = side.copy()
+            other[i] = not other[i]
+            if (side == side[i]).sum() - 1 >= min_size and chd.bipartition_chi2(other, rows, n_forms) > chd.bipartition_chi2(side, rows, n_forms) + 1e-9:
+                side, moved = other, True
+        if not moved:
+            break
+    return side
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_relocation_by_blocks_is_that_row_by_row(seed):
+    rng = np.random.default_rng(seed)
+    rows = [np.flatnonzero(rng.random(12) < 0.3) for _ in range(90)]
+    side = rng.random(90) < 0.5
+    assert (chd.relocate_rows(side, rows, 12, 5, 4) == one_by_one(side, rows, 12, 5, 4)).all()
+
+
+@pytest.mark.parametrize("block", [7, 10**6])
+def test_classes_in_one_task_are_those_by_joins(spark, monkeypatch, block):
+    rng = np.random.default_rng(4)
+    cells = {(f"u{i:02d}", f"f{j}") for i in range(36) for j in range(15) if rng.random() < (0.6 if i % 3 == j % 3 else 0.08)} | {(f"u{i:02d}", "f0") for i in range(36)}
+    pairs = spark.createDataFrame([*sorted(cells), ("u00", "f0")], "uce_id string, form string").repartition(3)
+    monkeypatch.setattr(chd, "BLOCK_CELLS", block)
+    one = chd.classify(pairs)
+    monkeypatch.setattr(chd, "MAX_TASK_CELLS", 0)
+    other = chd.classify(pairs)
+    assert rows(one.assign, "uce_id", "class") == rows(other.assign, "uce_id", "class")
+    plain = lambda df: [tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in sorted(map(tuple, df.collect()), key=repr)]
+    assert plain(one.tree) == plain(other.tree)
+    assert len(one.tree.collect()) == 5
+    assert plain(one.terms) == plain(other.terms)
