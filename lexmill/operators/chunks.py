@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lexmill.config import Preparation
 from lexmill.operators.lexicon import lexed, merge_all
@@ -283,7 +284,7 @@ def row_sizes(chunks: DataFrame, rare: DataFrame, keep: tuple[str, ...] = ()) ->
 
 
 def count_matrix(chunks: DataFrame, rare: DataFrame) -> DataFrame:
-    """(doc_id, form, n) of the forms that are not rare; a document lies in one chunk."""
+    """(doc_id, form, n) of the forms that are not rare; a document's rows lie in one chunk."""
     kind = chunks.schema["units"].dataType.elementType["uci_id"].dataType.simpleString()
 
     def make(chunk: Chunk, few: pa.Table) -> pa.Table:
@@ -339,7 +340,6 @@ def profile(chunks: DataFrame, min_occurrences: int, keep: tuple[str, ...]) -> D
     found = each(chunks, make, "form string, " + "".join(f"{c} string, " for c in keep) + "n long, freq long")
     # one shuffle by form serves the counts and the forms' totals
     counts = found.repartition("form").groupBy("form", *keep).agg(F.sum("n").alias("n"), F.sum("freq").alias("freq"))
-    stats = counts.groupBy("form").agg(F.sum("freq").alias("all")).where(F.col("all") >= min_occurrences).select("form")
-    return counts.join(stats, "form", "left_semi").select("form", *keep, "n")
+    return counts.withColumn("all", F.sum("freq").over(Window.partitionBy("form"))).where(F.col("all") >= min_occurrences).select("form", *keep, "n")
 
 
